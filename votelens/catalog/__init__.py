@@ -1,4 +1,4 @@
-from . import relational, scoring  # noqa: F401
+from . import evaluation, parsing_q, relational, scoring  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -17,11 +17,12 @@ from ..params import Params
 QUERIES: dict = {}
 ORACLE: dict = {}
 DIGITS = 6
+_SCHEMAS: dict = {}
 
 
 def query(name: str, sql: str | None = None, r: str = ""):
     """Register a query. ``sql`` is its oracle on top of ``CTES``; ``r`` names its floating-point columns,
-    rounded on both sides."""
+    rounded on both sides (nudged, so that an exact half rounds the same way in both engines)."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return rounded(fn(Inputs(spark, sf_dir)))
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None, r: str = ""):
         if sql is not None:
             body = f"WITH {CTES}\n{sql}" if not sql.lstrip().upper().startswith(", ") else f"WITH {CTES}\n{sql.lstrip()}"
             if r:
-                cols = ", ".join(f"ROUND({c}, {DIGITS}) AS {c}" for c in r.split())
+                cols = ", ".join(f"ROUND({c} + 1e-12, {DIGITS}) AS {c}" for c in r.split())
                 body = f"SELECT * REPLACE ({cols}) FROM ({body}) AS q"
             ORACLE[name] = body
         return fn
@@ -38,7 +39,7 @@ def query(name: str, sql: str | None = None, r: str = ""):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(F.col(f"`{f.name}`"), DIGITS).alias(f.name) if f.dataType.typeName() == "double"
+    return df.select(*[(F.round(F.col(f"`{f.name}`") + 1e-12, DIGITS).alias(f.name) if f.dataType.typeName() == "double"
                         else F.col(f"`{f.name}`")) for f in df.schema])
 
 
@@ -48,7 +49,11 @@ class Inputs:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A given table; its schema is inferred once per path."""
+        path = f"{self.dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def vlog(self) -> DataFrame:
@@ -60,7 +65,7 @@ class Inputs:
             F.lit(1).cast("bigint").alias("workflow"),
             F.get_json_object("props", "$.k").cast("bigint").alias("subject_id"),
             (F.col("value") >= 100).alias("seen_before"), (t != "error").alias("live_project"),
-            F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").alias("time_stamp"),
+            F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("time_stamp"),
         ).where("annotation is not null")
 
     @cached_property

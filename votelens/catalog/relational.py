@@ -82,7 +82,7 @@ def f10(i):
 @query("validate_vote", """SELECT event_id, CASE WHEN k IS NULL THEN 'missing subject_id' WHEN a IS NULL THEN 'missing annotation'
   WHEN TRY_CAST(a AS INTEGER) IS NULL THEN 'not an int: annotation' END AS reason FROM (SELECT event_id,
   json_extract_string(props, '$.k') AS k, CASE event_type WHEN 'purchase' THEN '1' WHEN 'click' THEN '1' WHEN 'view' THEN '0'
-  WHEN 'error' THEN 'err' END AS a FROM events)""".replace("SELECT event_id, CASE WHEN k", ", e AS (SELECT 1) SELECT event_id, CASE WHEN k", 1))
+  WHEN 'error' THEN 'err' END AS a FROM events)""")
 def f11(i):
     t = F.col("event_type")
     raw = i.raw("events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("subject_id"),
@@ -147,7 +147,7 @@ def l4(i):
 
 
 @query("top_n_metric", """SELECT subject, n, score FROM (SELECT l_partkey AS subject, count(*) AS n, round(sum(l_extendedprice), 2) AS score
-  FROM lineitem GROUP BY 1) ORDER BY score DESC, subject LIMIT 100""".replace("SELECT subject, n", ", d AS (SELECT 1) SELECT subject, n", 1), r="score")
+  FROM lineitem GROUP BY 1) ORDER BY score DESC, subject LIMIT 100""", r="score")
 def l6(i):
     m = i.raw("lineitem").groupBy(F.col("l_partkey").alias("subject")).agg(
         F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("score"))
@@ -229,14 +229,14 @@ def u5(i):
 
 
 @query("id_set", """SELECT DISTINCT s_suppkey AS subject FROM supplier WHERE s_suppkey IN (SELECT subject FROM lfirst)
-  AND s_suppkey NOT IN (SELECT subject FROM votes)""".replace("SELECT DISTINCT", ", d AS (SELECT 1) SELECT DISTINCT", 1))
+  AND s_suppkey NOT IN (SELECT subject FROM votes)""")
 def u6(i):
     ids = R.id_set(i.raw("supplier").select(F.col("s_suppkey").alias("subject")))
     return R.without_ids(R.golds_for_subjects(ids, i.lvotes), i.votes.select("subject"))
 
 
 @query("split_union", """SELECT vec_id, label, 'train' AS split FROM embeddings WHERE label < 7
-  UNION ALL SELECT vec_id, label, 'test' FROM embeddings WHERE label >= 7""".replace("SELECT vec_id", ", d AS (SELECT 1) SELECT vec_id", 1))
+  UNION ALL SELECT vec_id, label, 'test' FROM embeddings WHERE label >= 7""")
 def u7(i):
     base = i.images.select("vec_id", "label")
     return R.split_union(("train", base.where("label < 7")), ("test", base.where("label >= 7")))
@@ -278,7 +278,7 @@ def a6(i):
 
 
 @query("vote_split", """SELECT l_partkey AS subject, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS real,
-  count(*) FILTER (WHERE l_returnflag <> 'R') AS bogus FROM lineitem GROUP BY 1""".replace("SELECT l_part", ", d AS (SELECT 1) SELECT l_part", 1))
+  count(*) FILTER (WHERE l_returnflag <> 'R') AS bogus FROM lineitem GROUP BY 1""")
 def a7(i):
     return A.vote_split(i.lvotes)
 
@@ -414,12 +414,12 @@ def a27(i):
 
 
 _QB = """, qc AS (SELECT quantile_cont(seeing, [0.0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1.0]) AS q FROM lab),
- qb AS (SELECT lab.*, len(list_filter(q, c -> c < seeing)) AS seeing_bin FROM lab, qc)
+ qb AS (SELECT lab.*, len(list_filter(q, lambda c : c < seeing)) AS seeing_bin FROM lab, qc)
 """
 
 
 @query("cut_quantiles", _LABELS.split(" lev AS")[0].rstrip().rstrip(",") + """, qc AS (SELECT quantile_cont(seeing, [""" + ", ".join(f"{k * .05:.2f}" for k in range(21)) + """]) AS q FROM base)
-  SELECT subject, CAST(len(list_filter(q, c -> c < seeing)) AS INTEGER) AS seeing_bin FROM base, qc WHERE len(list_filter(q, c -> c < seeing)) > 0""")
+  SELECT subject, CAST(len(list_filter(q, lambda c : c < seeing)) AS INTEGER) AS seeing_bin FROM base, qc WHERE len(list_filter(q, lambda c : c < seeing)) > 0""")
 def c15(i):
     return Q.quantile_bin(i.meta, "seeing", 20, "seeing_bin").where("seeing_bin is not null").select("subject", "seeing_bin")
 
@@ -505,11 +505,11 @@ def a26b(i):
 
 
 _GRID = _MM + """, g AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY {o}) - 1 AS id,
-  CAST(ceil(sqrt(count(*) OVER (PARTITION BY experiment))) AS INTEGER) AS width FROM (SELECT *, round(purity_n, 9) AS pr, round(completeness_n, 9) AS cr FROM norm))
+  CAST(ceil(sqrt(count(*) OVER (PARTITION BY experiment))) AS INTEGER) AS width FROM norm)
   SELECT experiment, golds, n, CAST(id AS INTEGER) AS id, width, CAST(id % (width + 1) AS INTEGER) AS x, CAST(id // (width + 1) AS INTEGER) AS y FROM g"""
 
 
-@query("sort_grid", _GRID.format(o="pow(1 - pr, 2) + pow(cr, 2), golds, n"))
+@query("sort_grid", _GRID.format(o="round(pow(1 - purity_n, 2) + pow(completeness_n, 2), 9), golds, n"))
 def w13(i):
     from ..operators import layout
     pts = line_points(i)

@@ -15,7 +15,7 @@ def w1(i):
 
 @query("subject_prefix_score", "SELECT subject, step - 1 AS vote_order, p FROM dsteps", r="p")
 def w2(i):
-    return C.subject_prefix_scores(i.dyn, i.params).select("subject", F.col("vote_order").cast("bigint"), "p")
+    return C.subject_prefix_scores(i.dyn, i.params, source=i.votes).select("subject", F.col("vote_order").cast("bigint"), "p")
 
 
 @query("first_vote_per_pair", "SELECT voter, subject, seq, annotation FROM first_v")
@@ -33,7 +33,7 @@ def w4(i):
 
 @query("score_history", "SELECT subject, step, p FROM dhist", r="p")
 def w5(i):
-    return C.score_history(i.dyn, i.params)
+    return C.score_history(i.dyn, i.params, i.votes)
 
 
 _THRESH = """, g AS (SELECT s.subject, s.p, coalesce(g.gold, -1) AS gold FROM dscores s LEFT JOIN golds g USING (subject)),
@@ -48,7 +48,7 @@ th AS (SELECT coalesce((SELECT max(p) FROM (SELECT p, row_number() OVER (ORDER B
   WHERE p < bogus OR p > real GROUP BY subject""", r="retired")
 def w6(i):
     labelled = E.with_golds(i.dscores, i.golds)
-    return E.first_exit(C.score_history(i.dyn, i.params), E.retire_thresholds(labelled, i.params.fpr, i.params.mdr))
+    return E.first_exit(C.score_history(i.dyn, i.params, i.votes), E.retire_thresholds(labelled, i.params.fpr, i.params.mdr))
 
 
 @query("retire_thresholds", """SELECT
@@ -118,19 +118,19 @@ _UHIST = """, k AS (SELECT voter, gold, CAST(row_number() OVER w AS BIGINT) AS s
 
 @query("user_history", _UHIST + "SELECT voter, step, s0, s1, (s0 + s1) / 2 AS mean FROM h", r="s0 s1 mean")
 def w11(i):
-    return C.user_history(i.fgold, i.params)
+    return C.user_history(i.fgold, i.params, i.votes)
 
 
 @query("user_history_slice", _UHIST + "SELECT voter, step, s0, s1, (s0 + s1) / 2 AS mean FROM h WHERE step BETWEEN 8 AND 20",
        r="s0 s1 mean")
 def w11b(i):
-    return C.user_history(i.fgold, i.params).where(F.col("step").between(8, 20))
+    return C.user_history(i.fgold, i.params, i.votes).where(F.col("step").between(8, 20))
 
 
 @query("trace_sample", """SELECT h.subject, h.step, h.p, coalesce(g.gold, -1) AS gold FROM dhist h LEFT JOIN golds g USING (subject)
   WHERE h.subject IN (SELECT DISTINCT subject FROM dhist ORDER BY subject LIMIT 1000)""", r="p")
 def w12(i):
-    return layout.trace_sample(C.score_history(i.dyn, i.params), i.golds)
+    return layout.trace_sample(C.score_history(i.dyn, i.params, i.votes), i.golds)
 
 
 @query("first_detection", """SELECT o_custkey AS object, min(o_orderdate) AS mjd,
@@ -172,10 +172,10 @@ def n4(i):
   SELECT subject, arg_min(p, step) AS retired FROM dhist, th WHERE p < bogus OR p > real GROUP BY subject) x USING (subject)""",
        r="p retired")
 def n5(i):
-    return E.score_export(i.dscores, C.score_history(i.dyn, i.params), i.golds, i.params.fpr, i.params.mdr)
+    return E.score_export(i.dscores, C.score_history(i.dyn, i.params, i.votes), i.golds, i.params.fpr, i.params.mdr)
 
 
-_TRAIN = ""
+_TRAIN = """, tg AS (SELECT subject, gold FROM golds WHERE gold IN (0, 1) ORDER BY substr(md5('5:' || subject), 1, 16), subject LIMIT 1000),
  tu AS (SELECT voter, (count(*) FILTER (WHERE gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 1) + 10) AS s1
   FROM first_v LEFT JOIN tg USING (subject) GROUP BY 1),
@@ -281,7 +281,7 @@ def n8(i):
 
 @query("ledger_dump", "SELECT subject, step - 1 AS vote_order, voter, annotation, s0, s1, p FROM dsteps", r="s0 s1 p")
 def s17(i):
-    return tables.ledger_dump(C.subject_prefix_scores(i.dyn, i.params)).withColumn("vote_order", F.col("vote_order").cast("bigint"))
+    return tables.ledger_dump(C.subject_prefix_scores(i.dyn, i.params, source=i.votes)).withColumn("vote_order", F.col("vote_order").cast("bigint"))
 
 
 @query("hash_order_check", "SELECT subject, substr(md5('3:' || subject), 1, 16) AS h FROM golds")

@@ -34,25 +34,63 @@ def nav_path(record: Column, dotted: str) -> Column:
     return F.try_variant_get(record, json_path(dotted), "string")
 
 
-def path_present(record: Column, dotted: str) -> Column:
-    """True also where the path holds a JSON null, which differs from a missing path."""
-    return F.try_variant_get(record, json_path(dotted), "variant").isNotNull()
-
-
 def remap(record: Column, rule: FieldRule, source: str) -> tuple[Column, Column]:
-    """(text value, found) for a field: the first alternative that is present wins, even as a null."""
+    """(text, found) of one field of a parsed record, for use outside a whole-record parse."""
     value = found = None
     for path in rule.alternatives(source):
         here, got = path_present(record, path), nav_path(record, path)
         value = F.when(here, got) if value is None else value.when(here, got)
         found = here if found is None else found | here
     if rule.has_default:
-        default = None if rule.default is None else str(rule.default).lower() \
-            if isinstance(rule.default, bool) else str(rule.default)
-        return value.otherwise(F.lit(default)), F.lit(True)
+        d = rule.default
+        return value.otherwise(F.lit(None if d is None else str(d).lower() if isinstance(d, bool) else str(d))), F.lit(True)
     return value, found
 
 
+def path_present(record: Column, dotted: str) -> Column:
+    """True also where the path holds a JSON null, which differs from a missing path."""
+    return F.try_variant_get(record, json_path(dotted), "variant").isNotNull()
+
+
+class Fields:
+    """Paths of a parsed record, each looked up once.
+
+    ``add`` puts one variant column per path on the frame; rules then refer to those columns, so neither
+    the parse nor the look-up is repeated per check.
+    """
+
+    def __init__(self, record: str, tag: str):
+        self.record, self.tag, self.names = record, tag, {}
+
+    def want(self, path: str) -> "Fields":
+        self.names.setdefault(path, f"_{self.tag}{len(self.names)}")
+        return self
+
+    def add(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *[F.try_variant_get(F.col(self.record), json_path(p), "variant").alias(n)
+                                for p, n in self.names.items()])
+
+    def texts(self, df: DataFrame) -> DataFrame:
+        """Replace the variants by their texts and presence flags (true also for a JSON null)."""
+        keep = [c for c in df.columns if c not in self.names.values()]
+        return df.select(*keep, *[x for n in self.names.values() for x in (
+            F.try_variant_get(F.col(n), "$", "string").alias(n), F.col(n).isNotNull().alias(f"{n}_here"))])
+
+    def remap(self, rule: FieldRule, alternatives) -> tuple[Column, Column]:
+        """(text, found): the first alternative that is present wins, even as a null."""
+        value = found = None
+        for path in alternatives:
+            n = self.names[path]
+            here = F.col(f"{n}_here")
+            value = F.when(here, F.col(n)) if value is None else value.when(here, F.col(n))
+            found = here if found is None else found | here
+        if rule.has_default:
+            d = rule.default
+            text = None if d is None else str(d).lower() if isinstance(d, bool) else str(d)
+            return value.otherwise(F.lit(text)), F.lit(True)
+        return value, found
+
+
 def parse_time(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
 
@@ -96,16 +134,26 @@ class Parsed:
     quarantine: DataFrame      # columns: raw, reason
 
 
-def _apply_rules(raw: DataFrame, rules, source: str):
-    """Typed columns plus a list of (condition, reason) checks."""
-    rec = F.col("_rec")
-    columns, checks = {}, [(rec.isNull(), F.lit("not json"))]
-    for rule in rules:
-        text, found = remap(rec, rule, source)
-        columns[rule.name] = cast_value(text, rule.type)
-        checks.append((~found, F.lit(f"missing {rule.name}")))
-        checks.append((found & cast_failed(text, rule.type), F.lit(f"bad {rule.name}")))
-    return columns, checks
+def _ruled(rows: DataFrame, fields: list, keep: list):
+    """Resolve (fields, rule, alternatives) triples: one text column per rule, then typed columns and checks."""
+    for f in {id(f): f for f, _, _ in fields}.values():
+        rows = f.add(rows)
+    for f in {id(f): f for f, _, _ in fields}.values():
+        rows = f.texts(rows)
+    texts, founds = [], []
+    for f, rule, alternatives in fields:
+        text, found = f.remap(rule, alternatives)
+        texts.append(text.alias(f"t_{rule.name}"))
+        founds.append(found.alias(f"f_{rule.name}"))
+    rows = rows.select(*keep, *texts, *founds)
+    rows = rows.select("*", *[cast_value(F.col(f"t_{r.name}"), r.type).alias(r.name) for _, r, _ in fields])
+    checks = []
+    for _, r, _ in fields:
+        checks.append((~F.col(f"f_{r.name}"), F.lit(f"missing {r.name}")))
+        empty = F.lit(False) if r.type == "timestamp" else \
+            F.col(f"t_{r.name}").isNull() | F.col(f"t_{r.name}").isin(*NULL_TEXTS)
+        checks.append((~empty & F.col(r.name).isNull(), F.lit(f"bad {r.name}")))
+    return rows, checks
 
 
 def _reason(checks) -> Column:
@@ -126,39 +174,43 @@ def parse_votes(raw: DataFrame, source: str, answer: AnswerRule = AnswerRule(),
     In the dump ``metadata`` and ``annotations`` are JSON texts inside the record; they are parsed again
     where they are strings.
     """
-    rec = F.col("_rec")
-
-    def inner(name):
-        text = F.try_variant_get(rec, f"$.{name}", "string")
-        return F.when(F.schema_of_variant(F.try_variant_get(rec, f"$.{name}", "variant")) == "STRING", as_json(text)) \
-            .otherwise(F.try_variant_get(rec, f"$.{name}", "variant"))
+    top, meta = Fields("_rec", "r"), Fields("_meta", "m")
+    fields = []
+    for rule in rules:
+        alternatives = rule.alternatives(source)
+        inner = tuple(p.removeprefix("metadata.") for p in alternatives if p.startswith("metadata."))
+        where, paths = (meta, inner) if inner else (top, alternatives)
+        for p in paths:
+            where.want(p)
+        fields.append((where, rule, paths))
 
-    meta_rules = [r for r in rules if any(p.startswith("metadata.") for p in r.alternatives(source))]
-    plain_rules = [r for r in rules if r not in meta_rules]
     rows = raw.select("raw", as_json(F.col("raw")).alias("_rec"))
-    rows = rows.select("raw", "_rec", inner("metadata").alias("_meta"), inner("annotations").alias("_ann"))
-    columns, checks = _apply_rules(rows, plain_rules, source)
-    checks.append((F.col("_meta").isNull(), F.lit("bad metadata")))
-    for rule in meta_rules:
-        sub = FieldRule(rule.name, rule.type, any_source=tuple(
-            p.removeprefix("metadata.") for p in rule.alternatives(source) if p.startswith("metadata.")),
-            default=rule.default)
-        text, found = remap(F.col("_meta"), sub, source)
-        columns[rule.name] = cast_value(text, rule.type)
-        checks.append((~found, F.lit(f"missing {rule.name}")))
-        checks.append((found & cast_failed(text, rule.type), F.lit(f"bad {rule.name}")))
-    vote = map_answer(find_task(F.col("_ann"), answer.task)["value"], answer)
-    columns["annotation"] = vote.cast("int")
-    checks.append((vote.isNull(), F.lit("no valid annotation")))
-    out = rows.select("raw", *[c.alias(n) for n, c in columns.items()], _reason(checks).alias("reason"))
-    return _split(out, list(columns))
+    rows = rows.select("*", *[F.try_variant_get("_rec", f"$.{n}", "variant").alias(f"_{n}_v") for n in ("metadata", "annotations")])
+
+    def opened(name):
+        v = F.col(f"_{name}_v")
+        return F.when(F.schema_of_variant(v) == "STRING", as_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+
+    rows = rows.select("raw", "_rec", opened("metadata").alias("_meta"), opened("annotations").alias("_ann"))
+    rows = rows.select("raw", "_rec", "_meta", F.col("_rec").isNotNull().alias("is_json"), F.col("_meta").isNotNull().alias("has_meta"),
+                       find_task(F.col("_ann"), answer.task)["value"].alias("_value"))
+    rows = rows.select("*", map_answer(F.col("_value"), answer).cast("int").alias("annotation"))
+    rows, checks = _ruled(rows, fields, ["raw", "is_json", "has_meta", "annotation"])
+    checks = [(~F.col("is_json"), F.lit("not json")), (~F.col("has_meta"), F.lit("bad metadata")), *checks,
+              (F.col("annotation").isNull(), F.lit("no valid annotation"))]
+    return _split(rows.withColumn("reason", _reason(checks)), [r.name for r in rules] + ["annotation"])
 
 
 def parse_metadata(raw: DataFrame, source: str = "csv", rules=METADATA_RULES) -> Parsed:
-    rows = raw.select("raw", as_json(F.col("raw")).alias("_rec"))
-    columns, checks = _apply_rules(rows, rules, source)
-    out = rows.select("raw", *[c.alias(n) for n, c in columns.items()], _reason(checks).alias("reason"))
-    return _split(out, list(columns))
+    top = Fields("_rec", "r")
+    for rule in rules:
+        for p in rule.alternatives(source):
+            top.want(p)
+    rows = raw.select("raw", as_json(F.col("raw")).alias("_rec"), F.lit(True).alias("is_json"))
+    rows = rows.withColumn("is_json", F.col("_rec").isNotNull())
+    rows, checks = _ruled(rows, [(top, r, r.alternatives(source)) for r in rules], ["raw", "is_json"])
+    checks = [(~F.col("is_json"), F.lit("not json")), *checks]
+    return _split(rows.withColumn("reason", _reason(checks)), [r.name for r in rules])
 
 
 def parse_golds(raw: DataFrame, source: str = "csv") -> Parsed:

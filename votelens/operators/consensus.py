@@ -57,11 +57,10 @@ def user_matrix(gold_votes: DataFrame, params: Params = Params(), keys=("voter",
 
 
 def user_prefix_matrix(gold_votes: DataFrame, params: Params = Params(), inclusive: bool = False,
-                       keys=("voter",)) -> DataFrame:
-    """(s0, s1) of the voter just before (or just after) each vote."""
+                       keys=("voter",), source: DataFrame | None = None) -> DataFrame:
+    """(s0, s1) of the voter just before (or just after) each vote. ``source``: see ``hot_blocks``."""
     rows = gold_votes.select("*", *[c.alias(f"_{n}") for n, c in _counters().items()])
-    if "block" not in rows.columns:
-        rows = hot_blocks(rows, "voter", "seq", params)
+    rows = hot_blocks(rows, "voter", "seq", params, source)
     out = running(rows, list(keys), ["seq"], sums={n: f"_{n}" for n in _counters()}, inclusive=inclusive)
     return (out.withColumn("s0", _smoothed("match0", "seen0", params))
             .withColumn("s1", _smoothed("match1", "seen1", params))
@@ -117,7 +116,7 @@ def subject_scores(scored_votes: DataFrame, params: Params = Params(), keys=("su
 
 def dynamic_votes(votes: DataFrame, golds: DataFrame, params: Params = Params()) -> DataFrame:
     """Each counted vote with its gold and the voter's matrix before it."""
-    return user_prefix_matrix(votes_with_gold(first_vote_per_pair(votes), golds), params)
+    return user_prefix_matrix(votes_with_gold(first_vote_per_pair(votes), golds), params, source=votes)
 
 
 def dynamic_scores(votes: DataFrame, golds: DataFrame, params: Params = Params()) -> DataFrame:
@@ -155,7 +154,7 @@ rescore = static_scores
 
 
 def subject_prefix_scores(scored_votes: DataFrame, params: Params = Params(), keys=("subject",),
-                          imported: bool = False) -> DataFrame:
+                          imported: bool = False, source: DataFrame | None = None) -> DataFrame:
     """Posterior after each vote, with the vote's position (0-based) in its subject's list."""
     rows = scored_votes.withColumn("_llr", F.coalesce(log_ratio(), F.lit(0.0))).withColumn("_one", F.lit(1))
     mins = {}
@@ -163,7 +162,7 @@ def subject_prefix_scores(scored_votes: DataFrame, params: Params = Params(), ke
         code = F.shiftleft(F.col("seq"), 1).bitwiseOR(absorbed().cast("bigint"))
         rows = rows.withColumn("_fix", F.when(absorbed().isNotNull(), code))
         mins = {"fixed": "_fix"}
-    rows = hot_blocks(rows, "subject", "seq", params)
+    rows = hot_blocks(rows, "subject", "seq", params, source)
     out = running(rows, list(keys), ["seq"], sums={"log_odds": "_llr", "step": "_one"}, mins=mins)
     fixed = F.col("fixed").bitwiseAND(F.lit(1).cast("bigint")) if imported else None
     return (out.withColumn("p", posterior(F.col("log_odds"), fixed, params))
@@ -171,25 +170,27 @@ def subject_prefix_scores(scored_votes: DataFrame, params: Params = Params(), ke
             .drop("_llr", "_one", "_fix", "fixed"))
 
 
-def score_history(scored_votes: DataFrame, params: Params = Params()) -> DataFrame:
+def score_history(scored_votes: DataFrame, params: Params = Params(), source: DataFrame | None = None) -> DataFrame:
     """One row per (subject, step): step 0 is the prior, step k the posterior after vote k.
 
     Rows instead of one array per subject, so that a subject with very many votes stays spread out.
     """
-    steps = subject_prefix_scores(scored_votes, params).select("subject", F.col("step").cast("bigint"), "p")
-    start = (scored_votes.groupBy("subject").agg(F.lit(0).cast("bigint").alias("step"))
-             .withColumn("p", F.lit(params.p0)))
-    return start.unionByName(steps)
+    steps = subject_prefix_scores(scored_votes, params, source=source).select("subject", F.col("step").cast("bigint"), "p")
+    # the prior rides on each subject's first vote: no second pass for the list of subjects
+    return steps.select(F.explode(F.when(
+        F.col("step") == 1, F.array(F.struct("subject", F.lit(0).cast("bigint").alias("step"), F.lit(params.p0).alias("p")),
+                                    F.struct("subject", "step", "p")))
+        .otherwise(F.array(F.struct("subject", "step", "p")))).alias("r")).select("r.*")
 
 
-def user_history(gold_votes: DataFrame, params: Params = Params()) -> DataFrame:
+def user_history(gold_votes: DataFrame, params: Params = Params(), source: DataFrame | None = None) -> DataFrame:
     """Running s0 and s1 per voter, lined up by position, and their mean.
 
     The k-th value of s0 is reached at the voter's k-th gold-0 vote (s1 likewise); position 0 is the
     untrained .5. The shorter list is padded with its last value, which is the voter's final score.
     """
     seen = gold_votes.where(F.col("gold").isin(0, 1))
-    ran = user_prefix_matrix(seen, params, inclusive=True)
+    ran = user_prefix_matrix(seen, params, inclusive=True, source=source)
     is0 = F.col("gold") == 0
     steps = ran.select("voter", F.when(is0, F.col("seen0")).otherwise(F.col("seen1")).cast("bigint").alias("step"),
                        F.when(is0, F.col("s0")).alias("s0"), F.when(~is0, F.col("s1")).alias("s1"))

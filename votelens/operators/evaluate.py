@@ -264,11 +264,14 @@ def kde(scores: DataFrame, points: int = 50, cutoff: float | None = None) -> Dat
     grid = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
     bw = 1.06 * F.col("sd") / F.pow(F.col("n"), F.lit(.2))
     z = (F.col("x") - F.col("p")) / F.col("bw")
-    dens = (_with_one_row(at, size.select("n", bw.alias("bw")))
-            .select("p", "w", "n", "bw", F.posexplode(grid).alias("i", "x"))
-            .groupBy("i", "x")
-            .agg(F.log(F.sum(F.col("w") * F.exp(-z * z / 2))
-                       / (F.max("n") * F.max("bw") * math.sqrt(2 * math.pi))).alias("log_density")))
+    parts = (_with_one_row(at, size.select("n", bw.alias("bw")))
+             .select("p", "w", "n", "bw", F.posexplode(grid).alias("i", "x"))
+             .withColumn("e", z * z / 2))
+    # exponents are taken relative to the nearest score, so far-off grid points do not underflow
+    near = parts.groupBy("i").agg(F.min("e").alias("e0"))
+    dens = (parts.join(F.broadcast(near), "i").groupBy("i", "x")
+            .agg((F.log(F.sum(F.col("w") * F.exp(F.col("e0") - F.col("e")))) - F.max("e0")
+                  - F.log(F.max("n") * F.max("bw") * math.sqrt(2 * math.pi))).alias("log_density")))
     # 50 grid rows: one small ordered partition
     w = W.partitionBy(F.lit(1)).orderBy("i")
     before, after = F.lag("log_density").over(w), F.lead("log_density").over(w)

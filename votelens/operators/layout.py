@@ -25,7 +25,7 @@ def grid_layout(points: DataFrame, order: str = "plain", keys=("experiment",)) -
     Points of one experiment are trials, a few thousand by construction of the experiment.
     """
     norm = minmax_normalise(points, ["purity", "completeness"], list(keys))
-    by = [F.pow(1 - F.col("purity_n"), F.lit(2)) + F.pow(F.col("completeness_n"), F.lit(2))] if order == "sorted" else []
+    by = [F.round(F.pow(1 - F.col("purity_n"), F.lit(2)) + F.pow(F.col("completeness_n"), F.lit(2)), 9)] if order == "sorted" else []
     w = W.partitionBy(*keys).orderBy(*by, "golds", "n")
     width = F.ceil(F.sqrt(F.count("*").over(W.partitionBy(*keys)))).cast("int")
     placed = norm.withColumn("id", F.row_number().over(w) - 1).withColumn("width", width)

@@ -18,16 +18,19 @@ from ..session import land
 BLOCK = "block"
 
 
-def hot_blocks(df: DataFrame, key: str, order: str, params: Params = Params()) -> DataFrame:
+def hot_blocks(df: DataFrame, key: str, order: str, params: Params = Params(),
+               source: DataFrame | None = None) -> DataFrame:
     """Add ``block`` for the keys that hold more than ``params.split_rows`` rows.
 
     One small job counts rows per key (partial counts before the shuffle) and brings back at most
-    ``max_hot_keys`` keys. Without a hot key the frame is returned as it came. Otherwise the rows of the
+    ``max_hot_keys`` keys. It reads ``source`` if given: an earlier table with at least these rows, so that
+    the count is a scan of one column and not a run of everything before this step. Without a hot key the frame is returned as it came. Otherwise the rows of the
     hot keys are cut at quantiles of ``order`` taken over all of them, so each block holds at most about
     1/``max_blocks`` of those rows. The quantiles only place the cuts; the sums stay exact.
     """
+    source = df if source is None else source
     hot = [r[0] for r in (
-        df.groupBy(key).count()
+        source.groupBy(key).count()
         .where(F.col("count") > params.split_rows)
         .orderBy(F.desc("count"), key)
         .limit(params.max_hot_keys)
@@ -35,7 +38,7 @@ def hot_blocks(df: DataFrame, key: str, order: str, params: Params = Params()) -
     if not hot:
         return df
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    rows = df.where(is_hot).select(F.col(order).cast("double").alias("o"))
+    rows = source.where(is_hot).select(F.col(order).cast("double").alias("o"))
     steps = [i / params.max_blocks for i in range(1, params.max_blocks)]
     n, cuts = rows.agg(F.count("*"), F.percentile_approx("o", steps, 10 * params.max_blocks)).first()
     wanted = min(params.max_blocks, max(2, -(-n // params.split_rows)))
