@@ -92,7 +92,9 @@ class Fields:
 
 
 def parse_time(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
+    """Only the first format has blanks, so each text is tried against one format."""
+    spaced, plain = (F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS)
+    return F.when(text.contains(" "), spaced).otherwise(plain)
 
 
 def cast_value(text: Column, type_: str) -> Column:
@@ -130,8 +132,21 @@ def map_answer(value: Column, rule: AnswerRule) -> Column:
 
 @dataclass
 class Parsed:
-    accepted: DataFrame
-    quarantine: DataFrame      # columns: raw, reason
+    """Checked rows: ``raw``, the typed columns and ``reason`` (null if accepted)."""
+    checked: DataFrame
+    columns: list
+    ok: Column | None = None       # a stored flag in place of the test on ``reason``
+
+    def _ok(self) -> Column:
+        return F.col("reason").isNull() if self.ok is None else self.ok
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.checked.where(self._ok()).select(*self.columns)
+
+    @property
+    def quarantine(self) -> DataFrame:
+        return self.checked.where(~self._ok()).select("raw", "reason")
 
 
 def _ruled(rows: DataFrame, fields: list, keep: list):
@@ -164,8 +179,14 @@ def _reason(checks) -> Column:
 
 
 def _split(rows: DataFrame, columns) -> Parsed:
-    return Parsed(rows.where(F.col("reason").isNull()).select(*columns),
-                  rows.where(F.col("reason").isNotNull()).select("raw", "reason"))
+    """Accepted and rejected rows of one checked frame.
+
+    The checks are evaluated in a generator: a plain projection would let the optimizer move the test on
+    ``reason`` down and write the whole parse out once more inside a filter.
+    """
+    one = F.struct(*[F.col(c) for c in columns], F.col("reason"))
+    checked = rows.select("raw", F.inline(F.array(one)))
+    return Parsed(checked, columns)
 
 
 def parse_votes(raw: DataFrame, source: str, answer: AnswerRule = AnswerRule(), rules=VOTE_RULES) -> Parsed:

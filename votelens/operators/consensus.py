@@ -48,11 +48,11 @@ def _smoothed(matched: str, seen: str, params: Params) -> Column:
 
 
 def user_matrix(gold_votes: DataFrame, params: Params = Params(), keys=("voter",)) -> DataFrame:
-    """Final (s0, s1) and vote count per voter."""
-    sums = gold_votes.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.sum(c).alias(n) for n, c in _counters().items()])
+    """Final (s0, s1) and vote count per voter (the count only if no key is called ``n``)."""
+    extra = [] if "n" in keys else [F.count("*").alias("n")]
+    sums = gold_votes.groupBy(*keys).agg(*extra, *[F.sum(c).alias(n) for n, c in _counters().items()])
     return sums.select(*keys, _smoothed("match0", "seen0", params).alias("s0"),
-                       _smoothed("match1", "seen1", params).alias("s1"), "n",
+                       _smoothed("match1", "seen1", params).alias("s1"), *(["n"] if extra else []),
                        "seen0", "match0", "seen1", "match1")
 
 

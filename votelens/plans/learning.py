@@ -171,6 +171,17 @@ class F1Evaluator(FomEvaluator):
         return True
 
 
+class MarginFomEvaluator(FomEvaluator):
+    """The same figure from an SVM's margin; only the order of the scores matters, so the margin is
+    squeezed into (0, 1)."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
+        scores = dataset.select(F.lit(0).alias("subject"), F.col(self.getLabelCol()).cast("int").alias("gold"),
+                                (1 / (1 + F.exp(-margin))).alias("p"))
+        return float(evaluate.fom_mdr_at_fpr(scores, self.fpr).first()["mdr"])
+
+
 def cross_validate(df: DataFrame, estimator, grid: dict, evaluator, folds: int = 5, parallelism: int = 4) -> DataFrame:
     """Mean figure per grid setting over contiguous folds (column ``fold``), one row per setting."""
     build = ParamGridBuilder()
@@ -293,7 +304,7 @@ class OnlineSoftmax:
 
 # ---- user models -----------------------------------------------------------------------------
 
-def glm_binomial(bin_counts: DataFrame, good: str = "tp", total: str = "pos", max_users: int = 200) -> DataFrame:
+def glm_binomial(bin_counts: DataFrame, good: str = "tp", total: str = "pos") -> DataFrame:
     """Binomial models of good / total on bin, user and bin * user: AIC, deviance and the tests between
     nested models. Success and failure counts are (good, total - good)."""
     rows = bin_counts.where(F.col(total) > 0).select(

@@ -37,11 +37,13 @@ def stream_votes_json(spark: SparkSession, folder: str, files_per_batch: int = 1
 
 
 def _replace(parsed: parsing.Parsed, table: str) -> parsing.Parsed:
-    parsed.accepted.write.mode("overwrite").parquet(table)
-    parsed.quarantine.write.mode("overwrite").parquet(f"{table}_quarantine")
-    spark = parsed.accepted.sparkSession
-    return parsing.Parsed(spark.read.schema(parsed.accepted.schema).parquet(table),
-                          spark.read.schema(parsed.quarantine.schema).parquet(f"{table}_quarantine"))
+    """Write accepted and rejected rows in one pass (partition ``accepted``) and read them back."""
+    ok = F.col("reason").isNull()
+    parsed.checked.withColumn("raw", F.when(~ok, F.col("raw"))).withColumn("accepted", ok).write.mode(
+        "overwrite").partitionBy("accepted").parquet(table)
+    schema = parsed.checked.schema.add("accepted", "boolean")
+    return parsing.Parsed(parsed.checked.sparkSession.read.schema(schema).parquet(table), parsed.columns,
+                          F.col("accepted"))
 
 
 def ingest_legacy_csv(spark: SparkSession, path: str, metadata: tuple) -> DataFrame:
