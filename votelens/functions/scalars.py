@@ -70,7 +70,7 @@ def image_name(url: Column) -> Column:
 
 
 def _minority(real: Column, bogus: Column) -> Column:
-    return F.least(real, bogus) / F.greatest(real, bogus)
+    return F.try_divide(F.least(real, bogus), F.greatest(real, bogus))
 
 
 def controversy(real: Column, bogus: Column, version: str = "pow") -> Column:

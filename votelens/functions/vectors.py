@@ -30,12 +30,12 @@ def _sum(x: Column, f=lambda v: v) -> Column:
 
 
 def vec_mean(x: Column) -> Column:
-    return _sum(x) / F.size(x)
+    return F.try_divide(_sum(x), F.size(x))
 
 
 def vec_std(x: Column) -> Column:
     """Population standard deviation."""
-    return let(vec_mean(x), lambda m: F.sqrt(_sum(x, lambda v: (v - m) * (v - m)) / F.size(x)))
+    return let(vec_mean(x), lambda m: F.sqrt(F.try_divide(_sum(x, lambda v: (v - m) * (v - m)), F.size(x))))
 
 
 def _max_abs(x: Column) -> Column:
@@ -50,8 +50,14 @@ def sign_log_norm(x: Column) -> Column:
         .otherwise(F.signum(v) * F.log1p(F.abs(v) / s)))))
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b with the floating-point results for a zero divisor."""
+    zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan"))
+    return F.when(b == 0, zero).otherwise(a / b)
+
+
 def rescale_abs(x: Column) -> Column:
-    return let(_max_abs(x), lambda m: F.transform(x, lambda v: v / m))
+    return let(_max_abs(x), lambda m: F.transform(x, lambda v: _ratio(v, m)))
 
 
 def mean_subtract(x: Column) -> Column:
@@ -60,7 +66,7 @@ def mean_subtract(x: Column) -> Column:
 
 def feature_standardise(x: Column) -> Column:
     """Mean subtracted, divided by the largest magnitude, then by the deviation."""
-    return let(rescale_abs(mean_subtract(x)), lambda c: let(vec_std(c), lambda s: F.transform(c, lambda v: v / s)))
+    return let(rescale_abs(mean_subtract(x)), lambda c: let(vec_std(c), lambda s: F.transform(c, lambda v: _ratio(v, s))))
 
 
 def _pick(x: Column, index: list[int]) -> Column:

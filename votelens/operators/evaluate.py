@@ -225,11 +225,12 @@ def rates_at_nearest(scores: DataFrame, threshold: float = .5, runs=None) -> Dat
 # ---- histograms and densities ----------------------------------------------------------------
 
 def class_hist(scores: DataFrame, bins: int = 25) -> DataFrame:
-    """Equal bins over the data's own range (last one closed), counted by class."""
+    """Equal bins over the data's own range (last one closed), counted by class. Scores that are all the
+    same fall into the middle bin of a range one wide."""
     gold = scores.where(F.col("gold").isin(0, 1))
     span = gold.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     lo, hi = (F.col(c) for c in ("lo", "hi"))
-    pos = F.when(hi > lo, F.floor((F.col("p") - lo) * bins / (hi - lo))).otherwise(0)
+    pos = F.when(hi > lo, F.floor((F.col("p") - lo) * bins / (hi - lo))).otherwise(bins // 2)
     return (_with_one_row(gold, span)
             .groupBy(F.least(pos, F.lit(bins - 1)).cast("int").alias("bin"))
             .agg(F.count_if(F.col("gold") == 0).alias("bogus"), F.count_if(F.col("gold") == 1).alias("real")))
@@ -239,12 +240,13 @@ def class_hist_density(scores: DataFrame, bins: int = 50) -> DataFrame:
     """The normalised variant over all scores: share of subjects per bin divided by the bin width."""
     span = scores.agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("total"))
     lo, hi = (F.col(c) for c in ("lo", "hi"))
-    pos = F.when(hi > lo, F.floor((F.col("p") - lo) * bins / (hi - lo))).otherwise(0)
+    pos = F.when(hi > lo, F.floor((F.col("p") - lo) * bins / (hi - lo))).otherwise(bins // 2)
     out = (_with_one_row(scores, span)
            .groupBy(F.least(pos, F.lit(bins - 1)).cast("int").alias("bin"))
            .agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
                 F.first("total").alias("total")))
-    return out.select("bin", "n", (F.col("n") / F.col("total") / ((F.col("hi") - F.col("lo")) / bins)).alias("density"))
+    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) / bins
+    return out.select("bin", "n", (F.col("n") / F.col("total") / width).alias("density"))
 
 
 def _with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -263,7 +265,7 @@ def kde(scores: DataFrame, points: int = 50, cutoff: float | None = None) -> Dat
     size = rows.agg(F.count("*").alias("n"), F.stddev_samp("p").alias("sd"))
     grid = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
     bw = 1.06 * F.col("sd") / F.pow(F.col("n"), F.lit(.2))
-    z = (F.col("x") - F.col("p")) / F.col("bw")
+    z = F.try_divide(F.col("x") - F.col("p"), F.col("bw"))
     parts = (_with_one_row(at, size.select("n", bw.alias("bw")))
              .select("p", "w", "n", "bw", F.posexplode(grid).alias("i", "x"))
              .withColumn("e", z * z / 2))
@@ -307,7 +309,7 @@ def fdr_threshold(scores: DataFrame, alpha: float = .01, bins: int = 1000) -> Da
     every = W.partitionBy(F.lit(1))
     ranked = per_bin.select(
         "bin", "z", "o", F.sum("z").over(down).alias("z_up"), F.sum("z").over(every).alias("zs"),
-        F.sum("o").over(every).alias("os")).withColumn("p_value", F.col("z_up") / F.col("zs"))
+        F.sum("o").over(every).alias("os")).withColumn("p_value", F.try_divide("z_up", "zs"))
     # bins without bogus subjects share the p-value of the next bin that has some
     tied = ranked.groupBy("p_value").agg(F.sum(F.col("z") + F.col("o")).alias("k"), F.sum("z").alias("z"),
                                          F.sum("o").alias("o"), F.max("zs").alias("zs"), F.max("os").alias("os"))
@@ -316,8 +318,8 @@ def fdr_threshold(scores: DataFrame, alpha: float = .01, bins: int = 1000) -> Da
                          F.sum("o").over(up).alias("o_le"))
     passed = F.when(F.col("p_value") <= F.col("rank") * alpha / (F.col("zs") + F.col("os")), F.col("p_value"))
     return tested.agg(F.max(passed).alias("threshold"),
-                      F.coalesce(F.max_by(F.col("o_le") / F.col("os"), passed), F.lit(0.0)).alias("real_within"),
-                      F.coalesce(F.max_by(F.col("z_le") / F.col("zs"), passed), F.lit(0.0)).alias("bogus_within"))
+                      F.coalesce(F.max_by(F.try_divide("o_le", "os"), passed), F.lit(0.0)).alias("real_within"),
+                      F.coalesce(F.max_by(F.try_divide("z_le", "zs"), passed), F.lit(0.0)).alias("bogus_within"))
 
 
 def rates_sweep(scores: DataFrame, steps: int = 1000) -> DataFrame:
@@ -338,8 +340,8 @@ def rates_sweep(scores: DataFrame, steps: int = 1000) -> DataFrame:
         "i", F.sum(F.coalesce("z", F.lit(0))).over(down).alias("fp"), F.sum(F.coalesce("o", F.lit(0))).over(down).alias("tp"),
         F.sum("z").over(every).alias("zs"), F.sum("o").over(every).alias("os"))
     precision = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(1.0))
-    recall = F.col("tp") / F.col("os")
-    return full.select("i", (F.col("i") / steps).alias("threshold"), (F.col("fp") / F.col("zs")).alias("fpr"),
+    recall = F.try_divide("tp", "os")
+    return full.select("i", (F.col("i") / steps).alias("threshold"), F.try_divide("fp", "zs").alias("fpr"),
                        (1 - recall).alias("fnr"), precision.alias("precision"),
                        F.try_divide(2 * precision * recall, precision + recall).alias("f1"))
 
@@ -388,14 +390,15 @@ def eval_summary(scores: DataFrame, exclude: int = -1, fpr: float = .01) -> Data
     prof = score_profile(gold)
     fp = F.col("total_le_z") - F.col("le_z") + F.col("z")
     tp = F.col("total_le_o") - F.col("le_o") + F.col("o")
-    ok = F.when(fp / F.col("total_le_z") <= fpr, F.col("p"))
+    ok = F.when(F.try_divide(fp, F.col("total_le_z")) <= fpr, F.col("p"))
     above = F.col("total_le_o") - F.col("le_o")
     s = prof.agg(
-        (F.sum(F.col("z") * (above + F.col("o") / 2)) / (F.max("total_le_z").cast("double") * F.max("total_le_o"))).alias("auc"),
+        F.try_divide(F.sum(F.col("z") * (above + F.col("o") / 2)),
+                     F.max("total_le_z").cast("double") * F.max("total_le_o")).alias("auc"),
         F.min(ok).alias("threshold"),
         F.coalesce(F.min_by(tp, ok), F.lit(0)).alias("tp"), F.coalesce(F.min_by(fp, ok), F.lit(0)).alias("fp"),
         F.max("total_le_o").alias("os"), F.max("total_le_z").alias("zs"))
-    return s.select("auc", "threshold", (1 - F.col("tp") / F.col("os")).alias("fnr"), "tp", "fp",
+    return s.select("auc", "threshold", (1 - F.try_divide("tp", "os")).alias("fnr"), "tp", "fp",
                     (F.col("os") - F.col("tp")).alias("fn"), (F.col("zs") - F.col("fp")).alias("tn"))
 
 
