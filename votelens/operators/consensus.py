@@ -20,7 +20,9 @@ def first_vote_per_pair(votes: DataFrame) -> DataFrame:
     that repeats without end still arrives as one row per map task. Equal ``seq`` keeps the 0 vote.
     """
     code = F.shiftleft(F.col("seq"), 1).bitwiseOR(F.col("annotation").cast("bigint"))
-    return (votes.groupBy("voter", "subject").agg(F.min(code).alias("_code"))
+    # both null tests are spelled out, so every later join finds them in place and shares this shuffle
+    return (votes.where(F.col("voter").isNotNull() & F.col("subject").isNotNull())
+            .groupBy("voter", "subject").agg(F.min(code).alias("_code"))
             .select("voter", "subject",
                     F.shiftright("_code", 1).alias("seq"),
                     F.col("_code").bitwiseAND(F.lit(1).cast("bigint")).cast("int").alias("annotation")))
@@ -61,7 +63,8 @@ def user_prefix_matrix(gold_votes: DataFrame, params: Params = Params(), inclusi
     """(s0, s1) of the voter just before (or just after) each vote. ``source``: see ``hot_blocks``."""
     rows = gold_votes.select("*", *[c.alias(f"_{n}") for n, c in _counters().items()])
     rows = hot_blocks(rows, "voter", "seq", params, source)
-    out = running(rows, list(keys), ["seq"], sums={n: f"_{n}" for n in _counters()}, inclusive=inclusive)
+    out = running(rows, list(keys), ["seq"], sums={n: f"_{n}" for n in _counters()}, inclusive=inclusive,
+                  hot_only=True)
     return (out.withColumn("s0", _smoothed("match0", "seen0", params))
             .withColumn("s1", _smoothed("match1", "seen1", params))
             .drop(*[f"_{n}" for n in _counters()]))
@@ -163,7 +166,8 @@ def subject_prefix_scores(scored_votes: DataFrame, params: Params = Params(), ke
         rows = rows.withColumn("_fix", F.when(absorbed().isNotNull(), code))
         mins = {"fixed": "_fix"}
     rows = hot_blocks(rows, "subject", "seq", params, source)
-    out = running(rows, list(keys), ["seq"], sums={"log_odds": "_llr", "step": "_one"}, mins=mins)
+    out = running(rows, list(keys), ["seq"], sums={"log_odds": "_llr", "step": "_one"}, mins=mins,
+                  hot_only=True)
     fixed = F.col("fixed").bitwiseAND(F.lit(1).cast("bigint")) if imported else None
     return (out.withColumn("p", posterior(F.col("log_odds"), fixed, params))
             .withColumn("vote_order", F.col("step") - 1)

@@ -61,21 +61,24 @@ def range_blocks(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *keys, order)
-    return land(ranged.withColumn(BLOCK, F.spark_partition_id()), "ranged")
+    landed = land(ranged.withColumn(BLOCK, F.spark_partition_id()), "ranged")
+    return landed.withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0)))
 
 
 def unit_blocks(df: DataFrame, order: str) -> DataFrame:
     """Blocks of a thousandth for an order column within [0, 1]: no sampling, no extra job."""
-    return df.withColumn(BLOCK, F.least(F.greatest(F.floor(F.col(order) * 1000), F.lit(0)), F.lit(1000)).cast("int"))
+    # never null: the join on it then adds no filter, and both uses of the frame share one shuffle
+    at = F.coalesce(F.floor(F.col(order) * 1000), F.lit(0))
+    return df.withColumn(BLOCK, F.least(F.greatest(at, F.lit(0)), F.lit(1000)).cast("int"))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict | None = None,
-            mins: dict | None = None, inclusive: bool = True, totals: bool = False) -> DataFrame:
+            mins: dict | None = None, inclusive: bool = True, totals: bool = False, hot_only: bool = False) -> DataFrame:
     """Append running sums / minima per ``keys`` in ``order``.
 
     ``sums`` and ``mins`` map new column names to the columns added up. ``inclusive=False`` leaves the
     current row out. ``totals=True`` also appends ``total_<name>`` for every sum. Uses ``block`` if the
-    frame has one (and drops it).
+    frame has one (and drops it); ``hot_only=True`` says that rows outside hot keys carry block -1.
     """
     sums, mins = sums or {}, mins or {}
     end = 0 if inclusive else -1
@@ -92,7 +95,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict | None
     if not blocked:
         return local
 
-    per_block = (df.where(F.col(BLOCK) >= 0)
+    per_block = ((df.where(F.col(BLOCK) >= 0) if hot_only else df)
                  .groupBy(*parts)
                  .agg(F.count("*").alias("_rows"),
                       *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],

@@ -22,7 +22,7 @@ def user_rank_types(votes: DataFrame, params: Params = Params()) -> DataFrame:
     Votes carry ``voter, seq, subject, annotation, gold, machine_score``.
     """
     rows = hot_blocks(votes.withColumn("_one", F.lit(1)), "voter", "seq", params)
-    ranked = running(rows, ["voter"], ["seq"], sums={"rank": "_one"}).drop("_one")
+    ranked = running(rows, ["voter"], ["seq"], sums={"rank": "_one"}, hot_only=True).drop("_one")
     out = with_group(ranked, ["voter"], {"n_class": F.max("rank")})
     return out.withColumns({
         "correct": (F.col("annotation") == F.col("gold")).cast("int"),

@@ -17,6 +17,7 @@ from ..params import Params
 
 BATCH = "batch"
 WARM = -1
+BROADCAST_ROWS = 1_000_000
 
 _VOTES = T.StructType([T.StructField("classification_id", T.LongType()), T.StructField("voter", T.StringType()),
                        T.StructField("subject", T.LongType()), T.StructField("annotation", T.IntegerType()),
@@ -96,27 +97,39 @@ class OnlineScorer:
         for name in _TABLES:
             self._write(name, empty[name], WARM)
         if log is not None:
-            self._score(log, WARM)
+            self._score(log, WARM, log)
         return self
 
     # ---- one micro-batch ---------------------------------------------------------------------
-    def fresh(self, votes: DataFrame, batch: int) -> DataFrame:
-        """Votes whose id is neither repeated in the batch nor stored by an earlier one."""
-        once = votes.groupBy("classification_id").agg(
-            F.min_by(F.struct("voter", "subject", "annotation"), F.struct("voter", "subject", "annotation")).alias("v"))
-        known = self._read("votes", batch).select("classification_id")
-        return once.select("classification_id", "v.*").join(known, "classification_id", "left_anti")
+    def _touching(self, table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+        """Rows of a stored table that concern the batch's keys.
+
+        The batch side is counted (it is a written part, so from file footers) and broadcast while it is
+        small; the stored side, which grows without end, is then scanned in place and never shuffled. A
+        larger batch leaves the choice of join to Spark.
+        """
+        side = keys.select(*on).distinct()
+        if keys.count() <= BROADCAST_ROWS:
+            side = F.broadcast(side)
+        return table.join(side, on, "left_semi")
 
     def process(self, votes: DataFrame, batch: int) -> None:
-        """``foreachBatch`` body. ``votes``: ``classification_id, voter, subject, annotation``."""
-        self._score(self.fresh(votes, batch).withColumn("seq", F.col("classification_id")), batch)
+        """``foreachBatch`` body. ``votes``: ``classification_id, voter, subject, annotation``. Ids repeated
+        in the batch or stored by an earlier one are dropped."""
+        once = votes.groupBy("classification_id").agg(F.min(F.struct("voter", "subject", "annotation")).alias("v"))
+        part = f"{self.path}/incoming/{BATCH}={batch}"
+        once.select("classification_id", "v.*").write.mode("overwrite").parquet(part)
+        incoming = self.spark.read.schema("classification_id long, voter string, subject long, annotation int").parquet(part)
+        known = self._touching(self._read("votes", batch), incoming, ["classification_id"]).select("classification_id")
+        fresh = incoming.join(known, "classification_id", "left_anti")
+        self._score(fresh.withColumn("seq", F.col("classification_id")), batch, incoming)
         if batch >= 0 and self.compact_every and (batch + 1) % self.compact_every == 0:
             self._compact(batch)
 
-    def _score(self, votes: DataFrame, batch: int) -> None:
-        store = self._read("votes", batch)
+    def _score(self, votes: DataFrame, batch: int, incoming: DataFrame) -> None:
+        counted = self._touching(self._read("votes", batch).where("scored"), incoming, ["voter", "subject"])
         first = (consensus.first_vote_per_pair(votes)
-                 .join(store.where("scored").select("voter", "subject"), ["voter", "subject"], "left_anti"))
+                 .join(counted.select("voter", "subject"), ["voter", "subject"], "left_anti"))
         all_ids = votes.join(first.select("voter", "subject", "seq", F.lit(True).alias("_hit")),
                              ["voter", "subject", "seq"], "left")
         self._write("votes", all_ids.withColumn("scored", F.col("_hit").isNotNull()), batch)
@@ -130,8 +143,9 @@ class OnlineScorer:
             *[F.sum(c.cast("bigint")).alias(n) for n, c in consensus._counters().items()], F.count("*").alias("n"))
         self._write("users", adds, batch)
 
-        before = self.users(batch).select("voter", *[F.col(c).alias(f"b_{c}") for c in _COUNTERS])
-        inside = consensus.user_prefix_matrix(labelled, self.params)
+        before = self._touching(self._state("users", batch), incoming, ["voter"]).groupBy("voter").agg(
+            *[F.sum(c).alias(f"b_{c}") for c in _COUNTERS])
+        inside = consensus.user_prefix_matrix(labelled, self.params, source=mine)
         known = inside.join(before, "voter", "left")
         g = self.params.gamma
         total = {c: F.col(c) + F.coalesce(F.col(f"b_{c}"), F.lit(0)) for c in ("seen0", "match0", "seen1", "match1")}
@@ -139,8 +153,9 @@ class OnlineScorer:
                                      "s1": (total["match1"] + g) / (total["seen1"] + 2 * g)}) \
             .select("classification_id", "voter", "subject", "seq", "annotation", "s0", "s1")
         # per-vote record: running log-odds inside the batch on top of the stored ones
-        steps = consensus.subject_prefix_scores(weighed, self.params)
-        prior = self.subjects(batch).select("subject", F.col("llr").alias("_before"))
+        steps = consensus.subject_prefix_scores(weighed, self.params, source=mine)
+        prior = self._touching(self._state("subjects", batch), incoming, ["subject"]).groupBy("subject").agg(
+            F.sum("llr").alias("_before"))
         scored = steps.join(prior, "subject", "left").withColumn(
             "score", consensus.posterior(F.col("log_odds") + F.coalesce("_before", F.lit(0.0)), None, self.params))
         self._write("emitted", scored, batch)
