@@ -90,7 +90,8 @@ def test_trial_store(spark, tmp_path):
     store = S.TrialStore(spark, str(tmp_path))
     rows = spark.createDataFrame([("a", (1, 10), 5, 0, .5, -1), ("a", (2, 10), 5, 0, .6, 0), ("b", (1, 10), 6, 1, .7, 1)],
                                  "experiment string, trial struct<n:int,golds:int>, subject long, gold int, p double, used_gold int")
-    store.upload(rows)
+    store.upload(rows, "a")
+    store.upload(rows, "b")
     assert {tuple(r.trial) for r in store.trials("a").collect()} == {(1, 10), (2, 10)}
     assert store.rows("a", n=2).first().p == .6
     store.remove("a")

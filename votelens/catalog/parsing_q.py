@@ -231,10 +231,8 @@ def s12(i):
 
 @query("query_out", "SELECT annotation, count(*) AS n FROM vlog GROUP BY 1")
 def s13(i):
-    # a path table in the shared folder stands for the named table
     path = scratch_path(i.spark, "out")
-    i.vlog.groupBy("annotation").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(path)
-    return i.spark.read.parquet(path)
+    return S.query_out(i.vlog.groupBy("annotation").agg(F.count("*").alias("n")), "out_" + path[-32:], path)
 
 
 @query("predictions_csv", "SELECT 'obj' || (vec_id // 3) || '_' || label || '.' || vec_id || '.img' AS file, CAST(embedding[1] AS DOUBLE) AS pred, label % 2 AS label FROM embeddings", r="pred")

@@ -98,7 +98,7 @@ RANKED_SQL = RANKED_SQL.replace("WHEN rank > 480 AND rank <= 500 THEN '(480,500]
 
 def ranked(i):
     rows = i.votes.join(i.meta.select("subject", "gold", "machine_score").where(R.expert_only()), "subject")
-    return skill.user_rank_types(rows, i.params)
+    return skill.user_rank_types(rows, i.params, i.votes)
 
 
 @query("user_rank_types", RANKED_SQL + "SELECT voter, seq, rank, n_class, user_type, ml_score FROM ranked")

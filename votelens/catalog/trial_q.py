@@ -88,7 +88,7 @@ def x4(i):
 
 def _stored(i):
     store = S.TrialStore(i.spark, scratch_path(i.spark, "trials"))
-    store.upload(X.trial_rows(random_scores(i), random_golds_(i), i.golds, ["golds", "n"], "randomex"))
+    store.upload(X.trial_rows(random_scores(i), random_golds_(i), i.golds, ["golds", "n"], "randomex"), "randomex")
     return store
 
 
@@ -96,7 +96,7 @@ def _stored(i):
 def s10(i):
     """Store two experiments, delete one, read the other's trials."""
     store = _stored(i)
-    store.upload(store.rows("randomex").withColumn("experiment", F.lit("copy")))
+    store.upload(store.rows("randomex").withColumn("experiment", F.lit("copy")), "copy")
     store.remove("copy")
     flat = store.rows().select("trial.golds", "trial.n", "gold")
     counts = flat.groupBy("golds", "n").agg(F.count("*").alias("rows"), F.count_if(F.col("gold") == 1).alias("real"))

@@ -122,8 +122,8 @@ def group_push(df: DataFrame, fields: list[str], push: list[str], order: list[st
     from .prefix import hot_blocks, running
     from ..params import Params
     rows = df.select(*fields, *order, *[p for p in push if p not in order], F.lit(1).alias("_one"))
-    if len(fields) == 1:
-        rows = hot_blocks(rows, fields[0], order[0], Params())
+    # the cut into blocks is by a hash of the group fields: a collision only cuts one group more
+    rows = hot_blocks(rows.withColumn("_g", F.xxhash64(*fields)), "_g", order[0], Params())
     return (running(rows, fields, order, sums={"position": "_one"}, hot_only=True)
             .withColumn("position", F.col("position") - 1)
             .select(*fields, "position", *push))

@@ -16,12 +16,12 @@ BIN_TYPES = ((500, "1) mega"), (100, "2) power"), (30, "3) frequent"), (10, "4)
 RARE = "5) rare"
 
 
-def user_rank_types(votes: DataFrame, params: Params = Params()) -> DataFrame:
+def user_rank_types(votes: DataFrame, params: Params = Params(), source: DataFrame | None = None) -> DataFrame:
     """Position of each vote among its voter's votes, their total, user type and score quarter.
 
-    Votes carry ``voter, seq, subject, annotation, gold, machine_score``.
+    Votes carry ``voter, seq, subject, annotation, gold, machine_score``. ``source``: see ``hot_blocks``.
     """
-    rows = hot_blocks(votes.withColumn("_one", F.lit(1)), "voter", "seq", params)
+    rows = hot_blocks(votes.withColumn("_one", F.lit(1)), "voter", "seq", params, source)
     ranked = running(rows, ["voter"], ["seq"], sums={"rank": "_one"}, hot_only=True).drop("_one")
     out = with_group(ranked, ["voter"], {"n_class": F.max("rank")})
     return out.withColumns({

@@ -113,8 +113,11 @@ def predictions_to_csv(preds: DataFrame, path: str) -> None:
     preds.select("file", "pred", "label").write.mode("overwrite").csv(path)
 
 
-def query_out(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def query_out(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Send a result to a named table (stored at ``path`` if given)."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def export_flat_votes(votes: DataFrame, fields=None) -> DataFrame:
@@ -136,12 +139,12 @@ class TrialStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def upload(self, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy("experiment").parquet(f"{self.path}/rows")
-        index = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows").select("experiment", "trial").distinct()
-        done = rows.select("experiment").distinct()
-        (index.join(done, "experiment", "left_semi").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("experiment").parquet(f"{self.path}/index"))
+    def upload(self, rows: DataFrame, experiment: str) -> None:
+        """Append an experiment's rows, then list its trials from its own partition."""
+        rows.where(F.col("experiment") == experiment).drop("experiment").write.mode("append").parquet(
+            f"{self.path}/rows/experiment={experiment}")
+        index = self.rows(experiment).select("trial").distinct()
+        index.write.mode("overwrite").parquet(f"{self.path}/index/experiment={experiment}")
 
     def remove(self, experiment: str) -> None:
         """Overwrite the experiment's partition with nothing left in it."""

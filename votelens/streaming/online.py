@@ -27,7 +27,7 @@ _USERS = T.StructType([T.StructField("voter", T.StringType()), *[
 _SUBJECTS = T.StructType([T.StructField("subject", T.LongType()), T.StructField("llr", T.DoubleType()),
                           T.StructField("n_votes", T.LongType())])
 _EMITTED = T.StructType([T.StructField("classification_id", T.LongType()), T.StructField("subject", T.LongType()),
-                         T.StructField("score", T.DoubleType())])
+                         T.StructField("llr", T.DoubleType()), T.StructField("score", T.DoubleType())])
 _TABLES = {"votes": _VOTES, "users": _USERS, "subjects": _SUBJECTS, "emitted": _EMITTED}
 _COUNTERS = ("seen0", "match0", "seen1", "match1", "n")
 
@@ -158,9 +158,9 @@ class OnlineScorer:
             F.sum("llr").alias("_before"))
         scored = steps.join(prior, "subject", "left").withColumn(
             "score", consensus.posterior(F.col("log_odds") + F.coalesce("_before", F.lit(0.0)), None, self.params))
-        self._write("emitted", scored, batch)
-        self._write("subjects", weighed.groupBy("subject").agg(
-            F.sum(consensus.log_ratio()).alias("llr"), F.count("*").alias("n_votes")), batch)
+        self._write("emitted", scored.withColumn("llr", consensus.log_ratio()), batch)
+        self._write("subjects", self._read("emitted").where(F.col(BATCH) == batch).groupBy("subject").agg(
+            F.sum("llr").alias("llr"), F.count("*").alias("n_votes")), batch)
 
     # ---- results -----------------------------------------------------------------------------
     def emitted(self) -> DataFrame:
