@@ -156,7 +156,7 @@ def c20(i):
 
 
 _STRATA = """, st AS (SELECT scorer, mag_bin, seeing_bin, gold, round(v, 9) AS v FROM (
-  SELECT 'swap' AS scorer, CASE WHEN mag <= 18 THEN 18.0::DOUBLE WHEN mag <= 19 THEN 19 WHEN mag <= 20 THEN 20 ELSE 23 END AS mag_bin,
+  SELECT 'crowd' AS scorer, CASE WHEN mag <= 18 THEN 18.0::DOUBLE WHEN mag <= 19 THEN 19 WHEN mag <= 20 THEN 20 ELSE 23 END AS mag_bin,
    CASE WHEN seeing <= 3 THEN 3.0::DOUBLE WHEN seeing <= 3.5 THEN 3.5 WHEN seeing <= 3.9 THEN 3.9 WHEN seeing <= 4.5 THEN 4.5 ELSE 14 END AS seeing_bin, m.gold, p AS v
    FROM meta m JOIN lscores USING (subject) WHERE m.gold IN (0, 1)
   UNION ALL SELECT 'machine', CASE WHEN mag <= 18 THEN 18.0::DOUBLE WHEN mag <= 19 THEN 19 WHEN mag <= 20 THEN 20 ELSE 23 END,
@@ -170,7 +170,7 @@ _STRATA = """, st AS (SELECT scorer, mag_bin, seeing_bin, gold, round(v, 9) AS v
 def e20(i):
     m = i.meta.join(i.lscores.select("subject", "p"), "subject").where(R.expert_only())
     long = m.select("subject", "gold", scalars.mag_bin(F.col("mag")).alias("mag_bin"), scalars.seeing_bin(F.col("seeing")).alias("seeing_bin"),
-                    F.explode(F.array(F.struct(F.lit("swap").alias("scorer"), F.col("p")),
+                    F.explode(F.array(F.struct(F.lit("crowd").alias("scorer"), F.col("p")),
                                       F.struct(F.lit("machine").alias("scorer"), F.col("machine_score").alias("p")))).alias("s")) \
         .select("subject", "gold", "mag_bin", "seeing_bin", "s.scorer", "s.p")
     return E.auc(long, runs=["scorer", "mag_bin", "seeing_bin"]).where("auc is not null")

@@ -325,8 +325,8 @@ def a22b(i):
     return K.captures_per(captures(i), {"species": "Species", "site": "SiteID"})
 
 
-@query("image_list", "SELECT 'obj' || (vec_id // 3) || '_' || label || '.' || vec_id || '.img' AS file, vec_id FROM embeddings WHERE label < 5")
+@query("image_list", "SELECT 'obj' || (vec_id // 3) || '_' || label || '.' || vec_id || '.img' AS file, vec_id FROM embeddings")
 def s20(i):
     path = scratch_path(i.spark, "list")
-    i.images.where("label < 5").select(F.concat("file", F.lit("  "))).write.text(path)
+    i.images.select(F.concat("file", F.lit("  "))).write.text(path)
     return S.image_list(i.spark, path, i.images).select("file", "vec_id")

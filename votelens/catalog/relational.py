@@ -426,10 +426,10 @@ def c15(i):
 
 @query("binned_rates", _LABELS + _QB + """, br AS (SELECT CAST(seeing_bin AS INTEGER) AS seeing_bin, """ + ", ".join(
     f"count(*) FILTER (WHERE {c} = {l} AND gold = {t}) / (count(*) FILTER (WHERE gold = {t}))::DOUBLE AS {s}_{n}"
-    for n, c in (("swap", "slabel"), ("machine", "mlabel")) for s, l, t in (("tp", 1, 1), ("tn", 0, 0), ("fp", 1, 0), ("fn", 0, 1)))
+    for n, c in (("crowd", "slabel"), ("machine", "mlabel")) for s, l, t in (("tp", 1, 1), ("tn", 0, 0), ("fp", 1, 0), ("fn", 0, 1)))
        + """, count(*) FILTER (WHERE gold = 1) / count(*)::DOUBLE AS pos FROM qb WHERE seeing_bin > 0 GROUP BY 1)
-  SELECT *, 2 * tp_swap / (2 * tp_swap + fp_swap + fn_swap) AS f1_swap, 2 * tp_machine / (2 * tp_machine + fp_machine + fn_machine) AS f1_machine FROM br""",
-       r="tp_swap tn_swap fp_swap fn_swap tp_machine tn_machine fp_machine fn_machine pos f1_swap f1_machine")
+  SELECT *, 2 * tp_crowd / (2 * tp_crowd + fp_crowd + fn_crowd) AS f1_crowd, 2 * tp_machine / (2 * tp_machine + fp_machine + fn_machine) AS f1_machine FROM br""",
+       r="tp_crowd tn_crowd fp_crowd fn_crowd tp_machine tn_machine fp_machine fn_machine pos f1_crowd f1_machine")
 def a18(i):
     lab = labelled_meta(i).where("slabel is not null")
     lab = land(lab, "labels")
@@ -454,11 +454,12 @@ def a20(i):
     return A.unpivot(skill.skill_deviation(bin_counts(i), 4), ["voter", "bin", "user_type"], ["p_tp_rel", "p_tn_rel"])
 
 
-@query("pivot_fill", _DEV + """SELECT voter, coalesce(max(p_tp_rel) FILTER (WHERE bin = 18), 0) AS "18.0", coalesce(max(p_tp_rel) FILTER (WHERE bin = 19), 0) AS "19.0",
-  coalesce(max(p_tp_rel) FILTER (WHERE bin = 20), 0) AS "20.0", coalesce(max(p_tp_rel) FILTER (WHERE bin = 23), 0) AS "23.0" FROM dv GROUP BY 1""",
-       r='"18.0" "19.0" "20.0" "23.0"')
+@query("pivot_fill", _DEV + """SELECT voter, coalesce(max(p_tp_rel) FILTER (WHERE bin = 18), 0) AS b18, coalesce(max(p_tp_rel) FILTER (WHERE bin = 19), 0) AS b19,
+  coalesce(max(p_tp_rel) FILTER (WHERE bin = 20), 0) AS b20, coalesce(max(p_tp_rel) FILTER (WHERE bin = 23), 0) AS b23 FROM dv GROUP BY 1""",
+       r="b18 b19 b20 b23")
 def a21(i):
-    return A.pivot_fill(skill.skill_deviation(bin_counts(i), 4), "voter", "bin", list(scalars.MAG_EDGES), "p_tp_rel")
+    wide = A.pivot_fill(skill.skill_deviation(bin_counts(i), 4), "voter", "bin", list(scalars.MAG_EDGES), "p_tp_rel")
+    return wide.toDF("voter", "b18", "b19", "b20", "b23")
 
 
 @query("pred_by_name", """, im AS (SELECT 'obj' || (vec_id // 3) AS file, CAST(embedding[1] AS DOUBLE) AS pred FROM embeddings)

@@ -67,14 +67,14 @@ def binned_rates(labelled: DataFrame, bin_column: str) -> DataFrame:
     """True / false rates of two scorers (slabel, mlabel), F1 and prevalence per bin."""
     g = F.col("gold")
     aggs = []
-    for name in ("swap", "machine"):
-        lab = F.col("slabel" if name == "swap" else "mlabel")
+    for name in ("crowd", "machine"):
+        lab = F.col("slabel" if name == "crowd" else "mlabel")
         for short, l, t in (("tp", 1, 1), ("tn", 0, 0), ("fp", 1, 0), ("fn", 0, 1)):
             aggs.append(F.try_divide(F.count_if((lab == l) & (g == t)), F.count_if(g == t)).alias(f"{short}_{name}"))
     out = labelled.where(F.col(bin_column).isNotNull()).groupBy(bin_column).agg(
         *aggs, (F.count_if(g == 1) / F.count("*")).alias("pos"))
     return out.withColumns({f"f1_{n}": F.try_divide(2 * F.col(f"tp_{n}"), 2 * F.col(f"tp_{n}") + F.col(f"fp_{n}") + F.col(f"fn_{n}"))
-                            for n in ("swap", "machine")})
+                            for n in ("crowd", "machine")})
 
 
 def bin_user_types(bin_counts: DataFrame, n_bins: int) -> DataFrame:
