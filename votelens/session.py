@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_ROOT: dict = {}      # made once per process, only where the session names no folder
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster, pass the submitted session in instead."""
     return (
@@ -23,10 +26,9 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN_ROOT.get("dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="votelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN_ROOT["dir"] = tempfile.mkdtemp(prefix="votelens-")
     return root.rstrip("/")
 
 
