@@ -133,11 +133,11 @@ def w12(i):
     return layout.trace_sample(C.score_history(i.dyn, i.params, i.votes), i.golds)
 
 
-@query("first_detection", """SELECT o_custkey AS object, min(o_orderdate) AS mjd,
-  arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS file FROM orders GROUP BY 1""")
+@query("first_detection", """SELECT o_custkey AS object, min(strftime(o_orderdate, '%Y-%m-%d')) AS mjd,
+  arg_min(o_orderkey, (strftime(o_orderdate, '%Y-%m-%d'), o_orderkey)) AS file FROM orders GROUP BY 1""")
 def w14(i):
     return layout.first_detection(i.raw("orders").select(
-        F.col("o_custkey").alias("object"), F.col("o_orderdate").alias("mjd"), F.col("o_orderkey").alias("file")))
+        F.col("o_custkey").alias("object"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("mjd"), F.col("o_orderkey").alias("file")))
 
 
 # ---- consensus core --------------------------------------------------------------------------
