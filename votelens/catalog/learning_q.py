@@ -158,12 +158,16 @@ def m18(i):
 
 @query("softmax_online")
 def m19(i):
-    """The image table as a stream of label-wise files; weights carried from batch to batch."""
+    """The image table as a stream that arrives in four random parts; weights carried from batch to batch."""
+    from ..functions.scalars import hash_unit
     folder, path, ckpt = (scratch_path(i.spark, n) for n in ("images", "weights", "ckpt"))
-    i.images.select("x", F.col("label").alias("y")).repartition(4).write.parquet(folder)
     model = L.OnlineSoftmax(i.spark, path, 10, 64, rate=1.0).start()
-    stream = i.spark.readStream.schema("x array<double>, y int").option("maxFilesPerTrigger", 1).parquet(folder)
-    (stream.writeStream.foreachBatch(model.process).option("checkpointLocation", ckpt).trigger(availableNow=True).start()).awaitTermination()
+    at = F.floor(hash_unit(F.col("vec_id"), 2) * 4)
+    for k in range(4):
+        i.images.where(at == k).select("x", F.col("label").alias("y")).write.mode("append").parquet(folder)
+        stream = i.spark.readStream.schema("x array<double>, y int").parquet(folder)
+        (stream.writeStream.foreachBatch(model.process).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start()).awaitTermination()
     out = model.predict(i.images)
     best = F.array_position("probs", F.array_max("probs")) - 1
     return out.groupBy("label", best.alias("prediction")).agg(F.count("*").alias("n"))

@@ -252,19 +252,14 @@ PARTS = 3
 
 @cache
 def _streamed(spark, sf_dir):
-    """The whole event feed written as message files in id order, then scored file by file; once per
-    session and folder, shared by the stream queries."""
+    """The whole event feed in id order, delivered in parts; the stream runs on each part that has arrived.
+    Once per session and folder, shared by the stream queries."""
     from .base import Inputs
     i = Inputs(spark, sf_dir)
     feed, state, ckpt = (scratch_path(spark, n) for n in ("feed", "state", "ckpt"))
     ids = i.raw("events").agg(F.min("event_id").alias("lo"), (F.max("event_id") + 1).alias("hi")).first()
     m = messages(i).withColumn("_id", F.get_json_object("raw", "$.id").cast("bigint"))
     width = -(-(ids.hi - ids.lo) // PARTS)
-    for k in range(PARTS):
-        part = m.where((F.col("_id") >= ids.lo + k * width) & (F.col("_id") < ids.lo + (k + 1) * width))
-        part.select("raw").coalesce(1).write.mode("append").text(feed)
-    # the last part is delivered twice: repeated ids must change nothing
-    m.where(F.col("_id") >= ids.lo + (PARTS - 1) * width).select("raw").coalesce(1).write.mode("append").text(feed)
     scorer = OnlineScorer(spark, state, i.golds, i.params, compact_every=2).start_cold()
 
     def parse(df):
@@ -272,8 +267,11 @@ def _streamed(spark, sf_dir):
         return ok.select("classification_id", F.concat(F.lit("u:"), F.regexp_replace("session_id", "s", "")).alias("voter"),
                          F.col("subject_id").alias("subject"), "annotation")
 
-    q = run_stream(S.stream_votes_json(spark, feed), scorer, ckpt, parse)
-    q.awaitTermination()
+    # the last part is delivered twice: repeated ids must change nothing
+    for k in [*range(PARTS), PARTS - 1]:
+        part = m.where((F.col("_id") >= ids.lo + k * width) & (F.col("_id") < ids.lo + (k + 1) * width))
+        part.select("raw").write.mode("append").text(feed)
+        run_stream(S.stream_votes_json(spark, feed), scorer, ckpt, parse).awaitTermination()
     return scorer
 
 

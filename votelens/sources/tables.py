@@ -31,9 +31,12 @@ def ingest_votes_json(spark: SparkSession, path: str, table: str | None = None,
     return parsed if table is None else _replace(parsed, table)
 
 
-def stream_votes_json(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+def stream_votes_json(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """The feed as a stream of raw messages; parse each batch with ``parse_votes``."""
-    return (spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).toDF("raw"))
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.text(folder).toDF("raw")
 
 
 def _replace(parsed: parsing.Parsed, table: str) -> parsing.Parsed:
