@@ -1,12 +1,14 @@
 """Session settings and the shared scratch folder."""
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _OWN_ROOT: dict = {}      # made once per process, only where the session names no folder
 
 
@@ -25,10 +27,18 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder that goes when the process ends; any other master is
+    refused, because a folder of one machine would lose the rows of all others.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or _OWN_ROOT.get("dir")
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master!r})")
         root = _OWN_ROOT["dir"] = tempfile.mkdtemp(prefix="votelens-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root.rstrip("/")
 
 
