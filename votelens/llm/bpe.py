@@ -96,3 +96,18 @@ def digests(docs: DataFrame, p: BpeParams = BpeParams()) -> DataFrame:
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, p: BpeParams = BpeParams()) -> DataFrame:
+    """(doc_id, source, n_tokens, ids, round_trip) per row; ``round_trip`` says that the decoded bytes are the text's."""
+    def run(batches):
+        enc = encoder(p)
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            ids = [ids_of(t, enc, p.piece_chars) for t in texts]
+            same = [enc.decode_bytes(i) == (t or "").encode() for i, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)],
+                                             ["doc_id", "source", "n_tokens", "ids", "round_trip"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "source", "text").mapInArrow(
+        run, f"doc_id {kind}, source string, n_tokens long, ids array<int>, round_trip boolean")

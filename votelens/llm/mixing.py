@@ -88,3 +88,10 @@ def repetitions(docs: DataFrame, p: MixParams = MixParams(), *keep: str) -> Data
     return (placed.withColumn("whole", whole).withColumn("copies", copies.cast("long"))
             .withColumn("taken", F.col("copies") * F.col("size"))
             .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *keep))
+
+
+def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """The mixed rows themselves: each row of ``docs`` as often as it is taken, with its columns (of any name)."""
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = repetitions(packed, p, "row").where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -184,3 +184,17 @@ def score(docs: DataFrame, model: Model | None, p: QualityParams = QualityParams
 
 def judge(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     return score(docs, fit(docs, labels, p), p)
+
+
+def keep_rows(docs: DataFrame, model: Model | None, p: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in slices(batches):
+            w, m = split(b.column("text")), sent.value
+            ok = ~base_figures(b, w, p)["base_failed"]
+            if m:
+                ok &= m.probability(margins(w, m, p)) >= p.keep
+            yield b.filter(pa.array(ok))
+    return docs.mapInArrow(run, docs.schema)

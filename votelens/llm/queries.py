@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality, topk, urltree
+from . import bpe, minhash, mixing, pii, quality, topk, urltree
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -75,3 +75,13 @@ def op9_exact_topk(spark, sf_dir):
 @register("op10_byte_bpe")
 def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op1_minhash_dedup")
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.groups(table(spark, sf_dir, "documents", "doc_id", "text"), minhash.MinHashParams(words=2))
+
+
+@register("op8_pii_pseudonyms")
+def op8_pii_pseudonyms(spark, sf_dir):
+    return pii.replace_counted(table(spark, sf_dir, "documents", "doc_id", "text"))
