@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, mixing, pii, quality, topk, urltree
+from . import bpe, minhash, mixing, pii, quality, rlz, topk, urltree
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -85,3 +85,8 @@ def op1_minhash_dedup(spark, sf_dir):
 @register("op8_pii_pseudonyms")
 def op8_pii_pseudonyms(spark, sf_dir):
     return pii.replace_counted(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op6_substring_dedup")
+def op6_substring_dedup(spark, sf_dir):
+    return rlz.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")
