@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, mixing, pii, quality, rlz, topk, urltree
+from . import bpe, maxent, minhash, mixing, pii, quality, quoting, rlz, topk, urltree
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -90,3 +90,13 @@ def op8_pii_pseudonyms(spark, sf_dir):
 @register("op6_substring_dedup")
 def op6_substring_dedup(spark, sf_dir):
     return rlz.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")
+
+
+@register("op4_lm_score")
+def op4_lm_score(spark, sf_dir):
+    return maxent.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op5_quote_links", quoting.ORACLE)
+def op5_quote_links(spark, sf_dir):
+    return quoting.conversations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
