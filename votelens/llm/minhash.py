@@ -6,9 +6,10 @@
 3. Bands that two classes share make candidates. The similarity of a candidate is estimated from the equal lanes of the signatures by bit
    counts, corrected for lanes that agree by chance (one in four); what is far below the threshold is left. The rest is confirmed
    by the size of the intersection of the full sets.
-4. No bucket is expanded into its pairs. Twice each member meets one member of one of its buckets (the smallest of another
-   component, the one of highest estimate), confirmed pairs are joined into components. Buckets whose members are all connected are done;
-   in the others, pairs of different components whose estimate and sizes allow a link are confirmed.
+4. No bucket is expanded into rows of pairs. Twice each member meets one member of one of its buckets (the smallest of another component,
+   the one of highest estimate), confirmed pairs are joined into components. Buckets whose members are all connected are done. In
+   the others the members outside the largest component are compared with all of another component, block by block within a
+   task, on their full sets; that work grows with their number times that of the bucket.
 
 A pair at the threshold is missed with a probability of (1 - .8^4)^28 < 5e-7 by the bands, and by the estimate below 1e-6 (five
 standard deviations); more similar pairs less often. Sets are compared by 64-bit hashes of their shingles.
@@ -42,6 +43,8 @@ class MinHashParams:
     per_long: int = 28             # two-bit lanes in a packed long
     gate: float = .57
     star_rounds: int = 2
+    cell: int = 512                # members of a block that meet those of another one in a task
+    columns: int = 4096            # shingles of a cell that are multiplied at a time
     seed: int = 11
 
     @property
@@ -132,6 +135,70 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     return both.where(100 * common >= p.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _across(members: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, found among the members (key, cid, root) of each bucket.
+
+    The largest component of a bucket is cut into blocks, and so are all others ("askers"). A cell is one block of askers beside one
+    block of either; its sets meet in one task as a product of incidence matrices. Members are sent, not pairs, and a cell names one
+    partner per asker and component.
+    """
+    per = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(p.cell)).cast("int")
+    top = top.select("key", F.col("m.root").alias("main"), blocks(F.col("m.n")).alias("nm"), blocks(F.col("n") - F.col("m.n")).alias("nq"))
+    rows = members.join(top, "key")
+    asks = F.col("root") != F.col("main")
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("cid"), F.when(asks, F.col("nq")).otherwise(F.col("nm"))).cast("int"))
+    cell = lambda q, b, ask: F.struct(q.cast("int").alias("q"), b.cast("int").alias("b"), F.lit(ask).alias("asks"))
+    none = F.array().cast("array<struct<q:int,b:int,asks:boolean>>")
+    spread = lambda lo, hi, f: F.when(lo <= hi, F.transform(F.sequence(lo, hi), f)).otherwise(none)
+    zero, k = F.lit(0), F.col("k")
+    main = spread(zero, F.col("nq") - 1, lambda q: cell(q, k, False))
+    asker = F.concat(spread(zero, F.col("nm") - 1, lambda b: cell(k, b, True)), spread(zero, k - 1, lambda o: cell(k, F.col("nm") + o, True)),
+                     spread(k + 1, F.col("nq") - 1, lambda q: cell(q, F.col("nm") + k, False)))
+    rows = rows.select("key", "cid", "root", F.explode(F.when(asks, asker).otherwise(main)).alias("c")).select("key", "c.q", "c.b", "c.asks", "cid", "root")
+    # 32 bits of each shingle's hash: two may fall together, which only adds to an intersection; full sets confirm
+    short = sets.select("cid", F.transform("s", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("s"))
+    cells = rows.join(short, "cid").repartition("key", "q", "b").sortWithinPartitions("key", "q", "b")
+
+    def pair(held, first):
+        cids, roots, asks, items = zip(*held)
+        asks, size = np.array(asks), np.array([len(x) for x in items])
+        root = np.unique(np.frombuffer(b"".join(roots), "V16"), return_inverse=True)[1]
+        _, token, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(items)), size)
+        keep = times[token] > 1
+        owner, token = owner[keep], (np.cumsum(times > 1) - 1)[token[keep]]
+        order = np.argsort(token, kind="stable")
+        owner, token, ask = owner[order], token[order], np.flatnonzero(asks)
+        common = np.zeros((len(ask), len(items)), np.float32)
+        for lo in range(0, int(token[-1]) + 1 if len(token) else 0, p.columns):
+            cut = slice(*np.searchsorted(token, (lo, lo + p.columns)))
+            m = np.zeros((len(items), min(p.columns, int(token[-1]) + 1 - lo)), np.float32)
+            np.add.at(m, (owner[cut], token[cut] - lo), 1)
+            common += m[ask] @ m.T
+        hit = (100 * common >= p.percent * (size[ask][:, None] + size[None, :] - common)) & (root[ask][:, None] != root[None, :])
+        if not first:
+            hit &= ~asks[None, :]                                   # askers among themselves: in the first cell of their block
+        a, b = np.nonzero(hit)
+        one = np.unique(a * len(items) + root[b], return_index=True)[1]
+        return pa.RecordBatch.from_arrays([pa.array([cids[i] for i in x], pa.binary()) for x in (ask[a[one]], b[one])], ["a", "b"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for key, q, b, asks, cid, root, s in zip(*(c if i == 6 else c.to_pylist() for i, c in enumerate(batch.columns))):
+                if (key, q, b) != now:
+                    if len(held) > 1:
+                        yield pair(held, now[2] == 0)
+                    now, held = (key, q, b), []
+                held.append((cid, root, asks, s.values.to_numpy()))
+        if len(held) > 1:
+            yield pair(held, now[2] == 0)
+
+    return cells.select("key", "q", "b", "asks", "cid", "root", "s").mapInArrow(run, "a binary, b binary").distinct()
+
+
 def link(docs: DataFrame, prof: DataFrame, p: MinHashParams) -> DataFrame:
     """(cid, root): classes linked to another class, with the root of their component. ``prof`` is a landed ``profile``."""
     reps = land(prof.where("cid IS NOT NULL").groupBy("cid").agg(
@@ -162,11 +229,7 @@ def link(docs: DataFrame, prof: DataFrame, p: MinHashParams) -> DataFrame:
                      .where(possible).withColumn("e", estimate("ga", "gb", p))
                      .groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
         else:
-            # every (member, member) of two components that may be linked: the filter is part of the join
-            now = land(now.join(open_.select("key"), "key"), "mh-open")
-            left, right = side(now, "a", F.col("root").alias("ra")), side(now, "b", F.col("root").alias("rb"))
-            pairs = left.join(right.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & possible)
-            pairs = pairs.select("a", "b").distinct()
+            pairs = _across(now.join(open_.select("key"), "key").select("key", "cid", "root"), sets, p)
         found = _confirm(pairs, sets, p)
         edges = land(found if edges is None else edges.union(found), "mh-links")
         roots = components(edges)
