@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is a minimum per node and a join back, so a node with very many edges is pre-aggregated and its join split. Every step is
-written to the shared folder; only a count and a checksum reach the driver.
+Each step is a minimum per node and a join back, so a node with very many edges is pre-aggregated and its join split. Every pair of
+steps is written to the shared folder; only a count and a checksum reach the driver.
 """
 from __future__ import annotations
 
@@ -27,7 +27,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = _ordered(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        large = land(large, "cc")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select("b", "m"))

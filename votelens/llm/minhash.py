@@ -6,8 +6,8 @@
 3. Bands that two classes share make candidates. The similarity of a candidate is estimated from the equal lanes of the signatures by bit
    counts, corrected for lanes that agree by chance (one in four); what is far below the threshold is left. The rest is confirmed
    by the size of the intersection of the full sets.
-4. No bucket is expanded into rows of pairs. Twice each member meets one member of one of its buckets (the smallest of another component,
-   the one of highest estimate), confirmed pairs are joined into components. Buckets whose members are all connected are done. In
+4. No bucket is expanded into rows of pairs. First each member meets one member of one of its buckets (the smallest one there, of the
+   highest estimate), confirmed pairs are joined into components. Buckets whose members are all connected are done. In
    the others the members outside the largest component are compared with all of another component, block by block within a
    task, on their full sets; that work grows with their number times that of the bucket.
 
@@ -42,7 +42,7 @@ class MinHashParams:
     rows: int = 4
     per_long: int = 28             # two-bit lanes in a packed long
     gate: float = .57
-    star_rounds: int = 2
+    star_rounds: int = 1
     cell: int = 512                # members of a block that meet those of another one in a task
     columns: int = 4096            # shingles of a cell that are multiplied at a time
     seed: int = 11
@@ -215,7 +215,7 @@ def link(docs: DataFrame, prof: DataFrame, p: MinHashParams) -> DataFrame:
     possible = (100 * small >= p.percent * large) & (estimate("ga", "gb", p) >= p.gate)
     side = lambda df, x, *more: df.select("key", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}"), *more)
 
-    edges, roots = None, None
+    roots = None
     for turn in range(p.star_rounds + 1):
         if roots is None:
             now = members.withColumn("root", F.col("cid"))
@@ -231,8 +231,9 @@ def link(docs: DataFrame, prof: DataFrame, p: MinHashParams) -> DataFrame:
         else:
             pairs = _across(now.join(open_.select("key"), "key").select("key", "cid", "root"), sets, p)
         found = _confirm(pairs, sets, p)
-        edges = land(found if edges is None else edges.union(found), "mh-links")
-        roots = components(edges)
+        # what is connected already is a star, and that is all the next round needs
+        found = found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(found)
     return roots.select(F.col("node").alias("cid"), "root")
 
 
