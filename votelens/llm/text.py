@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D (all ASCII, so bytes and code points agree).
 A null text has no words. Memory is a few dozen times one slice: ``slices`` cuts an Arrow batch at document
-boundaries into pieces of about a megabyte, a longer document is a piece of its own.
+boundaries into pieces of about a quarter of a megabyte, a longer document is a piece of its own.
 """
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
