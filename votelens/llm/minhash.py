@@ -244,7 +244,8 @@ def groups(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
     classes = prof.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first"))
     named = classes.join(link(docs, prof, p), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = land(named, "mh-named")
-    lowest = named.groupBy("root").agg(F.min("first").alias("component"))
+    # a table of its own, so that the join's large side can be split where one component holds very many classes
+    lowest = land(named.groupBy("root").agg(F.min("first").alias("component")), "mh-lowest")
     named = named.join(lowest, "root").select("cid", "component")
     # documents without words share no class; their join key is null and matches nothing
     out = prof.select("doc_id", "n", "cid").join(named, "cid", "left")
