@@ -1,9 +1,11 @@
 """Consensus scoring against hand-computed values and a sequential oracle."""
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from sequential import random_log, sequential, static
-from votelens.operators import consensus as C, relational as R
+from votelens.operators import consensus as C, evaluate as E, relational as R
 from votelens.params import Params
 
 VOTES = "voter string, subject long, annotation int, seq long"
@@ -107,3 +109,27 @@ def test_parameters_are_checked():
     for bad in ({"gamma": 0.0}, {"p0": 1.0}, {"controversy": "sum"}):
         with pytest.raises(ValueError):
             Params(**bad)
+
+
+def test_many_agreeing_votes_keep_scores_apart(spark):
+    """25 to 44 votes per subject: scores far in the tails stay different and in the order of their votes."""
+    import random
+    r = random.Random(2)
+    log = [(f"u:{k % 10}", s, int((k % 10 == 9) != (s % 2 == 1)), s * 100 + k) for s in range(60) for k in r.sample(range(100), 25 + s % 20)]
+    log = [(f"{u}-{q}", s, a, q) for u, s, a, q in log]        # a voter votes once on a subject
+    users = {v[0]: (.9, .9) for v in log}
+    df = spark.createDataFrame([(*v, *users[v[0]]) for v in log], VOTES + ", s0 double, s1 double")
+    got = {x.subject: x.p for x in C.subject_scores(df).collect()}
+    want = {}
+    for u, s, a, q in log:
+        want[s] = want.get(s, math.log(.12 / .88)) + (1 if a else -1) * math.log(9)
+    bogus = [s for s in want if s % 2 == 0]
+    assert all(0 < got[s] < 1e-6 for s in bogus) and len({got[s] for s in bogus}) == len({round(want[s], 6) for s in bogus}) > 5
+    assert all(got[s] == pytest.approx(1 / (1 + math.exp(-want[s])), rel=1e-6) for s in want)
+    prof = sorted((x.p, x.le_z) for x in E.score_profile(spark.createDataFrame([(s, 0, p) for s, p in got.items()], "subject long, gold int, p double")).collect())
+    assert [n for _, n in prof] == [sum(p <= at for p in got.values()) for at, _ in prof]
+
+
+def test_votes_other_than_0_and_1_do_not_count(spark):
+    votes = spark.createDataFrame([("u:1", 1, 3, 4), ("u:1", 1, 1, 6), ("u:2", 1, None, 1), ("u:2", 2, -1, 1)], VOTES)
+    assert [tuple(r) for r in C.first_vote_per_pair(votes).select("voter", "subject", "seq", "annotation").collect()] == [("u:1", 1, 6, 1)]

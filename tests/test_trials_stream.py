@@ -99,3 +99,17 @@ def test_stream_batches_equal_one_run_and_replays_change_nothing(spark, world, t
     assert scorer.stored_votes().count() == len(log)
     warm = OnlineScorer(spark, str(tmp_path / "w"), g).warm_start(df.withColumn("seq", F.col("classification_id")))
     assert {r.subject: r.p for r in warm.snapshot().collect()} == pytest.approx({s: p for s, (p, _) in snap.items()}, abs=2e-9)
+
+
+def test_warm_start_over_a_log_that_repeats_ids(spark, world, tmp_path):
+    """A dump and the online table overlap: every id counts once, for subjects and for voters."""
+    log, golds, votes, g = world
+    df = votes.select("voter", "subject", "annotation", F.col("seq").alias("classification_id"), "seq")
+    twice = df.unionByName(df.where("seq % 3 = 0")).unionByName(df.where("seq % 5 = 0").withColumn("seq", F.col("seq") + 1000))
+    once, warm = (OnlineScorer(spark, str(tmp_path / n), g).warm_start(d) for n, d in (("o", df), ("t", twice)))
+    for table in ("snapshot", "users"):
+        a, b = (sorted(map(str, getattr(s, table)().collect())) for s in (once, warm))
+        assert a == b
+    hist, _, _ = sequential(log, golds)
+    warm.process(df.select("classification_id", "voter", "subject", "annotation"), 0)      # all delivered before
+    assert {r.subject: r.n_votes for r in warm.snapshot().collect()} == {s: len(h) - 1 for s, h in hist.items()}

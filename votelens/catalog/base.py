@@ -149,19 +149,19 @@ users AS (SELECT voter,
   (count(*) FILTER (WHERE gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 1) + 10) AS s1,
   count(*) AS n FROM fgold GROUP BY 1),
-sscores AS (SELECT subject, round(1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
-    + sum(CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END)))), 9) AS p, count(*) AS n_votes
+sscores AS (SELECT subject, 1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
+    + sum(CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT)) / 1e9))) AS p, count(*) AS n_votes
   FROM first_v JOIN users USING (voter) GROUP BY 1),
 sgold AS (SELECT s.*, coalesce(g.gold, -1) AS gold FROM sscores s LEFT JOIN golds g USING (subject)),
 dyn AS (SELECT *, (m0 + 5.0::DOUBLE) / (c0 + 10) AS s0, (m1 + 5.0::DOUBLE) / (c1 + 10) AS s1 FROM (SELECT *,
   count(*) FILTER (WHERE gold = 0) OVER w AS c0, count(*) FILTER (WHERE gold = 0 AND annotation = 0) OVER w AS m0,
   count(*) FILTER (WHERE gold = 1) OVER w AS c1, count(*) FILTER (WHERE gold = 1 AND annotation = 1) OVER w AS m1
   FROM fgold WINDOW w AS (PARTITION BY voter ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
-dllr AS (SELECT *, CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END AS llr FROM dyn),
-dscores AS (SELECT subject, round(1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE) + sum(llr)))), 9) AS p,
+dllr AS (SELECT *, CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT) AS llr FROM dyn),
+dscores AS (SELECT subject, 1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE) + sum(llr) / 1e9))) AS p,
   count(*) AS n_votes FROM dllr GROUP BY 1),
 dsteps AS (SELECT *, row_number() OVER w AS step,
-  round(1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE) + sum(llr) OVER w))), 9) AS p
+  1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE) + sum(llr) OVER w / 1e9))) AS p
   FROM dllr WINDOW w AS (PARTITION BY subject ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 dhist AS (SELECT subject, step, p FROM dsteps UNION ALL SELECT DISTINCT subject, 0, 0.12::DOUBLE FROM dsteps),
 lfirst AS (SELECT 'u:' || l_suppkey AS voter, l_partkey AS subject,
@@ -171,8 +171,8 @@ lusers AS (SELECT voter,
   (count(*) FILTER (WHERE gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 1) + 10) AS s1,
   count(*) AS n FROM lgold GROUP BY 1),
-lscores AS (SELECT subject, any_value(gold) AS gold, round(1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
-    + sum(CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END)))), 9) AS p, count(*) AS n_votes
+lscores AS (SELECT subject, any_value(gold) AS gold, 1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
+    + sum(CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT)) / 1e9))) AS p, count(*) AS n_votes
   FROM lgold JOIN lusers USING (voter) GROUP BY 1),
 lroc AS (SELECT p AS threshold, CAST(sum(z) OVER d AS BIGINT) AS fp, CAST(sum(o) OVER d AS BIGINT) AS tp,
   sum(z) OVER d / (sum(z) OVER ())::DOUBLE AS fpr, sum(o) OVER d / (sum(o) OVER ())::DOUBLE AS tpr FROM (

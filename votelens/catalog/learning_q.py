@@ -137,23 +137,29 @@ def _scored(model, df):
     return L.predict_proba(model, df).select(F.col("vec_id").alias("subject"), F.col("y").alias("gold"), "p")
 
 
+def held_out(i, df):
+    """(rows to fit, rows to score): a fifth is held out, by a hash of the id."""
+    from ..functions.scalars import hash_unit
+    test = hash_unit(F.col("vec_id"), 5) < .2
+    return df.where(~test), df.where(test)
+
+
 @query("rf_train")
 def m16(i):
-    t = training_rows(i)
-    return E.fom_grid(_scored(L.random_forest(10, depth=5).fit(t), t))
+    fit, test = held_out(i, training_rows(i))
+    return E.fom_grid(_scored(L.random_forest(50).fit(fit), test))
 
 
 @query("linear_svm_train")
 def m17(i):
-    t = training_rows(i)
-    return E.fom_grid(_scored(L.CalibratedSVM(max_iter=10).fit(t), t))
+    fit, test = held_out(i, training_rows(i))
+    return E.fom_grid(_scored(L.CalibratedSVM().fit(fit), test))
 
 
 @query("softmax_train")
 def m18(i):
-    t = L.as_features(i.images, y="label")
-    model = L.softmax(max_iter=15).fit(t)
-    return model.transform(t).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    fit, test = held_out(i, L.as_features(i.images, y="label"))
+    return L.softmax().fit(fit).transform(test).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 @query("softmax_online")
@@ -175,8 +181,8 @@ def m19(i):
 
 @query("mlp_train")
 def m20(i):
-    t = training_rows(i)
-    return E.fom_grid(_scored(L.mlp([64, 8, 2], 15).fit(t), t))
+    fit, test = held_out(i, training_rows(i))
+    return E.fom_grid(_scored(L.mlp([64, 8, 2]).fit(fit), test))
 
 
 @query("predict_proba")
@@ -185,14 +191,14 @@ def m21(i):
     from pyspark.ml.classification import LogisticRegressionModel
     t = training_rows(i)
     path = scratch_path(i.spark, "model")
-    L.softmax(max_iter=10).fit(t).save(path)
+    L.softmax().fit(t).save(path)
     return _scored(LogisticRegressionModel.load(path), t)
 
 
 @query("fold_soft_pred")
 def c21(i):
     t = training_rows(i)
-    return L.softmax(max_iter=5).fit(t).transform(t).select("vec_id", L.fold_soft_pred(F.col("probability")).alias("p"))
+    return L.softmax().fit(t).transform(t).select("vec_id", L.fold_soft_pred(F.col("probability")).alias("p"))
 
 
 def folded(i):
@@ -229,7 +235,7 @@ def m25(i):
 
 @query("learning_curve")
 def m26(i):
-    return L.learning_curve(training_rows(i).select("vec_id", "features", "label"), "vec_id", lambda: L.softmax(max_iter=10), steps=3)
+    return L.learning_curve(training_rows(i).select("vec_id", "features", "label"), "vec_id", L.softmax)
 
 
 @query("feature_importance")

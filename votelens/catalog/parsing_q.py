@@ -43,11 +43,12 @@ def dump(i):
 _COLS = "classification_id, user_id, workflow, subject_id, seen_before, live_project, session_id, annotation"
 _WANT = """SELECT event_id AS classification_id, CASE WHEN event_type <> 'view' THEN user_id END AS user_id, CAST(7 AS BIGINT) AS workflow,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS subject_id, value >= 100 AS seen_before, event_type <> 'error' AS live_project,
-  's' || user_id AS session_id, CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE 0 END AS annotation FROM events WHERE event_type <> 'signup'"""
+  's' || user_id AS session_id, CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE 0 END AS annotation,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_stamp FROM events WHERE event_type <> 'signup'"""
 
 
 def _want(df):
-    return df.select(*_COLS.split(", "))
+    return df.select(*_COLS.split(", "), F.date_format("time_stamp", "yyyy-MM-dd HH:mm:ss").alias("time_stamp"))
 
 
 @query("parse_votes", _WANT)

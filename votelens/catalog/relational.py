@@ -49,9 +49,9 @@ def f3b(i):
     return R.match_table(i.raw("lineitem"), "l_orderkey", keys).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("match_range", "SELECT subject, mag FROM meta WHERE mag >= 18 AND mag < 20", r="mag")
+@query("match_range", "SELECT subject, mag FROM meta WHERE mag >= 17.2 AND mag < 17.4", r="mag")
 def f5(i):
-    return i.meta.where(R.match_range("mag", 18, 20)).select("subject", "mag")
+    return i.meta.where(R.match_range("mag", 17.2, 17.4)).select("subject", "mag")
 
 
 @query("project", "SELECT classification_id AS id, user_id AS voter_id, annotation * 2 - 1 AS sign FROM vlog")
@@ -64,9 +64,9 @@ def f7(i):
     return R.first_votes(i.vlog)
 
 
-@query("metadata_slice", "SELECT v.voter, v.subject, v.annotation FROM votes v JOIN meta m USING (subject) WHERE mag >= 18 AND mag < 20")
+@query("metadata_slice", "SELECT v.voter, v.subject, v.annotation FROM votes v JOIN meta m USING (subject) WHERE mag >= 17.2 AND mag < 17.4")
 def f8(i):
-    return R.metadata_slice(i.votes, i.meta, "mag", 18, 20).select("voter", "subject", "annotation")
+    return R.metadata_slice(i.votes, i.meta, "mag", 17.2, 17.4).select("voter", "subject", "annotation")
 
 
 @query("debug_cap", "SELECT voter, subject, seq FROM votes ORDER BY seq LIMIT 501")
@@ -91,10 +91,15 @@ def f11(i):
     return R.validate_votes(raw).select("event_id", "reason")
 
 
-@query("validate_schema", "SELECT 'errors' AS what, 0 AS n, count(*) AS rows FROM vlog")
+@query("validate_schema", """SELECT v.what, v.n, count(*) AS rows FROM vlog, (VALUES ('fits', 0), ('one type, one name, one unknown', 3)) AS v(what, n)
+  GROUP BY 1, 2""")
 def f12(i):
-    errors = R.schema_errors(i.vlog, T.StructType([f for f in VOTES]))
-    return i.vlog.agg(F.lit("errors").alias("what"), F.lit(len(errors)).alias("n"), F.count("*").alias("rows"))
+    """Errors against the declared schema, and against one that differs in a type, lacks a field and has another one."""
+    other = T.StructType([T.StructField(f.name, T.StringType() if f.name == "subject_id" else f.dataType) for f in VOTES if f.name != "workflow"]
+                         + [T.StructField("extra", T.LongType())])
+    checks = (("fits", T.StructType([f for f in VOTES])), ("one type, one name, one unknown", other))
+    found = F.array(*[F.struct(F.lit(what).alias("what"), F.lit(len(R.schema_errors(i.vlog, s))).alias("n")) for what, s in checks])
+    return i.vlog.agg(F.count("*").alias("rows")).select(F.explode(found).alias("c"), "rows").select("c.what", "c.n", "rows")
 
 
 @query("below_cutoff", "SELECT subject, gold, p FROM lscores WHERE p < .5 AND gold IN (0, 1)", r="p")
@@ -111,11 +116,14 @@ def f16(i):
 
 
 @query("extreme_scores", """, h AS (SELECT subject, avg(annotation) AS p FROM lgold GROUP BY 1)
-  SELECT avg(CASE WHEN p IN (0, 1) THEN 1 ELSE 0 END) AS share, count(*) FILTER (WHERE p IN (0, 1)) AS touching FROM h""", r="share")
+  SELECT avg(CASE WHEN p IN (0, 1) THEN 1 ELSE 0 END) AS share, count(*) FILTER (WHERE p IN (0, 1)) AS touching,
+  (SELECT avg(CASE WHEN p IN (0, 1) THEN 1.0 ELSE 0 END) FROM lscores) AS score_share, (SELECT count(DISTINCT subject) FROM dhist WHERE p IN (0, 1)) AS histories FROM h""", r="share score_share")
 def f17(i):
     frac = i.lvotes.groupBy("voter", "subject").agg(F.min("annotation").alias("a")).groupBy("subject").agg(F.avg("a").alias("p"))
     touching = R.extreme_histories(frac).agg(F.count("*").alias("touching"))
-    return E._with_one_row(R.extreme_share(frac), touching)
+    scores = R.extreme_share(i.lscores).withColumnRenamed("share", "score_share")
+    histories = R.extreme_histories(C.score_history(i.dyn, i.params, source=i.votes)).agg(F.count("*").alias("histories"))
+    return E._with_one_row(E._with_one_row(E._with_one_row(R.extreme_share(frac), touching), scores), histories)
 
 
 @query("labelled_rows", "SELECT subject, gold FROM golds WHERE gold <> -1")
@@ -229,10 +237,10 @@ def u5(i):
 
 
 @query("id_set", """SELECT DISTINCT s_suppkey AS subject FROM supplier WHERE s_suppkey IN (SELECT subject FROM lfirst)
-  AND s_suppkey NOT IN (SELECT subject FROM votes)""")
+  AND s_suppkey NOT IN (SELECT subject FROM golds WHERE gold = 1)""")
 def u6(i):
     ids = R.id_set(i.raw("supplier").select(F.col("s_suppkey").alias("subject")))
-    return R.without_ids(R.golds_for_subjects(ids, i.lvotes), i.votes.select("subject"))
+    return R.without_ids(R.golds_for_subjects(ids, i.lvotes), i.golds.where(F.col("gold") == 1).select("subject"))
 
 
 @query("split_union", """SELECT vec_id, label, 'train' AS split FROM embeddings WHERE label < 7

@@ -179,8 +179,8 @@ _TRAIN = """, tg AS (SELECT subject, gold FROM golds WHERE gold IN (0, 1) ORDER
  tu AS (SELECT voter, (count(*) FILTER (WHERE gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 1) + 10) AS s1
   FROM first_v LEFT JOIN tg USING (subject) GROUP BY 1),
- ts AS (SELECT subject, round(1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
-    + sum(CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END)))), 9) AS p
+ ts AS (SELECT subject, 1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
+    + sum(CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT)) / 1e9))) AS p
   FROM first_v JOIN tu USING (voter) GROUP BY 1)
 """
 
@@ -206,8 +206,8 @@ def _split_sql(col, edges):
  bv AS (SELECT * FROM b WHERE bin IS NOT NULL),
  bu AS (SELECT bin, voter, (count(*) FILTER (WHERE gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE gold = 1) + 10) AS s1 FROM bv GROUP BY 1, 2),
- bs AS (SELECT bin, subject, round(1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
-    + sum(CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END)))), 9) AS p
+ bs AS (SELECT bin, subject, 1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE)
+    + sum(CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT)) / 1e9))) AS p
   FROM bv JOIN bu USING (bin, voter) GROUP BY 1, 2)
 """
 

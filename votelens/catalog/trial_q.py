@@ -17,7 +17,7 @@ from .scoring import _SPLIT
 SIZES, REPEATS = (200, 400), 3
 RANDOM = [(g, n) for g in SIZES for n in range(REPEATS)]
 
-_P = """round(1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE) + coalesce({s}, 0)))), 9)"""
+_P = """1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE) + coalesce({s}, 0) / 1e9)))"""
 
 
 def trial_sql(keys, golds_cte, trial_list, votes="lfirst"):
@@ -27,7 +27,7 @@ def trial_sql(keys, golds_cte, trial_list, votes="lfirst"):
   (count(*) FILTER (WHERE g.gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE g.gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE g.gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE g.gold = 1) + 10) AS s1
   FROM {votes} JOIN tg g USING (subject) WHERE g.gold IN (0, 1) GROUP BY ALL),
- tl AS (SELECT {k}, subject, sum(CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS llr
+ tl AS (SELECT {k}, subject, sum(CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT)) AS llr
   FROM {votes} JOIN tu USING (voter) GROUP BY ALL),
  tsc AS (SELECT {k}, subject, {_P.format(s='llr')} AS p, coalesce(gold, -1) AS gold
   FROM (SELECT DISTINCT subject FROM {votes}) CROSS JOIN ({trial_list}) LEFT JOIN tl USING ({k}, subject) LEFT JOIN golds USING (subject))
@@ -190,7 +190,7 @@ def _round_sql(n, labels):
     return f""", bu{n} AS (SELECT voter, (count(*) FILTER (WHERE g.gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE g.gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE g.gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE g.gold = 1) + 10) AS s1
   FROM lfirst LEFT JOIN (SELECT subject, gold FROM {labels} WHERE gold IN (0, 1)) g USING (subject) GROUP BY 1),
- bs{n} AS (SELECT {n} AS round, subject, {_P.format(s="sum(CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END)")} AS p
+ bs{n} AS (SELECT {n} AS round, subject, {_P.format(s="sum(CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT))")} AS p
   FROM lfirst JOIN bu{n} USING (voter) GROUP BY subject),
  sil{n} AS (SELECT {n} AS round, subject, p, coalesce(t.gold, CASE WHEN p < {LOW} THEN 0 WHEN p > {HIGH} THEN 1 END) AS gold, t.gold IS NOT NULL AS own
   FROM bs{n} FULL JOIN tr t USING (subject))"""

@@ -17,11 +17,12 @@ def first_vote_per_pair(votes: DataFrame) -> DataFrame:
     """Only a voter's first vote on a subject counts.
 
     ``min`` over one long that holds (seq, annotation): a hash aggregate with partial minima, so a pair
-    that repeats without end still arrives as one row per map task. Equal ``seq`` keeps the 0 vote.
+    that repeats without end still arrives as one row per map task. Equal ``seq`` keeps the 0 vote. A vote that is neither
+    0 nor 1 does not fit that number and does not count.
     """
     code = F.shiftleft(F.col("seq"), 1).bitwiseOR(F.col("annotation").cast("bigint"))
     # both null tests are spelled out, so every later join finds them in place and shares this shuffle
-    return (votes.where(F.col("voter").isNotNull() & F.col("subject").isNotNull())
+    return (votes.where(F.col("voter").isNotNull() & F.col("subject").isNotNull() & F.col("annotation").isin(0, 1))
             .groupBy("voter", "subject").agg(F.min(code).alias("_code"))
             .select("voter", "subject",
                     F.shiftright("_code", 1).alias("seq"),
@@ -78,10 +79,16 @@ def _factors():
         F.when(real, 1 - F.col("s0")).otherwise(F.col("s0"))
 
 
+NANO = 1e9
+
+
 def log_ratio() -> Column:
-    """Log of the factor a vote puts on the odds; null where a factor is zero."""
+    """Log of the factor a vote puts on the odds, in whole billionths; null where a factor is zero.
+
+    Whole numbers add up to the same sum in any order and in any engine, so equal votes tie exactly, however many there are.
+    """
     a, b = _factors()
-    return F.when((a > 0) & (b > 0), F.log(a / b))
+    return F.when((a > 0) & (b > 0), F.round(F.lit(NANO) * F.log(a / b)).cast("bigint"))
 
 
 def absorbed() -> Column:
@@ -95,8 +102,8 @@ def logistic(log_odds: Column) -> Column:
 
 
 def posterior(total: Column, fixed: Column | None, params: Params) -> Column:
-    p = F.round(logistic(F.log(F.lit(params.p0 / (1 - params.p0))) + F.coalesce(total, F.lit(0.0))),
-                params.score_digits)
+    """``total``: summed ``log_ratio``. Not rounded: scores differ as far as doubles do (up to log-odds of about 37)."""
+    p = logistic(F.log(F.lit(params.p0 / (1 - params.p0))) + F.coalesce(total, F.lit(0)) / F.lit(NANO))
     return p if fixed is None else F.coalesce(fixed.cast("double"), p)
 
 
@@ -159,7 +166,7 @@ rescore = static_scores
 def subject_prefix_scores(scored_votes: DataFrame, params: Params = Params(), keys=("subject",),
                           imported: bool = False, source: DataFrame | None = None) -> DataFrame:
     """Posterior after each vote, with the vote's position (0-based) in its subject's list."""
-    rows = scored_votes.withColumn("_llr", F.coalesce(log_ratio(), F.lit(0.0))).withColumn("_one", F.lit(1))
+    rows = scored_votes.withColumn("_llr", F.coalesce(log_ratio(), F.lit(0))).withColumn("_one", F.lit(1))
     mins = {}
     if imported:
         code = F.shiftleft(F.col("seq"), 1).bitwiseOR(absorbed().cast("bigint"))

@@ -59,9 +59,8 @@ def completeness_at(scores: DataFrame, threshold, runs=None) -> DataFrame:
 # ---- the score profile -----------------------------------------------------------------------
 
 def score_points(scores: DataFrame, runs: list[str]) -> DataFrame:
-    """One row per (run, score): how many subjects of each class stand there. Scores count as equal when
-    they agree to nine digits."""
-    return scores.groupBy(*runs, F.round("p", 9).alias("p")).agg(
+    """One row per (run, score): how many subjects of each class stand there."""
+    return scores.groupBy(*runs, "p").agg(
         F.count_if(F.col("gold") == -1).alias("m"),
         F.count_if(F.col("gold") == 0).alias("z"),
         F.count_if(F.col("gold") == 1).alias("o"))
@@ -70,9 +69,8 @@ def score_points(scores: DataFrame, runs: list[str]) -> DataFrame:
 def score_profile(scores: DataFrame, runs=None) -> DataFrame:
     """``score_points`` plus counts at or below each score (le_*) and per run (total_le_*).
 
-    Ordered in blocks of a thousandth of the unit interval: at nine digits a block cannot hold more than
-    a million distinct scores of a run, wherever the scores pile up, and the carried block totals are at
-    most 1,001 rows per run.
+    Ordered in blocks of equal log-odds, where scores that pile up at 0 and 1 stay apart; the carried block totals are
+    at most 8,001 rows per run.
     """
     df, keys = _runs(scores, runs)
     points = unit_blocks(score_points(df, keys), "p")

@@ -14,10 +14,10 @@ from .prefix import range_blocks, running, unit_blocks
 def quantiles(df: DataFrame, value: str, wanted: dict, keys: list[str], unit: bool = False) -> DataFrame:
     """One row per ``keys`` with a column per wanted quantile (place (n-1) * level, interpolated).
 
-    A level is a number, or a one-row frame that computes it. ``unit=True`` for values within [0, 1],
-    compared at nine digits; other values are range-partitioned.
+    A level is a number, or a one-row frame that computes it. ``unit=True`` for values within [0, 1];
+    others are range-partitioned.
     """
-    x = F.round(F.col(value).cast("double"), 9) if unit else F.col(value).cast("double")
+    x = F.col(value).cast("double")
     points = df.where(F.col(value).isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_k"))
     points = unit_blocks(points, "_x") if unit else range_blocks(points, keys, "_x")
     ran = running(points, keys, ["_x"], sums={"_le": "_k"}, totals=True)

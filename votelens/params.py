@@ -12,7 +12,6 @@ class Params:
     mdr: float = 0.1
     fpr: float = 0.01
     controversy: str = "pow"          # or "multiply"
-    score_digits: int = 9             # scores are rounded so ties do not depend on summation order
     # layout: a key with more rows than this is cut into ordered blocks
     split_rows: int = 1_000_000
     max_hot_keys: int = 4096

@@ -84,7 +84,7 @@ def trial_scores(first_votes: DataFrame, trial_golds: DataFrame, keys: list[str]
                .join(users.select(*keys, "voter", "s0", "s1"), "voter")
                .select(*keys, "subject", consensus.log_ratio().alias("llr")))
     base = (first_votes.select("subject").distinct().select("subject", F.explode(trials).alias("_t"))
-            .select(*[F.col(f"_t.{k}").alias(k) for k in keys], "subject", F.lit(0.0).alias("llr")))
+            .select(*[F.col(f"_t.{k}").alias(k) for k in keys], "subject", F.lit(0).cast("bigint").alias("llr")))
     return (touched.unionByName(base).groupBy(*keys, "subject").agg(F.sum("llr").alias("llr"))
             .select(*keys, "subject", consensus.posterior(F.col("llr"), None, params).alias("p")))
 

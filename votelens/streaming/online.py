@@ -17,17 +17,16 @@ from ..params import Params
 
 BATCH = "batch"
 WARM = -1
-BROADCAST_ROWS = 1_000_000
 
 _VOTES = T.StructType([T.StructField("classification_id", T.LongType()), T.StructField("voter", T.StringType()),
                        T.StructField("subject", T.LongType()), T.StructField("annotation", T.IntegerType()),
-                       T.StructField("scored", T.BooleanType())])
+                       T.StructField("seq", T.LongType()), T.StructField("scored", T.BooleanType())])
 _USERS = T.StructType([T.StructField("voter", T.StringType()), *[
     T.StructField(n, T.LongType()) for n in ("seen0", "match0", "seen1", "match1", "n")]])
-_SUBJECTS = T.StructType([T.StructField("subject", T.LongType()), T.StructField("llr", T.DoubleType()),
+_SUBJECTS = T.StructType([T.StructField("subject", T.LongType()), T.StructField("llr", T.LongType()),
                           T.StructField("n_votes", T.LongType())])
 _EMITTED = T.StructType([T.StructField("classification_id", T.LongType()), T.StructField("subject", T.LongType()),
-                         T.StructField("llr", T.DoubleType()), T.StructField("score", T.DoubleType())])
+                         T.StructField("llr", T.LongType()), T.StructField("score", T.DoubleType())])
 _TABLES = {"votes": _VOTES, "users": _USERS, "subjects": _SUBJECTS, "emitted": _EMITTED}
 _COUNTERS = ("seen0", "match0", "seen1", "match1", "n")
 
@@ -88,8 +87,9 @@ class OnlineScorer:
 
     def warm_start(self, log: DataFrame) -> "OnlineScorer":
         """State from an ordered log (dump, then stored online votes): ``classification_id, voter,
-        subject, annotation, seq``."""
-        return self._start(log)
+        subject, annotation, seq``. Ids that the log repeats count once, at their first place."""
+        first = log.groupBy("classification_id").agg(F.min(F.struct("seq", "voter", "subject", "annotation")).alias("v"))
+        return self._start(first.select("classification_id", "v.*"))
 
     def _start(self, log: DataFrame | None) -> "OnlineScorer":
         empty = {n: self.spark.createDataFrame([], s) for n, s in _TABLES.items()}
@@ -104,14 +104,10 @@ class OnlineScorer:
     def _touching(self, table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
         """Rows of a stored table that concern the batch's keys.
 
-        The batch side is counted (it is a written part, so from file footers) and broadcast while it is
-        small; the stored side, which grows without end, is then scanned in place and never shuffled. A
-        larger batch leaves the choice of join to Spark.
+        The batch side is a written part, so Spark knows its size and broadcasts it where that is small: the stored side,
+        which grows without end, is then scanned in place and not shuffled.
         """
-        side = keys.select(*on).distinct()
-        if keys.count() <= BROADCAST_ROWS:
-            side = F.broadcast(side)
-        return table.join(side, on, "left_semi")
+        return table.join(keys.select(*on), on, "left_semi")
 
     def process(self, votes: DataFrame, batch: int) -> None:
         """``foreachBatch`` body. ``votes``: ``classification_id, voter, subject, annotation``. Ids repeated
@@ -135,8 +131,6 @@ class OnlineScorer:
         self._write("votes", all_ids.withColumn("scored", F.col("_hit").isNotNull()), batch)
         # from here on the batch is read back from its own part, so it is computed once
         mine = self._read("votes").where((F.col(BATCH) == batch) & F.col("scored")).drop(BATCH, "scored")
-        mine = mine.withColumn("seq", F.col("classification_id")) if batch != WARM else \
-            mine.join(votes.select("classification_id", "seq"), "classification_id")
         labelled = consensus.votes_with_gold(mine, self.golds)
 
         adds = labelled.groupBy("voter").agg(
@@ -157,7 +151,7 @@ class OnlineScorer:
         prior = self._touching(self._state("subjects", batch), incoming, ["subject"]).groupBy("subject").agg(
             F.sum("llr").alias("_before"))
         scored = steps.join(prior, "subject", "left").withColumn(
-            "score", consensus.posterior(F.col("log_odds") + F.coalesce("_before", F.lit(0.0)), None, self.params))
+            "score", consensus.posterior(F.col("log_odds") + F.coalesce("_before", F.lit(0)), None, self.params))
         self._write("emitted", scored.withColumn("llr", consensus.log_ratio()), batch)
         self._write("subjects", self._read("emitted").where(F.col(BATCH) == batch).groupBy("subject").agg(
             F.sum("llr").alias("llr"), F.count("*").alias("n_votes")), batch)
