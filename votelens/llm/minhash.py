@@ -15,8 +15,8 @@ A pair at the threshold is missed with a probability of (1 - .8^4)^28 < 5e-7 by
 standard deviations); more similar pairs less often. Sets are compared by 64-bit hashes of their shingles.
 
 Cases: null or empty text (no words): no set, linked with nothing, a component of its own. Fewer words than a shingle: the whole sequence
-is the one shingle. Repeated rows: the same class. Rows that share a ``doc_id`` but not a text are judged by their text. Null ``doc_id``: judged
-like others, never names a component unless all its ids are null. Ties: the smallest id. Extra columns do not enter. Empty table: no rows.
+is the one shingle. Repeated rows: the same class. Rows that share a ``doc_id`` but not a text are judged by their text. Null ``doc_id``: such a row
+is in the class of its text and never names it; a text that only rows without id have is linked with nothing. Ties: the smallest id. Extra columns do not enter. Empty table: no rows.
 """
 from __future__ import annotations
 
