@@ -100,3 +100,29 @@ def bpe(data: bytes, ranks):
             return [ranks[p] for p in parts]
         i = best[1]
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def mix(docs, seed="mix", epochs=3, weights=(1, 2, 3)):
+    """[copies] of [(doc_id, text, source)]."""
+    size = [len(words(t)) for _, t, _ in docs]
+    names = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s))
+    have = {s: sum(n for n, d in zip(size, docs) if d[2] == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, rest, left = {s: 0. for s in names if not have[s]}, sum(size), [s for s in names if have[s]]
+    while left:
+        level = rest / sum(weight[s] for s in left)
+        full = [s for s in left if epochs * have[s] <= level * weight[s]]
+        for s in full or left:
+            target[s] = float(epochs * have[s]) if full else rest * weight[s] / sum(weight[x] for x in left)
+        if not full:
+            break
+        rest, left = rest - sum(epochs * have[s] for s in full), [s for s in left if s not in full]
+    copies = [0] * len(docs)
+    for s in names:
+        if have[s]:
+            whole = math.floor(target[s] / have[s])
+            at, more = 0, target[s] - whole * have[s]
+            for h, i in sorted((hashlib.md5(f"{seed}:{d[0]}".encode()).hexdigest(), i) for i, d in enumerate(docs) if d[2] == s):
+                copies[i] = whole + (whole < epochs and 2 * at + size[i] <= 2 * more)
+                at += size[i]
+    return copies
