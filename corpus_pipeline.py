@@ -15,9 +15,9 @@ ORACLE_SQL = None      # a fitted model and merges are not SQL; tests/llm compar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     p = quality.QualityParams()
-    return quality.keep_rows(docs, quality.fit(docs, labels, p), p)
+    return quality.keep_rows(docs, quality.fit(docs, labels, p), p, quality.fit_toxic(docs, labels, p))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

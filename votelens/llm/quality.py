@@ -8,6 +8,9 @@ Arrow batches (a gather and a sum per n-gram) against fixed thresholds.
 Cases: null text = empty text: all figures 0, ``base_failed`` true, ``kept`` false. A null or unlabelled ``doc_id`` is
 scored like any other. Several labels of one document: the lowest quality counts. Repeated rows are judged each.
 No usable labels (none, or one class only): the model has no say, every text that passes the base rules is kept.
+
+Toxic texts are the subject of a second model (``fit_toxic``) over the presence of words, A-Z lower-cased and without marks at their ends: an
+insult counts the same in a long text as in a short one; words whose link with the label could be chance take no part. Several labels of one document: toxic if one says so. A text goes if either model says so.
 """
 from __future__ import annotations
 
@@ -41,6 +44,10 @@ class QualityParams:
     repeat_share: float = .5
     symbols: bytes = b"#*$%&|<>"
     seed: int = 17
+    toxic_bits: int = 18           # hashed words of the toxic model
+    toxic_penalty: float = 1e-5
+    toxic_spread: float = 3.       # a word counts from so many times the spread that chance gives its weight's gradient
+    toxic_from: float = .5         # probability from which a text is toxic
 
 
 @dataclass(frozen=True)
@@ -75,6 +82,27 @@ def features(w: Words, p: QualityParams) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def present(w: Words, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of every hashed word that a document has, each once."""
+    start, end = w.start.copy(), w.end.copy()
+    while len(cut := np.flatnonzero(_MARK[w.data[end - 1]] & (end - start > 1))):
+        end[cut] -= 1
+    while len(cut := np.flatnonzero(_MARK[w.data[start]] & (end - start > 1))):
+        start[cut] += 1
+    h = Words(w.data, w.offsets, start, end, w.first).hashes(lower=True)
+    both = np.unique((w.doc << p.toxic_bits) | (mix(h) >> U(64 - p.toxic_bits)).astype(np.int64))
+    return both >> p.toxic_bits, both & ((1 << p.toxic_bits) - 1)
+
+
+def toxic_margins(w: Words, m: Model, p: QualityParams) -> np.ndarray:
+    doc, f = present(w, p)
+    return m.bias + np.bincount(doc, m.weights[f], len(w.offsets) - 1)
+
+
 def margins(w: Words, m: Model, p: QualityParams) -> np.ndarray:
     n = len(w.offsets) - 1
     total = np.full(n, m.bias)
@@ -122,38 +150,69 @@ def base_figures(batch: pa.RecordBatch, w: Words, p: QualityParams) -> dict:
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> Model | None:
     """Fit on at most ``p.fit_rows`` labelled documents (``labels``: doc_id, quality 0 / 1)."""
-    spark = docs.sparkSession
     known = (labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
              .agg(F.min("quality").cast("double").alias("label")))
+
+    def shares(w):
+        kinds = features(w, p)
+        for i in range(len(w.offsets) - 1):
+            total: dict = {}
+            for doc, f in kinds:
+                lo, hi = np.searchsorted(doc, (i, i + 1))
+                v, c = np.unique(f[lo:hi], return_counts=True)
+                total.update(zip(v.tolist(), (c / max(hi - lo, 1)).tolist()))
+            yield total
+    return _fit(docs, known, shares, (1 + len(p.word_n)) << p.bits, p)
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> Model | None:
+    """The model of toxic texts, fitted like ``fit`` on ``labels`` (doc_id, toxic 0 / 1)."""
+    known = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id")
+             .agg(F.max("toxic").cast("double").alias("label")))
+
+    def words(w):
+        doc, f = present(w, p)
+        cut = np.searchsorted(doc, np.arange(len(w.offsets)))
+        return (dict.fromkeys(f[a:b].tolist(), 1.) for a, b in zip(cut[:-1], cut[1:]))
+    return _fit(docs, known, words, 1 << p.toxic_bits, p, choose=True)
+
+
+def _fit(docs, known, values, size: int, p: QualityParams, choose: bool = False) -> Model | None:
+    """A calibrated logistic model of ``known`` (doc_id, label); ``values``: one {feature: value} per text of a slice.
+    ``choose``: an L1 fit first picks the features (none: no model)."""
     # at most fit_rows pairs of numbers: a proven bound, so the texts need no shuffle
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.fit_rows)
     chosen = chosen.withColumn("second", F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.lit(1000)) < 1000 * p.calibrate_share)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "second", "text")
-    size = (1 + len(p.word_n)) << p.bits
 
     def sparse(batches):
         for b in slices(batches):
-            w, out = split(b.column("text")), [[], []]
-            kinds = features(w, p)
-            for i in range(b.num_rows):
-                total: dict = {}
-                for doc, f in kinds:
-                    lo, hi = np.searchsorted(doc, (i, i + 1))
-                    v, c = np.unique(f[lo:hi], return_counts=True)
-                    total.update(zip(v.tolist(), (c / max(hi - lo, 1)).tolist()))
-                out[0].append(list(total))
-                out[1].append(list(total.values()))
+            rows = list(values(split(b.column("text"))))
             yield pa.RecordBatch.from_arrays(
-                [b.column("label"), b.column("second"), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float64()))],
-                ["label", "second", "at", "share"])
+                [b.column("label"), b.column("second"), pa.array([list(r) for r in rows], pa.list_(pa.int32())),
+                 pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))], ["label", "second", "at", "share"])
 
     vector = F.udf(lambda at, share: Vectors.sparse(size, sorted(zip(at, share))), VectorUDT())
     landed = land(rows.mapInArrow(sparse, "label double, second boolean, at array<int>, share array<double>"), "quality-fit")
-    landed = landed.select("label", "second", vector("at", "share").alias("features"))
+    raw_rows, landed = landed, landed.select("label", "second", vector("at", "share").alias("features"))
     if {r[0] for r in landed.where("NOT second").select("label").distinct().collect()} != {0., 1.}:
         return None
-    first = LogisticRegression(maxIter=p.iterations, regParam=p.penalty).fit(landed.where("NOT second"))
-    model = Model(first.coefficients.toArray(), float(first.intercept))
+    if choose:
+        n, share = landed.where("NOT second").agg(F.count("*"), F.avg("label")).first()
+        least = p.toxic_spread * (share * (1 - share) / n) ** .5
+        pick = LogisticRegression(maxIter=p.iterations, regParam=least, elasticNetParam=1.).fit(landed.where("NOT second"))
+        on = np.flatnonzero(pick.coefficients.toArray()).tolist()
+        if not on:
+            return None
+        places = {f: i for i, f in enumerate(on)}
+        few = F.udf(lambda at: Vectors.sparse(len(places), sorted((places[f], 1.) for f in at if f in places)), VectorUDT())
+        landed = raw_rows.select("label", "second", few("at").alias("features"))
+    first = LogisticRegression(maxIter=p.iterations, regParam=p.toxic_penalty if choose else p.penalty, standardization=not choose).fit(landed.where("NOT second"))
+    weights = first.coefficients.toArray()
+    if choose:
+        weights = np.zeros(size)
+        weights[on] = first.coefficients.toArray()
+    model = Model(weights, float(first.intercept))
     held = first.transform(landed.where("second"))
     margin = F.udf(lambda v: Vectors.dense([float(v[1])]), VectorUDT())
     held = held.select("label", margin("rawPrediction").alias("features"))
@@ -161,40 +220,42 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
         again = LogisticRegression(maxIter=p.iterations, regParam=1e-2, standardization=False).fit(held)
         if again.coefficients[0] > 0:
             model = Model(model.weights, model.bias, float(again.coefficients[0]), float(again.intercept))
-    del spark
     return model
 
 
-def score(docs: DataFrame, model: Model | None, p: QualityParams = QualityParams()) -> DataFrame:
-    """(doc_id, figures of ``BASE``, probability, kept) of every row of ``docs`` (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)      # one weight per feature: fixed size
+def score(docs: DataFrame, model: Model | None, p: QualityParams = QualityParams(), toxic: Model | None = None) -> DataFrame:
+    """(doc_id, figures of ``BASE``, probability, toxic, kept) of every row of ``docs`` (doc_id, text). ``toxic``: its probability."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, toxic))      # one weight per feature: fixed size
 
     def run(batches):
         for b in slices(batches):
             w = split(b.column("text"))
             got = base_figures(b, w, p)
-            m = sent.value
-            prob = m.probability(margins(w, m, p)) if m else np.ones(b.num_rows)
-            got |= {"probability": prob, "kept": ~got["base_failed"] & (prob >= p.keep)}
+            prob, bad = _probabilities(w, *sent.value, p)
+            got |= {"probability": prob, "toxic": bad, "kept": ~got["base_failed"] & (prob >= p.keep) & (bad < p.toxic_from)}
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, got.values())], ["doc_id", *got])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, {BASE}, probability double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, {BASE}, probability double, toxic double, kept boolean")
+
+
+def _probabilities(w: Words, model: Model | None, toxic: Model | None, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
+    n = len(w.offsets) - 1
+    return (model.probability(margins(w, model, p)) if model else np.ones(n),
+            toxic.probability(toxic_margins(w, toxic, p)) if toxic else np.zeros(n))
 
 
 def judge(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    return score(docs, fit(docs, labels, p), p)
+    return score(docs, fit(docs, labels, p), p, fit_toxic(docs, labels, p) if "toxic" in labels.columns else None)
 
 
-def keep_rows(docs: DataFrame, model: Model | None, p: QualityParams = QualityParams()) -> DataFrame:
+def keep_rows(docs: DataFrame, model: Model | None, p: QualityParams = QualityParams(), toxic: Model | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model, toxic))
 
     def run(batches):
         for b in slices(batches):
-            w, m = split(b.column("text")), sent.value
-            ok = ~base_figures(b, w, p)["base_failed"]
-            if m:
-                ok &= m.probability(margins(w, m, p)) >= p.keep
-            yield b.filter(pa.array(ok))
+            w = split(b.column("text"))
+            prob, bad = _probabilities(w, *sent.value, p)
+            yield b.filter(pa.array(~base_figures(b, w, p)["base_failed"] & (prob >= p.keep) & (bad < p.toxic_from)))
     return docs.mapInArrow(run, docs.schema)

@@ -55,7 +55,7 @@ def op3_mix_sources(spark, sf_dir):
 
 @register("op7_quality_rules")
 def op7_quality_rules(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
 _TOP = topk.TopKParams()
