@@ -4,7 +4,9 @@ Values are found by pattern and validated (Luhn, IBAN remainder, octets, calenda
 stay. A value is a number in a mixed-radix domain: digits stay digits, letters letters, fixed parts fixed. Two halves of that number take
 turns adding a keyed hash of the other, which is a bijection on the domain; results that break the format's rules are permuted again
 until one holds ("cycle walking", still a bijection). Hence one value has one pseudonym in every document, two values never share one,
-and the pseudonym passes the same validation. Dates are permuted as day numbers, so one day stays linked across notations.
+and the pseudonym passes the same validation. Dates are permuted as day numbers, so one day stays linked across notations. Of two numbers before a year, ``/`` has the month first where
+that is a date and the day first otherwise (``.`` always the day): 25/12/1980 is linked with 25.12.1980, but 03/04/1980 is March 4th, whatever its
+writer meant. Days above 12 are permuted among themselves, so the pseudonym is read in the same order.
 
 Kept in clear: the domain of a mail address, the country and first digits named below, separators. Cases: null text stays null, empty
 text empty; text without a private value is unchanged, byte for byte. Overlaps: the leftmost match wins, then the order of ``KINDS``.
@@ -31,9 +33,10 @@ _PATTERN = re.compile(r"""
 | (?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?\b)
 | (?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
 | (?P<date>(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])
+    |(?<![0-9/])[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}(?![0-9/])
     |(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])|(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/]))
 | (?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-| (?P<phone>(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])
+| (?P<phone>(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])
     |(?<![0-9+])\+[0-9]{1,3}[ -]\(?[0-9]{2,4}\)?[ -][0-9]{3,8}(?:[ -][0-9]{2,4})?(?![0-9])|(?<![0-9+])\+[0-9]{10,14}(?![0-9]))
 | (?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ ][0-9]{4}[ ][0-9]{4}[ ][0-9]{1,7}|-[0-9]{4}-[0-9]{4}-[0-9]{1,7})|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))
 """, re.X)
@@ -122,19 +125,33 @@ def _ip(s, p):
     return ".".join(map(str, x.to_bytes(4)))
 
 
-def _date(s, p):
-    sep = "-" if "-" in s else "." if "." in s else "/"
-    part = s.split(sep)
-    y, m, d = {"-": part, ".": part[::-1], "/": [part[2], part[0], part[1]]}[sep]
+def _day(y: str, m: str, d: str) -> int | None:
     try:
         at = datetime.date(int(y), int(m), int(d)).toordinal() - _DAY0
     except ValueError:
         return None
-    if not 0 <= at < _DAYS:
+    return at if 0 <= at < _DAYS else None
+
+
+def _date(s, p):
+    sep = "-" if "-" in s else "." if "." in s else "/"
+    part = s.split(sep)
+    # places of year, month and day; month/day is tried before day/month
+    for order in {"-": [(0, 1, 2)], ".": [(2, 1, 0)], "/": [(0, 1, 2)] if len(part[0]) == 4 else [(2, 0, 1), (2, 1, 0)]}[sep]:
+        at = _day(*(part[i] for i in order))
+        if at is not None:
+            break
+    else:
         return None
-    t = datetime.date.fromordinal(_DAY0 + permute(at, _DAYS, "date", p))
-    y, m, d = f"{t.year:04}", str(t.month).zfill(len(m)), str(t.day).zfill(len(d))
-    return sep.join({"-": (y, m, d), ".": (d, m, y), "/": (m, d, y)}[sep])
+
+    def late(x):
+        return datetime.date.fromordinal(_DAY0 + x).day > 12
+    # a day above 12 shows which number is the day: it stays above, so that the pseudonym is read in the same order
+    own = late(at)
+    t = datetime.date.fromordinal(_DAY0 + permute(at, _DAYS, "date", p, lambda x: late(x) == own))
+    for i, x in zip(order, (t.year, t.month, t.day)):
+        part[i] = str(x).zfill(len(part[i]))
+    return sep.join(part)
 
 
 def _ssn(s, p):
@@ -152,9 +169,11 @@ def _phone(s, p):
     if len(rest) < 7:
         return None
     if len(rest) == 10 and head in ("", "1"):
-        # in the number plan neither area nor exchange starts with 0 or 1; numbers outside it stay outside
+        # in the number plan neither area nor exchange starts with 0 or 1; numbers outside it stay outside, by area and by exchange
         def planned(x):
-            return f"{x:010}"[0] > "1" and f"{x:010}"[3] > "1"
+            return (area := f"{x:010}"[0] > "1"), area and f"{x:010}"[3] > "1"
+        if re.fullmatch(r"(1 ?)?[0-9]{3} [0-9]{3} [0-9]{4}", s) and not planned(int(rest))[0]:
+            return None         # bare groups with blanks are a number only where the area can be one
         own = planned(int(rest))
         return _refill(s, head + f"{permute(int(rest), 10**10, 'phone1', p, lambda x: planned(x) == own):010}")
     return _refill(s, head + permute_string(rest, f"phone{head}", p))
