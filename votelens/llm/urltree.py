@@ -10,13 +10,14 @@
    reaches ``reject``.
 Explicit rules (host and its subdomains, path prefix; the longest wins) come before the tree's verdict.
 
-Cases: null url or no ``://``: host and path empty, a node of its own. Empty path: no segments. Paths beyond ``depth`` segments
-share the node ``**`` there. Labels: several of one page count as bad if one is; of unknown pages they are ignored. No labels: every
+Cases: null url or no ``://``: host and path empty, a node of its own. Empty path: no segments. Paths of any depth are followed to
+their last segment. Labels: several of one page count as bad if one is; of unknown pages they are ignored. No labels: every
 template is allowed. Repeated rows count each and are returned each. Empty table: no rows.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,7 +28,7 @@ from ..session import land
 class UrlParams:
     """``rules``: (verdict, host + path prefix), a short list given by hand; each becomes an expression."""
     rules: tuple = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-    depth: int = 6
+    depth: int = 6                 # of the SQL only, which is right for paths of up to so many segments
     max_children: int = 20
     child_pages: int = 10          # children with fewer pages on average are variable
     similar: int = 4               # square of the z value below which branches are merged
@@ -52,19 +53,18 @@ def rule_of(host, path, p: UrlParams) -> tuple:
     return rule, verdict
 
 
-def form(path, p: UrlParams):
-    """Segments of a path with those of variable form as wildcards; deeper ones than ``depth`` together."""
+def form(path):
+    """Segments of a path with those of variable form as wildcards."""
     segs = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(segs, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}")
-                          .when(s.rlike(r"^[0-9]+\.[A-Za-z0-9]+$"), F.concat(F.lit("{n}."), F.regexp_extract(s, r"\.([A-Za-z0-9]+)$", 1)))
-                          .when(s.rlike(r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*$") & (F.length(s) >= 8), "{x}").otherwise(s))
-    return F.when(F.size(general) > p.depth, F.concat(F.slice(general, 1, p.depth), F.array(F.lit("**")))).otherwise(general)
+    return F.transform(segs, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}")
+                       .when(s.rlike(r"^[0-9]+\.[A-Za-z0-9]+$"), F.concat(F.lit("{n}."), F.regexp_extract(s, r"\.([A-Za-z0-9]+)$", 1)))
+                       .when(s.rlike(r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*$") & (F.length(s) >= 8), "{x}").otherwise(s))
 
 
 def templates(pages: DataFrame, bad: DataFrame, p: UrlParams) -> tuple[DataFrame, DataFrame]:
     """Pages with ``host``, ``path`` and ``form``; counts per (host, form). ``bad``: page_id, bad 0 / 1."""
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("form", F.array_join(form(F.col("path"), p), "/"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("form", F.array_join(form(F.col("path")), "/"))
     known = bad.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counts = (rows.select("page_id", "host", "form").join(known, "page_id", "left").groupBy("host", "form")
               .agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b")))
@@ -72,10 +72,21 @@ def templates(pages: DataFrame, bad: DataFrame, p: UrlParams) -> tuple[DataFrame
 
 
 def grow(counts: DataFrame, p: UrlParams) -> DataFrame:
-    """(host, form, n, l, b, template): every form's place in the generalised tree."""
-    t = counts.withColumn("segs", F.split("form", "/")).withColumn("template", F.lit(""))
-    for level in range(p.depth + 1):
-        t = t.withColumn("seg", F.get("segs", F.lit(level)))
+    """(host, form, n, l, b, template): every form's place in the generalised tree.
+
+    Rounds go on until no form has a further segment. A segment that all forms of a node share is an only child, which keeps its name; so each
+    round first takes the segments that a node's forms have in common at once, and rounds grow with the branchings of a path only.
+    """
+    t = land(counts.withColumn("segs", F.split("form", "/")).withColumn("template", F.lit("")).withColumn("at", F.lit(0)), "url-tree")
+    grown = []
+    while True:
+        rest = F.slice("segs", F.col("at") + 1, F.size("segs"))
+        ends = t.groupBy("host", "template").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+        # the least and the greatest differ where any two do; 0: nowhere
+        differ = F.array_position(F.zip_with("lo", "hi", lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+        shared = ends.select("host", "template", F.when(differ == 0, F.size("lo")).otherwise(differ - 1).alias("shared"))
+        t = t.join(shared, ["host", "template"]).withColumn("template", F.concat_ws("/", "template", F.slice("segs", F.col("at") + 1, F.col("shared"))))
+        t = t.withColumn("at", F.col("at") + F.col("shared")).drop("shared").withColumn("seg", F.get("segs", F.col("at")))
         child = t.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in "nlb"])
         node = child.where("seg IS NOT NULL").groupBy("host", "template").agg(
             F.count("*").alias("k"), *[F.sum(c).alias(f"all_{c}") for c in "nlb"])
@@ -93,9 +104,13 @@ def grow(counts: DataFrame, p: UrlParams) -> DataFrame:
                          .otherwise(F.col("seg")).alias("name")))
         t = (t.join(named, ["host", "template", "seg"], "left")
              .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name")))
-             .drop("name", "seg"))
+             .withColumn("at", F.col("at") + 1).drop("name", "seg"))
         t = land(t, "url-tree")
-    return t.drop("segs")
+        more = F.size("segs") > F.col("at")
+        grown.append(t.where(~more).drop("segs", "at"))
+        t = t.where(more)
+        if not t.limit(1).count():
+            return reduce(DataFrame.unionByName, grown)
 
 
 def judged(grown: DataFrame, p: UrlParams) -> DataFrame:
