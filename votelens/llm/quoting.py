@@ -1,9 +1,12 @@
 """Quotation linking: conversations in reply order, without what they quote, in DataFrame operations.
 
-A line that starts with ``>`` marks is quoted, its level is their number; the other lines are the message's own. Quoted lines are normalised (marks
-taken off, white space collapsed, A-Z lower-cased), hashed and joined to the own lines of the same conversation: a quoted line belongs to the
-earliest message that has it as its own, if that came before. A message replies to the origin of most of its lines of the lowest
-level with a link (ties: the later message). Own lines are reduced to the first message per conversation and hash before the join, so a line
+A line that starts with ``>`` marks is quoted, its level is their number; the other lines are the message's own. Lines are normalised (marks
+taken off, white space collapsed, A-Z lower-cased). Adjacent lines of one level are a passage; a message's keys are the hashes of its lines and of all runs of
+four words of its passages, so passages that were re-wrapped or cut within a line are found. A quoted key belongs to the earliest message that has it
+as its own, if that came before; but where the message that most runs of the level belong to has it too, it belongs to that one. So a line that
+many messages have goes with its passage. A quoted line belongs to the origin of its keys (the level's main one first, then most keys, then the
+earlier). Less than four words that are no whole line link nothing. A message replies to the origin of most of its lines of the lowest
+level with a link (ties: the later message). Own keys are reduced to the first message per conversation and hash before the join, so a line
 that every message repeats is one row. Threads are followed by pointer doubling, whose rounds grow with the logarithm of the longest chain.
 
 ``position`` is the place within the conversation by (first turn of the thread, turn). It is counted in range blocks, so no task holds a whole
@@ -13,6 +16,9 @@ Repeated rows are returned each. A quote of nobody's words links nothing and is
 """
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.prefix import range_blocks, running
@@ -31,23 +37,68 @@ def _normal(line):
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with ``content`` (own lines), ``own`` (hashes of them) and ``quoted`` (level, hash) arrays."""
+    """Messages with ``content`` (own lines), the ``levels`` and normalised ``words`` of all lines, and the levels of ``quoted`` ones."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(
         x.alias("line"), _level(x).alias("level"), _normal(x).alias("words")))
     content = F.array_join(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.line), "\n")
     return messages.select("conv_id", "turn", "role", lines.alias("lines")).select(
         "conv_id", "turn", "role", F.regexp_replace(content, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("content"),
-        F.transform(F.filter("lines", lambda x: (x.level == 0) & (x.words != "")), lambda x: F.md5(x.words)).alias("own"),
-        F.transform(F.filter("lines", lambda x: (x.level > 0) & (x.words != "")), lambda x: F.struct(x.level.alias("level"), F.md5(x.words).alias("h"))).alias("quoted"),
+        F.transform("lines", lambda x: x.level).alias("levels"), F.transform("lines", lambda x: x.words).alias("words"),
+        F.transform(F.filter("lines", lambda x: (x.level > 0) & (x.words != "")), lambda x: x.level).alias("quoted"),
         F.coalesce(F.array_max(F.transform("lines", lambda x: x.level)), F.lit(0)).alias("max_level"))
 
 
+RUN = 4        # words of a run
+
+
+def keys_of(levels: list, words: list) -> list[tuple]:
+    """(level, line, hash) of one message: every line of words, and every run of ``RUN`` words of a passage (adjacent lines of one level) for
+    each line it touches. ``words``: the normalised lines."""
+    out, at = [], 0
+    while at < len(levels):
+        end = at
+        while end < len(levels) and levels[end] == levels[at]:
+            end += 1
+        flat = [(w, i) for i in range(at, end) for w in words[i].split()]
+        out += [(levels[at], i, "l" + hashlib.md5(words[i].encode()).hexdigest()) for i in range(at, end) if words[i]]
+        for j in range(len(flat) - RUN + 1):
+            h = "r" + hashlib.md5(" ".join(w for w, _ in flat[j:j + RUN]).encode()).hexdigest()
+            out += [(levels[at], i, h) for i in sorted({i for _, i in flat[j:j + RUN]})]
+        at = end
+    return out
+
+
+def _keys(msgs: DataFrame) -> DataFrame:
+    """(conv_id, turn, msg, level, line, h) of the messages of every conversation that quotes at all."""
+    placed = msgs.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    placed = placed.join(placed.where("size(quoted) > 0").select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "msg", "levels", "words")
+    kind = {c: placed.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
+
+    def run(batches):
+        for b in batches:
+            found = [keys_of(*x) for x in zip(b.column("levels").to_pylist(), b.column("words").to_pylist())]
+            of = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+            level, line, h = zip(*[k for x in found for k in x]) if len(of) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in ("conv_id", "turn", "msg")], pa.array(level, pa.int32()), pa.array(line, pa.int32()),
+                                              pa.array(h, pa.string())], ["conv_id", "turn", "msg", "level", "line", "h"])
+    return placed.mapInArrow(run, f"conv_id {kind['conv_id']}, turn {kind['turn']}, msg long, level int, line int, h string")
+
+
 def links(msgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, turn, level, origin, n): quoted lines per origin; (conv_id, turn, reply_to): the message replied to."""
-    placed = msgs.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    quoted = placed.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.h")
-    origin = placed.select("conv_id", "turn", F.explode(F.array_distinct("own")).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    found = land(quoted.join(origin, ["conv_id", "h"]).where("origin < turn").groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("n")), "quote-links")
+    keys = land(_keys(msgs), "quote-keys")
+    own = keys.where("level = 0").select("conv_id", "turn", "h").distinct()
+    origin = own.groupBy("conv_id", "h").agg(F.min("turn").alias("first"))
+    quoted = keys.where("level > 0").join(origin, ["conv_id", "h"]).where("first < turn")
+    # most runs of a message's level are from one origin; whatever of the level that one has is its own, too
+    votes = quoted.where(F.col("h").startswith("r")).groupBy("conv_id", "turn", "level", "first").agg(F.count("*").alias("n"))
+    main = votes.groupBy("conv_id", "turn", "level").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("main"))
+    has = own.withColumnRenamed("turn", "main").withColumn("has", F.lit(True))
+    quoted = quoted.join(main, ["conv_id", "turn", "level"], "left").join(has, ["conv_id", "main", "h"], "left")
+    of = quoted.groupBy("conv_id", "turn", "msg", "level", "line", F.when(F.col("has"), F.col("main")).otherwise(F.col("first")).alias("origin")).agg(
+        F.max(F.coalesce("has", F.lit(False))).alias("has"), F.count("*").alias("n"))
+    line = of.groupBy("conv_id", "turn", "msg", "level", "line").agg(F.max_by("origin", F.struct("has", "n", -F.col("origin"))).alias("origin"))
+    found = land(line.groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("n")), "quote-links")
     best = F.max(F.struct((-F.col("level")).alias("l"), "n", "origin"))
     return found, found.groupBy("conv_id", "turn").agg(best.alias("m")).select("conv_id", "turn", F.col("m.origin").alias("reply_to"))
 
@@ -67,7 +118,7 @@ def threads(parents: DataFrame) -> DataFrame:
 
 def conversations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, position, reply_to, thread, depth, n_quoted, n_linked, max_level, content, chat."""
-    msgs = land(parsed(messages.select("conv_id", "turn", "role", "text")), "quote-parsed")
+    msgs = land(parsed(messages.select("conv_id", "turn", "role", "text")).withColumn("msg", F.monotonically_increasing_id()), "quote-parsed")
     found, parents = links(msgs)
     linked = found.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"))
     # lines of messages that share a turn are counted together; each such row carries the sum
