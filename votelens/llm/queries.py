@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, maxent, minhash, mixing, pii, quality, quoting, rlz, topk, urltree
+from . import bpe, decontam, hardneg, maxent, minhash, mixing, pii, quality, quoting, repair, rlz, topk, urltree
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -100,3 +100,24 @@ def op4_lm_score(spark, sf_dir):
 @register("op5_quote_links", quoting.ORACLE)
 def op5_quote_links(spark, sf_dir):
     return quoting.conversations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+_DECONTAM = decontam.DecontamParams()
+
+
+@register("op13_decontaminate", decontam.ORACLE.replace("{window}", str(_DECONTAM.window)))
+def op13_decontaminate(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), _DECONTAM)
+
+
+_HARD = hardneg.HardNegParams()
+
+
+@register("op11_hard_negatives", hardneg.oracle(_HARD))
+def op11_hard_negatives(spark, sf_dir):
+    return hardneg.mine(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), _HARD)
+
+
+@register("op12_conversation_repair", repair.ORACLE)
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))

@@ -107,9 +107,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]] if len(data) else data, off - off[0]
 
 
-def split(column: pa.Array) -> Words:
+def split(column: pa.Array, gaps: np.ndarray = _SPACE) -> Words:
+    """``gaps``: which of the 256 bytes stand between words (ASCII only, so that bytes and code points agree)."""
     data, off = raw(column)
-    w = ~_SPACE[data]
+    w = ~gaps[data]
     s, e = w.copy(), w.copy()
     if len(w):
         s[1:] &= ~w[:-1]
