@@ -47,7 +47,7 @@ def test_against_sequential(spark, seed, split_rows):
     """Whole windows and windows cut into blocks give the same as one vote after the other."""
     log, golds = random_log(seed)
     votes, g = frames(spark, log, golds)
-    params = Params(split_rows=split_rows, max_blocks=8)
+    params = Params(split_rows=split_rows, shares=64)
     hist, users, at_vote = sequential(log, golds)
     dyn = C.dynamic_votes(votes, g, params)
     got = {(r.voter, r.subject): (r.s0, r.s1) for r in dyn.collect()}
@@ -77,7 +77,7 @@ def test_imported_zeros_and_ones(spark, split_rows):
     df = spark.createDataFrame([(*v, *users[v[0]]) for v in log], VOTES + ", s0 double, s1 double")
     got = {x.subject: x.p for x in C.subject_scores(df, imported=True).collect()}
     assert got == pytest.approx({s: h[-1] for s, h in hist.items()}, abs=1e-8)
-    steps = C.subject_prefix_scores(df, Params(split_rows=split_rows, max_blocks=4), imported=True)
+    steps = C.subject_prefix_scores(df, Params(split_rows=split_rows, shares=64), imported=True)
     assert {(x.subject, x.step): x.p for x in steps.collect()} == pytest.approx(
         {(s, k): p for s, h in hist.items() for k, p in enumerate(h) if k}, abs=1e-8)
 

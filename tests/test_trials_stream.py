@@ -80,7 +80,7 @@ def test_bootstrap_rounds(spark, world):
 def test_stream_batches_equal_one_run_and_replays_change_nothing(spark, world, tmp_path):
     log, golds, votes, g = world
     hist, users, _ = sequential(log, golds)
-    scorer = OnlineScorer(spark, str(tmp_path / "s"), g, Params(split_rows=15, max_blocks=4), compact_every=2).start_cold()
+    scorer = OnlineScorer(spark, str(tmp_path / "s"), g, Params(split_rows=15, shares=64), compact_every=2).start_cold()
     df = votes.withColumnRenamed("seq", "classification_id")
     cuts = [0, 60, 61, 150, 250]
     for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):

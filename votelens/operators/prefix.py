@@ -9,48 +9,54 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DatetimeType, NumericType
 
 from ..params import Params
 from ..session import land
 
 BLOCK = "block"
+STEP = 32
+
+
+def hot_cuts(source: DataFrame, key: str, order: str, params: Params = Params()) -> DataFrame:
+    """(key, _coarse, _fine): where the rows of each large key are cut, as a table that is computed with the query.
+
+    A block should hold ``split_rows`` rows, or the table's rows over ``shares`` if that is more. A key above that is cut
+    into as many blocks as it needs, at quantiles of ``order`` over its own rows, so neither many large keys nor a burst at one time fill a block. The quantiles
+    only place the cuts; the sums stay exact. Keys that hold more than one ``shares``-th of all rows are fewer than ``shares``, and so are
+    the cuts of all keys together: that bounds what is broadcast, whatever the size of the table.
+    """
+    n = params.shares
+    fair = F.greatest(F.lit(params.split_rows), F.ceil(source.agg(F.count("*")).scalar() / n))
+    rows = source.select(F.col(key).alias("_key"), F.col(order).alias("_at")).where("_key IS NOT NULL")
+    large = rows.groupBy("_key").agg(F.count("*").alias("_n")).withColumn("_fair", fair).where("_n > _fair")
+    large = large.select("_key", F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_blocks"))
+    marks = rows.join(F.broadcast(large), "_key").groupBy("_key").agg(
+        F.first("_blocks").alias("_blocks"), F.percentile_approx("_at", [i / n for i in range(1, n)], 10 * n).alias("_q"))
+    at = F.transform(F.sequence(F.lit(1), F.col("_blocks") - 1), lambda i: F.element_at("_q", F.greatest(F.floor(i * n / F.col("_blocks")).cast("int"), F.lit(1))))
+    cuts = marks.select("_key", F.array_distinct(at).alias("_cuts"))
+    # two levels of at most ``STEP`` cuts and their heads, so that a row is placed by a few dozen comparisons
+    fine = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / STEP).cast("int")), lambda j: F.slice("_cuts", STEP * j + 1, F.lit(STEP)))
+    return cuts.select("_key", fine.alias("_fine")).select("_key", F.transform("_fine", lambda f: f[0]).alias("_coarse"), "_fine")
 
 
 def hot_blocks(df: DataFrame, key: str, order: str, params: Params = Params(),
                source: DataFrame | None = None) -> DataFrame:
-    """Add ``block`` for the keys that hold more than ``params.split_rows`` rows.
+    """Add ``block``: it grows with ``order`` within a large key (see ``hot_cuts``) and is -1 for all others.
 
-    One small job counts rows per key (partial counts before the shuffle) and brings back at most
-    ``max_hot_keys`` keys. It reads ``source`` if given: an earlier table with at least these rows, so that
-    the count is a scan of one column and not a run of everything before this step. Without a hot key the frame is returned as it came. Otherwise the rows of the
-    hot keys are cut at quantiles of ``order`` taken over all of them, so each block holds at most about
-    1/``max_blocks`` of those rows. The quantiles only place the cuts; the sums stay exact.
+    Building the plan starts no job. The rows per key are counted with partial counts, from ``source`` if given: an earlier table with
+    at least these rows, so that the count is a scan of two columns. Where no key is large the cuts are an empty table, and adaptive execution takes the
+    join and all that follows from it out of the plan. An order that is neither number nor time is not cut.
     """
-    source = df if source is None else source
-    hot = [r[0] for r in (
-        source.groupBy(key).count()
-        .where(F.col("count") > params.split_rows)
-        .orderBy(F.desc("count"), key)
-        .limit(params.max_hot_keys)
-        .collect())]
-    if not hot:
-        return df
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    rows = source.where(is_hot).select(F.col(order).cast("double").alias("o"))
-    steps = [i / params.max_blocks for i in range(1, params.max_blocks)]
-    n, cuts = rows.agg(F.count("*"), F.percentile_approx("o", steps, 10 * params.max_blocks)).first()
-    wanted = min(params.max_blocks, max(2, -(-n // params.split_rows)))
-    cuts = sorted({cuts[i * params.max_blocks // wanted - 1] for i in range(1, wanted)})
-    bounds = [float("-inf"), *cuts, float("inf")]
-    if len(bounds) < 3:
+    if not isinstance(df.schema[order].dataType, (NumericType, DatetimeType)):
         return df
-    cut = Bucketizer(splits=bounds, inputCol="_order", outputCol="_block")
-    placed = cut.transform(df.withColumn("_order", F.col(order).cast("double")))
-    return (placed
-            .withColumn(BLOCK, F.when(is_hot, F.col("_block").cast("int")).otherwise(F.lit(-1)))
-            .drop("_order", "_block"))
+    cuts = hot_cuts(df if source is None else source, key, order, params)
+    below = lambda marks: F.size(F.filter(marks, lambda c: c < F.col(order)))
+    head = below(F.col("_coarse"))
+    block = F.when(F.col("_fine").isNull(), -1).when(head == 0, 0).otherwise(STEP * (head - 1) + below(F.element_at("_fine", head)))
+    placed = df.join(F.broadcast(cuts), F.col(key) == F.col("_key"), "left")
+    return placed.withColumn(BLOCK, block.cast("int")).drop("_key", "_coarse", "_fine")
 
 
 def range_blocks(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -109,7 +115,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict | None
         *[F.sum(f"_s_{n}").over(before).alias(f"_c_{n}") for n in sums],
         *[F.min(f"_m_{n}").over(before).alias(f"_c_{n}") for n in mins],
         *([F.sum(f"_s_{n}").over(every).alias(f"total_{n}") for n in sums] if totals else []))
-    joined = local.join(carry, parts, "left")
+    # large keys have fewer blocks than twice ``shares``; with further keys beside them Spark decides by size
+    joined = local.join(F.broadcast(carry) if hot_only and len(keys) == 1 else carry, parts, "left")
     joined = joined.withColumns({
         **{n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums},
         **{n: F.least(F.col(n), F.col(f"_c_{n}")) for n in mins}})

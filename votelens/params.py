@@ -12,10 +12,9 @@ class Params:
     mdr: float = 0.1
     fpr: float = 0.01
     controversy: str = "pow"          # or "multiply"
-    # layout: a key with more rows than this is cut into ordered blocks
+    # layout of ordered windows: rows that a block should hold, or one of so many shares of the table if that is more
     split_rows: int = 1_000_000
-    max_hot_keys: int = 4096
-    max_blocks: int = 1024
+    shares: int = 2048
 
     def __post_init__(self):
         if self.gamma <= 0:
