@@ -18,34 +18,92 @@ def world(spark):
         spark.createDataFrame(sorted(golds.items()), "subject long, gold int").persist()
 
 
-def test_trials_equal_separate_runs(spark, world):
-    log, golds, votes, g = world
-    trials = [(3, 0), (3, 1), (8, 0), (8, 1)]
-    tg = X.random_trial_golds(g, [3, 8], 2, seed=1).persist()
-    got = X.trial_scores(C.first_vote_per_pair(votes), tg, ["golds", "n"], X.trial_list(("golds", "n"), trials)).collect()
-    for t in trials:
-        used = {r.subject: r.gold for r in tg.where((F.col("golds") == t[0]) & (F.col("n") == t[1])).collect()}
-        assert len(used) == t[0] and all(golds[s] == v for s, v in used.items())
+def separate(log, used, golds):
+    """Scores of one trial per class, one subject after the other."""
+    hist, _ = static(log, used)
+    return {c: sorted(h[-1] for s, h in hist.items() if golds.get(s, -1) == c) for c in (-1, 0, 1)}
+
+
+def check_trials(trials, votes, log, golds, g, wanted=None):
+    first = C.first_vote_per_pair(votes)
+    member = {}
+    for r in trials.golds().collect():
+        member.setdefault(tuple(r[k] for k in trials.keys), {})[r.subject] = r.gold
+    points, scores, last = {}, {}, trials.last.first()[0] if trials.last else trials.n
+    for r in trials_points(first, trials, g):
+        at = points.setdefault(tuple(r[k] for k in trials.keys), {-1: [], 0: [], 1: []})
+        for c, n in ((-1, r.m), (0, r.z), (1, r.o)):
+            at[c] += [r.p] * n
+    for r in X.trial_scores(first, trials).collect():
+        scores.setdefault(tuple(r[k] for k in trials.keys), {})[r.subject] = r.p
+    keys = [tuple(r)[1:] for r in trials.table.collect()]
+    assert set(scores) == set(keys) and len(keys) == trials.n and set(points) == set(keys[:last + 1])
+    for t in keys:
+        used = member.get(t, {})
+        assert wanted is None or used == wanted(t)
         hist, _ = static(log, used)
-        assert {r.subject: r.p for r in got if (r.golds, r.n) == t} == pytest.approx({s: h[-1] for s, h in hist.items()}, abs=2e-9)
+        assert scores[t] == pytest.approx({s: h[-1] for s, h in hist.items()}, abs=2e-9)
+        assert t not in points or {c: sorted(p) for c, p in points[t].items()} == {c: pytest.approx(p, abs=2e-9) for c, p in separate(log, used, golds).items()}
+    flat = trials.for_all(X.trial_gold_metrics(X.trial_points(first, trials, g), list(trials.keys), .3)).collect()
+    assert len(flat) == trials.n
+    for r in flat:
+        p, t = scores[tuple(r[k] for k in trials.keys)], [golds.get(s, -1) for s in scores[keys[0]]]
+        real = [s for s in p if golds.get(s) == 1]
+        assert (r.n_none, r.n_bogus, r.n_real) == tuple(sum(x == v for x in t) for v in (-1, 0, 1))
+        assert r.completeness == pytest.approx(sum(p[s] > .3 for s in real) / len(real))
+
+
+def trials_points(first, trials, g):
+    return X.trial_points(first, trials, g).collect()
+
+
+def test_random_trials_equal_separate_runs(spark, world):
+    log, golds, votes, g = world
+    trials = X.random_trials(g, [3, 8], 2, seed=1)
+    check_trials(trials, votes, log, golds, g)
+    rows = trials.golds().collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.golds, r.n] = sizes.get((r.golds, r.n), 0) + 1
+        assert golds[r.subject] == r.gold
+    assert sizes == {(3, 0): 3, (3, 1): 3, (8, 0): 8, (8, 1): 8}
 
 
 def test_ordered_trials_grow(spark, world):
-    _, _, _, g = world
-    rows = X.ordered_trial_golds(g, 2, 8, 3).collect()
+    log, golds, votes, g = world
+    trials = X.ordered_trials(g, 2, 8, 3)
+    rows = trials.golds().collect()
     sets = {n: {r.subject for r in rows if r.n == n} for n in {r.n for r in rows}}
     assert {n: len(s) for n, s in sets.items()} == {0: 5, 1: 8, 2: 11}
     assert sets[0] < sets[1] < sets[2]
+    check_trials(trials, votes, log, golds, g)
+    # more blocks than one, and prefixes longer than there are labels
+    long = X.ordered_trials(g, 0, 300, 1)
+    labelled = sum(v >= 0 for v in golds.values())
+    assert long.n == 301 and X.trial_points(C.first_vote_per_pair(votes), long, g).select("n").distinct().count() == labelled
+    check_trials(X.ordered_trials(g, 0, 130, 1), votes, log, golds, g)
 
 
 def test_cv_grid_members(spark, world):
-    _, _, votes, g = world
-    rows = X.cv_grid_trial_golds(votes, g, range(0, 5, 2), range(0, 5, 4)).collect()
+    log, golds, votes, g = world
+    trials = X.cv_grid_trials(votes, g, range(0, 5, 2), range(0, 5, 4))
     size = {}
-    for r in rows:
+    for r in trials.golds().collect():
         size.setdefault((r.controversial, r.consensus), set()).add(r.subject)
     assert (0, 0) not in size and len(size[(2, 0)]) == 2 and len(size[(0, 4)]) == 4
-    assert size[(4, 4)] == size[(4, 0)] | size[(0, 4)]
+    assert size[(4, 4)] == size[(4, 0)] | size[(0, 4)] and size[(2, 4)] == size[(2, 0)] | size[(0, 4)]
+    check_trials(trials, votes, log, golds, g)
+
+
+def test_untouched_subjects_have_no_rows(spark):
+    """Two groups of voters who never meet: labels in one leave no row for the subjects of the other."""
+    votes = spark.createDataFrame([(f"a{k}", s, (s + k) % 2, 100 * s + k) for s in range(5) for k in range(4)]
+                                  + [(f"b{k}", s, k % 2, 100 * s + k) for s in range(50, 80) for k in range(4)], VOTES)
+    g = spark.createDataFrame([(s, s % 2) for s in range(5)], "subject long, gold int")
+    first, trials = C.first_vote_per_pair(votes), X.ordered_trials(g, 0, 4, 2)
+    assert {r.subject for r in X.moved_scores(first, trials).collect()} <= set(range(5))
+    per = X.trial_points(first, trials, g).groupBy("n").agg(F.sum(F.col("m") + F.col("z") + F.col("o")).alias("all"), F.max("m").alias("m")).collect()
+    assert {(r["all"], r.m) for r in per} == {(35, 30)}
 
 
 def test_gold_choices(spark, world):
@@ -80,7 +138,7 @@ def test_bootstrap_rounds(spark, world):
 def test_stream_batches_equal_one_run_and_replays_change_nothing(spark, world, tmp_path):
     log, golds, votes, g = world
     hist, users, _ = sequential(log, golds)
-    scorer = OnlineScorer(spark, str(tmp_path / "s"), g, Params(split_rows=15, shares=64), compact_every=2).start_cold()
+    scorer = OnlineScorer(spark, str(tmp_path / "s"), g, Params(split_rows=15, shares=64), buckets=4, fan=2).start_cold()
     df = votes.withColumnRenamed("seq", "classification_id")
     cuts = [0, 60, 61, 150, 250]
     for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):

@@ -14,30 +14,33 @@ from .base import query
 from .parsing_q import ANSWERS, messages
 from .scoring import _SPLIT
 
-SIZES, REPEATS = (200, 400), 3
-RANDOM = [(g, n) for g in SIZES for n in range(REPEATS)]
+# The experiments' own lists (sizes and repeats; counts of the grid; start, end and step of the growing series).
+SIZES, REPEATS = (1000, 2000), 10
+CV = CN = range(0, 2001, 50)
+ORDERED = (5000, 50_000, 10)
+FINE = (0, 1300, 10)          # a series that is as long as the small tables have labels
 
 _P = """1 / (1 + exp(-(ln(0.12::DOUBLE / 0.88::DOUBLE) + coalesce({s}, 0) / 1e9)))"""
 
 
 def trial_sql(keys, golds_cte, trial_list, votes="lfirst"):
-    """Scores of every trial: ``tsc(keys, subject, p, gold)``."""
+    """Scores of every trial: ``tsc(keys, subject, p, gold)``; ``golds_cte`` defines ``tg`` (keys, subject, gold)."""
     k = ", ".join(keys)
     return golds_cte + f""", tu AS (SELECT {k}, voter,
   (count(*) FILTER (WHERE g.gold = 0 AND annotation = 0) + 5.0::DOUBLE) / (count(*) FILTER (WHERE g.gold = 0) + 10) AS s0,
   (count(*) FILTER (WHERE g.gold = 1 AND annotation = 1) + 5.0::DOUBLE) / (count(*) FILTER (WHERE g.gold = 1) + 10) AS s1
   FROM {votes} JOIN tg g USING (subject) WHERE g.gold IN (0, 1) GROUP BY ALL),
- tl AS (SELECT {k}, subject, sum(CAST(round(1e9 * CASE WHEN annotation = 1 THEN ln(s1 / (1 - s0)) ELSE ln((1 - s1) / s0) END) AS BIGINT)) AS llr
-  FROM {votes} JOIN tu USING (voter) GROUP BY ALL),
- tsc AS (SELECT {k}, subject, {_P.format(s='llr')} AS p, coalesce(gold, -1) AS gold
-  FROM (SELECT DISTINCT subject FROM {votes}) CROSS JOIN ({trial_list}) LEFT JOIN tl USING ({k}, subject) LEFT JOIN golds USING (subject))
+ tw AS (SELECT {k}, voter, CAST(round(1e9 * ln(s1 / (1 - s0))) AS BIGINT) AS l1, CAST(round(1e9 * ln((1 - s1) / s0)) AS BIGINT) AS l0 FROM tu),
+ tl AS (SELECT {k}, subject, sum(CASE WHEN annotation = 1 THEN l1 ELSE l0 END) AS llr FROM {votes} JOIN tw USING (voter) GROUP BY ALL),
+ tsc AS (SELECT {k}, v.subject, {_P.format(s='llr')} AS p, coalesce(gg.gold, -1) AS gold
+  FROM (SELECT DISTINCT subject FROM {votes}) v CROSS JOIN ({trial_list}) t LEFT JOIN tl USING ({k}, subject) LEFT JOIN golds gg ON gg.subject = v.subject)
 """
 
 
 _RANDOM = trial_sql(("golds", "n"), ", " + f"""tg AS (SELECT golds, n, subject, gold FROM (SELECT *, row_number() OVER (PARTITION BY golds, n
   ORDER BY substr(md5('0-' || golds || '-' || n || ':' || subject), 1, 16), subject) AS r FROM (SELECT subject, gold FROM golds WHERE gold IN (0, 1)),
   (SELECT unnest([{', '.join(map(str, SIZES))}]) AS golds), (SELECT unnest(range({REPEATS})) AS n)) WHERE r <= golds)""",
-                    f"SELECT DISTINCT golds, n FROM tg").replace("JOIN golds USING (subject)", "JOIN (SELECT subject, gold FROM golds) gg USING (subject)")
+                    "SELECT DISTINCT golds, n FROM tg")
 
 _POINTS = """, rr AS (SELECT {k}, p, coalesce(count(*) FILTER (WHERE gold = 0) OVER w, 0) AS z, coalesce(count(*) FILTER (WHERE gold = 1) OVER w, 0) AS o
   FROM {t} WINDOW w AS (PARTITION BY {k} ORDER BY p, gold, subject ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
@@ -48,23 +51,27 @@ _POINTS = """, rr AS (SELECT {k}, p, coalesce(count(*) FILTER (WHERE gold = 0) O
 TARGET = .515
 
 
-def random_golds_(i):
-    return X.random_trial_golds(i.golds, SIZES, REPEATS)
-
-
 def lfirst(i):
     from ..operators.consensus import first_vote_per_pair
     return first_vote_per_pair(i.lvotes)
 
 
+def random_set(i):
+    return X.random_trials(i.golds, SIZES, REPEATS)
+
+
+def random_points(i):
+    return X.trial_points(lfirst(i), random_set(i), i.golds, i.params)
+
+
 def random_scores(i):
-    return X.trial_scores(lfirst(i), random_golds_(i), ["golds", "n"], X.trial_list(("golds", "n"), RANDOM), i.params)
+    return X.trial_scores(lfirst(i), random_set(i), i.params)
 
 
 @query("random_trials", _RANDOM + _POINTS.format(k="golds, n", t="tsc", q=TARGET) + "SELECT golds, CAST(n AS INTEGER) AS n, purity, completeness FROM pt",
        r="purity completeness")
 def x1(i):
-    return X.random_trial_points(random_scores(i), i.golds, target=TARGET)
+    return X.random_trial_points(random_points(i), target=TARGET)
 
 
 @query("random_trial_scores", _RANDOM + "SELECT golds, CAST(n AS INTEGER) AS n, subject, p FROM tsc", r="p")
@@ -76,19 +83,19 @@ def x1b(i):
   count(*) FILTER (WHERE gold = 1) AS n_real, count(*) FILTER (WHERE gold = 1 AND p >= .12) / nullif(count(*) FILTER (WHERE gold IN (0, 1) AND p >= .12), 0)::DOUBLE AS purity,
   count(*) FILTER (WHERE gold = 1 AND p > .12) / (count(*) FILTER (WHERE gold = 1))::DOUBLE AS completeness FROM tsc GROUP BY ALL""", r="purity completeness")
 def x13(i):
-    return X.trial_gold_metrics(random_scores(i), i.golds, ["golds", "n"], .12)
+    return X.trial_gold_metrics(random_points(i), ["golds", "n"], .12)
 
 
 @query("trial_rows", _RANDOM + """SELECT 'randomex' AS experiment, t.golds, CAST(t.n AS INTEGER) AS n, t.subject, t.gold, t.p, coalesce(g.gold, -1) AS used_gold
   FROM tsc t LEFT JOIN tg g USING (golds, n, subject)""", r="p")
 def x4(i):
-    rows = X.trial_rows(random_scores(i), random_golds_(i), i.golds, ["golds", "n"], "randomex")
+    rows = X.trial_rows(random_scores(i), random_set(i).golds(), i.golds, ["golds", "n"], "randomex")
     return rows.select("experiment", "trial.golds", "trial.n", "subject", "gold", "p", "used_gold")
 
 
 def _stored(i):
     store = S.TrialStore(i.spark, scratch_path(i.spark, "trials"))
-    store.upload(X.trial_rows(random_scores(i), random_golds_(i), i.golds, ["golds", "n"], "randomex"), "randomex")
+    store.upload(X.trial_rows(random_scores(i), random_set(i).golds(), i.golds, ["golds", "n"], "randomex"), "randomex")
     return store
 
 
@@ -109,29 +116,26 @@ def x5(i):
     return X.trial_points_from_rows(_stored(i).rows("randomex"), ["golds", "n"], TARGET)
 
 
-@query("trial_rerun", _RANDOM + "SELECT subject, p FROM tsc WHERE golds = 400 AND n = 1", r="p")
+@query("trial_rerun", _RANDOM + "SELECT subject, p FROM tsc WHERE golds = 1000 AND n = 1", r="p")
 def x6(i):
-    rows = X.trial_rows(random_scores(i), random_golds_(i), i.golds, ["golds", "n"], "randomex")
-    return X.trial_rerun(i.lvotes, rows, {"golds": 400, "n": 1}, i.params).select("subject", "p")
+    rows = X.trial_rows(random_scores(i), random_set(i).golds(), i.golds, ["golds", "n"], "randomex")
+    return X.trial_rerun(i.lvotes, rows, {"golds": 1000, "n": 1}, i.params).select("subject", "p")
 
 
-CV, CN = range(0, 301, 150), range(0, 301, 150)
-_LSPLIT = """, sp AS (SELECT l_partkey AS subject, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS real,
+_LSPLIT = f""", sp AS (SELECT l_partkey AS subject, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS real,
   count(*) FILTER (WHERE l_returnflag <> 'R') AS bogus FROM lineitem GROUP BY 1),
  cv AS (SELECT subject, row_number() OVER (ORDER BY score DESC, subject) AS r FROM (SELECT subject, round(pow(real + bogus, least(real, bogus) / greatest(real, bogus)::DOUBLE), 9) AS score FROM sp)),
  cn AS (SELECT subject, row_number() OVER (ORDER BY score DESC, subject) AS r FROM (SELECT subject, round(pow(abs(real - bogus), 1 - least(real, bogus) / greatest(real, bogus)::DOUBLE), 9) AS score FROM sp)),
- gr AS (SELECT a.controversial, b.consensus FROM (SELECT unnest(range(0, 301, 150)) AS controversial) a, (SELECT unnest(range(0, 301, 150)) AS consensus) b WHERE a.controversial + b.consensus > 0),
- tg AS (SELECT DISTINCT controversial, consensus, subject, gold FROM gr, cv JOIN golds USING (subject) WHERE r <= controversial
-  UNION SELECT controversial, consensus, subject, gold FROM gr, cn JOIN golds USING (subject) WHERE r <= consensus)
+ gr AS (SELECT a.controversial, b.consensus FROM (SELECT unnest(range({CV.start}, {CV.stop}, {CV.step})) AS controversial) a, (SELECT unnest(range({CN.start}, {CN.stop}, {CN.step})) AS consensus) b
+  WHERE a.controversial + b.consensus > 0),
+ tg AS (SELECT controversial, consensus, g.subject, g.gold FROM golds g JOIN cv ON cv.subject = g.subject JOIN cn ON cn.subject = g.subject
+  JOIN gr ON cv.r <= controversial OR cn.r <= consensus)
 """
-_CVGRID = trial_sql(("controversial", "consensus"), _LSPLIT, "SELECT controversial, consensus FROM gr").replace(
-    "JOIN golds USING (subject))\n", "JOIN (SELECT subject, gold FROM golds) gg USING (subject))\n")
+_CVGRID = trial_sql(("controversial", "consensus"), _LSPLIT, "SELECT controversial, consensus FROM gr")
 
 
-def cv_scores(i):
-    tg = X.cv_grid_trial_golds(i.lvotes, i.golds, CV, CN)
-    grid = [(a, b) for a in CV for b in CN if a + b > 0]
-    return X.trial_scores(lfirst(i), tg, ["controversial", "consensus"], X.trial_list(("controversial", "consensus"), grid), i.params)
+def cv_points(i):
+    return X.cutoff_trial_points(X.trial_points(lfirst(i), X.cv_grid_trials(i.lvotes, i.golds, CV, CN), i.golds, i.params), cutoff=.12)
 
 
 _CVPOINTS = """, cp AS (SELECT CAST(controversial AS INTEGER) AS controversial, CAST(consensus AS INTEGER) AS consensus,
@@ -142,39 +146,47 @@ _CVPOINTS = """, cp AS (SELECT CAST(controversial AS INTEGER) AS controversial,
 
 @query("cv_grid_trials", _CVGRID + _CVPOINTS + "SELECT * FROM cp", r="purity completeness")
 def x2(i):
-    return X.cutoff_trial_points(cv_scores(i), i.golds, cutoff=.12)
+    return cv_points(i)
 
 
 @query("plot_grid", _CVGRID + _CVPOINTS + """, e AS (SELECT min(purity) AS a, max(purity) AS b, min(completeness) AS c, max(completeness) AS d FROM cp),
  nm AS (SELECT cp.*, CASE WHEN b <> a THEN (purity - a) / (b - a) ELSE 0 END AS pn, CASE WHEN d <> c THEN (completeness - c) / (d - c) ELSE 0 END AS cn_ FROM cp, e)
  SELECT controversial AS golds, consensus AS n, purity * completeness AS product, CAST(row_number() OVER o - 1 AS INTEGER) AS id,
-  CAST((row_number() OVER o - 1) % (3 + 1) AS INTEGER) AS x, CAST((row_number() OVER o - 1) // (3 + 1) AS INTEGER) AS y FROM nm
+  CAST((row_number() OVER o - 1) % (w + 1) AS INTEGER) AS x, CAST((row_number() OVER o - 1) // (w + 1) AS INTEGER) AS y FROM nm, (SELECT CAST(ceil(sqrt(count(*))) AS INTEGER) AS w FROM cp)
   WINDOW o AS (ORDER BY round(pow(1 - pn, 2) + pow(cn_, 2), 9), controversial, consensus)""", r="product")
 def x7(i):
-    pts = X.cutoff_trial_points(cv_scores(i), i.golds, cutoff=.12)
-    return X.plot_grid(pts, "controversial", "consensus", "cvgrid").select("golds", "n", "product", "id", "x", "y")
+    return X.plot_grid(cv_points(i), "controversial", "consensus", "cvgrid").select("golds", "n", "product", "id", "x", "y")
 
 
-_ORDERED = trial_sql(("golds", "n"), """, od AS (SELECT subject, gold, row_number() OVER (ORDER BY substr(md5('0:' || subject), 1, 16), subject) AS r FROM golds WHERE gold IN (0, 1)),
- sz AS (SELECT n, 100 + (n + 1) * 100 AS golds FROM (SELECT unnest(range(4)) AS n)),
- tg AS (SELECT golds, n, subject, gold FROM od, sz WHERE r <= golds)""", "SELECT golds, n FROM sz").replace(
-    "JOIN golds USING (subject))\n", "JOIN (SELECT subject, gold FROM golds) gg USING (subject))\n")
+def _ordered_sql(start, end, step):
+    """Prefixes as long as there are labels are the same set: each length is worked out once and given to all trials that have it."""
+    n = max((end - start) // step + 1, 1)
+    return trial_sql(("size",), f""", od AS (SELECT subject, gold, row_number() OVER (ORDER BY substr(md5('0:' || subject), 1, 16), subject) AS r FROM golds WHERE gold IN (0, 1)),
+ sz AS (SELECT n, {start} + (n + 1) * {step} AS golds, least({start} + (n + 1) * {step}, (SELECT count(*) FROM od)) AS size FROM (SELECT unnest(range({n})) AS n)),
+ tg AS (SELECT size, subject, gold FROM od, (SELECT DISTINCT size FROM sz) WHERE r <= size)""", "SELECT DISTINCT size FROM sz") + _POINTS.format(k="size", t="tsc", q=TARGET) + \
+        "SELECT CAST(golds AS INTEGER) AS golds, CAST(n AS INTEGER) AS n, purity, completeness FROM sz JOIN pt USING (size)"
 
 
-@query("ordered_trials", _ORDERED + _POINTS.format(k="golds, n", t="tsc", q=TARGET) + "SELECT CAST(golds AS INTEGER) AS golds, CAST(n AS INTEGER) AS n, purity, completeness FROM pt",
-       r="purity completeness")
+def ordered(i, start, end, step):
+    trials = X.ordered_trials(i.golds, start, end, step)
+    return trials.for_all(X.random_trial_points(X.trial_points(lfirst(i), trials, i.golds, i.params), target=TARGET))
+
+
+@query("ordered_trials", _ordered_sql(*ORDERED), r="purity completeness")
 def x3(i):
-    tg = X.ordered_trial_golds(i.golds, 100, 400, 100)
-    sizes = [(100 + (k + 1) * 100, k) for k in range(4)]
-    scores = X.trial_scores(lfirst(i), tg, ["golds", "n"], X.trial_list(("golds", "n"), sizes), i.params)
-    return X.random_trial_points(scores, i.golds, target=TARGET)
+    return ordered(i, *ORDERED)
+
+
+@query("ordered_trials_fine", _ordered_sql(*FINE), r="purity completeness")
+def x3b(i):
+    return ordered(i, *FINE)
 
 
 @query("plot_store", _RANDOM + _POINTS.format(k="golds, n", t="tsc", q=TARGET) + "SELECT golds, CAST(n AS INTEGER) AS n, purity, completeness FROM pt",
        r="purity completeness")
 def s11(i):
     store = S.PlotStore(i.spark, scratch_path(i.spark, "plots"))
-    pts = X.random_trial_points(random_scores(i), i.golds, target=TARGET)
+    pts = X.random_trial_points(random_points(i), target=TARGET)
     store.upload(pts, "randomex")
     store.upload(pts.limit(1), "other")
     return store.get("randomex").select("golds", "n", "purity", "completeness")
@@ -260,7 +272,7 @@ def _streamed(spark, sf_dir):
     ids = i.raw("events").agg(F.min("event_id").alias("lo"), (F.max("event_id") + 1).alias("hi")).first()
     m = messages(i).withColumn("_id", F.get_json_object("raw", "$.id").cast("bigint"))
     width = -(-(ids.hi - ids.lo) // PARTS)
-    scorer = OnlineScorer(spark, state, i.golds, i.params, compact_every=2).start_cold()
+    scorer = OnlineScorer(spark, state, i.golds, i.params, buckets=8, fan=2).start_cold()
 
     def parse(df):
         ok = P.parse_votes(df, "json", ANSWERS).accepted.where(~F.col("seen_before"))

@@ -1,119 +1,230 @@
-"""Many scoring runs in one job: the trial is one more grouping key."""
+"""Many scoring runs in one job.
+
+A trial is a set of labels. Trials are a table; which labels belong to which is kept as *cells*: the trial itself for random sets, the first trial
+of a growing series, or the place in a grid of two rankings. Votes on labelled subjects are counted per (voter, cell) once, whatever the number of
+trials; a voter's counts in every trial are sums over cells. Votes then meet their voter's weights in blocks of ``BLOCK`` trials as one vector, so a vote is a
+row per block and not per trial. What comes out are the subjects that a trial moves away from the prior. All others
+are one row per trial: the class totals less what was moved.
+"""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import hash_order
 from ..operators import aggregates, consensus, evaluate
 from ..operators.relational import expert_only, gold_union
 from ..params import Params
 
+BLOCK = 128
+
+
+@dataclass(frozen=True)
+class Trials:
+    """``table``: (trial 0.., keys). ``labels``: (subject, gold, cell). ``spread``: sums per cell (cells, k) to sums per trial (trials, k).
+    ``members``: cells to (trial, ...) rows, for the labels of each trial. ``last``: of a growing series, one row with the last trial that adds a label; all
+    later ones have the same labels and are worked out once."""
+    keys: tuple
+    table: DataFrame
+    n: int
+    labels: DataFrame
+    cells: int
+    spread: Callable
+    members: Callable
+    last: DataFrame | None = None
+
+    def distinct(self, df: DataFrame) -> DataFrame:
+        """Rows of trials that differ from the one before."""
+        return df if self.last is None else df.join(F.broadcast(self.last), F.col("trial") <= F.col("_last")).drop("_last")
+
+    def for_all(self, results: DataFrame) -> DataFrame:
+        """Results (keys, ...) of the distinct trials, given to every trial that has the same labels."""
+        if self.last is None:
+            return results
+        own = results.join(self.table, list(self.keys)).drop(*self.keys).withColumnRenamed("trial", "_like")
+        like = self.table.join(F.broadcast(self.last)).withColumn("_like", F.least("trial", "_last")).drop("_last")
+        return like.join(own, "_like").select(*self.keys, *[c for c in results.columns if c not in self.keys])
 
-def trial_list(names, trials) -> Column:
-    """The experiment's parameter list as an array literal."""
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, t)]) for t in trials])
+    def golds(self) -> DataFrame:
+        """(keys, subject, gold): the labels of each trial as rows."""
+        return self.members(self.labels).join(self.table, "trial").select(*self.keys, "subject", "gold")
 
 
-def random_trial_golds(golds: DataFrame, sizes, n_trials: int, seed=0) -> DataFrame:
-    """(golds, n, subject, gold): for each size and repeat, that many random labelled subjects.
+def _table(spark, keys, trials) -> DataFrame:
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(trials)], "trial int, " + ", ".join(f"{k} int" for k in keys))
+
+
+def random_trials(golds: DataFrame, sizes, n_trials: int, seed=0) -> Trials:
+    """For each size and repeat, that many random labelled subjects.
 
     The rank limit is applied in every task before the shuffle, so a trial's partition never holds more
     than the largest size times the number of map tasks.
     """
-    trials = [(int(g), int(n)) for g in sizes for n in range(n_trials)]
-    top = max(sizes)
-    rows = golds.where(expert_only()).select("subject", "gold", F.explode(trial_list(("golds", "n"), trials)).alias("t"))
-    rows = rows.select("t.golds", "t.n", "subject", "gold",
-                       hash_order(F.col("subject"), F.concat_ws("-", F.lit(seed), "t.golds", "t.n")).alias("_h"))
-    w = W.partitionBy("golds", "n").orderBy("_h", "subject")
-    ranked = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
-    return ranked.where(F.col("_r") <= F.col("golds")).drop("_h", "_r")
+    keys, trials = ("golds", "n"), [(int(g), int(n)) for g in sizes for n in range(n_trials)]
+    table = _table(golds.sparkSession, keys, trials)
+    rows = golds.where(expert_only()).select("subject", "gold", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1))).alias("trial"))
+    rows = rows.join(table, "trial").withColumn("_h", hash_order(F.col("subject"), F.concat_ws("-", F.lit(seed), "golds", "n")))
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("trial").orderBy("_h", "subject"))).where(F.col("_r") <= max(sizes))
+    labels = ranked.where(F.col("_r") <= F.col("golds")).select("subject", "gold", F.col("trial").alias("cell"))
+    return Trials(keys, table, len(trials), labels, len(trials), lambda x: x, lambda df: df.withColumnRenamed("cell", "trial"))
 
 
-def ordered_trial_golds(golds: DataFrame, start: int, end: int, step: int, seed=0) -> DataFrame:
+def ordered_trials(golds: DataFrame, start: int, end: int, step: int, seed=0) -> Trials:
     """Growing prefixes of one shuffled label order: start + step, start + 2 step, ... until one is longer
     than ``end`` (that one included)."""
-    sizes = []
-    size = start
-    while True:
-        size += step
-        sizes.append(size)
-        if size > end:
-            break
+    n = max((end - start) // step + 1, 1)
+    keys, trials = ("golds", "n"), [(start + (k + 1) * step, k) for k in range(n)]
     ordered = (golds.where(expert_only()).withColumn("_h", hash_order(F.col("subject"), seed))
-               .orderBy("_h", "subject").limit(sizes[-1]))
-    # at most ``sizes[-1]`` rows, the length of the longest prefix
+               .orderBy("_h", "subject").limit(trials[-1][0]))
+    # at most as many rows as the longest prefix has
     ranked = ordered.withColumn("_r", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_h", "subject")))
     first = F.greatest(F.ceil((F.col("_r") - start) / step).cast("int"), F.lit(1)) - 1
-    return ranked.select("subject", "gold", F.explode(F.sequence(first, F.lit(len(sizes) - 1))).alias("n")).select(
-        (F.lit(start) + (F.col("n") + 1) * step).alias("golds"), "n", "subject", "gold")
+    labels = ranked.select("subject", "gold", first.alias("cell"))
+    return Trials(keys, _table(golds.sparkSession, keys, trials), n, labels, n, lambda x: np.cumsum(x, 0),
+                  lambda df: df.withColumn("trial", F.explode(F.sequence("cell", F.lit(n - 1)))), labels.agg(F.coalesce(F.max("cell"), F.lit(0)).alias("_last")))
 
 
-def cv_grid_trial_golds(votes: DataFrame, golds: DataFrame, controversial: range, consensus_: range,
-                        version: str = "pow") -> DataFrame:
-    """(controversial, consensus, subject, gold) for each pair of counts but (0, 0).
+def cv_grid_trials(votes: DataFrame, golds: DataFrame, controversial: range, consensus_: range, version: str = "pow") -> Trials:
+    """Each pair of counts but (0, 0): the labels of that many most controversial and that many clearest subjects.
 
-    Both rankings are made once; a subject belongs to every trial whose count reaches its rank.
+    Both rankings are made once; a subject's cell says which count of each list reaches its rank first (one more than there are: none).
     """
+    keys, a, b = ("controversial", "consensus"), list(controversial), list(consensus_)
+
     def ranked(top, counts, name):
         # at most max(counts) rows
-        w = W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "subject")
-        r = top.withColumn("_r", F.row_number().over(w))
-        fits = F.filter(F.array(*[F.lit(c) for c in counts if c > 0]), lambda c: c >= F.col("_r"))
-        return r.select("subject", F.explode(fits).alias(name))
-
-    cv = ranked(aggregates.controversial_top(votes, max(controversial), version), controversial, "controversial")
-    cn = ranked(aggregates.consensus_top(votes, max(consensus_), version), consensus_, "consensus")
-    by_cv = cv.select("controversial", F.explode(F.array(*map(F.lit, consensus_))).alias("consensus"), "subject")
-    by_cn = cn.select(F.explode(F.array(*map(F.lit, controversial))).alias("controversial"), "consensus", "subject")
-    members = by_cv.unionByName(by_cn).distinct()
-    return members.join(golds.select("subject", "gold"), "subject").select("controversial", "consensus", "subject", "gold")
-
-
-def trial_scores(first_votes: DataFrame, trial_golds: DataFrame, keys: list[str], trials: Column,
-                 params: Params = Params()) -> DataFrame:
-    """Static scores of every trial: (keys, subject, p).
-
-    Votes on labelled subjects are counted per (trial, voter) before they are shuffled. A voter without
-    such a vote in a trial weighs nothing there, so only touched (trial, voter) pairs meet the votes
-    again; a zero row per (trial, subject) keeps the untouched subjects at the prior, without a join.
-    """
-    labels = trial_golds.where(expert_only())
-    users = consensus.user_matrix(first_votes.join(labels, "subject"), params, keys=(*keys, "voter"))
-    touched = (first_votes.select("voter", "subject", "annotation")
-               .join(users.select(*keys, "voter", "s0", "s1"), "voter")
-               .select(*keys, "subject", consensus.log_ratio().alias("llr")))
-    base = (first_votes.select("subject").distinct().select("subject", F.explode(trials).alias("_t"))
-            .select(*[F.col(f"_t.{k}").alias(k) for k in keys], "subject", F.lit(0).cast("bigint").alias("llr")))
-    return (touched.unionByName(base).groupBy(*keys, "subject").agg(F.sum("llr").alias("llr"))
-            .select(*keys, "subject", consensus.posterior(F.col("llr"), None, params).alias("p")))
-
-
-def random_trial_points(scores: DataFrame, golds: DataFrame, keys=("golds", "n"), target: float = .89) -> DataFrame:
+        r = top.withColumn("_r", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "subject")))
+        step = counts[1] - counts[0] if len(counts) > 1 else 1
+        return r.select("subject", F.greatest(F.ceil((F.col("_r") - counts[0]) / step), F.lit(0)).cast("int").alias(name))
+
+    i = ranked(aggregates.controversial_top(votes, max(a), version), a, "i")
+    j = ranked(aggregates.consensus_top(votes, max(b), version), b, "j")
+    both = i.join(j, "subject", "full").select("subject", F.coalesce("i", F.lit(len(a))).alias("i"), F.coalesce("j", F.lit(len(b))).alias("j"))
+    labels = both.join(golds.select("subject", "gold"), "subject").select("subject", "gold", (F.col("i") * (len(b) + 1) + F.col("j")).alias("cell"))
+    pairs = [(x, y) for x in range(len(a)) for y in range(len(b)) if a[x] + b[y] > 0]
+    at = np.array(pairs)
+
+    def spread(x):
+        grid = x.reshape(len(a) + 1, len(b) + 1, -1)
+        beyond = np.zeros((len(a) + 2, len(b) + 2, grid.shape[2]), x.dtype)       # sums over cells at or beyond (i, j)
+        beyond[:-1, :-1] = grid[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
+        return beyond[0, 0] - beyond[at[:, 0] + 1, at[:, 1] + 1]
+
+    table = _table(golds.sparkSession, keys, [(a[x], b[y]) for x, y in pairs])
+    place = _table(golds.sparkSession, ("x", "y"), pairs)
+
+    def members(df):
+        df = df.withColumns({"i": F.floor(F.col("cell") / (len(b) + 1)).cast("int"), "j": F.col("cell") % (len(b) + 1)})
+        each = df.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(len(a) - 1))))
+        # every row of the grid from the subject's first one on, of the rows before only the places that its second rank reaches
+        each = each.withColumn("_y", F.when(F.col("i") <= F.col("x"), 0).otherwise(F.col("j"))).where(F.col("_y") < len(b))
+        return each.withColumn("y", F.explode(F.sequence("_y", F.lit(len(b) - 1)))).join(place, ["x", "y"])
+
+    return Trials(keys, table, len(pairs), labels, (len(a) + 1) * (len(b) + 1), spread, members)
+
+
+# ---- scoring ---------------------------------------------------------------------------------
+
+def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
+    """(voter, block, l1, l0): what a 1 and a 0 vote of the voter weigh in each trial of a block, in billionths; no row for blocks where it weighs nothing."""
+    names = list(consensus._counters())
+    counts = (first_votes.join(trials.labels.where(expert_only()), "subject").groupBy("voter", "cell")
+              .agg(*[F.sum(c).alias(n) for n, c in consensus._counters().items()]))
+    # at most one entry per cell: bounded by the trial list, not by the votes
+    per = counts.groupBy("voter").agg(F.collect_list(F.struct("cell", *names)).alias("c"))
+    cells, spread, g = trials.cells, trials.spread, params.gamma
+
+    def run(batches):
+        half_up = lambda x: np.sign(x) * np.floor(np.abs(x) + .5)
+        for b in batches:
+            out = []
+            for voter, held in zip(b.column("voter").to_pylist(), b.column("c")):
+                c = held.values
+                sums = np.zeros((cells, 4))
+                sums[c.field("cell").to_numpy()] = np.stack([c.field(n).to_numpy() for n in names], 1)
+                seen0, match0, seen1, match1 = spread(sums).T
+                s0, s1 = (match0 + g) / (seen0 + 2 * g), (match1 + g) / (seen1 + 2 * g)
+                l1, l0 = (half_up(consensus.NANO * np.log(x)) + 0. for x in (s1 / (1 - s0), (1 - s1) / s0))
+                for k in range(0, len(l1), BLOCK):
+                    part = slice(k, k + BLOCK)
+                    if l1[part].any() or l0[part].any():
+                        out.append((voter, k // BLOCK, l1[part], l0[part]))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())))],
+                                             ["voter", "block", "l1", "l0"])
+
+    weights = per.mapInArrow(run, "voter string, block int, l1 array<double>, l0 array<double>")
+    return trials.distinct(weights.withColumn("trial", F.col("block") * BLOCK)).drop("trial")
+
+
+def _moved(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
+    """(subject, block, sums): summed log ratios of a subject in each trial of a block. Whole numbers below 2^53 add up exactly as doubles."""
+    votes = first_votes.select("voter", "subject", "annotation").join(_weights(first_votes, trials, params), "voter")
+    ratio = F.when(F.col("annotation") == 1, F.col("l1")).otherwise(F.col("l0"))
+    sums = votes.groupBy("subject", "block").agg(Summarizer.sum(array_to_vector(ratio)).alias("v"))
+    return sums.select("subject", "block", vector_to_array("v").alias("sums"))
+
+
+def moved_scores(first_votes: DataFrame, trials: Trials, params: Params = Params()) -> DataFrame:
+    """(trial, subject, llr): static scores of every distinct trial, of the subjects that it moves away from the prior."""
+    return trials.distinct(_rows(_moved(first_votes, trials, params), "subject"))
+
+
+def _rows(moved: DataFrame, *columns: str) -> DataFrame:
+    each = moved.select(*columns, "block", F.posexplode("sums").alias("k", "llr")).where("llr <> 0")
+    return each.select((F.col("block") * BLOCK + F.col("k")).alias("trial"), *columns, F.col("llr").cast("bigint").alias("llr"))
+
+
+def trial_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, params: Params = Params()) -> DataFrame:
+    """(keys, p, m, z, o): how many unlabelled, bogus and real subjects stand at each score of each distinct trial. Untouched subjects make one row per trial."""
+    classes = {"m": -1, "z": 0, "o": 1}
+    counts = lambda gold: [F.count_if(gold == g).alias(c) for c, g in classes.items()]
+    moved = evaluate.with_golds(_moved(first_votes, trials, params), golds)
+    points = trials.distinct(_rows(moved, "gold")).groupBy("trial", "llr").agg(*counts(F.col("gold")))
+    gone = points.groupBy("trial").agg(*[F.sum(c).alias(f"_{c}") for c in classes])
+    # one row: the class totals of all subjects with votes
+    every = evaluate.with_golds(first_votes.select("subject").distinct(), golds).agg(*counts(F.col("gold"))).withColumn("_j", F.lit(1))
+    rest = (trials.distinct(trials.table).select("trial").withColumn("_j", F.lit(1)).join(F.broadcast(every), "_j").join(gone, "trial", "left")
+            .select("trial", F.lit(0).cast("bigint").alias("llr"), *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in classes]))
+    both = points.unionByName(rest.where("m + z + o > 0"))
+    return both.join(trials.table, "trial").select(*trials.keys, consensus.posterior(F.col("llr"), None, params).alias("p"), *classes)
+
+
+def trial_scores(first_votes: DataFrame, trials: Trials, params: Params = Params()) -> DataFrame:
+    """(keys, subject, p): the whole score table of every trial, as trial rows need it (for points, ``trial_points`` is enough)."""
+    moved = moved_scores(first_votes, trials, params)
+    whole = first_votes.select("subject").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials.n - 1))))
+    whole = trials.distinct(whole).join(moved, ["trial", "subject"], "left").join(trials.table, "trial")
+    return trials.for_all(whole.select(*trials.keys, "subject", consensus.posterior(F.col("llr"), None, params).alias("p")))
+
+
+def random_trial_points(points: DataFrame, keys=("golds", "n"), target: float = .89) -> DataFrame:
     """Per trial the threshold for the wanted purity and the completeness there.
 
     The column named purity holds the threshold.
     """
-    labelled = evaluate.with_golds(scores, golds)
-    pts = evaluate.completeness_at_purity(labelled, target, runs=list(keys))
-    return pts.withColumnRenamed("threshold", "purity")
+    return evaluate.completeness_at_purity(points, target, runs=list(keys)).withColumnRenamed("threshold", "purity")
 
 
-def cutoff_trial_points(scores: DataFrame, golds: DataFrame, keys=("controversial", "consensus"),
-                        cutoff: float = .96) -> DataFrame:
+def cutoff_trial_points(points: DataFrame, keys=("controversial", "consensus"), cutoff: float = .96) -> DataFrame:
     """Purity and completeness of each trial at the cutoff, in one pass."""
-    return trial_gold_metrics(scores, golds, list(keys), cutoff).select(*keys, "purity", "completeness")
+    return trial_gold_metrics(points, list(keys), cutoff).select(*keys, "purity", "completeness")
 
 
-def trial_gold_metrics(scores: DataFrame, golds: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+def trial_gold_metrics(points: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
     """Gold counts, purity (p >= cutoff) and completeness (p > cutoff) per trial."""
-    s = evaluate.with_golds(scores, golds)
-    at = F.col("p") >= cutoff
-    real, bogus = F.col("gold") == 1, F.col("gold") == 0
-    return s.groupBy(*keys).agg(
-        F.count_if(F.col("gold") == -1).alias("n_none"), F.count_if(bogus).alias("n_bogus"), F.count_if(real).alias("n_real"),
-        F.try_divide(F.count_if(real & at), F.count_if((real | bogus) & at)).alias("purity"),
-        F.try_divide(F.count_if(real & (F.col("p") > cutoff)), F.count_if(real)).alias("completeness"))
+    at = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    reach, above = F.col("p") >= cutoff, F.col("p") > cutoff
+    return points.groupBy(*keys).agg(
+        F.sum("m").alias("n_none"), F.sum("z").alias("n_bogus"), F.sum("o").alias("n_real"),
+        F.try_divide(at(reach, "o"), at(reach, "z") + at(reach, "o")).alias("purity"),
+        F.try_divide(at(above, "o"), F.sum("o")).alias("completeness"))
 
 
 def trial_rows(scores: DataFrame, trial_golds: DataFrame, golds: DataFrame, keys: list[str], experiment: str) -> DataFrame:
