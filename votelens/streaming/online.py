@@ -2,9 +2,11 @@
 
 Each micro-batch is parsed, freed of ids and pairs already stored, and scored with the state the earlier
 batches left. State is kept as increments: a voter's counters and a subject's log-odds are sums, so
-batch k writes what it adds, and the state before batch k is the sum over batches below k. Every table is
-written per batch number, and a repeated batch overwrites its own part only: replays change nothing.
-Increments are folded into one base from time to time, so a batch reads a base and a few increments.
+batch k writes what it adds, and the state before batch k is the sum over batches below k. The ids, the counted (voter, subject)
+pairs, the voters and the subjects are bucketed tables (``store.BucketStore``): a batch opens the buckets of its own keys only, whatever the length of
+the history. Stored votes and emitted scores are logs that no batch reads. Everything is
+written per batch number, and a repeated batch overwrites its own part only: replays change nothing. Batches are numbered from 0 without gaps, as ``foreachBatch``
+numbers them.
 """
 from __future__ import annotations
 
@@ -14,72 +16,65 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
 from ..operators import consensus
 from ..params import Params
+from .store import WARM, BucketStore
 
 BATCH = "batch"
-WARM = -1
 
 _VOTES = T.StructType([T.StructField("classification_id", T.LongType()), T.StructField("voter", T.StringType()),
                        T.StructField("subject", T.LongType()), T.StructField("annotation", T.IntegerType()),
                        T.StructField("seq", T.LongType()), T.StructField("scored", T.BooleanType())])
-_USERS = T.StructType([T.StructField("voter", T.StringType()), *[
-    T.StructField(n, T.LongType()) for n in ("seen0", "match0", "seen1", "match1", "n")]])
-_SUBJECTS = T.StructType([T.StructField("subject", T.LongType()), T.StructField("llr", T.LongType()),
-                          T.StructField("n_votes", T.LongType())])
 _EMITTED = T.StructType([T.StructField("classification_id", T.LongType()), T.StructField("subject", T.LongType()),
                          T.StructField("llr", T.LongType()), T.StructField("score", T.DoubleType())])
-_TABLES = {"votes": _VOTES, "users": _USERS, "subjects": _SUBJECTS, "emitted": _EMITTED}
+_TABLES = {"votes": _VOTES, "emitted": _EMITTED}
 _COUNTERS = ("seen0", "match0", "seen1", "match1", "n")
+#: Bucketed tables: schema, key columns, columns that add up.
+_STATE = {
+    "ids": ("classification_id long", ("classification_id",), ()),
+    "pairs": ("voter string, subject long", ("voter", "subject"), ()),
+    "users": ("voter string, " + ", ".join(f"{c} long" for c in _COUNTERS), ("voter",), _COUNTERS),
+    "subjects": ("subject long, llr long, n_votes long", ("subject",), ("llr", "n_votes")),
+}
 
 
 @dataclass
 class OnlineScorer:
+    """``buckets``: of each state table; ``fan``: parts that are folded into one."""
     spark: SparkSession
     path: str
     golds: DataFrame
     params: Params = field(default_factory=Params)
-    compact_every: int = 50
+    buckets: int = 64
+    fan: int = 8
 
-    # ---- state tables ------------------------------------------------------------------------
+    def __post_init__(self):
+        self.state = {n: BucketStore(self.spark, f"{self.path}/{n}", T.StructType.fromDDL(schema), keys, sums, self.buckets, self.fan)
+                      for n, (schema, keys, sums) in _STATE.items()}
+
+    # ---- logs --------------------------------------------------------------------------------
     def _write(self, name: str, df: DataFrame, batch: int) -> None:
-        df.select(*_TABLES[name].fieldNames()).write.mode("overwrite").parquet(f"{self.path}/{name}/{BATCH}={batch}")
+        df.select(*_TABLES[name].fieldNames()).write.mode("overwrite").parquet(self._part(name, batch))
+
+    def _part(self, name: str, batch: int) -> str:
+        return f"{self.path}/{name}/{BATCH}={batch}"
 
-    def _read(self, name: str, below: int | None = None) -> DataFrame:
-        """Rows of all batches, or of those below one (a partition filter: later parts are not opened)."""
+    def _mine(self, name: str, batch: int) -> DataFrame:
+        """A batch's own part of a log: no other part is listed."""
+        return self.spark.read.schema(_TABLES[name]).parquet(self._part(name, batch))
+
+    def _log(self, name: str) -> DataFrame:
         schema = T.StructType([*_TABLES[name].fields, T.StructField(BATCH, T.LongType())])
-        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return df if below is None else df.where(F.col(BATCH) < below)
-
-    def _state(self, name: str, below: int | None, base_below: int | None = None) -> DataFrame:
-        """Increments from the newest base on. Bases are tables of their own, named by the batch they
-        reach up to, so folding never rewrites what a replay may read."""
-        cut = self._newest_base(below if base_below is None else base_below)
-        rows = self._read(name, below)
-        if cut is None:
-            return rows
-        schema = _TABLES[name]
-        base = self.spark.read.schema(schema).parquet(f"{self.path}/base/{name}/upto={cut}")
-        return rows.where(F.col(BATCH) > cut).select(*schema.fieldNames()).unionByName(base)
-
-    def _bases(self) -> DataFrame:
-        return self.spark.read.schema("upto long").parquet(f"{self.path}/base/index")
-
-    def _newest_base(self, below: int | None):
-        rows = self._bases()
-        if below is not None:
-            rows = rows.where(F.col("upto") < below)
-        return rows.agg(F.max("upto")).first()[0]
-
-    def users(self, below: int | None = None, base_below: int | None = None) -> DataFrame:
-        return self._state("users", below, base_below).groupBy("voter").agg(*[F.sum(c).alias(c) for c in _COUNTERS])
-
-    def subjects(self, below: int | None = None, base_below: int | None = None) -> DataFrame:
-        return self._state("subjects", below, base_below).groupBy("subject").agg(
-            F.sum("llr").alias("llr"), F.sum("n_votes").alias("n_votes"))
-
-    def _compact(self, batch: int) -> None:
-        for name, frame in (("users", self.users(batch + 1, batch)), ("subjects", self.subjects(batch + 1, batch))):
-            frame.select(*_TABLES[name].fieldNames()).write.mode("overwrite").parquet(f"{self.path}/base/{name}/upto={batch}")
-        self.spark.range(batch, batch + 1).toDF("upto").write.mode("overwrite").parquet(f"{self.path}/base/index/b={batch}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def _last(self) -> int:
+        """One more than the newest batch: counted for results, never by a batch."""
+        newest = self._log("votes").agg(F.max(BATCH)).first()[0]
+        return 0 if newest is None else max(newest + 1, 0)
+
+    def users(self, below: int | None = None) -> DataFrame:
+        return self.state["users"].state(self._last() if below is None else below)
+
+    def subjects(self, below: int | None = None) -> DataFrame:
+        return self.state["subjects"].state(self._last() if below is None else below)
 
     # ---- starting ----------------------------------------------------------------------------
     def start_cold(self) -> "OnlineScorer":
@@ -92,22 +87,25 @@ class OnlineScorer:
         return self._start(first.select("classification_id", "v.*"))
 
     def _start(self, log: DataFrame | None) -> "OnlineScorer":
-        empty = {n: self.spark.createDataFrame([], s) for n, s in _TABLES.items()}
-        self.spark.createDataFrame([], "upto long").write.mode("overwrite").parquet(f"{self.path}/base/index/b=none")
-        for name in _TABLES:
-            self._write(name, empty[name], WARM)
-        if log is not None:
-            self._score(log, WARM, log)
+        if log is None:
+            for name, store in self.state.items():
+                store.write(self.spark.createDataFrame([], store.schema), WARM)
+            for name, schema in _TABLES.items():
+                self._write(name, self.spark.createDataFrame([], schema), WARM)
+        else:
+            self._score(log, WARM, None)
         return self
 
     # ---- one micro-batch ---------------------------------------------------------------------
-    def _touching(self, table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-        """Rows of a stored table that concern the batch's keys.
+    def touched(self, incoming: DataFrame) -> dict:
+        """Per state table the buckets that hold the batch's keys: at most ``buckets`` numbers each."""
+        row = incoming.agg(*[F.collect_set(s.bucket()).alias(n) for n, s in self.state.items()]).first()
+        return {n: sorted(row[n]) for n in self.state}
 
-        The batch side is a written part, so Spark knows its size and broadcasts it where that is small: the stored side,
-        which grows without end, is then scanned in place and not shuffled.
-        """
-        return table.join(keys.select(*on), on, "left_semi")
+    def known(self, name: str, batch: int, incoming: DataFrame, touched: dict) -> DataFrame:
+        """Stored rows of the batch's keys. The batch side is a written part, so Spark knows its size and broadcasts it where that is small."""
+        keys = list(self.state[name].keys)
+        return self.state[name].read(batch, touched[name]).join(incoming.select(*keys), keys, "left_semi")
 
     def process(self, votes: DataFrame, batch: int) -> None:
         """``foreachBatch`` body. ``votes``: ``classification_id, voter, subject, annotation``. Ids repeated
@@ -116,50 +114,53 @@ class OnlineScorer:
         part = f"{self.path}/incoming/{BATCH}={batch}"
         once.select("classification_id", "v.*").write.mode("overwrite").parquet(part)
         incoming = self.spark.read.schema("classification_id long, voter string, subject long, annotation int").parquet(part)
-        known = self._touching(self._read("votes", batch), incoming, ["classification_id"]).select("classification_id")
-        fresh = incoming.join(known, "classification_id", "left_anti")
-        self._score(fresh.withColumn("seq", F.col("classification_id")), batch, incoming)
-        if batch >= 0 and self.compact_every and (batch + 1) % self.compact_every == 0:
-            self._compact(batch)
-
-    def _score(self, votes: DataFrame, batch: int, incoming: DataFrame) -> None:
-        counted = self._touching(self._read("votes", batch).where("scored"), incoming, ["voter", "subject"])
-        first = (consensus.first_vote_per_pair(votes)
-                 .join(counted.select("voter", "subject"), ["voter", "subject"], "left_anti"))
+        touched = self.touched(incoming)
+        fresh = incoming.join(self.known("ids", batch, incoming, touched), "classification_id", "left_anti")
+        self._score(fresh.withColumn("seq", F.col("classification_id")), batch, (incoming, touched))
+
+    def _score(self, votes: DataFrame, batch: int, came: tuple | None) -> None:
+        """``came``: the batch as it came and its buckets; none for the log of a warm start, before which there is nothing."""
+        first = consensus.first_vote_per_pair(votes)
+        if came:
+            first = first.join(self.known("pairs", batch, *came), ["voter", "subject"], "left_anti")
         all_ids = votes.join(first.select("voter", "subject", "seq", F.lit(True).alias("_hit")),
                              ["voter", "subject", "seq"], "left")
         self._write("votes", all_ids.withColumn("scored", F.col("_hit").isNotNull()), batch)
         # from here on the batch is read back from its own part, so it is computed once
-        mine = self._read("votes").where((F.col(BATCH) == batch) & F.col("scored")).drop(BATCH, "scored")
+        stored = self._mine("votes", batch)
+        mine = stored.where("scored").drop("scored")
         labelled = consensus.votes_with_gold(mine, self.golds)
 
         adds = labelled.groupBy("voter").agg(
             *[F.sum(c.cast("bigint")).alias(n) for n, c in consensus._counters().items()], F.count("*").alias("n"))
-        self._write("users", adds, batch)
-
-        before = self._touching(self._state("users", batch), incoming, ["voter"]).groupBy("voter").agg(
-            *[F.sum(c).alias(f"b_{c}") for c in _COUNTERS])
         inside = consensus.user_prefix_matrix(labelled, self.params, source=mine)
-        known = inside.join(before, "voter", "left")
+        matrix = ("seen0", "match0", "seen1", "match1")
+        if came:
+            before = self.known("users", batch, *came).groupBy("voter").agg(*[F.sum(c).alias(f"b_{c}") for c in matrix])
+            inside = inside.join(before, "voter", "left")
         g = self.params.gamma
-        total = {c: F.col(c) + F.coalesce(F.col(f"b_{c}"), F.lit(0)) for c in ("seen0", "match0", "seen1", "match1")}
-        weighed = known.withColumns({"s0": (total["match0"] + g) / (total["seen0"] + 2 * g),
-                                     "s1": (total["match1"] + g) / (total["seen1"] + 2 * g)}) \
+        total = {c: F.col(c) + F.coalesce(F.col(f"b_{c}"), F.lit(0)) if came else F.col(c) for c in matrix}
+        weighed = inside.withColumns({"s0": (total["match0"] + g) / (total["seen0"] + 2 * g),
+                                      "s1": (total["match1"] + g) / (total["seen1"] + 2 * g)}) \
             .select("classification_id", "voter", "subject", "seq", "annotation", "s0", "s1")
         # per-vote record: running log-odds inside the batch on top of the stored ones
         steps = consensus.subject_prefix_scores(weighed, self.params, source=mine)
-        prior = self._touching(self._state("subjects", batch), incoming, ["subject"]).groupBy("subject").agg(
-            F.sum("llr").alias("_before"))
-        scored = steps.join(prior, "subject", "left").withColumn(
-            "score", consensus.posterior(F.col("log_odds") + F.coalesce("_before", F.lit(0)), None, self.params))
+        odds = F.col("log_odds")
+        if came:
+            prior = self.known("subjects", batch, *came).groupBy("subject").agg(F.sum("llr").alias("_before"))
+            steps, odds = steps.join(prior, "subject", "left"), odds + F.coalesce("_before", F.lit(0))
+        scored = steps.withColumn("score", consensus.posterior(odds, None, self.params))
         self._write("emitted", scored.withColumn("llr", consensus.log_ratio()), batch)
-        self._write("subjects", self._read("emitted").where(F.col(BATCH) == batch).groupBy("subject").agg(
+        self.state["ids"].write(stored.select("classification_id"), batch)
+        self.state["pairs"].write(mine.select("voter", "subject"), batch)
+        self.state["users"].write(adds, batch)
+        self.state["subjects"].write(self._mine("emitted", batch).groupBy("subject").agg(
             F.sum("llr").alias("llr"), F.count("*").alias("n_votes")), batch)
 
     # ---- results -----------------------------------------------------------------------------
     def emitted(self) -> DataFrame:
         """One (subject, score) record per processed vote."""
-        return self._read("emitted").where(F.col(BATCH) >= 0)
+        return self._log("emitted").where(F.col(BATCH) >= 0)
 
     def snapshot(self) -> DataFrame:
         """Current score of every subject with votes."""
@@ -167,7 +168,7 @@ class OnlineScorer:
             "subject", consensus.posterior(F.col("llr"), None, self.params).alias("p"), "n_votes")
 
     def stored_votes(self) -> DataFrame:
-        return self._read("votes")
+        return self._log("votes")
 
 
 def run_stream(stream: DataFrame, scorer: OnlineScorer, checkpoint: str, parse=None, available_now: bool = True):
