@@ -16,7 +16,8 @@ def test_stages_against_plain_python(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     # the fitted verdict is the model's own; everything around it is done again
     p = quality.QualityParams()
-    good = {r.doc_id for r in quality.score(docs, quality.fit(docs, labels, p), p).where("probability >= .5").collect()}
+    good = {r.doc_id for r in quality.score(docs, quality.fit(docs, labels, p), p, quality.fit_toxic(docs, labels, p)).where("probability >= .5 AND toxic < .5").collect()}
+    assert 0 < len(good) < docs.count()
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in good and not quality_base(r.text)[5]]
     first = {d for d, _, c in near_groups([(d, t) for d, t, _ in rows], 5) if d == c}
     rows = [(d, pii.pseudonymise(t)[0], s) for d, t, s in rows if d in first]

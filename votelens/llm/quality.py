@@ -10,7 +10,8 @@ scored like any other. Several labels of one document: the lowest quality counts
 No usable labels (none, or one class only): the model has no say, every text that passes the base rules is kept.
 
 Toxic texts are the subject of a second model (``fit_toxic``) over the presence of words, A-Z lower-cased and without marks at their ends: an
-insult counts the same in a long text as in a short one; words whose link with the label could be chance take no part. Several labels of one document: toxic if one says so. A text goes if either model says so.
+insult counts the same in a long text as in a short one; words whose link with the label could be chance take no part; longer words also
+count by their first bytes. Several labels of one document: toxic if one says so. A text goes if either model says so.
 """
 from __future__ import annotations
 
@@ -19,10 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..session import land
+from ..session import scratch_path
 from .text import U, Words, mix, slices, split
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -45,8 +48,9 @@ class QualityParams:
     symbols: bytes = b"#*$%&|<>"
     seed: int = 17
     toxic_bits: int = 18           # hashed words of the toxic model
-    toxic_penalty: float = 1e-5
-    toxic_spread: float = 3.       # a word counts from so many times the spread that chance gives its weight's gradient
+    stem: int = 6                  # bytes of a word's beginning
+    toxic_penalty: float = 1e-4
+    toxic_spread: float = 4.       # a word counts from so many standard deviations above chance
     toxic_from: float = .5         # probability from which a text is toxic
 
 
@@ -87,14 +91,18 @@ _MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def present(w: Words, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of every hashed word that a document has, each once."""
+    """(document, feature) of every hashed word that a document has, and of every beginning of a longer word, each once."""
     start, end = w.start.copy(), w.end.copy()
     while len(cut := np.flatnonzero(_MARK[w.data[end - 1]] & (end - start > 1))):
         end[cut] -= 1
     while len(cut := np.flatnonzero(_MARK[w.data[start]] & (end - start > 1))):
         start[cut] += 1
     h = Words(w.data, w.offsets, start, end, w.first).hashes(lower=True)
-    both = np.unique((w.doc << p.toxic_bits) | (mix(h) >> U(64 - p.toxic_bits)).astype(np.int64))
+    # inflected and compounded words share their beginning
+    stem = mix(Words(w.data, w.offsets, start, np.minimum(end, start + p.stem), w.first).hashes(lower=True) ^ U(1))
+    long = end - start > p.stem
+    h, doc = np.concatenate((h, stem[long])), np.concatenate((w.doc, w.doc[long]))
+    both = np.unique((doc << p.toxic_bits) | (mix(h) >> U(64 - p.toxic_bits)).astype(np.int64))
     return both >> p.toxic_bits, both & ((1 << p.toxic_bits) - 1)
 
 
@@ -162,11 +170,18 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
                 v, c = np.unique(f[lo:hi], return_counts=True)
                 total.update(zip(v.tolist(), (c / max(hi - lo, 1)).tolist()))
             yield total
-    return _fit(docs, known, shares, (1 + len(p.word_n)) << p.bits, p)
+    _, rows = _labelled(docs, known, p, shares, (1 + len(p.word_n)) << p.bits)
+    if not _both(rows.where("NOT second")):
+        return None
+    first = LogisticRegression(maxIter=p.iterations, regParam=p.penalty).fit(rows.where("NOT second"))
+    return _calibrated(Model(first.coefficients.toArray(), float(first.intercept)), first, rows, p)
 
 
 def fit_toxic(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> Model | None:
-    """The model of toxic texts, fitted like ``fit`` on ``labels`` (doc_id, toxic 0 / 1)."""
+    """The model of toxic texts, fitted like ``fit`` on ``labels`` (doc_id, toxic 0 / 1).
+
+    Words are chosen before the fit, by counts: a word that ``rows`` texts hold, ``bad`` of them toxic, takes part if ``bad`` exceeds what chance gives
+    (the share of toxic texts times ``rows``) by ``toxic_spread`` standard deviations. The few that remain are numbered anew for a narrow fit."""
     known = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id")
              .agg(F.max("toxic").cast("double").alias("label")))
 
@@ -174,12 +189,32 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityPara
         doc, f = present(w, p)
         cut = np.searchsorted(doc, np.arange(len(w.offsets)))
         return (dict.fromkeys(f[a:b].tolist(), 1.) for a, b in zip(cut[:-1], cut[1:]))
-    return _fit(docs, known, words, 1 << p.toxic_bits, p, choose=True)
+    rows, _ = _labelled(docs, known, p, words, 1 << p.toxic_bits)
+    first = rows.where("NOT second")
+    if not _both(first):
+        return None
+    n, share = first.agg(F.count("*"), F.avg("label")).first()
+    held = first.select("label", F.explode("features.indices").alias("word")).groupBy("word").agg(F.count("*").alias("rows"), F.sum("label").alias("bad"))
+    spread = F.sqrt(F.col("rows") * (share * (1 - share)) * (1 - F.col("rows") / F.lit(n)))
+    on = sorted(r.word for r in held.where((F.col("bad") - share * F.col("rows")) > p.toxic_spread * spread).select("word").collect())
+    if not on:
+        return None
+    place = {f: i for i, f in enumerate(on)}
+
+    def few(batches):
+        for b in batches:
+            found = [[(place[f], 1.) for f in at if f in place] for at in b.column("at").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("second"), _vectors(found, len(on))], ["label", "second", "features"])
 
+    _, rows = _with_vectors(rows.select("label", "second", F.col("features.indices").alias("at")).mapInArrow(few, f"label double, second boolean, features {_VECTOR}"))
+    fitted = LogisticRegression(maxIter=p.iterations, regParam=p.toxic_penalty, standardization=False).fit(rows.where("NOT second"))
+    weights = np.zeros(1 << p.toxic_bits)
+    weights[on] = fitted.coefficients.toArray()
+    return _calibrated(Model(weights, float(fitted.intercept)), fitted, rows, p)
 
-def _fit(docs, known, values, size: int, p: QualityParams, choose: bool = False) -> Model | None:
-    """A calibrated logistic model of ``known`` (doc_id, label); ``values``: one {feature: value} per text of a slice.
-    ``choose``: an L1 fit first picks the features (none: no model)."""
+
+def _labelled(docs, known, p: QualityParams, values, size: int) -> tuple[DataFrame, DataFrame]:
+    """(label, second, features), as in ``_with_vectors``, of at most ``p.fit_rows`` rows of ``known`` (doc_id, label), landed; ``values``: one {feature: value} per text of a slice."""
     # at most fit_rows pairs of numbers: a proven bound, so the texts need no shuffle
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.fit_rows)
     chosen = chosen.withColumn("second", F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.lit(1000)) < 1000 * p.calibrate_share)
@@ -187,40 +222,40 @@ def _fit(docs, known, values, size: int, p: QualityParams, choose: bool = False)
 
     def sparse(batches):
         for b in slices(batches):
-            rows = list(values(split(b.column("text"))))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("label"), b.column("second"), pa.array([list(r) for r in rows], pa.list_(pa.int32())),
-                 pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))], ["label", "second", "at", "share"])
-
-    vector = F.udf(lambda at, share: Vectors.sparse(size, sorted(zip(at, share))), VectorUDT())
-    landed = land(rows.mapInArrow(sparse, "label double, second boolean, at array<int>, share array<double>"), "quality-fit")
-    raw_rows, landed = landed, landed.select("label", "second", vector("at", "share").alias("features"))
-    if {r[0] for r in landed.where("NOT second").select("label").distinct().collect()} != {0., 1.}:
-        return None
-    if choose:
-        n, share = landed.where("NOT second").agg(F.count("*"), F.avg("label")).first()
-        least = p.toxic_spread * (share * (1 - share) / n) ** .5
-        pick = LogisticRegression(maxIter=p.iterations, regParam=least, elasticNetParam=1.).fit(landed.where("NOT second"))
-        on = np.flatnonzero(pick.coefficients.toArray()).tolist()
-        if not on:
-            return None
-        places = {f: i for i, f in enumerate(on)}
-        few = F.udf(lambda at: Vectors.sparse(len(places), sorted((places[f], 1.) for f in at if f in places)), VectorUDT())
-        landed = raw_rows.select("label", "second", few("at").alias("features"))
-    first = LogisticRegression(maxIter=p.iterations, regParam=p.toxic_penalty if choose else p.penalty, standardization=not choose).fit(landed.where("NOT second"))
-    weights = first.coefficients.toArray()
-    if choose:
-        weights = np.zeros(size)
-        weights[on] = first.coefficients.toArray()
-    model = Model(weights, float(first.intercept))
-    held = first.transform(landed.where("second"))
-    margin = F.udf(lambda v: Vectors.dense([float(v[1])]), VectorUDT())
-    held = held.select("label", margin("rawPrediction").alias("features"))
-    if {r[0] for r in held.select("label").distinct().collect()} == {0., 1.}:
-        again = LogisticRegression(maxIter=p.iterations, regParam=1e-2, standardization=False).fit(held)
-        if again.coefficients[0] > 0:
-            model = Model(model.weights, model.bias, float(again.coefficients[0]), float(again.intercept))
-    return model
+            found = [sorted(v.items()) for v in values(split(b.column("text")))]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("second"), _vectors(found, size)], ["label", "second", "features"])
+
+    return _with_vectors(rows.mapInArrow(sparse, f"label double, second boolean, features {_VECTOR}"))
+
+
+#: How Spark ML stores a sparse vector (type 0).
+_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def _vectors(rows: list[list[tuple]], size: int) -> pa.Array:
+    return pa.array([{"type": 0, "size": size, "indices": [int(i) for i, _ in r], "values": [float(v) for _, v in r]} for r in rows],
+                    pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
+
+
+def _with_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Landed rows as plain structs, and the same table read as vectors: no row passes a Python function for it."""
+    plain, path = rows.sparkSession.read.schema(rows.schema), scratch_path(rows.sparkSession, "quality-fit")
+    rows.write.parquet(path)
+    vectors = StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in rows.schema])
+    return plain.parquet(path), rows.sparkSession.read.schema(vectors).parquet(path)
+
+
+def _both(rows: DataFrame) -> bool:
+    return {r[0] for r in rows.select("label").distinct().collect()} == {0., 1.}
+
+
+def _calibrated(model: Model, fitted, rows: DataFrame, p: QualityParams) -> Model:
+    """A one-variable logistic fit of the margin on the rows that the first fit did not see."""
+    held = fitted.transform(rows.where("second")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+    if not _both(held):
+        return model
+    again = LogisticRegression(maxIter=p.iterations, regParam=1e-2, standardization=False).fit(held.select("label", array_to_vector(F.array("margin")).alias("features")))
+    return Model(model.weights, model.bias, float(again.coefficients[0]), float(again.intercept)) if again.coefficients[0] > 0 else model
 
 
 def score(docs: DataFrame, model: Model | None, p: QualityParams = QualityParams(), toxic: Model | None = None) -> DataFrame:
