@@ -71,6 +71,27 @@ def test_minhash_chain_is_one_component(spark):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in minhash.groups(df, minhash.MinHashParams(words=2)).collect()], near_groups(docs, 2))
 
 
+def test_minhash_hot_group_emits_a_forest(spark):
+    """2,000 texts that are all near each other: the links named are in proportion to the texts, and they are one component."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from votelens.llm import minhash as M
+    core = [f"c{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*core[:i % 190], f"own{i}", *core[i % 190:]])) for i in range(2000)], "doc_id long, text string").repartition(4)
+    p = M.MinHashParams(cell=128)
+    prof = M.profile(docs, p).where("cid IS NOT NULL").persist()
+    sets = M._sets(docs, prof.select("cid", "doc_id"), p)
+    # every member in one bucket and none linked yet: the worst case of the last round
+    links = M._across(prof.select(F.lit(1).alias("key"), "cid", F.col("cid").alias("root")), sets, p).collect()
+    prof.unpersist()
+    cells = -(-2000 // 128)
+    assert 1999 <= len(links) < 2000 * cells
+    assert {r.component_id for r in M.groups(docs, p).collect()} == {0}
+    hit = np.ones((3, 5), bool)
+    a, b = M._spanning(np.array([0, 1, 2]), np.arange(5), hit)
+    assert len(a) == 4
+
+
 def test_estimate_follows_similarity(spark):
     import numpy as np
     from pyspark.sql import functions as F

@@ -135,12 +135,35 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     return both.where(100 * common >= p.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _spanning(ask: np.ndarray, root: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the hits (row: place in ``ask``, column: member) those that join two trees of the known components (``root``) and the hits before:
+    at most one less than there are members, and they connect what all hits connect."""
+    tree = np.arange(int(root.max()) + 1)
+
+    def top(x):
+        while tree[x] != x:
+            tree[x] = tree[tree[x]]
+            x = tree[x]
+        return x
+
+    a, b = [], []
+    for row, i in enumerate(ask):
+        found = np.flatnonzero(hit[row])
+        for r, j in zip(*np.unique(root[found], return_index=True)):
+            x, y = top(int(root[i])), top(int(r))
+            if x != y:
+                tree[max(x, y)] = min(x, y)
+                a.append(i)
+                b.append(found[j])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _across(members: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
-    """Pairs (a, b) of different components that may be linked, found among the members (key, cid, root) of each bucket.
+    """Links (a, b) of different components, confirmed on full sets, among the members (key, cid, root) of each bucket.
 
     The largest component of a bucket is cut into blocks, and so are all others ("askers"). A cell is one block of askers beside one
-    block of either; its sets meet in one task as a product of incidence matrices. Members are sent, not pairs, and a cell names one
-    partner per asker and component.
+    block of either; its sets meet in one task as a product of incidence matrices. Members are sent, not pairs, and a cell names a spanning
+    forest of its links.
     """
     per = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     top = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
@@ -157,9 +180,8 @@ def _across(members: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     asker = F.concat(spread(zero, F.col("nm") - 1, lambda b: cell(k, b, True)), spread(zero, k - 1, lambda o: cell(k, F.col("nm") + o, True)),
                      spread(k + 1, F.col("nq") - 1, lambda q: cell(q, F.col("nm") + k, False)))
     rows = rows.select("key", "cid", "root", F.explode(F.when(asks, asker).otherwise(main)).alias("c")).select("key", "c.q", "c.b", "c.asks", "cid", "root")
-    # 32 bits of each shingle's hash: two may fall together, which only adds to an intersection; full sets confirm
-    short = sets.select("cid", F.transform("s", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("s"))
-    cells = rows.join(short, "cid").repartition("key", "q", "b").sortWithinPartitions("key", "q", "b")
+    # whole hashes: a link that full sets would refuse must not stand for a true one in the forest
+    cells = rows.join(sets.select("cid", "s"), "cid").repartition("key", "q", "b").sortWithinPartitions("key", "q", "b")
 
     def pair(held, first):
         cids, roots, asks, items = zip(*held)
@@ -177,12 +199,11 @@ def _across(members: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
             m = np.zeros((len(items), min(p.columns, int(token[-1]) + 1 - lo)), np.float32)
             np.add.at(m, (owner[cut], token[cut] - lo), 1)
             common += m[ask] @ m.T
+        common = common.astype(np.int64)
         hit = (100 * common >= p.percent * (size[ask][:, None] + size[None, :] - common)) & (root[ask][:, None] != root[None, :])
         if not first:
             hit &= ~asks[None, :]                                   # askers among themselves: in the first cell of their block
-        a, b = np.nonzero(hit)
-        one = np.unique(a * len(items) + root[b], return_index=True)[1]
-        return pa.RecordBatch.from_arrays([pa.array([cids[i] for i in x], pa.binary()) for x in (ask[a[one]], b[one])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([cids[i] for i in x], pa.binary()) for x in _spanning(ask, root, hit)], ["a", "b"])
 
     def run(batches):
         now, held = None, []
@@ -228,9 +249,9 @@ def link(docs: DataFrame, prof: DataFrame, p: MinHashParams) -> DataFrame:
                      .select("a", "na", "ga", F.col("h.cid").alias("b"), F.col("h.n").alias("nb"), F.col("h.sig").alias("gb"))
                      .where(possible).withColumn("e", estimate("ga", "gb", p))
                      .groupBy("a").agg(F.max(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+            found = _confirm(pairs, sets, p)
         else:
-            pairs = _across(now.join(open_.select("key"), "key").select("key", "cid", "root"), sets, p)
-        found = _confirm(pairs, sets, p)
+            found = _across(now.join(open_.select("key"), "key").select("key", "cid", "root"), sets, p)
         # what is connected already is a star, and that is all the next round needs
         found = found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(found)
