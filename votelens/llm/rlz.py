@@ -12,7 +12,7 @@ A window is ``window`` consecutive words; a word goes if a window over it also s
    it is checked by its own hash against those of all other documents. The first document with a window never covers
    it by a factor, so its hash is there to be found: the result is the same as checking every window.
 
-Words are compared by 64-bit hashes. Cases: null or empty text, or fewer words than a window: nothing goes. A null ``doc_id`` is smaller than none and
+Segments and windows are compared by 96 bits of two hashes. A row is named by its id and a hash of its text; a factor lies within one row of the reference. Cases: null or empty text, or fewer words than a window: nothing goes. A null ``doc_id`` is smaller than none and
 has none smaller: such rows stay whole. Rows with equal ids never remove each other's words; repeated rows give repeated results. A window repeated
 only within its own document stays. Texts of any length are parsed whole. Extra columns do not enter. Empty table: no rows.
 """
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import land
 from .text import U, Words, mix, slices, split
 
-_B = U(0x9E3779B97F4A7C15)
-_BI = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = [(U(b), U(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
+_B = _BASES[0][0]
 
 
 @dataclass(frozen=True)
@@ -45,11 +45,12 @@ class Parsed:
     def __init__(self, w: Words, p: RlzParams):
         self.w, self.p, h = w, p, w.hashes()
         n, k, span = len(h), p.gram, p.window - p.gram + 1
-        up = np.full(n + 1, _B, U)
-        down = np.full(n + 1, _BI, U)
-        up[:1], down[:1] = 1, 1
-        self.down = np.multiply.accumulate(down)
-        self.total = np.concatenate((np.zeros(1, U), np.cumsum(h * np.multiply.accumulate(up)[:n])))
+        self.sums = []
+        for base, inverse in _BASES:
+            up, down = np.full(n + 1, base, U), np.full(n + 1, inverse, U)
+            up[:1], down[:1] = 1, 1
+            self.sums.append((np.concatenate((np.zeros(1, U), np.cumsum(h * np.multiply.accumulate(up)[:n]))), np.multiply.accumulate(down)))
+            h = mix(h ^ base)
         left = np.repeat(w.first[1:], w.counts) - np.arange(n)
         self.windows = np.flatnonzero(left >= p.window)             # starts of whole windows
         if not len(self.windows):
@@ -71,8 +72,13 @@ class Parsed:
         self.ends = np.where(last, w.first[1:][doc], np.append(self.anchors[1:], 0) + k)    # segment j is anchors[j]:ends[j]
         self.doc_first = np.searchsorted(doc, np.arange(len(w.first)))
 
-    def range_hash(self, start, end):
-        return mix((self.total[end] - self.total[start]) * self.down[start] ^ (end - start).astype(U) * _B)
+    def range_hash(self, start, end, which: int = 0):
+        total, down = self.sums[which]
+        return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(U) * _B)
+
+    def check(self, start, end) -> np.ndarray:
+        """32 bits of the second hash."""
+        return (self.range_hash(start, end, 1) >> U(32)).astype(np.uint32).view(np.int32)
 
 
 def _lower(low, pos, by):
@@ -81,39 +87,39 @@ def _lower(low, pos, by):
 
 
 def indexed(docs: DataFrame, p: RlzParams) -> DataFrame:
-    """(doc_id, rid, n_words, sha256 of the words, a, s): anchor and segment hashes of each row, in order."""
+    """(doc_id, rid, n_words, sha256 of the words, a, s, t): anchor hashes and segment hashes (two) of each row, in order."""
     def run(batches):
         for b in slices(batches):
             w = split(b.column("text"))
             q = Parsed(w, p)
             a = q.grams[q.anchors].view(np.int64) if len(q.anchors) else np.zeros(0, np.int64)
-            s = q.range_hash(q.anchors, q.ends).view(np.int64)
+            s, t = q.range_hash(q.anchors, q.ends).view(np.int64), q.check(q.anchors, q.ends)
             cut = pa.array(q.doc_first if len(q.anchors) else np.zeros(b.num_rows + 1), pa.int32())
             sha = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("rid"), pa.array(w.counts, pa.int64()), pa.array(sha),
-                 pa.ListArray.from_arrays(cut, pa.array(a, pa.int64())), pa.ListArray.from_arrays(cut, pa.array(s, pa.int64()))],
-                ["doc_id", "rid", "n_words", "sha", "a", "s"])
+                 pa.ListArray.from_arrays(cut, pa.array(a, pa.int64())), pa.ListArray.from_arrays(cut, pa.array(s, pa.int64())),
+                 pa.ListArray.from_arrays(cut, pa.array(t, pa.int32()))], ["doc_id", "rid", "n_words", "sha", "a", "s", "t"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, rid long, n_words long, sha string, a array<long>, s array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, rid long, n_words long, sha string, a array<long>, s array<long>, t array<int>")
 
 
 def references(index: DataFrame) -> DataFrame:
-    """(rid, found): for documents with an anchor that another one has, (j, ref, place) of these segments; ``ref`` is the smallest
-    document that has the segment if it is smaller than the own, ``place`` the segment's number there."""
-    rows = index.where("doc_id IS NOT NULL").select("doc_id", "rid", F.posexplode(F.arrays_zip("a", "s")).alias("j", "x"))
-    rows = rows.select("doc_id", "rid", "j", "x.a", "x.s")
+    """(doc_id, rid, found): for rows with an anchor that another document has, (j, ref, place) of these segments; ``ref`` is the row (of the smallest
+    document) that has the segment, if that document is smaller than the own, ``place`` the segment's number there."""
+    rows = index.where("doc_id IS NOT NULL").select("doc_id", "rid", F.posexplode(F.arrays_zip("a", "s", "t")).alias("j", "x"))
+    rows = rows.select("doc_id", "rid", "j", "x.a", "x.s", "x.t")
     shared = rows.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a")
-    rows = land(rows.join(shared, "a").select("doc_id", "rid", "j", "s"), "rlz-anchors")
-    first = rows.groupBy("s").agg(F.min(F.struct("doc_id", "j")).alias("m"))
+    rows = land(rows.join(shared, "a").select("doc_id", "rid", "j", "s", "t"), "rlz-anchors")
+    first = rows.groupBy("s", "t").agg(F.min(F.struct("doc_id", "rid", "j")).alias("m"))
     earlier = F.col("m.doc_id") < F.col("doc_id")
-    rows = rows.join(first, "s").select(
-        "rid", F.struct("j", F.when(earlier, F.col("m.doc_id")).alias("ref"), F.when(earlier, F.col("m.j")).alias("place")).alias("x"))
-    return rows.groupBy("rid").agg(F.collect_set("x").alias("found"))
+    rows = rows.join(first, ["s", "t"]).select(
+        "doc_id", "rid", F.struct("j", F.when(earlier, F.struct("m.doc_id", "m.rid")).alias("ref"), F.when(earlier, F.col("m.j")).alias("place")).alias("x"))
+    return rows.groupBy("doc_id", "rid").agg(F.collect_set("x").alias("found"))
 
 
 def factors(q: Parsed, d: int, found: list[dict]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """Of document ``d`` of a slice: its factors (first word, end, reference), and the windows to check."""
+    """Of row ``d`` of a slice: its factors (first word, end, reference row), and the windows to check."""
     lo, hi = q.doc_first[d], q.doc_first[d + 1]
     known = np.zeros(hi - lo, bool)
     out, last = [], None
@@ -140,36 +146,37 @@ def factors(q: Parsed, d: int, found: list[dict]) -> tuple[list[tuple[int, int,
 
 
 def parsed(docs: DataFrame, refs: DataFrame, p: RlzParams) -> DataFrame:
-    """(doc_id, rid, text, spans, at, h): words in factors as flat (start, end) pairs; windows to check and their hashes."""
-    rows = docs.where("doc_id IS NOT NULL").join(refs, "rid").select("doc_id", "rid", "text", "found")
+    """(doc_id, rid, text, spans, at, h, t): words in factors as flat (start, end) pairs; windows to check and their hashes."""
+    rows = docs.where("doc_id IS NOT NULL").join(refs, ["doc_id", "rid"]).select("doc_id", "rid", "text", "found")
 
     def run(batches):
         for b in slices(batches):
             q = Parsed(split(b.column("text")), p)
-            spans, at, h = [], [], []
+            spans, at, h, t = [], [], [], []
             for d, found in enumerate(b.column("found").to_pylist()):
                 base = q.w.first[d]
                 f, check = factors(q, d, found)
                 spans.append([int(x - base) for s, e, _ in f for x in (s, e)])
                 at.append((check - base).astype(np.int32))
                 h.append(q.range_hash(check, check + p.window).view(np.int64))
+                t.append(q.check(check, check + p.window))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), b.column("text"), pa.array(spans, ints), pa.array(at, ints),
-                                              pa.array(h, pa.list_(pa.int64()))], ["doc_id", "rid", "text", "spans", "at", "h"])
+                                              pa.array(h, pa.list_(pa.int64())), pa.array(t, ints)], ["doc_id", "rid", "text", "spans", "at", "h", "t"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, text string, spans array<int>, at array<int>, h array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, text string, spans array<int>, at array<int>, h array<long>, t array<int>")
 
 
 def repeated(middle: DataFrame) -> DataFrame:
-    """(rid, hits): windows to check that an earlier document has too."""
-    w = middle.select("doc_id", "rid", F.explode(F.arrays_zip("at", "h")).alias("x")).select("doc_id", "rid", "x.at", "x.h")
-    lo = w.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    return w.join(lo, "h").where("lo < doc_id").groupBy("rid").agg(F.collect_set("at").alias("hits"))
+    """(doc_id, rid, hits): windows to check that an earlier document has too."""
+    w = middle.select("doc_id", "rid", F.explode(F.arrays_zip("at", "h", "t")).alias("x")).select("doc_id", "rid", "x.at", "x.h", "x.t")
+    lo = w.groupBy("h", "t").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "t", "lo")
+    return w.join(lo, ["h", "t"]).where("lo < doc_id").groupBy("doc_id", "rid").agg(F.collect_set("at").alias("hits"))
 
 
 def cut(middle: DataFrame, hits: DataFrame, p: RlzParams) -> DataFrame:
-    """(rid, n_removed, spans, kept, sha): the removed word ranges of each parsed document and what is left of it."""
-    rows = middle.select("rid", "text", "spans").join(hits, "rid", "left")
+    """(doc_id, rid, n_removed, spans, kept, sha): the removed word ranges of each parsed document and what is left of it."""
+    rows = middle.select("doc_id", "rid", "text", "spans").join(hits, ["doc_id", "rid"], "left")
 
     def run(batches):
         for b in slices(batches):
@@ -186,22 +193,23 @@ def cut(middle: DataFrame, hits: DataFrame, p: RlzParams) -> DataFrame:
                 kept = b" ".join(compress(words, ~gone))
                 for o, v in zip(out, (int(gone.sum()), turn.tolist(), kept.decode(), hashlib.sha256(kept).hexdigest())):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())),
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())),
                                               pa.array(out[2], pa.string()), pa.array(out[3], pa.string())],
-                                             ["rid", "n_removed", "removed", "kept", "kept_sha"])
-    return rows.mapInArrow(run, "rid long, n_removed long, removed array<int>, kept string, kept_sha string")
+                                             ["doc_id", "rid", "n_removed", "removed", "kept", "kept_sha"])
+    kind = middle.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, n_removed long, removed array<int>, kept string, kept_sha string")
 
 
 def substring_dedup(docs: DataFrame, p: RlzParams = RlzParams(), with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, removed) of every row; ``removed`` holds flat (start, end) word ranges. ``with_text`` adds
     the words that stay of documents that lost any (``kept``, null for the others: they stay as they are)."""
-    # rows with the same id and text are told apart by nothing and share one key
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    # rows with the same id and text are told apart by nothing and share one key (doc_id, rid)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"))
     index = land(indexed(docs, p), "rlz-index")
     middle = land(parsed(docs, references(index), p).where("size(spans) > 0 OR size(at) > 0"), "rlz-parsed")
     done = cut(middle, repeated(middle), p).where("n_removed > 0")
     more = [F.first(c).alias(c) for c in ("n_removed", "removed", "kept_sha", *(["kept"] if with_text else []))]
-    out = index.select("doc_id", "rid", "n_words", "sha").join(done.groupBy("rid").agg(*more), "rid", "left")
+    out = index.select("doc_id", "rid", "n_words", "sha").join(done.groupBy("doc_id", "rid").agg(*more), ["doc_id", "rid"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce("kept_sha", "sha").alias("kept_sha256"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
                       *(["kept"] if with_text else []))
