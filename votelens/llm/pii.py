@@ -3,7 +3,7 @@
 Values are found by pattern and validated (Luhn, IBAN remainder, octets, calendar, number plan) before they are replaced, so look-alikes
 stay. A value is a number in a mixed-radix domain: digits stay digits, letters letters, fixed parts fixed. Two halves of that number take
 turns adding a keyed hash of the other, which is a bijection on the domain; results that break the format's rules are permuted again
-until one holds ("cycle walking", still a bijection). Hence one value has one pseudonym in every document, two values never share one,
+until one holds ("cycle walking", still a bijection). Long names and keys are vectors of characters, whose halves shift each other's characters. Hence one value has one pseudonym in every document, two values never share one,
 and the pseudonym passes the same validation. Dates are permuted as day numbers, so one day stays linked across notations. Of two numbers before a year, ``/`` has the month first where
 that is a date and the day first otherwise (``.`` always the day): 25/12/1980 is linked with 25.12.1980, but 03/04/1980 is March 4th, whatever its
 writer meant. Days above 12 are permuted among themselves, so the pseudonym is read in the same order.
@@ -17,17 +17,18 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .text import raw, slices
 
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "phone", "card")
 _PATTERN = re.compile(r"""
-  (?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
+  (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
 | (?P<secret>\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b
     |\b(?i:password|passwd|token|secret|api_?key)\s?[=:]\s?["']?[A-Za-z0-9_/+-]{6,})
 | (?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?\b)
@@ -46,10 +47,53 @@ _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049      # to 2099-12-31
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``key`` is the secret that the pseudonyms depend on; ``rounds`` of the permutation (an even number)."""
-    key: bytes = b"change this key"
+    """``key`` is the secret that the pseudonyms depend on, and has no default; ``rounds`` of the permutation (an even number). Strings of more than
+    ``long`` characters are permuted character by character, which takes time in proportion to their length."""
+    key: bytes
     rounds: int = 8
     kinds: tuple = KINDS
+    long: int = 64
+
+    def __post_init__(self):
+        if not self.key:
+            raise ValueError("pseudonyms need a secret key")
+
+
+KEY = "spark.votelens.pii.key"
+#: For trials on invented data only: whoever reads this can undo the pseudonyms.
+DEMO_KEY = "not a secret: set spark.votelens.pii.key"
+
+
+def session_params(spark: SparkSession) -> PiiParams:
+    """Parameters with the key that the session names in ``spark.votelens.pii.key``; where it names none, the demonstration key, with a warning."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        warnings.warn(f"{KEY} is not set: pseudonyms use the demonstration key", stacklevel=2)
+    return PiiParams(key=(key or DEMO_KEY).encode())
+
+
+def _drawn(of: str, n: int, p: PiiParams) -> bytes:
+    """``n`` keyed pseudo-random bytes: hashes of a counter below a hash of ``of``."""
+    seed = hashlib.blake2b(of.encode(), key=hashlib.blake2b(p.key).digest()).digest()
+    if n <= 64:
+        return seed[:n]
+    return b"".join(hashlib.blake2b(k.to_bytes(8), key=seed).digest() for k in range(-(-n // 64)))[:n]
+
+
+def _shift(of: list[int], sizes: list[int], tweak: str, p: PiiParams) -> list[int]:
+    """One pseudo-random shift below each size, from 64 bits each."""
+    words = np.frombuffer(_drawn(f"{tweak}|{bytes(of).hex()}", 8 * len(sizes), p), ">u8")
+    return (words % np.array(sizes, np.uint64)).tolist()
+
+
+def feistel_places(places: list[int], sizes: list[int], tweak: str, p: PiiParams) -> list[int]:
+    """A keyed bijection on vectors with ``sizes`` values per place (at most 256): two halves shift each other's places in turn."""
+    cut = len(places) // 2
+    half, size = [places[:cut], places[cut:]], [sizes[:cut], sizes[cut:]]
+    for i in range(p.rounds):
+        by = _shift(half[1 - i % 2], size[i % 2], f"{tweak}|{i}", p)
+        half[i % 2] = [(x + f) % n for x, f, n in zip(half[i % 2], by, size[i % 2])]
+    return half[0] + half[1]
 
 
 def feistel(x: int, left: int, right: int, tweak: str, p: PiiParams) -> int:
@@ -57,7 +101,8 @@ def feistel(x: int, left: int, right: int, tweak: str, p: PiiParams) -> int:
     a, b = divmod(x, right)
     for i in range(p.rounds):
         of, size = (b, left) if i % 2 == 0 else (a, right)
-        f = int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{of}".encode(), key=p.key[:64], digest_size=64).digest())
+        # as many bits as the half has, and 64 more, so that every place of it is moved and the remainder is even
+        f = int.from_bytes(_drawn(f"{tweak}|{i}|{of:x}", size.bit_length() // 8 + 9, p))
         if i % 2 == 0:
             a = (a + f) % size
         else:
@@ -87,6 +132,10 @@ def _alphabets(s: str, hexes: bool = False) -> list[str]:
 def permute_string(s: str, tweak: str, p: PiiParams, alphabets: list[str] | None = None) -> str:
     """``s`` permuted among the strings of its shape (same alphabet at each place)."""
     abc = alphabets or _alphabets(s)
+    if len(s) > p.long:
+        shape = hashlib.blake2b("".join(a[0] + str(len(a)) for a in abc).encode()).hexdigest()
+        places = feistel_places([a.index(c) for c, a in zip(s, abc)], [len(a) for a in abc], f"{tweak}|{shape}", p)
+        return "".join(a[i] for a, i in zip(abc, places))
     x, size = 0, 1
     for c, a in zip(s, abc):
         x, size = x * len(a) + a.index(c), size * len(a)
@@ -204,7 +253,7 @@ def _secret(s, p):
 _MAKE = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonymise(text: str, p: PiiParams = PiiParams()) -> tuple[str, dict]:
+def pseudonymise(text: str, p: PiiParams) -> tuple[str, dict]:
     """The text with its private values replaced, and how many of each kind there were."""
     found: dict = {}
 
@@ -219,7 +268,7 @@ def pseudonymise(text: str, p: PiiParams = PiiParams()) -> tuple[str, dict]:
     return _PATTERN.sub(put, text), found
 
 
-def replace(docs: DataFrame, p: PiiParams = PiiParams(), text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, p: PiiParams, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` pseudonymised; all other columns, whatever their names, as they are."""
     def run(batches):
         for b, out, _ in _replaced(batches, text, p):
@@ -227,7 +276,7 @@ def replace(docs: DataFrame, p: PiiParams = PiiParams(), text: str = "text") ->
     return docs.mapInArrow(run, docs.schema)
 
 
-def replace_counted(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
+def replace_counted(docs: DataFrame, p: PiiParams) -> DataFrame:
     """(doc_id, text, n_private, n_<kind>...) of every row."""
     def run(batches):
         for b, out, found in _replaced(batches, "text", p):

@@ -84,7 +84,7 @@ def op1_minhash_dedup(spark, sf_dir):
 
 @register("op8_pii_pseudonyms")
 def op8_pii_pseudonyms(spark, sf_dir):
-    return pii.replace_counted(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pii.replace_counted(table(spark, sf_dir, "documents", "doc_id", "text"), pii.session_params(spark))
 
 
 @register("op6_substring_dedup")
