@@ -3,10 +3,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import aggregates as A, evaluate as E, skill
+from ..operators.prefix import union_all
 from ..plans import learning as L
 from ..session import scratch_path
 from .base import query
-from .relational import bin_counts
+from .relational import BIN_SQL, bin_counts
 
 # x(vec_id, pos, v): the image values by 0-based position
 _X = """, x AS (SELECT vec_id, label, pos - 1 AS pos, CAST(embedding[pos] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS pos)),
@@ -156,6 +157,15 @@ def m17(i):
     return E.fom_grid(_scored(L.CalibratedSVM().fit(fit), test))
 
 
+@query("svm_sgd_train")
+def m17b(i):
+    """The linear SVM's second form: modified-huber loss, stochastic gradient."""
+    from ..plans import gradient as G
+    fit, test = held_out(i, training_rows(i))
+    model = G.HuberSVM(alpha=1e-3).fit(fit.select("vec_id", "x", "y"), F.col("vec_id"))
+    return E.fom_grid(test.select(F.col("vec_id").alias("subject"), F.col("y").alias("gold"), model.probability(F.col("x")).alias("p")))
+
+
 @query("softmax_train")
 def m18(i):
     fit, test = held_out(i, L.as_features(i.images, y="label"))
@@ -164,10 +174,10 @@ def m18(i):
 
 @query("softmax_online")
 def m19(i):
-    """The image table as a stream that arrives in four random parts; weights carried from batch to batch."""
+    """The image table as a stream that arrives in four random parts, one example per step; weights carried from batch to batch."""
     from ..functions.scalars import hash_unit
     folder, path, ckpt = (scratch_path(i.spark, n) for n in ("images", "weights", "ckpt"))
-    model = L.OnlineSoftmax(i.spark, path, 10, 64, rate=1.0).start()
+    model = L.OnlineSoftmax(i.spark, path, 10, 64, rate=.1).start()
     at = F.floor(hash_unit(F.col("vec_id"), 2) * 4)
     for k in range(4):
         i.images.where(at == k).select("x", F.col("label").alias("y")).write.mode("append").parquet(folder)
@@ -181,24 +191,37 @@ def m19(i):
 
 @query("mlp_train")
 def m20(i):
+    """A penalised one-hidden-layer network, trained until its gradient vanishes."""
+    from ..plans import gradient as G
     fit, test = held_out(i, training_rows(i))
-    return E.fom_grid(_scored(L.mlp([64, 8, 2]).fit(fit), test))
+    model = G.MLP(hidden=8, lam=.1).fit(fit)
+    return E.fom_grid(test.select(F.col("vec_id").alias("subject"), F.col("y").alias("gold"), model.probability(F.col("x"), 64).alias("p")))
 
 
-@query("predict_proba")
-def m21(i):
-    """A stored model read back and applied."""
-    from pyspark.ml.classification import LogisticRegressionModel
-    t = training_rows(i)
+# a model that SQL can express: the classes' mean vectors, fitted on the rows that are not held out
+_MODEL = _X + f""", tr AS (SELECT vec_id, CASE WHEN CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) > 0 THEN 1 ELSE 0 END AS y, {_UNIT.format(s=5, c='vec_id')} < .2 AS held FROM embeddings),
+ mw AS (SELECT pos, avg(v) FILTER (WHERE y = 1) AS m1, avg(v) FILTER (WHERE y = 0) AS m0 FROM x JOIN tr USING (vec_id) WHERE NOT held GROUP BY 1),
+ pr AS (SELECT vec_id, y, 1 / (1 + exp(-5 * (sum((m1 - m0) * v) - (SELECT sum((m1 - m0) * (m1 + m0)) / 2 FROM mw)))) AS p FROM x JOIN tr USING (vec_id) JOIN mw USING (pos) WHERE held GROUP BY 1, 2)
+"""
+
+
+def applied(i):
+    """A model table written, read back, and applied to rows it was not fitted on."""
+    fit, test = held_out(i, training_rows(i))
     path = scratch_path(i.spark, "model")
-    L.softmax().fit(t).save(path)
-    return _scored(LogisticRegressionModel.load(path), t)
+    L.centroid_model(fit.select("x", "y")).write.parquet(path)
+    return L.apply_linear(i.spark.read.parquet(path), test.select("vec_id", "x", "y"), scale=5.)
+
+
+@query("predict_proba", _MODEL + "SELECT vec_id AS subject, y AS gold, p FROM pr", r="p")
+def m21(i):
+    return applied(i).select(F.col("vec_id").alias("subject"), F.col("y").alias("gold"), F.get("probability", F.lit(1)).alias("p"))
 
 
-@query("fold_soft_pred")
+@query("fold_soft_pred", _MODEL + "SELECT vec_id, p FROM pr", r="p")
 def c21(i):
-    t = training_rows(i)
-    return L.softmax().fit(t).transform(t).select("vec_id", L.fold_soft_pred(F.col("probability")).alias("p"))
+    from pyspark.ml.functions import array_to_vector
+    return applied(i).select("vec_id", L.fold_soft_pred(array_to_vector("probability")).alias("p"))
 
 
 def folded(i):
@@ -210,37 +233,50 @@ def folds(i):
     return folded(i).select("vec_id", "fold")
 
 
+# The reference's grids.
+SOFTMAX_GRID = [.1, .03, .01, .003, .001, 3e-4, 1e-4, 3e-5, 1e-5]
+SVM_GRID = [10., 3., 1., .3, .1, .03, .01, .003, .001]
+
+
 @query("cv_rf")
 def m22(i):
-    rf = L.random_forest(5, depth=4)
-    return L.cross_validate(folded(i).persist(), rf, {"numTrees": [3, 6]}, L.FomEvaluator())
+    """Twelve settings: 10 and 100 trees, 10 and 25 features per split, leaves of 1, 2 and 5 rows."""
+    return L.cross_validate_forest(folded(i))
 
 
 @query("cv_softmax")
 def m23(i):
-    return L.best_setting(L.cross_validate(folded(i).persist(), L.softmax(max_iter=10), {"regParam": [1e-3, 1e-1]}, L.FomEvaluator()))
+    return L.best_setting(L.cross_validate(folded(i), L.softmax(), {"regParam": SOFTMAX_GRID}, L.FomEvaluator()))
 
 
 @query("cv_svm")
 def m24(i):
     """Linear SVM settings, ranked by the margin through the same figure of merit."""
     from pyspark.ml.classification import LinearSVC
-    return L.best_setting(L.cross_validate(folded(i).persist(), LinearSVC(maxIter=5), {"regParam": [1e-3, 1e-1]}, L.MarginFomEvaluator()))
+    return L.best_setting(L.cross_validate(folded(i), LinearSVC(maxIter=50), {"regParam": SVM_GRID}, L.MarginFomEvaluator()))
 
 
 @query("cv_nn")
 def m25(i):
-    return L.cross_validate(folded(i).persist(), L.mlp([64, 4, 2], 10), {"maxIter": [5, 10]}, L.F1Evaluator())
+    """Networks of 10 and 20 units, seven penalties, five folds; the larger sizes are parameters."""
+    from ..plans import gradient as G
+    t = training_rows(i).select("vec_id", "x", "y")
+    return G.cross_validate_mlp(L.contiguous_folds(t, "vec_id"))
 
 
 @query("learning_curve")
 def m26(i):
-    return L.learning_curve(training_rows(i).select("vec_id", "features", "label"), "vec_id", L.softmax)
+    return L.learning_curve(training_rows(i).select("vec_id", "x", "y"), "vec_id")
 
 
 @query("feature_importance")
 def m27(i):
-    return L.feature_importance(L.random_forest(5, depth=4).fit(training_rows(i)), i.spark)
+    return L.feature_importance(L.random_forest().fit(training_rows(i)), i.spark)
+
+
+@query("unit_pixels", _X + "SELECT vec_id, CAST(pos AS INTEGER) AS pos, v / 255 AS v FROM x", r="v")
+def m28b(i):
+    return long(i.images.select("vec_id", L.unit_pixels(F.col("x")).alias("x")))
 
 
 @query("random_split", f"SELECT vec_id, label, CASE WHEN {_UNIT.format(s=0, c='vec_id')} < .93 THEN 'train' ELSE 'test' END AS split, 1.0::DOUBLE AS hot FROM embeddings", r="hot")
@@ -255,12 +291,48 @@ def m29(i):
     return long(i.images.select("vec_id", V.scale_pm1(F.col("x")).alias("x")))
 
 
-@query("glm_binomial")
-def m30(i):
-    """Models over the user types the analysis keeps (mega, power, frequent)."""
+# The two responses (successes, trials) and the user types the analysis keeps.
+RESPONSES = {"tp": ("tp", "pos"), "tn": ("tn", "n - pos")}
+KEPT = ("1) mega", "2) power", "3) frequent")
+
+
+def glm_cells(i, response):
+    from ..plans import binomial as G
     b = bin_counts(i)
-    kept = skill.bin_user_types(b, 4).where(F.col("user_type").isin("1) mega", "2) power", "3) frequent")).select("voter")
-    return L.glm_tests(L.glm_binomial(b.join(kept, "voter", "left_semi").persist()))
+    kept = skill.bin_user_types(b, 4).where(F.col("user_type").isin(*KEPT)).select("voter")
+    good, total = RESPONSES[response]
+    return G.cells(b.join(kept, "voter", "left_semi"), F.expr(good), F.expr(total))
+
+
+def _glm_sql():
+    """Deviance, degrees of freedom and AIC of the models that are rates of groups, for both responses."""
+    xl = "CASE WHEN {k} > 0 THEN {k} * ln({k} / {m}) ELSE 0 END"
+    cell = xl.format(k="k", m="m") + " + " + xl.format(k="(m - k)", m="m")
+    out = BIN_SQL + """, vt AS (SELECT voter, min(n) AS least, count(*) AS bins FROM bc GROUP BY 1),
+ kept AS (SELECT voter FROM vt WHERE bins = 4 AND least >= 30)"""
+    parts = []
+    for r, (good, total) in RESPONSES.items():
+        out += f", cl_{r} AS (SELECT voter, bin, CAST({good} AS DOUBLE) AS k, CAST({total} AS DOUBLE) AS m FROM bc SEMI JOIN kept USING (voter) WHERE {total} > 0)"
+        out += f", sa_{r} AS (SELECT count(*) AS n, 2 * sum(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + {cell}) AS ll2 FROM cl_{r})"
+        for name, by in (("null", "1"), ("bin", "bin"), ("user", "voter"), ("bin*user", "voter, bin")):
+            group = f"GROUP BY {by}" if name != "null" else ""
+            parts.append(f"SELECT '{r}' AS response, '{name}' AS model, greatest(deviance, 0) AS deviance, n - terms AS df, greatest(deviance, 0) - ll2 + 2 * terms AS aic FROM ("
+                         f"SELECT 2 * sum(own - ({cell})) AS deviance, count(*) AS terms FROM (SELECT sum(k) AS k, sum(m) AS m, sum({cell}) AS own FROM cl_{r} {group})), sa_{r}")
+    return out + " " + " UNION ALL ".join(parts)
+
+
+@query("glm_binomial", _glm_sql(), r="deviance aic")
+def m30(i):
+    """Both responses, the models that are rates of groups."""
+    from ..plans import binomial as G
+    return union_all([G.closed_models(glm_cells(i, r)).withColumn("response", F.lit(r)) for r in RESPONSES])
+
+
+@query("glm_tests")
+def m30b(i):
+    """With bin + user: deviance drops of terms added in turn, and the deletion of the interaction, with chi-square p-values."""
+    from ..plans import binomial as G
+    return union_all([G.tests(G.models(glm_cells(i, r))).withColumn("response", F.lit(r)) for r in RESPONSES])
 
 
 @query("kmeans_users")

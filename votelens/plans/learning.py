@@ -4,22 +4,24 @@ Rows carry ``file`` (or another id), ``x array<double>`` and ``y int``.
 """
 from __future__ import annotations
 
-from pyspark import keyword_only
+from multiprocessing.pool import ThreadPool
+
+from pyspark import SparkContext, inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasLabelCol
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import fold_soft_pred, hash_unit
 from ..operators import evaluate
 from ..operators.prefix import range_blocks, running, union_all, unit_blocks
+from . import gradient
 
 # ---- splits ----------------------------------------------------------------------------------
 
@@ -56,6 +58,11 @@ def random_split(df: DataFrame, id_: str, train: float = .93, seed=0) -> DataFra
     return df.withColumn("split", F.when(hash_unit(F.col(id_), seed) < train, "train").otherwise("test"))
 
 
+def unit_pixels(x):
+    """Byte values as numbers from 0 to 1."""
+    return F.transform(x, lambda v: v / 255)
+
+
 def contiguous_folds(df: DataFrame, id_: str, k: int = 5) -> DataFrame:
     pos = with_position(df, id_)
     return pos.withColumn("fold", F.floor(F.col("position") * k / F.col("rows")).cast("int")).drop("position", "rows")
@@ -140,6 +147,22 @@ def predict_proba(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", fold_soft_pred(F.col("probability")))
 
 
+def centroid_model(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """A linear model table (pos, w): half way between the two classes' mean vectors; position -1 holds the constant."""
+    per = df.select(y, F.posexplode(x).alias("pos", "v")).groupBy("pos").agg(
+        F.avg(F.when(F.col(y) == 1, F.col("v"))).alias("m1"), F.avg(F.when(F.col(y) == 0, F.col("v"))).alias("m0"))
+    const = per.agg((-F.sum((F.col("m1") - F.col("m0")) * (F.col("m1") + F.col("m0"))) / 2).alias("w")).select(F.lit(-1).alias("pos"), "w")
+    return per.select("pos", (F.col("m1") - F.col("m0")).alias("w")).unionByName(const)
+
+
+def apply_linear(model: DataFrame, df: DataFrame, x: str = "x", scale: float = 1.) -> DataFrame:
+    """``probability`` (of class 0 and 1) of a stored linear model (pos, w): one row of weights, whose length is the vector's."""
+    packed = model.agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("_w")).select(F.transform("_w", lambda r: r["w"]).alias("_w"), F.lit(1).alias("_k"))
+    z = F.aggregate(F.zip_with(x, F.slice("_w", 2, F.size("_w")), lambda a, b: a * b), F.get("_w", F.lit(0)), lambda a, b: a + b)
+    p = 1 / (1 + F.exp(-scale * z))
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k").withColumn("probability", F.array(1 - p, p)).drop("_k", "_w")
+
+
 class FomEvaluator(Evaluator, HasLabelCol):
     """Missed-detection rate at a false-positive rate; smaller is better."""
 
@@ -195,27 +218,69 @@ def cross_validate(df: DataFrame, estimator, grid: dict, evaluator, folds: int =
     return df.sparkSession.createDataFrame(rows, "setting string, mean double")
 
 
+def forest_prefix(model, trees: int):
+    """The forest of the first ``trees`` trees of a fitted one."""
+    jvm = model._java_obj
+    cls = jvm.getClass()
+    few = SparkContext._gateway.new_array(SparkContext._jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, trees)
+    for k, tree in enumerate(jvm.trees()[:trees]):
+        few[k] = tree
+    new = SparkContext._jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(f"{model.uid}_{trees}", few, model.numFeatures, model.numClasses)
+    assert new.getClass() == cls
+    out = RandomForestClassificationModel(new)
+    out._transfer_params_from_java()
+    return out
+
+
+def cross_validate_forest(df: DataFrame, trees=(100, 10), features=(10, 25), leaves=(1, 2, 5), depth: int = 30, seed: int = 0, fpr: float = .01,
+                          parallelism: int = 4) -> DataFrame:
+    """(trees, features, leaf, mean) over contiguous folds (column ``fold``): mean figure of merit per setting.
+
+    One forest of the most trees is grown per fold, feature count and leaf size; forests of fewer trees are its first ones. All held-out scores are
+    compared in one job.
+    """
+    folds = sorted(r.fold for r in df.select("fold").distinct().collect())
+    jobs = [(f, leaf, k) for f in features for leaf in leaves for k in folds]
+
+    def grow(job):
+        f, leaf, k = job
+        model = random_forest(max(trees), str(f), leaf, depth, seed).fit(df.where(F.col("fold") != k))
+        held = df.where(F.col("fold") == k)
+        return [predict_proba(forest_prefix(model, n) if n < max(trees) else model, held).select(
+            F.lit(n).alias("trees"), F.lit(f).alias("features"), F.lit(leaf).alias("leaf"), "fold", F.lit(0).alias("subject"),
+            F.col("label").cast("int").alias("gold"), "p") for n in trees]
+
+    with ThreadPool(parallelism) as pool:
+        scored = [x for got in pool.map(inheritable_thread_target(df.sparkSession)(grow), jobs) for x in got]
+    keys = ["trees", "features", "leaf"]
+    merit = evaluate.fom_mdr_at_fpr(union_all(scored), fpr, runs=[*keys, "fold"])
+    return merit.groupBy(*keys).agg(F.avg("mdr").alias("mean"))
+
+
 def best_setting(results: DataFrame, smallest: bool = True) -> DataFrame:
     return results.agg((F.min_by if smallest else F.max_by)("setting", "mean").alias("setting"),
                        (F.min if smallest else F.max)("mean").alias("mean"))
 
 
-def learning_curve(df: DataFrame, id_: str, make, step: int = 100, fraction: float = .75, fpr: float = .01) -> DataFrame:
-    """Figure of merit on the training prefix and on the hold-out rows, for prefixes that grow by ``step`` rows."""
+def learning_curve(df: DataFrame, id_: str, step: int = 100, fraction: float = .75, fpr: float = .01, lam: float = 1e-3) -> DataFrame:
+    """Figure of merit on the training prefix and on the hold-out rows, for prefixes that grow by ``step`` rows.
+
+    Rows carry ``x`` and ``y``. All prefixes are fitted in the same passes (``gradient.prefix_logistic``) and scored and compared in one job: the number of jobs
+    does not depend on the number of rows.
+    """
     pos = with_position(df, id_)
     n = pos.select("rows").first()["rows"]
     cut = int(n * fraction)
-    train, hold = pos.where(F.col("position") < cut).persist(), pos.where(F.col("position") >= cut).persist()
-    sizes = list(range(step, cut - cut % step + 1, step)) + [cut]
-    out = []
-    for size in sizes:
-        part = train.where(F.col("position") < size)
-        model = make().fit(part)
-        for name, rows in (("train", part), ("holdout", hold)):
-            scored = predict_proba(model, rows).select(F.col(id_).alias("subject"), F.col("label").cast("int").alias("gold"), "p")
-            out.append(evaluate.fom_mdr_at_fpr(scored, fpr).select(
-                F.lit(size).alias("size"), F.lit(name).alias("part"), "mdr"))
-    return union_all(out)
+    sizes = sorted({*range(step, cut + 1, step), cut})
+    train = pos.where(F.col("position") < cut)
+    w = gradient.prefix_logistic(train.select("x", "y", "position"), sizes, lam)
+    fits = df.sparkSession.createDataFrame([(s, [float(v) for v in row]) for s, row in zip(sizes, w)], "size int, w array<double>")
+    inside = F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda s: (F.col("position") < s) | (F.col("position") >= cut)), lambda s: s)
+    each = pos.withColumn("size", F.explode(inside)).join(F.broadcast(fits), "size")       # one row of weights per prefix
+    z = F.aggregate(F.zip_with("x", F.slice("w", 2, F.size("w")), lambda a, b: a * b), F.get("w", F.lit(0)), lambda a, b: a + b)
+    scored = each.select("size", F.when(F.col("position") < cut, "train").otherwise("holdout").alias("part"), F.col(id_).alias("subject"), F.col("y").alias("gold"),
+                         (1 / (1 + F.exp(-z))).alias("p"))
+    return evaluate.fom_mdr_at_fpr(scored, fpr, runs=["size", "part"]).select("size", "part", "mdr")
 
 
 def feature_importance(model, spark) -> DataFrame:
@@ -266,8 +331,9 @@ class OnlineSoftmax:
     """Carries weights across micro-batches; continues from stored weights. State of batch k is written
     under k, so a repeated batch starts from the weights before it."""
 
-    def __init__(self, spark, path: str, classes: int, dim: int, rate: float = .1, lam: float = 1e-4):
-        self.spark, self.path, self.classes, self.dim, self.rate, self.lam = spark, path, classes, dim, rate, lam
+    def __init__(self, spark, path: str, classes: int, dim: int, rate: float = .1, lam: float = 1e-4, batch: int = 1):
+        """``batch``: examples per step; each partition goes through its own, one step after the other."""
+        self.spark, self.path, self.classes, self.dim, self.rate, self.lam, self.batch = spark, path, classes, dim, rate, lam, batch
 
     def _write(self, state: dict, batch: int) -> None:
         self.spark.createDataFrame([(state["w"], state["steps"])], "w array<array<double>>, steps int").write.mode(
@@ -283,8 +349,10 @@ class OnlineSoftmax:
         return df.orderBy(F.desc("batch")).limit(1)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        import numpy as np
         r = self.weights(batch_id).first()
-        self._write(softmax_step(batch, {"w": r["w"], "steps": r["steps"]}, self.classes, self.rate, self.lam), batch_id)
+        w = gradient.softmax_pass(batch.select("x", "y"), np.array(r["w"]), self.rate, self.lam, self.batch, F.xxhash64("x"))
+        self._write({"w": w.tolist(), "steps": r["steps"] + 1}, batch_id)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Class probabilities from the latest weights."""
@@ -300,39 +368,6 @@ class OnlineSoftmax:
 
 # ---- user models -----------------------------------------------------------------------------
 
-def glm_binomial(bin_counts: DataFrame, good: str = "tp", total: str = "pos") -> DataFrame:
-    """Binomial models of good / total on bin, user and bin * user: AIC, deviance and the tests between
-    nested models. Success and failure counts are (good, total - good)."""
-    rows = bin_counts.where(F.col(total) > 0).select(
-        F.col("bin").cast("string").alias("bin"), "voter", (F.col(good) / F.col(total)).alias("rate"),
-        F.col(total).cast("double").alias("trials"))
-    from pyspark.ml.feature import RFormula
-    out = []
-    for name, formula in (("null", None), ("bin", "rate ~ bin"), ("user", "rate ~ voter"),
-                          ("bin+user", "rate ~ bin + voter"), ("bin*user", "rate ~ bin + voter + bin:voter")):
-        if formula is None:
-            prep = VectorAssembler(inputCols=["_zero"], outputCol="features").transform(
-                rows.withColumn("_zero", F.lit(0.0)).withColumn("label", F.col("rate")))
-        else:
-            prep = RFormula(formula=formula).fit(rows).transform(rows)
-        model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="trials", regParam=1e-6,
-                                            maxIter=25).fit(prep)
-        s = model.summary
-        out.append((name, float(s.deviance), int(s.degreesOfFreedom), float(s.aic)))
-    return bin_counts.sparkSession.createDataFrame(out, "model string, deviance double, df long, aic double")
-
-
-def glm_tests(models: DataFrame) -> DataFrame:
-    """Deviance drops between nested models, in order of terms added."""
-    m = models.alias("m")
-    pairs = models.sparkSession.createDataFrame(
-        [("bin", "null"), ("bin+user", "bin"), ("bin*user", "bin+user"), ("user", "null"), ("bin+user", "user")],
-        "model string, smaller string")
-    s = models.select(F.col("model").alias("smaller"), F.col("deviance").alias("d0"), F.col("df").alias("f0"))
-    return pairs.join(m, "model").join(s, "smaller").select(
-        "model", "smaller", (F.col("d0") - F.col("deviance")).alias("drop"), (F.col("f0") - F.col("df")).alias("terms"))
-
-
 def kmeans_users(wide: DataFrame, columns: list[str], k: int = 3, seed: int = 0) -> DataFrame:
     """Cluster of each voter on its row of the user x bin matrix."""
     vec = VectorAssembler(inputCols=columns, outputCol="features")
