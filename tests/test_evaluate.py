@@ -127,3 +127,37 @@ def test_first_exit_counts_the_prior(spark):
     assert {r.subject: r.retired for r in E.first_exit(hist, th).collect()} == {2: .01}
     th = spark.createDataFrame([(.2, .8)], "bogus double, real double")
     assert {r.subject: r.retired for r in E.first_exit(hist, th).collect()} == {1: .12, 2: .12}
+
+
+def test_scatter_bins_and_missing_values(spark):
+    from votelens.operators import captures as K
+    rows = [(0., 0., 1), (10., 5., 1), (5., 2.5, 0), (None, 1., 0), (2., None, 1), (9.99, 5., 1)]
+    df = spark.createDataFrame(rows, "x double, y double, gold int")
+    got = {(r.ix, r.iy): r.n for r in E.scatter_bins(df, "x", "y", cells=2).collect()}
+    assert got == {(0, 0): 1, (1, 1): 3}
+    by = {(r.gold, r.ix, r.iy): r.n for r in E.scatter_bins(df, "x", "y", cells=2, by=("gold",)).collect()}
+    assert by == {(1, 0, 0): 1, (1, 1, 1): 2, (0, 1, 1): 1}
+    one = E.scatter_bins(df.where("x = 5"), "x", "y").collect()
+    assert [(r.ix, r.iy, r.n) for r in one] == [(0, 0, 1)]
+    prof = {r.column: (r["rows"], r.distinct_values) for r in K_profile(df).collect()}
+    assert prof == {"x": (6, 6), "y": (6, 5), "gold": (6, 2)}
+    links = spark.createDataFrame([(1, "S1/a/x.jpg"), (1, "S1/b.jpg"), (2, "S2/c.jpg"), (3, None)], "CaptureEventID long, URL_Info string")
+    golds = spark.createDataFrame([(1, "lion"), (9, "zebra")], "CaptureEventID long, Species string")
+    assert {(r.what, r.key): r.n for r in K.season_counts(links, golds).collect()} == {
+        ("season", "S1"): 2, ("season", "S2"): 1, ("season", None): 1, ("gold season", "S1"): 2, ("gold species", "lion"): 2}
+
+
+def K_profile(df):
+    from votelens.operators import aggregates
+    return aggregates.capture_profile(df)
+
+
+def test_grid_layout_places_points_over_blocks(spark):
+    from votelens.operators import layout
+    points = [("e", g, n, ((g * 7 + n) % 11) / 11, ((g + 3 * n) % 13) / 13) for g in range(30) for n in range(3)] + [("f", 1, 0, .5, .5)]
+    df = spark.createDataFrame(points, "experiment string, golds int, n int, purity double, completeness double").repartition(4)
+    for order in ("plain", "sorted"):
+        got = {(r.experiment, r.golds, r.n): (r.id, r.width, r.x, r.y) for r in layout.grid_layout(df, order).collect()}
+        assert sorted(v[0] for k, v in got.items() if k[0] == "e") == list(range(90)) and got["f", 1, 0] == (0, 1, 0, 0)
+        assert all(w == 10 and x == i % 11 and y == i // 11 for k, (i, w, x, y) in got.items() if k[0] == "e")
+    assert [k[1:] for k, v in sorted(((k, v) for k, v in {(r.experiment, r.golds, r.n): r.id for r in layout.grid_layout(df).collect()}.items() if k[0] == "e"), key=lambda z: z[1])] == [(g, n) for g in range(30) for n in range(3)]

@@ -107,9 +107,10 @@ def test_online_softmax_replay(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 3))
     df = spark.createDataFrame([(v.tolist(), int(v[0] > 0)) for v in x], "x array<double>, y int")
-    m = L.OnlineSoftmax(spark, str(tmp_path), 2, 3, rate=.5, lam=0.0).start()
+    # one partition and a batch of all rows: a pass is one step
+    m = L.OnlineSoftmax(spark, str(tmp_path), 2, 3, rate=.5, lam=0.0, batch=1000).start()
     for b in (0, 1, 1):
-        m.process(df, b)
+        m.process(df.coalesce(1), b)
     y, w = (x[:, 0] > 0).astype(int), np.zeros((2, 4))
     xb = np.c_[np.ones(40), x]
     for _ in range(2):

@@ -84,12 +84,10 @@ _KDE = """, ks AS (SELECT count(*) AS n, 1.06 * stddev_samp(p) * pow(count(*), -
    WHEN log_density > lag(log_density) OVER w AND log_density > lead(log_density) OVER w THEN 'max' END AS extremum FROM kd WINDOW w AS (ORDER BY i)"""
 
 
-@query("kde", _KDE.replace("lscores WHERE p < .9", "lhalf WHERE p < .9").replace(", ks AS", ", lhalf AS (SELECT p * .5 + .25 AS p FROM (SELECT avg(annotation) AS p FROM lgold GROUP BY subject)), ks AS", 1),
-       r="x log_density")
+@query("kde", _KDE, r="x log_density")
 def e11(i):
-    # a spread-out score (vote share), so that no grid point's density underflows
-    share = C.first_vote_per_pair(i.lvotes).groupBy("subject").agg((F.avg("annotation") * .5 + .25).alias("p"))
-    return E.kde(share, cutoff=.9)
+    """The density of the scores themselves, below the cutoff."""
+    return E.kde(i.lscores, cutoff=.9)
 
 
 @query("hypothesis_hist", """SELECT CAST(least(floor(round(p / .04, 9)), 24) AS INTEGER) AS bin, count(*) FILTER (WHERE gold = 1) AS real,
@@ -219,6 +217,43 @@ def e23(i):
         F.corr("machine_score", "p").alias("r_machine"), F.corr("mag", "p").alias("r_mag"), F.count("*").alias("n"))
 
 
+def scatter_rows(i):
+    """The pair rows behind the scatter plots: one per subject with a score."""
+    return i.meta.select("subject", "machine_score", "mag", "seeing").join(i.lscores.select("subject", "gold", "p"), "subject") \
+        .withColumn("mag_bin", scalars.mag_bin(F.col("mag")))
+
+
+_PAIRS = ", pr AS (SELECT subject, machine_score, mag, seeing, s.gold, p, CASE WHEN mag <= 18 THEN 18.0::DOUBLE WHEN mag <= 19 THEN 19 WHEN mag <= 20 THEN 20 WHEN mag <= 23 THEN 23 END AS mag_bin FROM meta JOIN lscores s USING (subject)) "
+
+
+def _cells(x, y, plot, gold):
+    at = lambda c: f"CAST(least(floor(round(coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0) * 20, 9)), 19) AS INTEGER)"
+    return f"SELECT '{plot}' AS plot, {gold} AS class, ix, iy, count(*) AS n FROM (SELECT gold, {at(x)} AS ix, {at(y)} AS iy FROM pr) GROUP BY ALL"
+
+
+@query("scatter_pairs", _PAIRS + "SELECT * FROM pr", r="machine_score mag seeing p mag_bin")
+def e23b(i):
+    return scatter_rows(i)
+
+
+@query("scatter_density", _PAIRS + _cells("machine_score", "mag", "machine-mag", "9") + " UNION ALL " + _cells("seeing", "mag", "seeing-mag", "9") + " UNION ALL "
+       + _cells("seeing", "mag", "seeing-mag by gold", "gold"))
+def e23c(i):
+    """Machine score against magnitude, seeing against magnitude, and the latter per gold class (9: all classes)."""
+    from ..operators.prefix import union_all
+    rows = scatter_rows(i)
+    plots = [("machine-mag", "machine_score", ()), ("seeing-mag", "seeing", ()), ("seeing-mag by gold", "seeing", ("gold",))]
+    return union_all([E.scatter_bins(rows, x, "mag", by=by).select(F.lit(name).alias("plot"), (F.col("gold") if by else F.lit(9)).alias("class"), "ix", "iy", "n")
+                      for name, x, by in plots])
+
+
+@query("seeing_by_mag", _PAIRS + """SELECT mag_bin, CAST(least(floor(round((seeing - lo) / (hi - lo) * 20, 9)), 19) AS INTEGER) AS ix, count(*) AS n FROM pr, (SELECT min(seeing) AS lo, max(seeing) AS hi FROM pr)
+  GROUP BY 1, 2""", r="mag_bin")
+def e23d(i):
+    """Seeing, one histogram per magnitude bin on a common grid."""
+    return E.scatter_bins(scatter_rows(i), "seeing", "mag", by=("mag_bin",)).groupBy("mag_bin", "ix").agg(F.sum("n").alias("n"))
+
+
 @query("retired_only", """, th AS (SELECT .1::DOUBLE AS bogus, .15::DOUBLE AS real), ex AS (SELECT subject, arg_min(p, step) AS retired FROM dhist, th
   WHERE p < bogus OR p > real GROUP BY subject) SELECT subject, s.p, retired FROM dscores s JOIN ex USING (subject)""", r="p retired")
 def f13(i):

@@ -313,11 +313,31 @@ def l5(i):
     return K.sample_captures(subset, links, 50, 6)
 
 
-@query("capture_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS distinct_values FROM orders"
-                                             for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
+ORDER_COLUMNS = """o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority""".split()
+
+
+@query("capture_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) + CAST(count(*) > count({c}) AS INTEGER) AS distinct_values FROM orders"
+                                             for c in ORDER_COLUMNS))
 def a22(i):
+    """All columns of the capture table."""
     from ..operators import aggregates as A
-    return A.capture_profile(i.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return A.capture_profile(i.raw("orders"))
+
+
+_LINKS = """, lk AS (SELECT l_orderkey AS CaptureEventID, 'S' || year(l_shipdate::DATE) || '/' || l_linestatus || '/' || l_linenumber || '.jpg' AS URL_Info FROM lineitem),
+ gd AS (SELECT o_orderkey AS CaptureEventID, o_orderpriority AS Species FROM orders WHERE o_orderkey % 5 = 0),
+ im AS (SELECT CaptureEventID, split_part(URL_Info, '/', 1) AS season FROM lk), gi AS (SELECT Species, season FROM gd JOIN im USING (CaptureEventID))
+"""
+
+
+@query("season_counts", _LINKS + """SELECT 'season' AS what, season AS key, count(*) AS n FROM im GROUP BY 2 UNION ALL SELECT 'gold season', season, count(*) FROM gi GROUP BY 2
+  UNION ALL SELECT 'gold species', Species, count(*) FROM gi GROUP BY 2""")
+def a22c(i):
+    from ..operators import captures as K
+    l = i.raw("lineitem")
+    link = F.concat(F.lit("S"), F.year(F.col("l_shipdate").cast("date")), F.lit("/"), "l_linestatus", F.lit("/"), "l_linenumber", F.lit(".jpg"))
+    links = l.select(F.col("l_orderkey").alias("CaptureEventID"), link.alias("URL_Info"))
+    return K.season_counts(links, captures(i).where("CaptureEventID % 5 = 0"))
 
 
 @query("captures_per", _CAP + """SELECT 'species' AS what, Species AS key, count(*) AS n FROM cap GROUP BY 2 UNION ALL SELECT 'site', SiteID::VARCHAR, count(*) FROM cap GROUP BY 2""")

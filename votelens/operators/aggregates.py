@@ -144,13 +144,13 @@ def pivot_fill(df: DataFrame, row: str, column: str, values: list, value: str) -
 
 
 def capture_profile(captures: DataFrame) -> DataFrame:
-    """Row count and distinct values per column, one row per column."""
-    longs = captures.select(F.explode(F.map_from_arrays(
-        F.array(*[F.lit(c) for c in captures.columns]),
-        F.array(*[F.col(c).cast("string") for c in captures.columns]))).alias("column", "value"))
-    per_value = longs.groupBy("column", "value").agg(F.count("*").alias("k"))
-    return per_value.groupBy("column").agg(F.sum("k").alias("rows"),
-                                           F.count("value").alias("distinct_values"))
+    """Row count and distinct values per column, one row per column, from one scan of any number of columns. Missing is one value.
+
+    Equal values of a task are counted before the shuffle, so a value that most rows hold is one row per task.
+    """
+    longs = captures.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in captures.columns])).alias("r"))
+    per_value = longs.groupBy("r.column", "r.value").agg(F.count("*").alias("k"))
+    return per_value.groupBy("column").agg(F.sum("k").alias("rows"), F.count("*").alias("distinct_values"))
 
 
 def user_bin_confusion(votes: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def captures_per(captures: DataFrame, fields: dict) -> DataFrame:
                      .select(F.lit(name).alias("what"), "key", "n") for name, c in fields.items()])
 
 
+def season_counts(links: DataFrame, golds: DataFrame) -> DataFrame:
+    """(what, key, n): images per season (the first part of a link), per season and per species among the captures that have a gold label."""
+    season = F.split_part("URL_Info", F.lit("/"), F.lit(1)).alias("season")
+    images = links.select("CaptureEventID", season)
+    labelled = golds.select("CaptureEventID", "Species").join(images, "CaptureEventID")
+    return union_all([captures_per(images, {"season": "season"}), captures_per(labelled, {"gold season": "season", "gold species": "Species"})])
+
+
 def sample_captures(subset: DataFrame, links: DataFrame, n: int, seed=0) -> DataFrame:
     """n random captures of a subset, with the first image of each."""
     picked = random_rows(subset.select("CaptureEventID").distinct(), "CaptureEventID", n, seed)

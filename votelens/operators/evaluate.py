@@ -56,6 +56,23 @@ def completeness_at(scores: DataFrame, threshold, runs=None) -> DataFrame:
         F.try_divide(F.count_if(real & (F.col("p") > t)), F.count_if(real)).alias("completeness"))
 
 
+# ---- scatter plots ---------------------------------------------------------------------------
+
+def scatter_bins(df: DataFrame, x: str, y: str, cells: int = 20, by=()) -> DataFrame:
+    """Points of a scatter plot as counts: (by, ix, iy, n) on an even grid of cells x cells over the range of each axis (one grid for all groups).
+
+    A plot needs no more than its cells; rows with a missing value are no points. The edges' own values lie in the outer cells.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    ends = rows.agg(*[f(c).alias(f"{n}{c}") for c in ("_x", "_y") for n, f in (("lo", F.min), ("hi", F.max))])
+    at = _with_one_row(rows, ends)
+
+    def place(c):
+        share = F.coalesce(F.try_divide(F.col(c) - F.col(f"lo{c}"), F.col(f"hi{c}") - F.col(f"lo{c}")), F.lit(0.))
+        return F.least(F.floor(F.round(share * cells, 9)), F.lit(cells - 1)).cast("int")
+    return at.groupBy(*by, place("_x").alias("ix"), place("_y").alias("iy")).agg(F.count("*").alias("n"))
+
+
 # ---- the score profile -----------------------------------------------------------------------
 
 def score_points(scores: DataFrame, runs: list[str]) -> DataFrame:

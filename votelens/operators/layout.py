@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .aggregates import minmax_normalise
+from .prefix import range_blocks, running
 
 
 def trace_sample(history: DataFrame, golds: DataFrame, n: int = 1000) -> DataFrame:
@@ -22,15 +23,17 @@ def _cell(width: Column) -> tuple[Column, Column]:
 def grid_layout(points: DataFrame, order: str = "plain", keys=("experiment",)) -> DataFrame:
     """Cell positions of trial points: in plain order, or best first ("sorted"), on ceil(sqrt n) columns.
 
-    Points of one experiment are trials, a few thousand by construction of the experiment.
+    Places are running counts over range-partitioned blocks, so an experiment of any number of points is spread over tasks.
     """
     norm = minmax_normalise(points, ["purity", "completeness"], list(keys))
-    by = [F.round(F.pow(1 - F.col("purity_n"), F.lit(2)) + F.pow(F.col("completeness_n"), F.lit(2)), 9)] if order == "sorted" else []
-    w = W.partitionBy(*keys).orderBy(*by, "golds", "n")
-    width = F.ceil(F.sqrt(F.count("*").over(W.partitionBy(*keys)))).cast("int")
-    placed = norm.withColumn("id", F.row_number().over(w) - 1).withColumn("width", width)
+    rank = F.round(F.pow(1 - F.col("purity_n"), F.lit(2)) + F.pow(F.col("completeness_n"), F.lit(2)), 9) if order == "sorted" else F.lit(0.)
+    by = ["_rank", "golds", "n"]
+    blocks = range_blocks(norm.withColumn("_rank", rank).withColumn("_one", F.lit(1)), [*keys, "_rank", "golds"], "n")
+    ran = running(blocks, list(keys), by, sums={"_id": "_one"}, totals=True)
+    width = F.ceil(F.sqrt(F.col("total__id"))).cast("int")
+    placed = ran.withColumn("id", (F.col("_id") - 1).cast("int")).withColumn("width", width)
     x, y = _cell(F.col("width"))
-    return placed.withColumn("x", x.cast("int")).withColumn("y", y)
+    return placed.withColumn("x", x.cast("int")).withColumn("y", y).drop("_rank", "_one", "_id", "total__id")
 
 
 def column_layout(points: DataFrame, keys=("experiment",), step: int = 1000) -> DataFrame:
