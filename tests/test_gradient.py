@@ -110,3 +110,44 @@ def test_prefix_fits_equal_separate_ones(spark):
     for j, n in enumerate(sizes):
         m = LogisticRegression(family="binomial", regParam=1e-2, standardization=False, tol=1e-10, maxIter=200).fit(L.as_features(df.where(F.col("id") < n)))
         assert w[j] == pytest.approx([m.intercept, *m.coefficients.toArray()], abs=1e-4)
+
+
+def test_linear_losses_against_differences():
+    rng = np.random.default_rng(3)
+    x, y, w = rng.normal(0, 1, (50, 4)), rng.integers(0, 2, 50), rng.normal(0, 1, 5)
+    for loss in (G.log_loss, G.hinge_loss):
+        assert loss(w, x, y)[:-1] == pytest.approx(differences(lambda v: loss(v, x, y)[-1], w), abs=1e-4)
+
+
+def test_cross_validation_side_by_side_equals_fits_apart(spark):
+    from votelens.operators import evaluate as E
+    data = rows(8, n=240)
+    df = spark.createDataFrame(data, ROWS).withColumn("fold", (F.col("id") / 80).cast("int")).repartition(3)
+    got = {r.setting: r.mean for r in G.cross_validate_linear(df, [1., .01], G.log_loss, "id", fpr=.1).collect()}
+    x, y = np.array([r[1] for r in data]), np.array([r[2] for r in data])
+    for lam in (1., .01):
+        merits = []
+        for k in range(3):
+            held = np.arange(240) // 80 == k
+            mean, sd = x[~held].mean(0), x[~held].std(0)
+            xs, free = (x - mean) / sd, np.append(0., np.ones(5))
+            w, _, _ = G.minimise(lambda v: G._penalised(G.log_loss(v, xs[~held], y[~held]), v, lam, free, 160.), np.zeros(6), tol=1e-4)
+            p = 1 / (1 + np.exp(-np.c_[np.ones(80), xs[held]] @ w))
+            s = spark.createDataFrame([(i, int(g), float(v)) for i, (g, v) in enumerate(zip(y[held], p))], "subject long, gold int, p double")
+            merits.append(E.fom_mdr_at_fpr(s, .1).first().mdr)
+        assert got[str(lam)] == pytest.approx(np.mean(merits), abs=1e-9)
+    nets = G.cross_validate_mlp(df, hidden=(3,), lams=(1., 100.), max_iter=40).collect()
+    assert [(r.hidden, r.lam) for r in nets] == [(3, 1.), (3, 100.)] and nets[0].mean > .8 >= nets[1].mean - .2
+
+
+def test_forest_prefix(spark):
+    from votelens.plans import learning as L
+    df = L.as_features(spark.createDataFrame(rows(9, n=200), ROWS)).withColumn("fold", (F.col("id") % 2).cast("int"))
+    model = L.random_forest(6, "2", 1, 5).fit(df)
+    whole, few = L.forest_prefix(model, 6), L.forest_prefix(model, 2)
+    assert len(few.trees) == 2 and [r.probability for r in whole.transform(df).collect()] == [r.probability for r in model.transform(df).collect()]
+    trees = [[t.predictProbability(r.features) for t in model.trees[:2]] for r in df.collect()[:20]]
+    got = few.transform(df).collect()[:20]
+    assert all(np.allclose(r.probability.toArray(), (a.toArray() + b.toArray()) / 2) for r, (a, b) in zip(got, trees))
+    table = L.cross_validate_forest(df.withColumn("vec_id", F.col("id")), (4, 2), (2,), (1, 5), depth=4).collect()
+    assert sorted((r.trees, r.features, r.leaf) for r in table) == [(2, 2, 1), (2, 2, 5), (4, 2, 1), (4, 2, 5)] and all(0 <= r.mean <= 1 for r in table)

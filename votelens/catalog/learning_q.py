@@ -244,24 +244,28 @@ def m22(i):
     return L.cross_validate_forest(folded(i))
 
 
+def xy_folds(i):
+    return L.contiguous_folds(training_rows(i).select("vec_id", "x", "y"), "vec_id")
+
+
 @query("cv_softmax")
 def m23(i):
-    return L.best_setting(L.cross_validate(folded(i), L.softmax(), {"regParam": SOFTMAX_GRID}, L.FomEvaluator()))
+    from ..plans import gradient as G
+    return L.best_setting(G.cross_validate_linear(xy_folds(i), SOFTMAX_GRID, G.log_loss, "vec_id"))
 
 
 @query("cv_svm")
 def m24(i):
     """Linear SVM settings, ranked by the margin through the same figure of merit."""
-    from pyspark.ml.classification import LinearSVC
-    return L.best_setting(L.cross_validate(folded(i), LinearSVC(maxIter=50), {"regParam": SVM_GRID}, L.MarginFomEvaluator()))
+    from ..plans import gradient as G
+    return L.best_setting(G.cross_validate_linear(xy_folds(i), SVM_GRID, G.hinge_loss, "vec_id"))
 
 
 @query("cv_nn")
 def m25(i):
     """Networks of 10 and 20 units, seven penalties, five folds; the larger sizes are parameters."""
     from ..plans import gradient as G
-    t = training_rows(i).select("vec_id", "x", "y")
-    return G.cross_validate_mlp(L.contiguous_folds(t, "vec_id"))
+    return G.cross_validate_mlp(xy_folds(i))
 
 
 @query("learning_curve")

@@ -19,6 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import hash_order
+from ..operators import evaluate as curves
 
 # ---- sums over partitions --------------------------------------------------------------------
 
@@ -350,6 +351,50 @@ def fold_scales(df: DataFrame) -> dict:
     return out
 
 
+def _side_by_side(n: int, size: int, evaluate: Callable, start: Callable, max_iter: int, tol: float) -> dict:
+    """{i: weights} of ``n`` minimisers in threads, whose evaluations meet in one job per round."""
+    meet, done = Rendezvous(n, evaluate), {}
+
+    def learn(i):
+        try:
+            done[i] = minimise(lambda w: meet.ask(i, w), start(size), max_iter, tol)[0]
+        except BaseException as e:  # noqa: BLE001 - raised again below
+            done[i] = e
+        finally:
+            meet.leave()
+
+    threads = [Thread(target=learn, args=(i,), daemon=True) for i in range(n)]
+    for t in threads:
+        t.start()
+    meet.serve()
+    for t in threads:
+        t.join()
+    for e in done.values():
+        if isinstance(e, BaseException):
+            raise e
+    return done
+
+
+def _per_net(rows: DataFrame, ws: dict, nets: list, scales: dict, held: bool, width: int, add: Callable) -> dict:
+    """{i: sum}: ``add(w, x, y)`` summed over the rows that network i = (setting, fold) learns from (or that it is held to), inputs standardised."""
+    places = sorted(ws)
+
+    def run(batches):
+        total = np.zeros((len(places), width))
+        for b in batches:
+            if b.num_rows:
+                x, y = _arrays(b)
+                fold = b.column("fold").to_numpy()
+                for at, i in enumerate(places):
+                    mean, sd, _ = scales[nets[i][1]]
+                    use = (fold == nets[i][1]) == held
+                    total[at] += add(ws[i], (x[use] - mean) / sd, y[use])
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
+
+    got = rows.mapInArrow(run, "i int, v array<double>").groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
+    return {r.i: np.array(r.v) for r in got}
+
+
 def cross_validate_mlp(df: DataFrame, hidden=(10, 20), lams=(10, 3, 1, .3, .1, .03, .01), max_iter: int = 100, tol: float = 1e-3, seed: int = 0) -> DataFrame:
     """(hidden, lam, mean): mean F1 of class 1 at .5 over the folds (column ``fold``); inputs are standardised by the rows each network learns from.
 
@@ -362,66 +407,78 @@ def cross_validate_mlp(df: DataFrame, hidden=(10, 20), lams=(10, 3, 1, .3, .1, .
         d = len(next(iter(scales.values()))[0])
         for units in hidden:
             nets = [(lam, fold) for lam in lams for fold in scales]
-            size, one = units * (d + 2) + 1, MLP(units)
-            free = one._free(d)
-
-            def job(ws: dict, count: bool, units=units, nets=nets, size=size):
-                places, width = sorted(ws), 3 if count else size + 1
-
-                def run(batches):
-                    total = np.zeros((len(places), width))
-                    for b in batches:
-                        if not b.num_rows:
-                            continue
-                        x, y = _arrays(b)
-                        fold = b.column("fold").to_numpy()
-                        for at, i in enumerate(places):
-                            mean, sd, _ = scales[nets[i][1]]
-                            use = (fold == nets[i][1]) == count
-                            xs, ys = (x[use] - mean) / sd, y[use]
-                            if count:
-                                a, o = ws[i][:units * (d + 1)].reshape(units, d + 1), ws[i][units * (d + 1):]
-                                yes = np.c_[np.ones(len(xs)), _sigmoid(np.c_[np.ones(len(xs)), xs] @ a.T)] @ o > 0
-                                total[at] += (yes & (ys == 1)).sum(), (yes & (ys == 0)).sum(), (~yes & (ys == 1)).sum()
-                            else:
-                                loss, g = mlp_loss(ws[i], xs, ys, units)
-                                total[at] += np.append(g, loss)
-                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
-                got = rows.mapInArrow(run, "i int, v array<double>").groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
-                return {r.i: np.array(r.v) for r in got}
-
-            def evaluate(ws: dict, nets=nets, free=free):
-                answers = {}
-                for i, v in job(ws, False).items():
-                    (lam, fold), w = nets[i], ws[i]
-                    n = scales[fold][2]
-                    answers[i] = v[-1] / n + lam / (2 * n) * (w * free) @ w, v[:-1] / n + lam / n * free * w
-                return answers
-
-            meet, done = Rendezvous(len(nets), evaluate), {}
-
-            def learn(i, units=units, size=size):
-                bound = np.sqrt(6 / (d + units))
-                try:
-                    done[i] = minimise(lambda w: meet.ask(i, w), np.random.default_rng(seed).uniform(-bound, bound, size), max_iter, tol)[0]
-                except BaseException as e:  # noqa: BLE001 - raised again below
-                    done[i] = e
-                finally:
-                    meet.leave()
-
-            threads = [Thread(target=learn, args=(i,), daemon=True) for i in range(len(nets))]
-            for t in threads:
-                t.start()
-            meet.serve()
-            for t in threads:
-                t.join()
-            for e in done.values():
-                if isinstance(e, BaseException):
-                    raise e
+            size, free = units * (d + 2) + 1, MLP(units)._free(d)
+
+            def loss(w, x, y, units=units):
+                value, g = mlp_loss(w, x, y, units)
+                return np.append(g, value)
+
+            def errors(w, x, y, units=units):
+                a, o = w[:units * (d + 1)].reshape(units, d + 1), w[units * (d + 1):]
+                yes = np.c_[np.ones(len(x)), _sigmoid(np.c_[np.ones(len(x)), x] @ a.T)] @ o > 0
+                return np.array([(yes & (y == 1)).sum(), (yes & (y == 0)).sum(), (~yes & (y == 1)).sum()], float)
+
+            def evaluate(ws, nets=nets, free=free, loss=loss, size=size):
+                got = _per_net(rows, ws, nets, scales, False, size + 1, loss)
+                return {i: _penalised(v, ws[i], nets[i][0] / scales[nets[i][1]][2], free, scales[nets[i][1]][2]) for i, v in got.items()}
+
+            bound = np.sqrt(6 / (d + units))
+            done = _side_by_side(len(nets), size, evaluate, lambda n, bound=bound: np.random.default_rng(seed).uniform(-bound, bound, n), max_iter, tol)
             f1: dict = {}
-            for i, (tp, fp, fn) in job(done, True).items():
+            for i, (tp, fp, fn) in _per_net(rows, done, nets, scales, True, 3, errors).items():
                 f1.setdefault(nets[i][0], []).append(2 * tp / (2 * tp + fp + fn) if tp else 0.)
             out += [(units, float(lam), float(np.mean(v))) for lam, v in f1.items()]
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame(out, "hidden int, lam double, mean double")
+
+
+def _penalised(v: np.ndarray, w: np.ndarray, lam: float, free: np.ndarray, n: float) -> tuple[float, np.ndarray]:
+    """Mean loss and gradient out of their sums (gradient, loss), with ``lam / 2`` times the squared free weights."""
+    return v[-1] / n + lam / 2 * (w * free) @ w, v[:-1] / n + lam * free * w
+
+
+CORNER = .1
+
+
+def log_loss(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of the gradient and of the log loss of a linear model."""
+    x, sign = np.c_[np.ones(len(x)), x], 2 * y - 1
+    margin = sign * (x @ w)
+    return np.append(-(sign * _sigmoid(-margin)) @ x, np.logaddexp(0, -margin).sum())
+
+
+def hinge_loss(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of the gradient and of the hinge loss of a linear SVM, its corner rounded over a width of ``CORNER``, so that it has a gradient everywhere."""
+    x, sign = np.c_[np.ones(len(x)), x], 2 * y - 1
+    short = 1 - sign * (x @ w)
+    slope = np.clip(short / CORNER, 0, 1)
+    value = np.where(short > CORNER, short - CORNER / 2, np.maximum(short, 0) ** 2 / (2 * CORNER))
+    return np.append(-(sign * slope) @ x, value.sum())
+
+
+def cross_validate_linear(df: DataFrame, lams, loss: Callable, id_: str, fpr: float = .01, max_iter: int = 200, tol: float = 1e-4) -> DataFrame:
+    """(setting, mean): mean missed-detection rate over the folds (column ``fold``) of linear models with each penalty; all settings and folds are trained side
+    by side, inputs standardised by the rows each learns from, and all held-out scores compared in one job."""
+    rows = df.select("x", "y", "fold").persist()
+    try:
+        scales = fold_scales(rows)
+        d = len(next(iter(scales.values()))[0])
+        nets, free = [(lam, fold) for lam in lams for fold in scales], np.append(0., np.ones(d))
+
+        def evaluate(ws):
+            got = _per_net(rows, ws, nets, scales, False, d + 2, loss)
+            return {i: _penalised(v, ws[i], nets[i][0], free, scales[nets[i][1]][2]) for i, v in got.items()}
+
+        done = _side_by_side(len(nets), d + 1, evaluate, np.zeros, max_iter, tol)
+    finally:
+        rows.unpersist()
+    fits = []
+    for i, w in done.items():
+        mean, sd, _ = scales[nets[i][1]]
+        fits.append((float(nets[i][0]), int(nets[i][1]), [float(w[0] - (w[1:] * mean / sd).sum()), *(float(v) for v in w[1:] / sd)]))
+    table = df.sparkSession.createDataFrame(fits, "lam double, fold int, w array<double>")
+    z = F.aggregate(F.zip_with("x", F.slice("w", 2, F.size("w")), lambda a, b: a * b), F.get("w", F.lit(0)), lambda a, b: a + b)
+    scores = df.join(F.broadcast(table), "fold").select("lam", "fold", F.col(id_).alias("subject"), F.col("y").alias("gold"), (1 / (1 + F.exp(-z))).alias("p"))
+    merit = curves.fom_mdr_at_fpr(scores, fpr, runs=["lam", "fold"])
+    return merit.groupBy(F.col("lam").cast("string").alias("setting")).agg(F.avg("mdr").alias("mean"))
