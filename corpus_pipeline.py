@@ -1,8 +1,8 @@
 """Training corpus from ``documents``: quality model, near-duplicates, pseudonyms, source mix, token ids.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of ``docs``; the last returns
-token ids. Rows without a ``doc_id`` cannot be named as copies and pass the near-duplicate stage unchanged; rows that share a ``doc_id`` are one
-document there (the smallest text stays). Mixing repeats and leaves out documents as its targets ask for.
+token ids. The near-duplicate stage decides by row: of a group of near texts one row stays (that of the smallest id; rows without an id come last), whatever ids
+the rows carry or share, and different texts under one id stay both. Mixing repeats and leaves out documents as its targets ask for.
 """
 from __future__ import annotations
 
@@ -21,16 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.where("doc_id IS NOT NULL")
-    first = minhash.groups(named).where("kept").select("doc_id").distinct()
-    order = F.struct(*[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
-    one = (named.join(first, "doc_id", "left_semi").groupBy("doc_id")
-           .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row")).select("row.*"))
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    # rows are told apart by numbers of their own, in the order of doc_id (nulls last), so that a group's smallest row is that of its smallest id
+    rows = land(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("at", F.monotonically_increasing_id()), "pipeline-rows")
+    text, id_ = F.col("row.text").alias("text"), F.col("row.doc_id")
+    place = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("at"))
+    first = minhash.groups(rows.select(place.alias("doc_id"), text)).where("kept").select(F.col("doc_id.at").alias("at"))
+    return rows.join(first, "at", "left_semi").select("row.*")
 
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace(docs)
+    return pii.replace(docs, pii.session_params(spark))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
