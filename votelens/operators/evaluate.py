@@ -89,7 +89,7 @@ def score_profile(scores: DataFrame, runs=None) -> DataFrame:
     """``score_points`` plus counts at or below each score (le_*) and per run (total_le_*).
 
     Ordered in blocks of equal log-odds, where scores that pile up at 0 and 1 stay apart; the carried block totals are
-    at most 8,001 rows per run.
+    at most 801 rows per run.
     """
     df, keys = _runs(scores, runs)
     points = unit_blocks(score_points(df, keys), "p")

@@ -19,6 +19,11 @@ BLOCK = "block"
 STEP = 32
 
 
+def _levels(n: int):
+    """The levels 1/n ... (n-1)/n as one expression: a list would be a node of the plan per number."""
+    return F.from_json(F.lit(str([i / n for i in range(1, n)])), "array<double>")
+
+
 def hot_cuts(source: DataFrame, key: str, order: str, params: Params = Params()) -> DataFrame:
     """(key, _coarse, _fine): where the rows of each large key are cut, as a table that is computed with the query.
 
@@ -28,12 +33,13 @@ def hot_cuts(source: DataFrame, key: str, order: str, params: Params = Params())
     the cuts of all keys together: that bounds what is broadcast, whatever the size of the table.
     """
     n = params.shares
-    fair = F.greatest(F.lit(params.split_rows), F.ceil(source.agg(F.count("*")).scalar() / n))
     rows = source.select(F.col(key).alias("_key"), F.col(order).alias("_at")).where("_key IS NOT NULL")
-    large = rows.groupBy("_key").agg(F.count("*").alias("_n")).withColumn("_fair", fair).where("_n > _fair")
+    per = rows.groupBy("_key").agg(F.count("*").alias("_n"))
+    fair = F.greatest(F.lit(params.split_rows), F.ceil(per.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar() / n))
+    large = per.withColumn("_fair", fair).where("_n > _fair")
     large = large.select("_key", F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_blocks"))
     marks = rows.join(F.broadcast(large), "_key").groupBy("_key").agg(
-        F.first("_blocks").alias("_blocks"), F.percentile_approx("_at", [i / n for i in range(1, n)], 10 * n).alias("_q"))
+        F.first("_blocks").alias("_blocks"), F.percentile_approx("_at", _levels(n), 10 * n).alias("_q"))
     at = F.transform(F.sequence(F.lit(1), F.col("_blocks") - 1), lambda i: F.element_at("_q", F.greatest(F.floor(i * n / F.col("_blocks")).cast("int"), F.lit(1))))
     cuts = marks.select("_key", F.array_distinct(at).alias("_cuts"))
     # two levels of at most ``STEP`` cuts and their heads, so that a row is placed by a few dozen comparisons
@@ -72,11 +78,11 @@ def range_blocks(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def unit_blocks(df: DataFrame, order: str) -> DataFrame:
-    """Blocks for an order column within [0, 1]: hundredths of its log-odds from -40 to 40. No sampling, no extra job."""
+    """Blocks for an order column within [0, 1]: tenths of its log-odds from -40 to 40. No sampling, no extra job."""
     x = F.col(order)
     # never null: the join on it then adds no filter, and both uses of the frame share one shuffle
-    inside = F.coalesce(F.floor(100 * F.log(x / (1 - x))), F.lit(0))
-    at = F.when(x <= 0, -4000).when(x >= 1, 4000).otherwise(F.least(F.greatest(inside, F.lit(-4000)), F.lit(4000)))
+    inside = F.coalesce(F.floor(10 * F.log(x / (1 - x))), F.lit(0))
+    at = F.when(x <= 0, -400).when(x >= 1, 400).otherwise(F.least(F.greatest(inside, F.lit(-400)), F.lit(400)))
     return df.withColumn(BLOCK, F.coalesce(at, F.lit(0)).cast("int"))
 
 
