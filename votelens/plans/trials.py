@@ -8,6 +8,7 @@ are one row per trial: the class totals less what was moved.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -132,6 +133,12 @@ def cv_grid_trials(votes: DataFrame, golds: DataFrame, controversial: range, con
 
 # ---- scoring ---------------------------------------------------------------------------------
 
+def _log(x: np.ndarray) -> np.ndarray:
+    """The C library's logarithm of each different value: numpy's own may differ in the last bit, and a rounded billionth with it."""
+    values, at = np.unique(x, return_inverse=True)
+    return np.array([math.log(v) for v in values])[at]
+
+
 def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
     """(voter, block, l1, l0): what a 1 and a 0 vote of the voter weigh in each trial of a block, in billionths; no row for blocks where it weighs nothing."""
     names = list(consensus._counters())
@@ -151,7 +158,7 @@ def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFram
                 sums[c.field("cell").to_numpy()] = np.stack([c.field(n).to_numpy() for n in names], 1)
                 seen0, match0, seen1, match1 = spread(sums).T
                 s0, s1 = (match0 + g) / (seen0 + 2 * g), (match1 + g) / (seen1 + 2 * g)
-                l1, l0 = (half_up(consensus.NANO * np.log(x)) + 0. for x in (s1 / (1 - s0), (1 - s1) / s0))
+                l1, l0 = (half_up(consensus.NANO * _log(x)) + 0. for x in (s1 / (1 - s0), (1 - s1) / s0))
                 for k in range(0, len(l1), BLOCK):
                     part = slice(k, k + BLOCK)
                     if l1[part].any() or l0[part].any():
@@ -165,7 +172,8 @@ def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFram
 
 
 def _moved(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
-    """(subject, block, sums): summed log ratios of a subject in each trial of a block. Whole numbers below 2^53 add up exactly as doubles."""
+    """(subject, block, sums): summed log ratios of a subject in each trial of a block, as doubles near whole numbers (the summarizer keeps means and weights);
+    ``_rows`` makes them whole again."""
     votes = first_votes.select("voter", "subject", "annotation").join(_weights(first_votes, trials, params), "voter")
     ratio = F.when(F.col("annotation") == 1, F.col("l1")).otherwise(F.col("l0"))
     if trials.n <= FEW:
@@ -183,8 +191,8 @@ def moved_scores(first_votes: DataFrame, trials: Trials, params: Params = Params
 
 
 def _rows(moved: DataFrame, *columns: str) -> DataFrame:
-    each = moved.select(*columns, "block", F.posexplode("sums").alias("k", "llr")).where("llr <> 0")
-    return each.select((F.col("block") * BLOCK + F.col("k")).alias("trial"), *columns, F.col("llr").cast("bigint").alias("llr"))
+    each = moved.select(*columns, "block", F.posexplode("sums").alias("k", "v")).withColumn("llr", F.round("v").cast("bigint")).where("llr <> 0")
+    return each.select((F.col("block") * BLOCK + F.col("k")).alias("trial"), *columns, "llr")
 
 
 def trial_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, params: Params = Params()) -> DataFrame:
