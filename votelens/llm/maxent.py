@@ -1,13 +1,19 @@
 """Language-model scoring with a hashed maximum-entropy model and class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). Every word has a class by its form (its last letters and whether a mark follows),
-unseen words too. P(class | context) is a softmax over features hashed into rows of a weight table: the word before (n-gram), the
-classes of the two words before (n-gram), and those of the two before these (skip). P(word | class) is
-the smoothed share of the word in its class, the maximum-entropy choice for features of the word alone.
+P(word | context) = P(class | context) * P(leaf | class, context) * P(word | leaf). Every word has a class by its form (its last letters
+and whether a mark follows), unseen words too. P(class | context) is a softmax over features hashed into rows of a weight table: the word
+before (n-gram), the classes of the two words before (n-gram), and those of the two before these (skip).
+
+Inside a class the words' hashes form a binary tree. A decision between two halves that both hold known words is a maximum-entropy model of
+its own: the log ratio of the halves' counts (the features of the word alone) plus weights of (decision, word before), (decision, two words
+before) and (decision, word before the last; skip), hashed into slots. The other decisions keep their counts. A leaf holds about one
+common word (``depth`` levels at most), and words of one leaf are told apart by their smoothed shares. Leaves and slots are sized
+by the counted vocabulary. Each leaf keeps one place for unseen words, so that all words and these places sum to one in every context.
 
 Training is one pass of mini-batch gradient updates (Adagrad) in every partition of the training documents at once, from
-common weights; the partitions' weights are averaged per row by the tokens that touched it (a tree of sums over the executors), and
-the mean starts the next round. Scoring runs in numpy batches: rows of the sparse features are gathered and added.
+common weights; the partitions' weights are averaged per row by the tokens that touched it (sums by blocks of the tables, over the
+executors), and the mean starts the next round. So ``score`` depends on how the documents are partitioned; all other columns do not.
+Scoring runs in numpy batches: rows of the sparse features are gathered and added.
 
 Word counts are summed over all training documents. Words that make up a millionth of all tokens or more (a million words
 at most, by counting) are sent to every worker; all rarer words of a text meet their counts in a join on the word's hash.
@@ -40,6 +46,9 @@ class LmParams:
     smooth: float = .1
     common: float = 1e-6           # share of all tokens from which a word's count is sent to all workers
     folds: int = 10                # fold 0 is held out
+    depth: int = 8                 # most levels of decisions inside a class
+    slots: int = 16                # hashed weights of the decisions per common word
+    word_rate: float = .25
 
     @property
     def size(self) -> int:
@@ -94,13 +103,104 @@ def log_shares(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Decisions inside the classes. Leaf ``c << depth | i`` is of class c and of the hashes whose first ``depth`` bits are i."""
+    depth: int
+    bits: int                      # 2^bits hashed weights
+    first: np.ndarray              # the decisions to leaf i with known words on both sides are first[i]:first[i + 1] of the next two
+    node: np.ndarray
+    up: np.ndarray                 # 1 or -1: the half that the leaf lies in
+    bias: np.ndarray               # of each node, natural log of the ratio of the halves
+    rest: np.ndarray               # of each leaf, natural log: its other decisions, less its mass
+
+    @staticmethod
+    def of(n: np.ndarray, v: np.ndarray, common: int, p: LmParams) -> "Tree":
+        """From tokens ``n`` and distinct words ``v`` by (class, first ``p.depth`` bits) and the number of common words."""
+        depth = min(p.depth, max(int(np.ceil(np.log2(max(common, 1) / p.classes))), 0))
+        n, v = (x.reshape(p.classes, 1 << depth, -1).sum(2) for x in (n, v))
+        mass = n + p.smooth * (v + 1)
+        bias, leaf, base = np.zeros(p.classes << depth), np.arange(1 << depth), np.arange(p.classes)[:, None] << depth
+        rest, nodes, ups, opens = -np.log(mass), [], [], []
+        for d in range(depth):
+            m, words = (x.reshape(p.classes, 2 << d, -1).sum(2) for x in (mass, v))
+            odds = np.log(m[:, 1::2] / m[:, ::2])
+            here = (1 << d) + np.arange(1 << d)
+            bias[base + here] = odds
+            prefix, up = leaf >> (depth - d), 2 * ((leaf >> (depth - d - 1)) & 1) - 1
+            is_open = ((words[:, ::2] > 0) & (words[:, 1::2] > 0))[:, prefix]
+            rest -= np.where(is_open, 0, np.logaddexp(0, -up * odds[:, prefix]))
+            nodes.append(base + here[prefix])
+            ups.append(np.broadcast_to(up, is_open.shape))
+            opens.append(is_open)
+        if not depth:
+            return Tree(0, 0, np.zeros(p.classes + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), bias.astype(np.float32), rest.ravel())
+        is_open = np.stack(opens, 2).reshape(-1, depth)
+        bits = max(int(np.ceil(np.log2(p.slots * common))), 10)
+        return Tree(depth, bits, np.concatenate(([0], np.cumsum(is_open.sum(1)))), np.stack(nodes, 2).reshape(-1, depth)[is_open],
+                    np.stack(ups, 2).reshape(-1, depth)[is_open].astype(np.float32), bias.astype(np.float32), rest.ravel())
+
+    def leaves(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return c if not self.depth else (c << self.depth) + (h >> U(64 - self.depth)).astype(np.int64)
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, node, up) of all open decisions of some tokens."""
+        k = self.first[leaf + 1] - self.first[leaf]
+        token = np.repeat(np.arange(len(leaf)), k)
+        at = np.arange(len(token)) + np.repeat(self.first[leaf] - (np.cumsum(k) - k), k)
+        return token, self.node[at], self.up[at]
+
+    def places(self, token: np.ndarray, node: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The hashed weights (feature, decision) of decisions, given the context features of the tokens."""
+        key = mix(np.arange(len(self.bias)).astype(U) + _TREE)[node]
+        return np.stack([((f[token] ^ key) * _TREE >> U(64 - self.bits)).astype(np.int32) for f in words])
+
+    def log_share(self, slots: np.ndarray, leaf: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Natural log of P(word | class, context) of each token, less log(count + smooth) of its word."""
+        token, node, up = self.paths(leaf)
+        if not len(token):
+            return self.rest[leaf]
+        z = up * (self.bias[node] + slots[self.places(token, node, words)].sum(0))
+        return self.rest[leaf] - np.bincount(token, np.log1p(np.exp(np.clip(-z, -40, 40))), len(leaf))
+
+
+_TREE = U(0xD6E8FEB86659FD93)
+
+
+def word_contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of each token's word features: the word before, the two words before, the word before the last; before a text lie ends."""
+    h1, h2 = np.full(len(h), END, U), np.full(len(h), END, U)
+    h1[1:] = np.where(at[1:] >= 1, h[:-1], END)
+    h2[2:] = np.where(at[2:] >= 2, h[:-2], END)
+    return np.stack([mix(h1), mix(mix(h1) + h2), mix(h2 + _TREE)])
+
+
 class Trainer:
-    """Mini-batch Adagrad on one partition's tokens, from given weights."""
+    """Mini-batch Adagrad on one partition's tokens, from given weights of classes and, with a tree, of its decisions."""
 
-    def __init__(self, weights: np.ndarray, p: LmParams):
+    def __init__(self, weights: np.ndarray, p: LmParams, tree: Tree | None = None, slots: np.ndarray | None = None):
         self.p, self.w = p, weights.copy()
         self.square = np.full((p.size, 1), 1e-6, np.float32)
         self.seen = np.zeros(p.size, np.float32)
+        if tree is not None:
+            self.tree, self.slots = tree, slots.copy()
+            self.slot_square = np.full(len(slots), 1e-2, np.float32)
+            self.slot_step, self.slot_seen = np.zeros(len(slots), np.float32), np.zeros(len(slots), np.float32)
+
+    def learn_words(self, leaf: np.ndarray, words: np.ndarray) -> None:
+        for lo in range(0, len(leaf), self.p.batch):
+            some = words[:, lo:lo + self.p.batch]
+            token, node, up = self.tree.paths(leaf[lo:lo + self.p.batch])
+            at = self.tree.places(token, node, some)
+            z = up * (self.tree.bias[node] + self.slots[at].sum(0))
+            g = -up / (1 + np.exp(np.clip(z, -40, 40)))
+            at, g = at.ravel(), np.tile(g, len(at))
+            np.add.at(self.slot_step, at, g)
+            np.add.at(self.slot_seen, at, np.ones(len(at), np.float32))
+            step = self.slot_step[at]              # a slot met twice gets the same sum twice, and is set twice to the same value
+            square = self.slot_square[at] + step * step
+            self.slots[at] -= self.p.word_rate * step / np.sqrt(square)
+            self.slot_square[at], self.slot_step[at] = square, 0
 
     def learn(self, rows: np.ndarray, c: np.ndarray) -> None:
         for lo in range(0, len(c), self.p.batch):
@@ -123,38 +223,62 @@ def split_docs(docs: DataFrame, p: LmParams) -> DataFrame:
     return docs.select("doc_id", "text", (fold == 0).alias("held_out"))
 
 
-def train(texts: DataFrame, p: LmParams = LmParams()) -> np.ndarray:
-    """The weight table, fitted on every row of ``texts``. What reaches the driver is a few tables of that fixed size."""
+def train(texts: DataFrame, tree: Tree, p: LmParams = LmParams()) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of decisions, fitted on every row of ``texts``. What reaches the driver is one table of each."""
     sc = texts.sparkSession.sparkContext
-    weights = np.zeros((p.size, p.classes), np.float32)
+    weights, slots = np.zeros((p.size, p.classes), np.float32), np.zeros(1 << tree.bits, np.float32)
+    # part i of a table: the rows from i * block; those of the decisions come after those of the classes
+    kinds = [(p.size, p.classes, 1 << 9), (len(slots), 1, 1 << 14)]
+    behind = -(-p.size // kinds[0][2])
+    schema = "part int, row binary, n binary, w binary"
+
+    def record(part, row, n, w):
+        arrays = [pa.array([part], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.int32), n.astype(np.float32), w.astype(np.float32))]]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "row", "n", "w"])
+
+    def add(batches):
+        """One row per part: touches summed, weights averaged by touches."""
+        held: dict = {}
+        for b in batches:
+            for r in b.to_pylist():
+                _, width, block = kinds[r["part"] >= behind]
+                n, w = held.setdefault(r["part"], (np.zeros(block), np.zeros((block, width))))
+                row, more = np.frombuffer(r["row"], np.int32), np.frombuffer(r["n"], np.float32)
+                n[row] += more
+                w[row] += np.frombuffer(r["w"], np.float32).reshape(len(row), width) * more[:, None]
+        for part, (n, w) in held.items():
+            row = np.flatnonzero(n)
+            yield record(part, row, n[row], w[row] / n[row, None])
+
     for _ in range(p.rounds):
-        sent = sc.broadcast(weights)
+        sent = sc.broadcast((weights, slots, tree))
 
         def learn(batches):
-            t = Trainer(sent.value, p)
+            w, s, tr = sent.value
+            t = Trainer(w, p, tr, s)
             for b in slices(batches):
                 h, c, at = tokens(split(b.column("text")), p)
                 t.learn(contexts(h, c, at, p), c)
-            row = np.flatnonzero(t.seen)
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (row, t.seen[row], t.w[row] * t.seen[row, None])],
-                                                 ["row", "n", "w"])
-
-        def add(total, part):
-            total = np.zeros((p.size, p.classes + 1)) if total is None else total
-            row = np.frombuffer(part["row"], np.int64)
-            total[row, 0] += np.frombuffer(part["n"], np.float32)
-            total[row, 1:] += np.frombuffer(part["w"], np.float32).reshape(len(row), -1)
-            return total
-
-        def both(a, b):
-            return b if a is None else a if b is None else a + b
-
-        total = texts.select("text").mapInArrow(learn, "row binary, n binary, w binary").rdd.treeAggregate(None, add, both, depth=3)
-        if total is not None:
-            mean = total[:, 1:] / np.maximum(total[:, :1], 1)
-            weights = np.where(total[:, :1] > 0, mean, weights).astype(np.float32)
-    return weights
+                t.learn_words(tr.leaves(h, c), word_contexts(h, at))
+            for start, (size, _, block), seen, w in zip((0, behind), kinds, (t.seen, t.slot_seen), (t.w, t.slots)):
+                for lo in range(0, size, block):
+                    row = np.flatnonzero(seen[lo:lo + block])
+                    if len(row):
+                        yield record(start + lo // block, row, seen[lo:lo + block][row], w[lo:lo + block][row])
+
+        # many partitions' parts are summed by 64 tasks each, then these by one
+        parts = (texts.select("text").mapInArrow(learn, schema).withColumn("salt", F.spark_partition_id() % 64)
+                 .repartition("part", "salt").drop("salt").mapInArrow(add, schema).repartition("part").mapInArrow(add, schema))
+        weights, slots = weights.copy(), slots.copy()
+        for r in parts.collect():
+            kind = int(r["part"] >= behind)
+            row = np.frombuffer(r["row"], np.int32) + (r["part"] - kind * behind) * kinds[kind][2]
+            w = np.frombuffer(r["w"], np.float32)
+            if kind:
+                slots[row] = w
+            else:
+                weights[row] = w.reshape(len(row), -1)
+    return weights, slots
 
 
 def counted(texts: DataFrame, p: LmParams = LmParams()) -> DataFrame:
@@ -195,22 +319,27 @@ def score(docs: DataFrame, p: LmParams = LmParams()) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     texts = docs.where("NOT held_out")
     counts = land(counted(texts, p), "lm-counts")
-    per_class = counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()     # at most p.classes rows
-    n_of, v_of = (np.array([next((r[k] for r in per_class if r["cls"] == i), 0) for i in range(p.classes)], float) for k in ("n", "v"))
-    total, distinct = int(n_of.sum()), int(v_of.sum())
-    weights = train(texts, p)
+    # at most p.classes * 2^p.depth rows
+    cell = F.col("cls") * (1 << p.depth) + (F.shiftrightunsigned("h", 64 - p.depth) if p.depth else 0)
+    cells = counts.groupBy(cell.alias("cell")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    n, v = np.zeros(p.classes << p.depth), np.zeros(p.classes << p.depth)
+    for r in cells:
+        n[r["cell"]], v[r["cell"]] = r["n"], r["v"]
+    total, distinct = sum(r["n"] for r in cells), sum(r["v"] for r in cells)
     # at most 1 / p.common words have that share of the tokens
     known = counts.where(F.col("c") >= p.common * total).select("h", "c").toPandas().sort_values("h")
-    sent = sc.broadcast((weights, known["h"].to_numpy(np.int64), known["c"].to_numpy(np.int64), np.log10(n_of + p.smooth * (v_of + 1))))
+    tree = Tree.of(n, v, len(known), p)
+    sent = sc.broadcast((*train(texts, tree, p), tree, known["h"].to_numpy(np.int64), known["c"].to_numpy(np.int64)))
 
     def run(batches):
-        w, kh, kc, class_log = sent.value
+        w, slots, tr, kh, kc = sent.value
         for b in slices(batches):
             q = split(b.column("text"))
             h, c, at = tokens(q, p)
             n, size = b.num_rows, q.counts + 1
-            doc, h = np.repeat(np.arange(n), size), h
-            fit = log_shares(w, contexts(h, c, at, p))[np.arange(len(c)), c] / np.log(10) - class_log[c]
+            doc = np.repeat(np.arange(n), size)
+            fit = log_shares(w, contexts(h, c, at, p))[np.arange(len(c)), c]
+            fit = (fit + tr.log_share(slots, tr.leaves(h, c), word_contexts(h, at))) / np.log(10)
             s = h.view(np.int64)
             j = np.minimum(np.searchsorted(kh, s), max(len(kh) - 1, 0))
             common = kh[j] == s if len(kh) else np.zeros(len(s), bool)
