@@ -66,14 +66,14 @@ def test_without_training_it_is_the_share_within_the_class():
     """The decisions multiply out to (count + smooth) over the sum of the class's leaves."""
     tree, words, t = trained(TEXTS, 0)
     x, c = np.array(list(words), U), np.array([k for k, _ in words.values()])
-    got = tree.log_share(t.slots, tree.leaves(x, c), np.zeros((3, len(x)), U))
+    got = tree.log_share(t.slots, tree.leaves(x, c), np.zeros((2, len(x)), U))
     size = {k: sum(n + P.smooth for j, n in words.values() if j == k) + P.smooth * (1 << tree.depth) for k in set(c.tolist())}
     assert np.allclose(got, [-math.log(size[k]) for k in c.tolist()], atol=1e-6)
 
 
 def test_context_tells_words_of_a_class_apart():
     """Two words of one class, each after a word of its own."""
-    p = maxent.LmParams(depth=6, slots=256, classes=8)
+    p = maxent.LmParams(depth=6, slots=256, slot_bits=20, classes=8)
     texts = ["red mat blue hat " * 30, "blue hat red mat " * 30]
     tree, _, t = trained(texts, 60, p)
     h, c, at = maxent.tokens(split(pa.array(["red mat blue hat"])), p)
@@ -113,7 +113,7 @@ def test_one_partition_is_the_sequential_loop(spark, given):
         h, c, at = maxent.tokens(split(b.column("text")), p)
         t.learn(maxent.contexts(h, c, at, p), c)
         t.learn_words(tree.leaves(h, c), maxent.word_contexts(h, at))
-    assert np.abs(weights - t.w).max() < 1e-3 and np.abs(slots - t.slots).max() < 1e-3 and (slots != 0).sum() > 1000
+    assert np.abs(weights - t.w).max() < 1e-2 and np.abs(slots - t.slots).max() < 1e-2 and (slots != 0).sum() > 1000
     many, _ = maxent.train(one.repartition(5).where(F.col("text").isNotNull()), tree, p)
     assert many.shape == weights.shape and np.isfinite(many).all()
 

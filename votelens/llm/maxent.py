@@ -5,10 +5,9 @@ and whether a mark follows), unseen words too. P(class | context) is a softmax o
 before (n-gram), the classes of the two words before (n-gram), and those of the two before these (skip).
 
 Inside a class the words' hashes form a binary tree. A decision between two halves that both hold known words is a maximum-entropy model of
-its own: the log ratio of the halves' counts (the features of the word alone) plus weights of (decision, word before), (decision, two words
-before) and (decision, word before the last; skip), hashed into slots. The other decisions keep their counts. A leaf holds about one
-common word (``depth`` levels at most), and words of one leaf are told apart by their smoothed shares. Leaves and slots are sized
-by the counted vocabulary. Each leaf keeps one place for unseen words, so that all words and these places sum to one in every context.
+its own: the log ratio of the halves' counts (the features of the word alone) plus weights of (decision, word before) and (decision, word
+before the last; skip), hashed into slots. The other decisions keep their counts. Words of one leaf are told apart by their smoothed shares.
+Leaves and slots are sized by the counted vocabulary, up to ``depth`` levels and 2^``slot_bits`` slots. Each leaf keeps one place for unseen words, so that all words and these places sum to one in every context.
 
 Training is one pass of mini-batch gradient updates (Adagrad) in every partition of the training documents at once, from
 common weights; the partitions' weights are averaged per row by the tokens that touched it (sums by blocks of the tables, over the
@@ -46,8 +45,9 @@ class LmParams:
     smooth: float = .1
     common: float = 1e-6           # share of all tokens from which a word's count is sent to all workers
     folds: int = 10                # fold 0 is held out
-    depth: int = 8                 # most levels of decisions inside a class
-    slots: int = 16                # hashed weights of the decisions per common word
+    depth: int = 6                 # most levels of decisions inside a class
+    slots: int = 4                 # hashed weights of the decisions per common word
+    slot_bits: int = 16            # 2^16 of them at most: every partition of the training texts ships those it touched
     word_rate: float = .25
 
     @property
@@ -136,7 +136,7 @@ class Tree:
         if not depth:
             return Tree(0, 0, np.zeros(p.classes + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), bias.astype(np.float32), rest.ravel())
         is_open = np.stack(opens, 2).reshape(-1, depth)
-        bits = max(int(np.ceil(np.log2(p.slots * common))), 10)
+        bits = min(max(int(np.ceil(np.log2(p.slots * common))), 10), p.slot_bits)
         return Tree(depth, bits, np.concatenate(([0], np.cumsum(is_open.sum(1)))), np.stack(nodes, 2).reshape(-1, depth)[is_open],
                     np.stack(ups, 2).reshape(-1, depth)[is_open].astype(np.float32), bias.astype(np.float32), rest.ravel())
 
@@ -168,11 +168,11 @@ _TREE = U(0xD6E8FEB86659FD93)
 
 
 def word_contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of each token's word features: the word before, the two words before, the word before the last; before a text lie ends."""
+    """Hashes of each token's word features: the word before, the word before the last; before a text lie ends."""
     h1, h2 = np.full(len(h), END, U), np.full(len(h), END, U)
     h1[1:] = np.where(at[1:] >= 1, h[:-1], END)
     h2[2:] = np.where(at[2:] >= 2, h[:-2], END)
-    return np.stack([mix(h1), mix(mix(h1) + h2), mix(h2 + _TREE)])
+    return np.stack([mix(h1), mix(h2 + _TREE)])
 
 
 class Trainer:
@@ -227,13 +227,13 @@ def train(texts: DataFrame, tree: Tree, p: LmParams = LmParams()) -> tuple[np.nd
     """The weights of classes and of decisions, fitted on every row of ``texts``. What reaches the driver is one table of each."""
     sc = texts.sparkSession.sparkContext
     weights, slots = np.zeros((p.size, p.classes), np.float32), np.zeros(1 << tree.bits, np.float32)
-    # part i of a table: the rows from i * block; those of the decisions come after those of the classes
+    # part i of a table: the rows from i * block; those of the decisions come after those of the classes; weights travel in half precision
     kinds = [(p.size, p.classes, 1 << 9), (len(slots), 1, 1 << 14)]
     behind = -(-p.size // kinds[0][2])
     schema = "part int, row binary, n binary, w binary"
 
     def record(part, row, n, w):
-        arrays = [pa.array([part], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.int32), n.astype(np.float32), w.astype(np.float32))]]
+        arrays = [pa.array([part], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.uint16), n.astype(np.float32), w.astype(np.float16))]]
         return pa.RecordBatch.from_arrays(arrays, ["part", "row", "n", "w"])
 
     def add(batches):
@@ -243,9 +243,9 @@ def train(texts: DataFrame, tree: Tree, p: LmParams = LmParams()) -> tuple[np.nd
             for r in b.to_pylist():
                 _, width, block = kinds[r["part"] >= behind]
                 n, w = held.setdefault(r["part"], (np.zeros(block), np.zeros((block, width))))
-                row, more = np.frombuffer(r["row"], np.int32), np.frombuffer(r["n"], np.float32)
+                row, more = np.frombuffer(r["row"], np.uint16), np.frombuffer(r["n"], np.float32)
                 n[row] += more
-                w[row] += np.frombuffer(r["w"], np.float32).reshape(len(row), width) * more[:, None]
+                w[row] += np.frombuffer(r["w"], np.float16).astype(np.float32).reshape(len(row), width) * more[:, None]
         for part, (n, w) in held.items():
             row = np.flatnonzero(n)
             yield record(part, row, n[row], w[row] / n[row, None])
@@ -272,8 +272,8 @@ def train(texts: DataFrame, tree: Tree, p: LmParams = LmParams()) -> tuple[np.nd
         weights, slots = weights.copy(), slots.copy()
         for r in parts.collect():
             kind = int(r["part"] >= behind)
-            row = np.frombuffer(r["row"], np.int32) + (r["part"] - kind * behind) * kinds[kind][2]
-            w = np.frombuffer(r["w"], np.float32)
+            row = np.frombuffer(r["row"], np.uint16).astype(np.int64) + (r["part"] - kind * behind) * kinds[kind][2]
+            w = np.frombuffer(r["w"], np.float16)
             if kind:
                 slots[row] = w
             else:
