@@ -40,7 +40,7 @@ def sized(docs: DataFrame, p: MixParams, *keep: str) -> DataFrame:
 
 def order_weights(sizes: DataFrame, p: MixParams) -> DataFrame:
     """``sizes`` (source, source_size) with ``weight``: the given weights by rank, code points ascending, null last."""
-    # one row per source; the rank is a count over distinct names, range-partitioned by the sort
+    # one row per source, ranked in one task
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     pick = F.element_at(F.array(*[F.lit(int(x)) for x in p.weights]), (F.col("at") % len(p.weights) + 1).cast("int"))
     return sizes.withColumn("at", rank).withColumn("weight", pick.cast("long")).drop("at")
