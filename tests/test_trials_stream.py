@@ -106,6 +106,20 @@ def test_untouched_subjects_have_no_rows(spark):
     assert {(r["all"], r.m) for r in per} == {(35, 30)}
 
 
+def test_trial_lists_are_the_broadcast_side(spark, tmp_path):
+    """An exploded table is estimated at its source's size: copied to every worker it would be (trials x labels) rows at the driver."""
+    spark.range(3000).selectExpr("id AS subject", "cast(id % 2 as int) AS gold").write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g"))
+    for trials in (X.random_trials(g, [3, 8], 10), X.ordered_trials(g, 0, 60, 3)):
+        for df in (trials.labels, trials.golds()):
+            plan, inside = df._jdf.queryExecution().executedPlan().toString().splitlines(), None
+            for line in plan:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                inside = depth if "BroadcastExchange" in line else inside if inside is not None and depth > inside else None
+                assert inside is None or "Generate" not in line
+    assert X.random_trials(g, [3, 8], 10).golds().count() == 110
+
+
 def test_gold_choices(spark, world):
     _, golds, votes, g = world
     rows = g.withColumn("load_seq", F.lit(1)).unionByName(g.limit(3).withColumn("gold", F.lit(1)).withColumn("load_seq", F.lit(2)))

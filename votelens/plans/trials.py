@@ -49,13 +49,13 @@ class Trials:
         """Results (keys, ...) of the distinct trials, given to every trial that has the same labels."""
         if self.last is None:
             return results
-        own = results.join(self.table, list(self.keys)).drop(*self.keys).withColumnRenamed("trial", "_like")
+        own = results.join(F.broadcast(self.table), list(self.keys)).drop(*self.keys).withColumnRenamed("trial", "_like")
         like = self.table.join(F.broadcast(self.last)).withColumn("_like", F.least("trial", "_last")).drop("_last")
         return like.join(own, "_like").select(*self.keys, *[c for c in results.columns if c not in self.keys])
 
     def golds(self) -> DataFrame:
         """(keys, subject, gold): the labels of each trial as rows."""
-        return self.members(self.labels).join(self.table, "trial").select(*self.keys, "subject", "gold")
+        return self.members(self.labels).join(F.broadcast(self.table), "trial").select(*self.keys, "subject", "gold")
 
 
 def _table(spark, keys, trials) -> DataFrame:
@@ -71,7 +71,8 @@ def random_trials(golds: DataFrame, sizes, n_trials: int, seed=0) -> Trials:
     keys, trials = ("golds", "n"), [(int(g), int(n)) for g in sizes for n in range(n_trials)]
     table = _table(golds.sparkSession, keys, trials)
     rows = golds.where(expert_only()).select("subject", "gold", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1))).alias("trial"))
-    rows = rows.join(table, "trial").withColumn("_h", hash_order(F.col("subject"), F.concat_ws("-", F.lit(seed), "golds", "n")))
+    # the trial list is the small side: an exploded frame is estimated at the size of its source, and Spark would broadcast it
+    rows = rows.join(F.broadcast(table), "trial").withColumn("_h", hash_order(F.col("subject"), F.concat_ws("-", F.lit(seed), "golds", "n")))
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("trial").orderBy("_h", "subject"))).where(F.col("_r") <= max(sizes))
     labels = ranked.where(F.col("_r") <= F.col("golds")).select("subject", "gold", F.col("trial").alias("cell"))
     return Trials(keys, table, len(trials), labels, len(trials), lambda x: x, lambda df: df.withColumnRenamed("cell", "trial"))
@@ -126,7 +127,7 @@ def cv_grid_trials(votes: DataFrame, golds: DataFrame, controversial: range, con
         each = df.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(len(a) - 1))))
         # every row of the grid from the subject's first one on, of the rows before only the places that its second rank reaches
         each = each.withColumn("_y", F.when(F.col("i") <= F.col("x"), 0).otherwise(F.col("j"))).where(F.col("_y") < len(b))
-        return each.withColumn("y", F.explode(F.sequence("_y", F.lit(len(b) - 1)))).join(place, ["x", "y"])
+        return each.withColumn("y", F.explode(F.sequence("_y", F.lit(len(b) - 1)))).join(F.broadcast(place), ["x", "y"])
 
     return Trials(keys, table, len(pairs), labels, (len(a) + 1) * (len(b) + 1), spread, members)
 
@@ -207,14 +208,14 @@ def trial_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, param
     rest = (trials.distinct(trials.table).select("trial").withColumn("_j", F.lit(1)).join(F.broadcast(every), "_j").join(gone, "trial", "left")
             .select("trial", F.lit(0).cast("bigint").alias("llr"), *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in classes]))
     both = points.unionByName(rest.where("m + z + o > 0"))
-    return both.join(trials.table, "trial").select(*trials.keys, consensus.posterior(F.col("llr"), None, params).alias("p"), *classes)
+    return both.join(F.broadcast(trials.table), "trial").select(*trials.keys, consensus.posterior(F.col("llr"), None, params).alias("p"), *classes)
 
 
 def trial_scores(first_votes: DataFrame, trials: Trials, params: Params = Params()) -> DataFrame:
     """(keys, subject, p): the whole score table of every trial, as trial rows need it (for points, ``trial_points`` is enough)."""
     moved = moved_scores(first_votes, trials, params)
     whole = first_votes.select("subject").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials.n - 1))))
-    whole = trials.distinct(whole).join(moved, ["trial", "subject"], "left").join(trials.table, "trial")
+    whole = trials.distinct(whole).join(moved, ["trial", "subject"], "left").join(F.broadcast(trials.table), "trial")
     return trials.for_all(whole.select(*trials.keys, "subject", consensus.posterior(F.col("llr"), None, params).alias("p")))
 
 
