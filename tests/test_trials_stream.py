@@ -120,6 +120,29 @@ def test_trial_lists_are_the_broadcast_side(spark, tmp_path):
     assert X.random_trials(g, [3, 8], 10).golds().count() == 110
 
 
+def test_trials_summed_in_buckets(spark, world, monkeypatch):
+    """Votes meet weights as short rows, whatever the buckets; at a cutoff, scores far from it are not kept apart."""
+    log, golds, votes, g = world
+    g = g.unionByName(g.limit(2))                               # a subject with two labels counts twice
+    first, trials = C.first_vote_per_pair(votes), X.ordered_trials(g, 0, 40, 1)
+    keys, got = list(trials.keys), []
+    for size in (X.VOTES, 37):
+        monkeypatch.setattr(X, "VOTES", size)
+        points = X.trial_points(first, trials, g)
+        assert "vectorudt" not in points._jdf.queryExecution().executedPlan().toString().lower()
+        assert "cogroup" in points._jdf.queryExecution().executedPlan().toString().lower()
+        near = X.trial_points(first, trials, g, cutoff=.3)
+        assert max(r["count"] for r in near.groupBy(*keys).count().collect()) <= 3      # below, above, untouched
+        got += [sorted(map(str, X.trial_gold_metrics(p, keys, .3).collect())) for p in (points, near)]
+    assert all(x == got[0] for x in got)
+    scores = X.trial_scores(first, trials).join(g, "subject", "left").withColumn("gold", F.coalesce("gold", F.lit(-1)))
+    plain = X.trial_gold_metrics(X.evaluate.score_points(scores, keys), keys, .3)
+    assert set(got[0]) <= set(map(str, plain.select(*X.trial_gold_metrics(points, keys, .3).columns).collect()))
+    few = X.random_trials(g, [3], 2)
+    a, b = (sorted(map(str, X.trial_gold_metrics(X.trial_points(first, few, g, cutoff=c), list(few.keys), .12).collect())) for c in (None, .12))
+    assert a == b
+
+
 def test_gold_choices(spark, world):
     _, golds, votes, g = world
     rows = g.withColumn("load_seq", F.lit(1)).unionByName(g.limit(3).withColumn("gold", F.lit(1)).withColumn("load_seq", F.lit(2)))

@@ -2,8 +2,8 @@
 
 A trial is a set of labels. Trials are a table; which labels belong to which is kept as *cells*: the trial itself for random sets, the first trial
 of a growing series, or the place in a grid of two rankings. Votes on labelled subjects are counted per (voter, cell) once, whatever the number of
-trials; a voter's counts in every trial are sums over cells. Votes then meet their voter's weights in blocks of ``BLOCK`` trials as one vector, so a vote is a
-row per block and not per trial. What comes out are the subjects that a trial moves away from the prior. All others
+trials; a voter's counts in every trial are sums over cells. Votes then meet their voter's weights in tasks of one block of ``BLOCK`` trials and one bucket of subjects, so a
+vote is a row per block and not per trial. What comes out are the subjects that a trial moves away from the prior. All others
 are one row per trial: the class totals less what was moved.
 """
 from __future__ import annotations
@@ -14,8 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import hash_order
@@ -25,6 +24,8 @@ from ..params import Params
 
 BLOCK = 128
 FEW = 32
+VOTES, SUBJECTS = 2_000_000, 1 << 16      # of a bucket of subjects, in whose task a block of trials is summed
+CLASSES = {"m": -1, "z": 0, "o": 1}
 
 
 @dataclass(frozen=True)
@@ -172,43 +173,115 @@ def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFram
     return trials.distinct(weights.withColumn("trial", F.col("block") * BLOCK)).drop("trial")
 
 
-def _moved(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
-    """(subject, block, sums): summed log ratios of a subject in each trial of a block, as doubles near whole numbers (the summarizer keeps means and weights);
-    ``_rows`` makes them whole again."""
+def _few(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
+    """(subject, block, sums) of at most ``FEW`` trials: plain sums per place, aggregated by hash within generated code."""
     votes = first_votes.select("voter", "subject", "annotation").join(_weights(first_votes, trials, params), "voter")
     ratio = F.when(F.col("annotation") == 1, F.col("l1")).otherwise(F.col("l0"))
-    if trials.n <= FEW:
-        # plain sums per place: aggregated by hash within generated code
-        places = [F.sum(F.get("_r", F.lit(k))).alias(f"_{k}") for k in range(trials.n)]
-        sums = votes.select("subject", "block", ratio.alias("_r")).groupBy("subject", "block").agg(*places)
-        return sums.select("subject", "block", F.array(*[f"_{k}" for k in range(trials.n)]).alias("sums"))
-    sums = votes.groupBy("subject", "block").agg(Summarizer.sum(array_to_vector(ratio)).alias("v"))
-    return sums.select("subject", "block", vector_to_array("v").alias("sums"))
+    places = [F.sum(F.get("_r", F.lit(k))).alias(f"_{k}") for k in range(trials.n)]
+    sums = votes.select("subject", "block", ratio.alias("_r")).groupBy("subject", "block").agg(*places)
+    return sums.select("subject", "block", F.array(*[f"_{k}" for k in range(trials.n)]).alias("sums"))
+
+
+def _rows(moved: DataFrame, *columns: str) -> DataFrame:
+    each = moved.select(*columns, "block", F.posexplode("sums").alias("k", "v")).withColumn("llr", F.round("v").cast("bigint")).where("llr <> 0")
+    return each.select((F.col("block") * BLOCK + F.col("k")).alias("trial"), *columns, "llr")
+
+
+def _summed(first_votes: DataFrame, votes: DataFrame, trials: Trials, params: Params, emit: Callable, schema: str, subjects: int) -> DataFrame:
+    """What ``emit(trial, sums, rows)`` makes of the summed log ratios of each trial, a bucket of subjects at a time.
+
+    A task has the votes on one bucket of subjects and their voters' weights in one block of trials, so a vote is a short row per block and a weight one per bucket; the
+    sums exist only in the task. ``votes``: (voter, subject, annotation, ...); ``rows``: its other columns, a row per subject. A bucket holds about ``VOTES`` votes and ``subjects`` subjects at most.
+    """
+    size = first_votes.agg(F.count("*").alias("v")).scalar(), first_votes.select("subject").distinct().agg(F.count("*").alias("s")).scalar()
+    buckets = F.greatest(F.ceil(size[0] / VOTES), F.ceil(size[1] / subjects), F.lit(1)).cast("int")
+    left = votes.withColumn("_n", buckets).withColumn("bucket", F.pmod(F.xxhash64("subject"), F.col("_n")).cast("int")).drop("_n")
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trials.n - 1) // BLOCK))))
+    weights = _weights(first_votes, trials, params).withColumn("_n", buckets)
+    weights = weights.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    names = [c for c in votes.columns if c not in ("voter", "annotation")]
+    out_schema = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in (c.split() for c in schema.split(", "))])
+
+    def run(v: pa.Table, w: pa.Table) -> pa.Table:
+        if not len(v) or not len(w):
+            return out_schema.empty_table()
+        at = pc.index_in(v["voter"], w["voter"].combine_chunks())
+        v = v.append_column("_at", at).filter(pc.is_valid(at))
+        if not len(v):
+            return out_schema.empty_table()
+        v = v.take(pc.sort_indices(v["subject"]))
+        _, first = np.unique(v["subject"].to_numpy(), return_index=True)
+        rows = {n: v[n].to_numpy()[first] for n in names}
+        # per trial the l0 of all voters, then their l1, and the place of each vote in it
+        per = np.concatenate([w[n].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(w), -1) for n in ("l0", "l1")]).T
+        at, block = v["_at"].to_numpy() + len(w) * (v["annotation"].to_numpy() == 1), w["block"][0].as_py()
+        parts = []
+        for k, weigh in enumerate(per):
+            # whole numbers far below 2^53: exact in any order
+            sums = np.add.reduceat(np.ascontiguousarray(weigh)[at], first).astype(np.int64)
+            if sums.any():
+                parts.append(pa.table(emit(block * BLOCK + k, sums, rows), schema=out_schema))
+        return pa.concat_tables(parts) if parts else out_schema.empty_table()
+
+    return left.groupBy("block", "bucket").cogroup(weights.groupBy("block", "bucket")).applyInArrow(run, schema)
 
 
 def moved_scores(first_votes: DataFrame, trials: Trials, params: Params = Params()) -> DataFrame:
     """(trial, subject, llr): static scores of every distinct trial, of the subjects that it moves away from the prior."""
-    return trials.distinct(_rows(_moved(first_votes, trials, params), "subject"))
+    if trials.n <= FEW:
+        return trials.distinct(_rows(_few(first_votes, trials, params), "subject"))
 
+    def emit(trial, sums, rows):
+        at = np.flatnonzero(sums)
+        return {"trial": np.full(len(at), trial, np.int32), "subject": rows["subject"][at], "llr": sums[at]}
 
-def _rows(moved: DataFrame, *columns: str) -> DataFrame:
-    each = moved.select(*columns, "block", F.posexplode("sums").alias("k", "v")).withColumn("llr", F.round("v").cast("bigint")).where("llr <> 0")
-    return each.select((F.col("block") * BLOCK + F.col("k")).alias("trial"), *columns, "llr")
+    votes = first_votes.select("voter", F.col("subject").cast("bigint").alias("subject"), "annotation")
+    return trials.distinct(_summed(first_votes, votes, trials, params, emit, "trial int, subject bigint, llr bigint", SUBJECTS))
+
+
+def _near(cutoff: float | None, params: Params) -> tuple[int, int] | None:
+    """Summed log ratios between which scores are told apart where only a cutoff matters: a millionth of log-odds around it, much more than a score's last bits."""
+    if cutoff is None or not 1e-6 < cutoff < 1 - 1e-6:
+        return None
+    at = round(consensus.NANO * (math.log(cutoff / (1 - cutoff)) - math.log(params.p0 / (1 - params.p0))))
+    return at - 1000, at + 1000
+
+
+def _moved_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, params: Params, near: tuple | None) -> DataFrame:
+    """(trial, llr, m, z, o): the subjects that a trial moves, counted by class within the tasks that sum them; they are taken off the prior's place (llr 0).
+
+    Parts of sums: a place may have several rows.
+    """
+    if trials.n <= FEW:
+        moved = trials.distinct(_rows(evaluate.with_golds(_few(first_votes, trials, params), golds), "gold"))
+        llr = F.greatest(F.least("llr", F.lit(near[1])), F.lit(near[0])) if near else F.col("llr")
+        both = F.explode(F.array(F.struct(llr.alias("llr"), F.lit(1).alias("n")), F.struct(F.lit(0).cast("bigint").alias("llr"), F.lit(-1).alias("n"))))
+        return moved.select("trial", "gold", both.alias("r")).groupBy("trial", "r.llr").agg(*[F.sum(F.when(F.col("gold") == g, F.col("r.n")).otherwise(0)).alias(c) for c, g in CLASSES.items()])
+    # a subject counts once for each of its rows among the golds
+    per = golds.groupBy("subject").agg(*[F.count_if(F.coalesce("gold", F.lit(-1)) == g).alias(c) for c, g in CLASSES.items()])
+    votes = first_votes.select("voter", "subject", "annotation").join(per, "subject", "left")
+    votes = votes.withColumns({c: F.coalesce(c, F.lit(int(g == -1)).cast("bigint")) for c, g in CLASSES.items()})
+
+    def emit(trial, sums, rows):
+        at = np.flatnonzero(sums)
+        llr, place = np.unique(np.clip(sums[at], *near) if near else sums[at], return_inverse=True)
+        counts = {c: np.bincount(place, rows[c][at], len(llr)).astype(np.int64) for c in CLASSES}
+        return {"trial": np.full(len(llr) + 1, trial, np.int32), "llr": np.append(llr, 0), **{c: np.append(n, -n.sum()) for c, n in counts.items()}}
 
+    return trials.distinct(_summed(first_votes, votes, trials, params, emit, "trial int, llr bigint, m bigint, z bigint, o bigint", 16 * SUBJECTS if near else SUBJECTS))
 
-def trial_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, params: Params = Params()) -> DataFrame:
-    """(keys, p, m, z, o): how many unlabelled, bogus and real subjects stand at each score of each distinct trial. Untouched subjects make one row per trial."""
-    classes = {"m": -1, "z": 0, "o": 1}
-    counts = lambda gold: [F.count_if(gold == g).alias(c) for c, g in classes.items()]
-    moved = evaluate.with_golds(_moved(first_votes, trials, params), golds)
-    points = trials.distinct(_rows(moved, "gold")).groupBy("trial", "llr").agg(*counts(F.col("gold")))
-    gone = points.groupBy("trial").agg(*[F.sum(c).alias(f"_{c}") for c in classes])
+
+def trial_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, params: Params = Params(), cutoff: float | None = None) -> DataFrame:
+    """(keys, p, m, z, o): how many unlabelled, bogus and real subjects stand at each score of each distinct trial. Untouched subjects make one row per trial.
+
+    With ``cutoff``, scores are only told apart near it: those beyond count at one score below and one above, which is all that ``trial_gold_metrics`` at this cutoff needs.
+    """
+    moved = _moved_points(first_votes, trials, golds, params, _near(cutoff, params))
     # one row: the class totals of all subjects with votes
-    every = evaluate.with_golds(first_votes.select("subject").distinct(), golds).agg(*counts(F.col("gold"))).withColumn("_j", F.lit(1))
-    rest = (trials.distinct(trials.table).select("trial").withColumn("_j", F.lit(1)).join(F.broadcast(every), "_j").join(gone, "trial", "left")
-            .select("trial", F.lit(0).cast("bigint").alias("llr"), *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in classes]))
-    both = points.unionByName(rest.where("m + z + o > 0"))
-    return both.join(F.broadcast(trials.table), "trial").select(*trials.keys, consensus.posterior(F.col("llr"), None, params).alias("p"), *classes)
+    every = evaluate.with_golds(first_votes.select("subject").distinct(), golds).agg(*[F.count_if(F.col("gold") == g).alias(c) for c, g in CLASSES.items()])
+    whole = trials.distinct(trials.table).select("trial", F.lit(0).cast("bigint").alias("llr")).crossJoin(F.broadcast(every))
+    points = moved.unionByName(whole).groupBy("trial", "llr").agg(*[F.sum(c).alias(c) for c in CLASSES]).where("m + z + o > 0")
+    return points.join(F.broadcast(trials.table), "trial").select(*trials.keys, consensus.posterior(F.col("llr"), None, params).alias("p"), *CLASSES)
 
 
 def trial_scores(first_votes: DataFrame, trials: Trials, params: Params = Params()) -> DataFrame:
