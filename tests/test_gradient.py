@@ -151,3 +151,12 @@ def test_forest_prefix(spark):
     assert all(np.allclose(r.probability.toArray(), (a.toArray() + b.toArray()) / 2) for r, (a, b) in zip(got, trees))
     table = L.cross_validate_forest(df.withColumn("vec_id", F.col("id")), (4, 2), (2,), (1, 5), depth=4).collect()
     assert sorted((r.trees, r.features, r.leaf) for r in table) == [(2, 2, 1), (2, 2, 5), (4, 2, 1), (4, 2, 5)] and all(0 <= r.mean <= 1 for r in table)
+
+
+def test_forests_are_let_go_once_scored(spark):
+    """Held-out scores are tables: a plan that still predicts would keep every forest at the driver."""
+    from votelens.plans import learning as L
+    df = L.as_features(spark.createDataFrame(rows(9, n=90), ROWS)).withColumn("fold", (F.col("id") % 2).cast("int"))
+    merit = L.cross_validate_forest(df, (4, 2), (2,), (1,), depth=3)
+    plan = merit._jdf.queryExecution().analyzed().toString()
+    assert "UDF" not in plan and "predict" not in plan.lower() and merit.count() == 2

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import fold_soft_pred, hash_unit
 from ..operators import evaluate
 from ..operators.prefix import range_blocks, running, union_all, unit_blocks
+from ..session import land
 from . import gradient
 
 # ---- splits ----------------------------------------------------------------------------------
@@ -236,8 +237,8 @@ def cross_validate_forest(df: DataFrame, trees=(100, 10), features=(10, 25), lea
                           parallelism: int = 4) -> DataFrame:
     """(trees, features, leaf, mean) over contiguous folds (column ``fold``): mean figure of merit per setting.
 
-    One forest of the most trees is grown per fold, feature count and leaf size; forests of fewer trees are its first ones. All held-out scores are
-    compared in one job.
+    One forest of the most trees is grown per fold, feature count and leaf size; forests of fewer trees are its first ones. Its held-out scores are written as soon as it
+    is grown, so the driver holds ``parallelism`` forests and not all of them. All held-out scores are compared in one job.
     """
     folds = sorted(r.fold for r in df.select("fold").distinct().collect())
     jobs = [(f, leaf, k) for f in features for leaf in leaves for k in folds]
@@ -246,12 +247,12 @@ def cross_validate_forest(df: DataFrame, trees=(100, 10), features=(10, 25), lea
         f, leaf, k = job
         model = random_forest(max(trees), str(f), leaf, depth, seed).fit(df.where(F.col("fold") != k))
         held = df.where(F.col("fold") == k)
-        return [predict_proba(forest_prefix(model, n) if n < max(trees) else model, held).select(
+        return land(union_all([predict_proba(forest_prefix(model, n) if n < max(trees) else model, held).select(
             F.lit(n).alias("trees"), F.lit(f).alias("features"), F.lit(leaf).alias("leaf"), "fold", F.lit(0).alias("subject"),
-            F.col("label").cast("int").alias("gold"), "p") for n in trees]
+            F.col("label").cast("int").alias("gold"), "p") for n in trees]), "forest")
 
     with ThreadPool(parallelism) as pool:
-        scored = [x for got in pool.map(inheritable_thread_target(df.sparkSession)(grow), jobs) for x in got]
+        scored = pool.map(inheritable_thread_target(df.sparkSession)(grow), jobs)
     keys = ["trees", "features", "leaf"]
     merit = evaluate.fom_mdr_at_fpr(union_all(scored), fpr, runs=[*keys, "fold"])
     return merit.groupBy(*keys).agg(F.avg("mdr").alias("mean"))
