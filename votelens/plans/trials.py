@@ -66,8 +66,8 @@ def _table(spark, keys, trials) -> DataFrame:
 def random_trials(golds: DataFrame, sizes, n_trials: int, seed=0) -> Trials:
     """For each size and repeat, that many random labelled subjects.
 
-    The rank limit is applied in every task before the shuffle, so a trial's partition never holds more
-    than the largest size times the number of map tasks.
+    Where Spark limits ranks within the map tasks (``windowGroupLimitThreshold``, 1,000 by default, at least the largest size), a trial's partition holds
+    no more than the largest size times the number of map tasks; else it holds all labels.
     """
     keys, trials = ("golds", "n"), [(int(g), int(n)) for g in sizes for n in range(n_trials)]
     table = _table(golds.sparkSession, keys, trials)
