@@ -95,3 +95,33 @@ def test_scorer_reads_by_bucket(spark, tmp_path):
     scorer.process(batch, 1)
     assert scorer.stored_votes().count() == 401
     assert {r.classification_id for r in scorer.emitted().where(F.col("batch") == 1).collect()} == {900}
+
+
+def test_large_batches_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A large batch meets state by shuffles, so nothing that grows with it passes the driver; what is scored stays the same."""
+    from votelens.streaming import online
+    golds = spark.createDataFrame([(s, s % 2) for s in range(50)], "subject long, gold int")
+    votes = spark.createDataFrame([(i, f"u{i % 40}", i * 7 % 50, i % 2) for i in range(400)], "classification_id long, voter string, subject long, annotation int")
+    got = []
+    for rows in (1000, 0):
+        monkeypatch.setattr(online, "BROADCAST_ROWS", rows)
+        scorer = online.OnlineScorer(spark, str(tmp_path / f"o{rows}"), golds, buckets=4, fan=2).start_cold()
+        for k in range(2):
+            scorer.process(votes.where(F.col("classification_id") % 2 == k), k)
+        got.append(sorted(map(tuple, scorer.emitted().select("classification_id", "subject", "llr").collect())))
+    assert got[0] == got[1] and len(got[0]) > 0
+    batch = votes.where("classification_id < 9")
+    for name in scorer.state:
+        plan = scorer.known(name, 2, batch, scorer.touched(batch), True)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_feed_is_dealt_out(spark, tmp_path):
+    """A delivery of the feed is written by many tasks, whatever the files the events lie in, and by its own ids only."""
+    from votelens.catalog.parsing_q import messages
+    from votelens.catalog.trial_q import delivery
+    events = spark.createDataFrame([(k, "purchase", 1., k, '{"k": 5}') for k in range(4000)], "event_id long, event_type string, value double, user_id long, props string") \
+        .withColumn("ts", F.timestamp_seconds("event_id")).coalesce(1)
+    got = delivery(events, 100, 1100)
+    assert got.rdd.getNumPartitions() >= 4
+    assert {r.raw for r in got.collect()} == {r.raw for r in messages(events.where("event_id between 100 and 1099")).collect()}
