@@ -160,3 +160,13 @@ def test_forests_are_let_go_once_scored(spark):
     merit = L.cross_validate_forest(df, (4, 2), (2,), (1,), depth=3)
     plan = merit._jdf.queryExecution().analyzed().toString()
     assert "UDF" not in plan and "predict" not in plan.lower() and merit.count() == 2
+
+
+def test_forest_rows_are_dealt_out(spark, monkeypatch):
+    """Many rows of one file are grown by several tasks; few stay as they lie. No task gets the forest so far."""
+    df = L.as_features(spark.range(300).select(F.array(F.rand(1), F.rand(2)).alias("x"), (F.col("id") % 2).cast("int").alias("y")).coalesce(1))
+    assert L.forest_rows(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(L, "FOREST_ROWS", 100)
+    dealt = L.forest_rows(df)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 300
+    assert L.random_forest().getCacheNodeIds()

@@ -148,7 +148,7 @@ def held_out(i, df):
 @query("rf_train")
 def m16(i):
     fit, test = held_out(i, training_rows(i))
-    return E.fom_grid(_scored(L.random_forest(50).fit(fit), test))
+    return E.fom_grid(_scored(L.random_forest(50).fit(L.forest_rows(fit)), test))
 
 
 @query("linear_svm_train")
@@ -275,7 +275,7 @@ def m26(i):
 
 @query("feature_importance")
 def m27(i):
-    return L.feature_importance(L.random_forest().fit(training_rows(i)), i.spark)
+    return L.feature_importance(L.random_forest().fit(L.forest_rows(training_rows(i))), i.spark)
 
 
 @query("unit_pixels", _X + "SELECT vec_id, CAST(pos AS INTEGER) AS pos, v / 255 AS v FROM x", r="v")

@@ -111,7 +111,17 @@ def as_features(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 def random_forest(trees: int = 100, per_split: str = "sqrt", min_leaf: int = 1, depth: int = 30, seed: int = 0):
     return RandomForestClassifier(numTrees=trees, featureSubsetStrategy=per_split, minInstancesPerNode=min_leaf,
-                                  maxDepth=depth, seed=seed)
+                                  maxDepth=depth, seed=seed, cacheNodeIds=True)    # without: every task of every pass gets the forest so far
+
+
+#: Rows that a task of a forest should hold, and the most tasks of one: each sends the counts of every open node, so more of them only send more.
+FOREST_ROWS, FOREST_TASKS = 4096, 24
+
+
+def forest_rows(df: DataFrame) -> DataFrame:
+    """The training rows dealt out evenly: a packed table is one task, which would grow the whole forest. Small ones stay as they lie."""
+    tasks = min(FOREST_TASKS, -(-df.count() // FOREST_ROWS))
+    return df.select("features", "label").repartition(tasks) if tasks > 1 else df
 
 
 def softmax(lam: float = 1e-3, max_iter: int = 100):
