@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from votelens.plans import gradient as G
+from votelens.plans import gradient as G, learning as L
 
 ROWS = "id long, x array<double>, y int"
 
@@ -170,3 +170,37 @@ def test_forest_rows_are_dealt_out(spark, monkeypatch):
     dealt = L.forest_rows(df)
     assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 300
     assert L.random_forest().getCacheNodeIds()
+
+
+def test_prefix_sums_are_held_in_parts(spark, monkeypatch):
+    """No batch that a task sends holds the curvature of more than ``PREFIXES`` prefixes, and the fits stay the same."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    rows = [(k, [float(v) for v in r], int(r[0] + rng.normal() > 0)) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "position long, x array<double>, y int").repartition(3)
+    sizes = list(range(30, 121, 10))
+    whole = G.prefix_logistic(df, sizes, 1e-2)
+    monkeypatch.setattr(G, "PREFIXES", 3)
+    assert np.allclose(G.prefix_logistic(df, sizes, 1e-2), whole, atol=1e-9)
+
+
+def test_mlp_reads_packed_rows(spark, monkeypatch):
+    """Rows that many iterations read are bytes, dealt out where they are many."""
+    df = spark.range(60).select(F.array(F.col("id") / 60, F.col("id") % 7 / 7).alias("x"), (F.col("id") % 2).cast("int").alias("y")).coalesce(1)
+    one = G.packed(df)
+    assert [f.dataType.typeName() for f in one.schema] == ["binary", "binary"] and one.count() == 1
+    w = np.linspace(-1, 1, 3 * 4 + 1)
+    plain, small = (G.MLP(hidden=3).loss(d, 60, 2)(w) for d in (df, one))
+    assert np.isclose(plain[0], small[0]) and np.allclose(plain[1], small[1])
+    monkeypatch.setattr(G, "TASK_ROWS", 20)
+    net = G.MLP(hidden=3, lam=1.).fit(df)
+    assert np.abs(net.loss(df, 60, 2)(net.w)[1]).max() < 1e-3
+
+
+def test_counts_are_made_once(spark):
+    """The models and their iterations read landed cells: the vote table is not scanned again for each."""
+    from votelens.catalog import learning_q as Q
+    from votelens.catalog.base import Inputs
+    b = Q.landed_counts(Inputs(spark, "/root/testdata/sf0.001"))
+    for df in (b, Q.glm_cells(b, "tp")):
+        assert "lineitem" not in "".join(df.inputFiles()) and df.inputFiles()

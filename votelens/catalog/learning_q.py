@@ -5,7 +5,7 @@ from ..functions import vectors as V
 from ..operators import aggregates as A, evaluate as E, skill
 from ..operators.prefix import union_all
 from ..plans import learning as L
-from ..session import scratch_path
+from ..session import land, scratch_path
 from .base import query
 from .relational import BIN_SQL, bin_counts
 
@@ -300,12 +300,16 @@ RESPONSES = {"tp": ("tp", "pos"), "tn": ("tn", "n - pos")}
 KEPT = ("1) mega", "2) power", "3) frequent")
 
 
-def glm_cells(i, response):
+def landed_counts(i):
+    """The counts per voter and bin, made once: every model and every iteration reads them again."""
+    return land(bin_counts(i), "bin-counts")
+
+
+def glm_cells(b, response):
     from ..plans import binomial as G
-    b = bin_counts(i)
     kept = skill.bin_user_types(b, 4).where(F.col("user_type").isin(*KEPT)).select("voter")
     good, total = RESPONSES[response]
-    return G.cells(b.join(kept, "voter", "left_semi"), F.expr(good), F.expr(total))
+    return land(G.cells(b.join(kept, "voter", "left_semi"), F.expr(good), F.expr(total)), "glm-cells")
 
 
 def _glm_sql():
@@ -329,19 +333,21 @@ def _glm_sql():
 def m30(i):
     """Both responses, the models that are rates of groups."""
     from ..plans import binomial as G
-    return union_all([G.closed_models(glm_cells(i, r)).withColumn("response", F.lit(r)) for r in RESPONSES])
+    b = landed_counts(i)
+    return union_all([G.closed_models(glm_cells(b, r)).withColumn("response", F.lit(r)) for r in RESPONSES])
 
 
 @query("glm_tests")
 def m30b(i):
     """With bin + user: deviance drops of terms added in turn, and the deletion of the interaction, with chi-square p-values."""
     from ..plans import binomial as G
-    return union_all([G.tests(G.models(glm_cells(i, r))).withColumn("response", F.lit(r)) for r in RESPONSES])
+    b = landed_counts(i)
+    return union_all([G.tests(G.models(glm_cells(b, r))).withColumn("response", F.lit(r)) for r in RESPONSES])
 
 
 @query("kmeans_users")
 def m31(i):
     from ..functions.scalars import MAG_EDGES
-    dev = skill.skill_deviation(bin_counts(i), 4)
+    dev = skill.skill_deviation(landed_counts(i), 4)
     wide = A.pivot_fill(dev, "voter", "bin", list(MAG_EDGES), "p_tp_rel").toDF("voter", "b18", "b19", "b20", "b23")
     return L.kmeans_users(wide, ["b18", "b19", "b20", "b23"])

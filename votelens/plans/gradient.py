@@ -29,10 +29,34 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return x.flatten().to_numpy().reshape(len(x), -1), batch.column("y").to_numpy()
 
 
+#: Rows that a task of an iteration should hold.
+TASK_ROWS = 8192
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``x, y`` as bytes, one row per Arrow batch, for rows that many iterations read: kept so, they pass to Python without a conversion per number."""
+    def task(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = _arrays(b)
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, float).tobytes()]), pa.array([y.astype(float).tobytes()])], ["x", "y"])
+    return df.select("x", "y").mapInArrow(task, "x binary, y binary")
+
+
+def _blocks(batch: pa.RecordBatch):
+    """The (x, y) of a batch of rows, or of each row of packed ones."""
+    if not pa.types.is_binary(batch.column("x").type):
+        yield _arrays(batch)
+        return
+    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+        y = np.frombuffer(y)
+        yield np.frombuffer(x).reshape(len(y), -1), y
+
+
 def _summed(df: DataFrame, run: Callable, size: int) -> np.ndarray:
     """The sum over partitions of the vector that ``run`` makes of a partition's batches."""
     def task(batches):
-        v = run(_arrays(b) for b in batches if b.num_rows)
+        v = run(block for b in batches if b.num_rows for block in _blocks(b))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(np.asarray(v, float))], ["i", "v"])
     got = df.select("x", "y").mapInArrow(task, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     out = np.zeros(size)
@@ -229,9 +253,11 @@ class MLP:
         return f
 
     def fit(self, df: DataFrame) -> "MLP":
-        rows = df.select("x", "y").persist()
+        # a packed table is one task: many rows are dealt out
+        n, d = df.count(), len(df.select("x").first().x)
+        tasks = -(-n // TASK_ROWS)
+        rows = packed(df.repartition(tasks) if tasks > 1 else df).persist()
         try:
-            n, d = rows.count(), len(rows.select("x").first().x)
             bound = np.sqrt(6 / (d + self.hidden))
             start = np.random.default_rng(self.seed).uniform(-bound, bound, self.hidden * (d + 2) + 1)
             self.w, self.value, self.iterations = minimise(self.loss(rows, n, d), start, self.max_iter, self.tol)
@@ -250,11 +276,21 @@ class MLP:
 
 # ---- many logistic fits in one pass ----------------------------------------------------------
 
+#: Prefixes whose sums a task holds at a time.
+PREFIXES = 64
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists, without a Python object per number."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 def prefix_logistic(df: DataFrame, sizes: list[int], lam: float = 1e-3, max_iter: int = 25, tol: float = 1e-8) -> np.ndarray:
     """Logistic fits on the first ``sizes[j]`` rows by ``position``, all in the same passes: weights (sizes, 1 + inputs).
 
     Mean log loss plus ``lam / 2`` times the squared weights (not the constant), by Newton steps. A row adds to the gradient and the curvature of every prefix that
-    holds it; what comes back is one sum per prefix, so the number of jobs does not depend on the number of rows or prefixes.
+    holds it; what comes back is one step per prefix, so the number of jobs does not depend on the number of rows or prefixes. A task holds its rows and the sums
+    of ``PREFIXES`` prefixes at a time, however many there are; prefixes that have arrived are left out.
     """
     d = len(df.select("x").first().x) + 1
     ends, k = np.array(sizes), len(sizes)
@@ -262,36 +298,51 @@ def prefix_logistic(df: DataFrame, sizes: list[int], lam: float = 1e-3, max_iter
     rows = df.select("x", F.struct("y", "position").alias("at"))
     half = d * (d + 1) // 2
     upper = np.triu_indices(d)
+    open_ = np.arange(k)
     for _ in range(max_iter):
         def task(batches):
-            g, h = np.zeros((k, d)), np.zeros((k, half))
+            held = []
             for b in batches:
-                x = b.column("x")
-                x = np.c_[np.ones(len(x)), x.flatten().to_numpy().reshape(len(x), -1)]
-                at = b.column("at")
-                y, pos = at.field("y").to_numpy(), at.field("position").to_numpy()
-                for j in range(k):
-                    use = pos < ends[j]
-                    if use.any():
-                        xs = x[use]
-                        p = _sigmoid(xs @ w[j])
-                        g[j] += (p - y[use]) @ xs
-                        h[j] += ((xs * (p * (1 - p))[:, None]).T @ xs)[upper]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(list(g), pa.list_(pa.float64())), pa.array(list(h), pa.list_(pa.float64()))], ["j", "g", "h"])
+                if b.num_rows:
+                    x, at = b.column("x"), b.column("at")
+                    held.append((np.c_[np.ones(len(x)), x.flatten().to_numpy().reshape(len(x), -1)], at.field("y").to_numpy(), at.field("position").to_numpy()))
+            for first in range(0, len(open_) if held else 0, PREFIXES):
+                js = open_[first:first + PREFIXES]
+                g, h = np.zeros((len(js), d)), np.zeros((len(js), half))
+                for x, y, pos in held:
+                    for i, j in enumerate(js):
+                        use = pos < ends[j]
+                        if use.any():
+                            xs = x[use]
+                            p = _sigmoid(xs @ w[j])
+                            g[i] += (p - y[use]) @ xs
+                            h[i] += ((xs * (p * (1 - p))[:, None]).T @ xs)[upper]
+                yield pa.RecordBatch.from_arrays([pa.array(js, pa.int32()), _lists(g), _lists(h)], ["j", "g", "h"])
+
+        def solve(batches):
+            for b in batches:
+                js, steps = b.column("j").to_numpy(), np.zeros((b.num_rows, d))
+                gs, hs = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in "gh")
+                for i, j in enumerate(js):
+                    n = ends[j]
+                    h = np.zeros((d, d))
+                    h[upper] = hs[i] / n
+                    h = h + np.triu(h, 1).T + np.diag(lam * free + 1e-12)
+                    steps[i] = np.linalg.solve(h, gs[i] / n + lam * free * w[j])
+                yield pa.RecordBatch.from_arrays([b.column("j"), _lists(steps)], ["j", "step"])
+
         parts = rows.mapInArrow(task, "j int, g array<double>, h array<double>")
         total = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
-        got = parts.groupBy("j").agg(total("g"), total("h")).collect()
-        worst = 0.
+        got = parts.groupBy("j").agg(total("g"), total("h")).mapInArrow(solve, "j int, step array<double>").collect()
+        left = []
         for r in got:
-            n = ends[r.j]
-            h = np.zeros((d, d))
-            h[upper] = np.array(r.h) / n
-            h = h + np.triu(h, 1).T + np.diag(lam * free + 1e-12)
-            step = np.linalg.solve(h, np.array(r.g) / n + lam * free * w[r.j])
+            step = np.array(r.step)
             w[r.j] -= np.clip(step, -10, 10)
-            worst = max(worst, np.abs(step).max())
-        if worst < tol:
+            if np.abs(step).max() >= tol:
+                left.append(r.j)
+        if not left:
             break
+        open_ = np.array(sorted(left))
     return w
 
 

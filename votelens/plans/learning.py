@@ -279,7 +279,7 @@ def learning_curve(df: DataFrame, id_: str, step: int = 100, fraction: float = .
     Rows carry ``x`` and ``y``. All prefixes are fitted in the same passes (``gradient.prefix_logistic``) and scored and compared in one job: the number of jobs
     does not depend on the number of rows.
     """
-    pos = with_position(df, id_)
+    pos = land(with_position(df, id_), "prefix-rows")            # every pass reads them again
     n = pos.select("rows").first()["rows"]
     cut = int(n * fraction)
     sizes = sorted({*range(step, cut + 1, step), cut})
