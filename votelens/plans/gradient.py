@@ -276,8 +276,8 @@ class MLP:
 
 # ---- many logistic fits in one pass ----------------------------------------------------------
 
-#: Prefixes whose sums a task holds at a time.
-PREFIXES = 64
+#: Prefixes whose sums a task holds at a time, and the rows it should hold: each task sends a sum per prefix, so more of them only send more.
+PREFIXES, PREFIX_ROWS = 64, 16_384
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -293,9 +293,18 @@ def prefix_logistic(df: DataFrame, sizes: list[int], lam: float = 1e-3, max_iter
     of ``PREFIXES`` prefixes at a time, however many there are; prefixes that have arrived are left out.
     """
     d = len(df.select("x").first().x) + 1
-    ends, k = np.array(sizes), len(sizes)
-    w, free = np.zeros((k, d)), np.append(0., np.ones(d - 1))
-    rows = df.select("x", F.struct("y", "position").alias("at"))
+    ends = np.array(sizes)
+    w, free = np.zeros((len(sizes), d)), np.append(0., np.ones(d - 1))
+    rows = df.select("x", F.struct("y", "position").alias("at")).persist()
+    try:
+        return _prefix_steps(rows, ends, w, free, lam, max_iter, tol)
+    finally:
+        rows.unpersist()
+
+
+def _prefix_steps(rows: DataFrame, ends: np.ndarray, w: np.ndarray, free: np.ndarray, lam: float, max_iter: int, tol: float) -> np.ndarray:
+    """The Newton steps of ``prefix_logistic`` from the weights ``w``."""
+    k, d = w.shape
     half = d * (d + 1) // 2
     upper = np.triu_indices(d)
     open_ = np.arange(k)

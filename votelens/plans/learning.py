@@ -281,6 +281,8 @@ def learning_curve(df: DataFrame, id_: str, step: int = 100, fraction: float = .
     """
     pos = land(with_position(df, id_), "prefix-rows")            # every pass reads them again
     n = pos.select("rows").first()["rows"]
+    if n > gradient.PREFIX_ROWS:
+        pos = pos.repartition(-(-n // gradient.PREFIX_ROWS))      # the landed files are packed into few tasks
     cut = int(n * fraction)
     sizes = sorted({*range(step, cut + 1, step), cut})
     train = pos.where(F.col("position") < cut)
