@@ -208,3 +208,28 @@ def test_warm_start_over_a_log_that_repeats_ids(spark, world, tmp_path):
     hist, _, _ = sequential(log, golds)
     warm.process(df.select("classification_id", "voter", "subject", "annotation"), 0)      # all delivered before
     assert {r.subject: r.n_votes for r in warm.snapshot().collect()} == {s: len(h) - 1 for s, h in hist.items()}
+
+
+def test_points_for_a_purity_equal_all_points(spark, monkeypatch):
+    """Scores are only told apart where the threshold can be: same thresholds as with all scores, in few rows; a vote is one row for all trials."""
+    log, golds = random_log(5, voters=12, subjects=400, n=3000)
+    first, g = C.first_vote_per_pair(spark.createDataFrame(log, VOTES)), spark.createDataFrame(sorted(golds.items()), "subject long, gold int")
+    trials, keys = X.ordered_trials(g, 0, 200, 5), ["golds", "n"]
+    full = X.trial_points(first, trials, g).persist()
+    for target in (.3, .515, .7, .99):
+        monkeypatch.setattr(X, "VOTES", 900)
+        points = X.trial_points(first, trials, g, target=target)
+        assert points.count() < full.count() / 2
+        got, wanted = ({(r.golds, r.n): (r.purity, r.completeness) for r in X.random_trial_points(p, target=target).collect()} for p in (points, full))
+        assert got == wanted and len(got) == 41
+
+
+def test_bins_and_their_lowest():
+    import numpy as np
+    ends = X._ends(Params())
+    for steps in X.STEPS:
+        at = np.unique(np.concatenate([np.arange(-3000, 3000), np.random.default_rng(1).integers(-2 * 10 ** 10, 10 ** 10, 5000)]))
+        bins = X._bin(at, ends, steps)
+        low = X._lowest(bins, steps)
+        assert (np.diff(bins) >= 0).all() and (low <= at).all() and (X._bin(low, ends, steps) == bins).all()
+        assert (X._bin(low - 1, ends, steps) < bins)[np.abs(at) > 1].all()

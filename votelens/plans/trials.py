@@ -2,13 +2,15 @@
 
 A trial is a set of labels. Trials are a table; which labels belong to which is kept as *cells*: the trial itself for random sets, the first trial
 of a growing series, or the place in a grid of two rankings. Votes on labelled subjects are counted per (voter, cell) once, whatever the number of
-trials; a voter's counts in every trial are sums over cells. Votes then meet their voter's weights in tasks of one block of ``BLOCK`` trials and one bucket of subjects, so a
-vote is a row per block and not per trial. What comes out are the subjects that a trial moves away from the prior. All others
+trials; a voter's counts in every trial are sums over cells. Votes then meet these counts in tasks of one bucket of subjects, which go through the trials
+one after the other: what a trial changes is the weights of the voters on the labels that it adds or drops, and the sums of the subjects they voted on. A vote is one row,
+however many trials there are. What comes out are the subjects that a trial moves away from the prior. All others
 are one row per trial: the class totals less what was moved.
 """
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,16 +23,19 @@ from ..functions.scalars import hash_order
 from ..operators import aggregates, consensus, evaluate
 from ..operators.relational import expert_only, gold_union
 from ..params import Params
+from ..session import land
 
-BLOCK = 128
+BLOCK = 128                               # trials of which a task writes whole score tables
 FEW = 32
-VOTES, SUBJECTS = 2_000_000, 1 << 16      # of a bucket of subjects, in whose task a block of trials is summed
+VOTES, SUBJECTS = 2_000_000, 1 << 16      # of a bucket of subjects, in whose task the trials are summed
+FAIR = 1 << 18                            # votes below which a bucket is not made smaller to give every core one
 CLASSES = {"m": -1, "z": 0, "o": 1}
 
 
 @dataclass(frozen=True)
 class Trials:
     """``table``: (trial 0.., keys). ``labels``: (subject, gold, cell). ``spread``: sums per cell (cells, k) to sums per trial (trials, k).
+    ``holds``: which cells a trial's labels are in; ``order``: the trials in an order in which neighbours share most of them.
     ``members``: cells to (trial, ...) rows, for the labels of each trial. ``last``: of a growing series, one row with the last trial that adds a label; all
     later ones have the same labels and are worked out once."""
     keys: tuple
@@ -39,6 +44,8 @@ class Trials:
     labels: DataFrame
     cells: int
     spread: Callable
+    holds: Callable
+    order: list
     members: Callable
     last: DataFrame | None = None
 
@@ -76,7 +83,8 @@ def random_trials(golds: DataFrame, sizes, n_trials: int, seed=0) -> Trials:
     rows = rows.join(F.broadcast(table), "trial").withColumn("_h", hash_order(F.col("subject"), F.concat_ws("-", F.lit(seed), "golds", "n")))
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("trial").orderBy("_h", "subject"))).where(F.col("_r") <= max(sizes))
     labels = ranked.where(F.col("_r") <= F.col("golds")).select("subject", "gold", F.col("trial").alias("cell"))
-    return Trials(keys, table, len(trials), labels, len(trials), lambda x: x, lambda df: df.withColumnRenamed("cell", "trial"))
+    return Trials(keys, table, len(trials), labels, len(trials), lambda x: x, lambda t: np.arange(len(trials)) == t, [*range(len(trials))],
+                  lambda df: df.withColumnRenamed("cell", "trial"))
 
 
 def ordered_trials(golds: DataFrame, start: int, end: int, step: int, seed=0) -> Trials:
@@ -90,7 +98,7 @@ def ordered_trials(golds: DataFrame, start: int, end: int, step: int, seed=0) ->
     ranked = ordered.withColumn("_r", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_h", "subject")))
     first = F.greatest(F.ceil((F.col("_r") - start) / step).cast("int"), F.lit(1)) - 1
     labels = ranked.select("subject", "gold", first.alias("cell"))
-    return Trials(keys, _table(golds.sparkSession, keys, trials), n, labels, n, lambda x: np.cumsum(x, 0),
+    return Trials(keys, _table(golds.sparkSession, keys, trials), n, labels, n, lambda x: np.cumsum(x, 0), lambda t: np.arange(n) <= t, [*range(n)],
                   lambda df: df.withColumn("trial", F.explode(F.sequence("cell", F.lit(n - 1)))), labels.agg(F.coalesce(F.max("cell"), F.lit(0)).alias("_last")))
 
 
@@ -120,6 +128,10 @@ def cv_grid_trials(votes: DataFrame, golds: DataFrame, controversial: range, con
         beyond[:-1, :-1] = grid[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
         return beyond[0, 0] - beyond[at[:, 0] + 1, at[:, 1] + 1]
 
+    x, y = np.divmod(np.arange((len(a) + 1) * (len(b) + 1)), len(b) + 1)
+    holds = lambda t: (x <= pairs[t][0]) | (y <= pairs[t][1])
+    # to and fro: the next trial is a neighbour in the grid
+    order = sorted(range(len(pairs)), key=lambda t: (pairs[t][0], pairs[t][1] * (-1) ** pairs[t][0]))
     table = _table(golds.sparkSession, keys, [(a[x], b[y]) for x, y in pairs])
     place = _table(golds.sparkSession, ("x", "y"), pairs)
 
@@ -130,7 +142,7 @@ def cv_grid_trials(votes: DataFrame, golds: DataFrame, controversial: range, con
         each = each.withColumn("_y", F.when(F.col("i") <= F.col("x"), 0).otherwise(F.col("j"))).where(F.col("_y") < len(b))
         return each.withColumn("y", F.explode(F.sequence("_y", F.lit(len(b) - 1)))).join(F.broadcast(place), ["x", "y"])
 
-    return Trials(keys, table, len(pairs), labels, (len(a) + 1) * (len(b) + 1), spread, members)
+    return Trials(keys, table, len(pairs), labels, (len(a) + 1) * (len(b) + 1), spread, holds, order, members)
 
 
 # ---- scoring ---------------------------------------------------------------------------------
@@ -141,26 +153,36 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.array([math.log(v) for v in values])[at]
 
 
-def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
-    """(voter, block, l1, l0): what a 1 and a 0 vote of the voter weigh in each trial of a block, in billionths; no row for blocks where it weighs nothing."""
+def _counted(first_votes: DataFrame, trials: Trials) -> DataFrame:
+    """(voter, c): seen and matched labels of each class per cell, for voters with labelled votes."""
     names = list(consensus._counters())
     counts = (first_votes.join(trials.labels.where(expert_only()), "subject").groupBy("voter", "cell")
               .agg(*[F.sum(c).alias(n) for n, c in consensus._counters().items()]))
     # at most one entry per cell: bounded by the trial list, not by the votes
-    per = counts.groupBy("voter").agg(F.collect_list(F.struct("cell", *names)).alias("c"))
+    return counts.groupBy("voter").agg(F.collect_list(F.struct("cell", *names)).alias("c"))
+
+
+def _ratios(sums: np.ndarray, g: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a 1 and a 0 vote weigh, in billionths, for rows of (seen 0, matched 0, seen 1, matched 1)."""
+    half_up = lambda x: np.sign(x) * np.floor(np.abs(x) + .5)
+    seen0, match0, seen1, match1 = sums.T
+    s0, s1 = (match0 + g) / (seen0 + 2 * g), (match1 + g) / (seen1 + 2 * g)
+    return tuple(half_up(consensus.NANO * _log(x)) + 0. for x in (s1 / (1 - s0), (1 - s1) / s0))
+
+
+def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFrame:
+    """(voter, block, l1, l0): what a 1 and a 0 vote of the voter weigh in each trial of a block, in billionths; no row for blocks where it weighs nothing."""
+    names = list(consensus._counters())
     cells, spread, g = trials.cells, trials.spread, params.gamma
 
     def run(batches):
-        half_up = lambda x: np.sign(x) * np.floor(np.abs(x) + .5)
         for b in batches:
             out = []
             for voter, held in zip(b.column("voter").to_pylist(), b.column("c")):
                 c = held.values
                 sums = np.zeros((cells, 4))
                 sums[c.field("cell").to_numpy()] = np.stack([c.field(n).to_numpy() for n in names], 1)
-                seen0, match0, seen1, match1 = spread(sums).T
-                s0, s1 = (match0 + g) / (seen0 + 2 * g), (match1 + g) / (seen1 + 2 * g)
-                l1, l0 = (half_up(consensus.NANO * _log(x)) + 0. for x in (s1 / (1 - s0), (1 - s1) / s0))
+                l1, l0 = _ratios(spread(sums), g)
                 for k in range(0, len(l1), BLOCK):
                     part = slice(k, k + BLOCK)
                     if l1[part].any() or l0[part].any():
@@ -169,7 +191,7 @@ def _weights(first_votes: DataFrame, trials: Trials, params: Params) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())))],
                                              ["voter", "block", "l1", "l0"])
 
-    weights = per.mapInArrow(run, "voter string, block int, l1 array<double>, l0 array<double>")
+    weights = _counted(first_votes, trials).mapInArrow(run, "voter string, block int, l1 array<double>, l0 array<double>")
     return trials.distinct(weights.withColumn("trial", F.col("block") * BLOCK)).drop("trial")
 
 
@@ -187,43 +209,114 @@ def _rows(moved: DataFrame, *columns: str) -> DataFrame:
     return each.select((F.col("block") * BLOCK + F.col("k")).alias("trial"), *columns, "llr")
 
 
-def _summed(first_votes: DataFrame, votes: DataFrame, trials: Trials, params: Params, emit: Callable, schema: str, subjects: int) -> DataFrame:
-    """What ``emit(trial, sums, rows)`` makes of the summed log ratios of each trial, a bucket of subjects at a time.
+def _own_keys(spark, n: int) -> list[int]:
+    """A number for each of ``n`` partitions that is dealt to it: large tasks that shared one would run one after the other."""
+    ids = F.col("id").cast("int")
+    found = spark.range(n * (12 + n.bit_length())).groupBy(F.pmod(F.hash(ids), F.lit(n)).alias("at")).agg(F.min(ids).alias("key")).collect()
+    keys = {r["at"]: r.key for r in found}
+    return [keys.get(k, -1 - k) for k in range(n)]
+
 
-    A task has the votes on one bucket of subjects and their voters' weights in one block of trials, so a vote is a short row per block and a weight one per bucket; the
-    sums exist only in the task. ``votes``: (voter, subject, annotation, ...); ``rows``: its other columns, a row per subject. A bucket holds about ``VOTES`` votes and ``subjects`` subjects at most.
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + count - 1`` of each pair, one after the other."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _walk(order: list, last: int, holds: Callable, at: np.ndarray, cell: np.ndarray, counts: np.ndarray, starts: np.ndarray, subject: np.ndarray, n: int, g: float):
+    """(trial, sums, changed) for each trial in ``order`` up to ``last``: the summed log ratios of ``n`` subjects.
+
+    Entries (``at``: voter, ``cell``, ``counts``) come sorted by cell; the votes 0 and 1 of voter ``v`` are on ``subject[starts[2 v]:starts[2 v + 1]]`` and the next span.
+    Sums are whole numbers: exact, however they were come by.
     """
-    size = first_votes.agg(F.count("*").alias("v")).scalar(), first_votes.select("subject").distinct().agg(F.count("*").alias("s")).scalar()
-    buckets = F.greatest(F.ceil(size[0] / VOTES), F.ceil(size[1] / subjects), F.lit(1)).cast("int")
-    left = votes.withColumn("_n", buckets).withColumn("bucket", F.pmod(F.xxhash64("subject"), F.col("_n")).cast("int")).drop("_n")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trials.n - 1) // BLOCK))))
-    weights = _weights(first_votes, trials, params).withColumn("_n", buckets)
-    weights = weights.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    names = [c for c in votes.columns if c not in ("voter", "annotation")]
-    out_schema = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in (c.split() for c in schema.split(", "))])
+    first, end = (np.searchsorted(cell, np.arange(len(holds(order[0]))), side) for side in ("left", "right"))
+    held, sums = np.zeros(len(first), bool), np.zeros(n, np.int64)
+    seen, weigh, had = np.zeros(((len(starts) - 1) // 2, 4), np.int64), np.zeros(len(starts) - 1, np.int64), np.diff(starts)
+    for trial in order:
+        if trial > last:
+            continue
+        now = holds(trial)
+        moved = False
+        turned = np.flatnonzero(now != held)
+        turned = turned[end[turned] > first[turned]]
+        if len(turned):
+            entries = _spans(first[turned], end[turned] - first[turned])
+            sign = np.where(now[cell[entries]], 1, -1)
+            np.add.at(seen, at[entries], counts[entries] * sign[:, None])
+            voters = np.unique(at[entries])
+            l1, l0 = _ratios(seen[voters], g)
+            votes, new = np.concatenate([2 * voters, 2 * voters + 1]), np.concatenate([l0, l1]).astype(np.int64)
+            by = new - weigh[votes]
+            weigh[votes] = new
+            votes, by = votes[by != 0], by[by != 0]
+            if len(votes):
+                np.add.at(sums, subject[_spans(starts[votes], had[votes])], np.repeat(by, had[votes]))
+                moved = True
+        held = now
+        yield trial, sums, moved
+
+
+def _summed(first_votes: DataFrame, golds: DataFrame | None, trials: Trials, params: Params, emit: Callable, schema: pa.Schema, subjects: int, at_once: int, still: bool = True) -> DataFrame:
+    """What ``emit(trial, sums, rows)`` makes of the summed log ratios of each trial, a bucket of subjects at a time: columns of equal length, to which the trial is added.
+    ``still``: it depends on the sums alone, and is not asked again where they are those of the trial before.
+
+    A task has the votes on one bucket of subjects and all label counts, and goes through ``at_once`` trials; where that is all of them, a vote is one row. The
+    sums exist only in the task. ``rows``: ``subject``, and with ``golds`` how often it is among them by class (m, z, o; once unlabelled if it is not). A bucket holds about ``VOTES`` votes
+    and ``subjects`` subjects at most. ``first_votes`` is a landed table.
+    """
+    spark = first_votes.sparkSession
+    size = first_votes.agg(F.count("*").alias("v"), F.count_distinct("subject").alias("s")).first()
+    buckets = max(-(-size.v // VOTES), -(-size.s // subjects), min(2 * spark.sparkContext.defaultParallelism, -(-size.v // FAIR)), 1)
+    blocks = -(-trials.n // at_once)
+    own = F.array(*map(F.lit, _own_keys(spark, blocks * buckets)))
+    left = first_votes.select(F.col("voter").alias("voter"), F.col("subject").cast("bigint").alias("subject"), F.coalesce(F.col("annotation") == 1, F.lit(False)).alias("yes"), F.lit(None).cast("array<bigint>").alias("n"))
+    if golds is not None:
+        # a subject counts once for each of its rows among the golds
+        per = golds.where("subject IS NOT NULL").groupBy("subject").agg(F.array(*[F.count_if(F.coalesce("gold", F.lit(-1)) == g) for g in CLASSES.values()]).alias("n"))
+        left = left.unionByName(per.select(F.lit(None).cast("string").alias("voter"), F.col("subject").cast("bigint").alias("subject"), F.lit(False).alias("yes"), "n"))
+    left = left.withColumn("bucket", F.pmod(F.xxhash64("subject"), F.lit(buckets)).cast("int"))
+    last = trials.last if trials.last is not None else spark.range(1).select(F.lit(trials.n - 1).alias("_last"))
+    right = _counted(first_votes, trials).crossJoin(F.broadcast(last)).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    left, right = (df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else df.withColumn("block", F.lit(0)) for df in (left, right))
+    left, right = (df.withColumn("task", F.get(own, F.col("block") * buckets + F.col("bucket"))).drop("bucket") for df in (left, right))
+    names, holds, order, g = list(consensus._counters()), trials.holds, trials.order, params.gamma
+    out_schema = pa.schema([pa.field("trial", pa.int32()), *schema])
 
     def run(v: pa.Table, w: pa.Table) -> pa.Table:
         if not len(v) or not len(w):
             return out_schema.empty_table()
-        at = pc.index_in(v["voter"], w["voter"].combine_chunks())
-        v = v.append_column("_at", at).filter(pc.is_valid(at))
+        block, classes = v["block"][0].as_py(), v.filter(pc.is_null(v["voter"]))
+        v = v.filter(pc.is_in(v["voter"], w["voter"].combine_chunks())).select(["voter", "subject", "yes"])
         if not len(v):
             return out_schema.empty_table()
-        v = v.take(pc.sort_indices(v["subject"]))
-        _, first = np.unique(v["subject"].to_numpy(), return_index=True)
-        rows = {n: v[n].to_numpy()[first] for n in names}
-        # per trial the l0 of all voters, then their l1, and the place of each vote in it
-        per = np.concatenate([w[n].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(w), -1) for n in ("l0", "l1")]).T
-        at, block = v["_at"].to_numpy() + len(w) * (v["annotation"].to_numpy() == 1), w["block"][0].as_py()
-        parts = []
-        for k, weigh in enumerate(per):
-            # whole numbers far below 2^53: exact in any order
-            sums = np.add.reduceat(np.ascontiguousarray(weigh)[at], first).astype(np.int64)
-            if sums.any():
-                parts.append(pa.table(emit(block * BLOCK + k, sums, rows), schema=out_schema))
-        return pa.concat_tables(parts) if parts else out_schema.empty_table()
-
-    return left.groupBy("block", "bucket").cogroup(weights.groupBy("block", "bucket")).applyInArrow(run, schema)
+        known = pc.unique(v["voter"])
+        w = w.filter(pc.is_in(w["voter"], known))
+        held = w["c"].combine_chunks()
+        c, at = held.flatten(), np.repeat(pc.index_in(w["voter"], known).to_numpy(), pc.list_value_length(held).to_numpy())
+        cell, counts = c.field("cell").to_numpy(), np.stack([c.field(k).to_numpy() for k in names], 1)
+        sort = np.argsort(cell, kind="stable")
+        ids, subject = np.unique(v["subject"].to_numpy(), return_inverse=True)
+        code = 2 * pc.index_in(v["voter"], known).to_numpy() + v["yes"].to_numpy()
+        starts = np.searchsorted(code[by := np.argsort(code, kind="stable")], np.arange(2 * len(known) + 1))
+        rows = {"subject": ids} | {k: np.full(len(ids), g == -1, np.int64) for k, g in CLASSES.items()}
+        if len(classes):
+            place = np.searchsorted(ids, own := classes["subject"].to_numpy())
+            inside = ids[np.minimum(place, len(ids) - 1)] == own
+            for k, n in zip(CLASSES, classes["n"].combine_chunks().flatten().to_numpy().reshape(len(own), -1).T):
+                rows[k][place[inside]] = n[inside]
+        parts, made = [[] for _ in out_schema], None
+        for trial, sums, moved in _walk(order[block * at_once:(block + 1) * at_once], w["_last"][0].as_py(), holds, at[sort], cell[sort], counts[sort], starts, subject[by], len(ids), g):
+            if made is None or moved or not still:
+                made = emit(trial, sums, rows)
+            parts[0].append(np.full(len(made[schema.names[0]]), trial, np.int32))
+            for k, name in enumerate(schema.names, 1):
+                parts[k].append(made[name])
+        if not parts[0]:
+            return out_schema.empty_table()
+        return pa.Table.from_arrays([pa.chunked_array([pa.array(x, f.type) if isinstance(x, np.ndarray) else x for x in p], f.type) for p, f in zip(parts, out_schema)], schema=out_schema)
+
+    kinds = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary"}
+    both = (df.repartition(blocks * buckets, "task").groupBy("task") for df in (left, right))
+    return next(both).cogroup(next(both)).applyInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in out_schema))
 
 
 def moved_scores(first_votes: DataFrame, trials: Trials, params: Params = Params()) -> DataFrame:
@@ -233,10 +326,10 @@ def moved_scores(first_votes: DataFrame, trials: Trials, params: Params = Params
 
     def emit(trial, sums, rows):
         at = np.flatnonzero(sums)
-        return {"trial": np.full(len(at), trial, np.int32), "subject": rows["subject"][at], "llr": sums[at]}
+        return {"subject": rows["subject"][at], "llr": sums[at]}
 
-    votes = first_votes.select("voter", F.col("subject").cast("bigint").alias("subject"), "annotation")
-    return trials.distinct(_summed(first_votes, votes, trials, params, emit, "trial int, subject bigint, llr bigint", SUBJECTS))
+    first = land(first_votes.select("voter", "subject", "annotation"), "first-votes")
+    return _summed(first, None, trials, params, emit, pa.schema([("subject", pa.int64()), ("llr", pa.int64())]), SUBJECTS, BLOCK)
 
 
 def _near(cutoff: float | None, params: Params) -> tuple[int, int] | None:
@@ -257,28 +350,172 @@ def _moved_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, para
         llr = F.greatest(F.least("llr", F.lit(near[1])), F.lit(near[0])) if near else F.col("llr")
         both = F.explode(F.array(F.struct(llr.alias("llr"), F.lit(1).alias("n")), F.struct(F.lit(0).cast("bigint").alias("llr"), F.lit(-1).alias("n"))))
         return moved.select("trial", "gold", both.alias("r")).groupBy("trial", "r.llr").agg(*[F.sum(F.when(F.col("gold") == g, F.col("r.n")).otherwise(0)).alias(c) for c, g in CLASSES.items()])
-    # a subject counts once for each of its rows among the golds
-    per = golds.groupBy("subject").agg(*[F.count_if(F.coalesce("gold", F.lit(-1)) == g).alias(c) for c, g in CLASSES.items()])
-    votes = first_votes.select("voter", "subject", "annotation").join(per, "subject", "left")
-    votes = votes.withColumns({c: F.coalesce(c, F.lit(int(g == -1)).cast("bigint")) for c, g in CLASSES.items()})
 
     def emit(trial, sums, rows):
         at = np.flatnonzero(sums)
-        llr, place = np.unique(np.clip(sums[at], *near) if near else sums[at], return_inverse=True)
-        counts = {c: np.bincount(place, rows[c][at], len(llr)).astype(np.int64) for c in CLASSES}
-        return {"trial": np.full(len(llr) + 1, trial, np.int32), "llr": np.append(llr, 0), **{c: np.append(n, -n.sum()) for c, n in counts.items()}}
+        values, n = sums[at], [rows[c][at] for c in CLASSES]
+        if near:
+            # of most subjects all that matters is the side they are on
+            low, high = values <= near[0], values >= near[1]
+            inside = ~(low | high)
+            ends = [(near[0], low), (near[1], high)]
+            values, sides = values[inside], [(end, [c[side].sum() for c in n]) for end, side in ends if side.any()]
+            n = [c[inside] for c in n]
+        llr, counts = _at_places(values, n)
+        if near:
+            llr, counts = np.append(llr, [end for end, _ in sides]), [np.append(c, [s[k] for _, s in sides]) for k, c in enumerate(counts)]
+        return _taken_off(llr, counts)
+
+    return _summed(first_votes, golds, trials, params, emit, _PLACES, 16 * SUBJECTS if near else SUBJECTS, trials.n if near else BLOCK)
+
+
+_PLACES = pa.schema([(c, pa.int64()) for c in ("llr", *CLASSES)])
+
+
+def _at_places(llr: np.ndarray, n: list) -> tuple[np.ndarray, list]:
+    """The different values of ``llr`` and the sums of each ``n`` there."""
+    low = int(llr.min()) if len(llr) else 0
+    if len(llr) and int(llr.max()) - low < 4 * len(llr):
+        place = llr - low
+        held = np.flatnonzero(np.bincount(place))
+        return held + low, [np.bincount(place, c)[held].astype(np.int64) for c in n]
+    values, place = np.unique(llr, return_inverse=True)
+    return values, [np.bincount(place, c, len(values)).astype(np.int64) for c in n]
+
+
+def _taken_off(llr: np.ndarray, n: list) -> dict:
+    """Rows of places, and the one that takes these subjects off the prior's place."""
+    return {"llr": np.append(llr, 0).astype(np.int64)} | {c: np.append(k, -k.sum()).astype(np.int64) for c, k in zip(CLASSES, n)}
+
+
+# ---- points where only a purity's threshold is asked -------------------------------------------
+
+#: Rounds of bins that narrow down where a threshold can be, each by how many leading bits of a summed log ratio tell them apart: 32, then 1,024 bins from a number to its double.
+STEPS = (5, 10)
+
+
+def _ends(params: Params) -> tuple[int, int]:
+    """Summed log ratios beyond which different ones may have equal scores: log-odds of -600 and 14."""
+    prior = math.log(params.p0 / (1 - params.p0))
+    return round(consensus.NANO * (-600 - prior)), round(consensus.NANO * (14 - prior))
+
+
+def _bin(llr: np.ndarray, ends: tuple[int, int], steps: int) -> np.ndarray:
+    """A number that grows with the summed log ratio; 0 for 0 alone. All equal scores are in one bin."""
+    llr = np.clip(llr, *ends)
+    size = (np.abs(llr).astype(float).view(np.int64) >> (52 - steps)) - (1023 << steps) + 1
+    return np.sign(llr) * np.maximum(size, 0)
+
+
+def _lowest(bins: np.ndarray, steps: int) -> np.ndarray:
+    """The lowest summed log ratio in each bin."""
+    least = lambda size: np.ceil(((size - 1 + (1023 << steps)) << (52 - steps)).view(float)).astype(np.int64)
+    size = np.abs(bins.astype(np.int64))
+    return np.where(bins == 0, 0, np.where(bins > 0, least(np.maximum(size, 1)), 1 - least(size + 1)))
+
+
+def _open_bins(bins: np.ndarray, z: np.ndarray, o: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
+    """(start, whole): the first bin of each stretch, and whether it stands as one point; ``bins`` ascending, with the bogus and real subjects in each.
+
+    The threshold is the lowest score from which on the real ones are more than ``target`` of the labelled. Within some bins it is somewhere between the real ones from the first bin's start on
+    against the bogus ones beyond the last bin, and the real ones beyond against the bogus ones from the start on: where the most that can be is too little, the bins stand as one point, and so do all
+    bins beyond the first one that surely has it. All others stay as they are.
+    """
+    real, bogus = (np.cumsum(c[::-1])[::-1].tolist() for c in (o, z))
+    share = lambda r, b: r / (r + b) if r + b else 0.
+    start, whole, since = [], [], None
+    for k, b in enumerate(bins.tolist()):
+        beyond = bogus[k + 1] if k + 1 < len(bogus) else 0
+        if share(real[k], beyond) > target or b == 0:
+            start.append(b), whole.append(False)
+            since = None
+            if share(real[k] - 1, bogus[k]) > target:
+                if k + 1 < len(bogus):
+                    start.append(int(bins[k + 1])), whole.append(True)
+                break
+        elif since is None or share(real[since], beyond) > target:
+            start.append(b), whole.append(True)
+            since = k
+    return np.array(start, np.int64), np.array(whole, bool)
+
+
+def _joined(llr: np.ndarray, stretches: tuple | None) -> np.ndarray:
+    """``llr``, where a stretch stands as one point the lowest in it."""
+    if stretches is None:
+        return llr
+    start, whole = stretches
+    place = np.maximum(np.searchsorted(start, llr, "right") - 1, 0)
+    return np.where(whole[place], start[place], llr)
+
+
+def _packed(bins: np.ndarray, counts: list) -> bytes:
+    """Bins and counts, in less room than a list of numbers takes."""
+    return zlib.compress(np.stack([np.diff(bins, prepend=0), *counts]).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(rows: list, n: int) -> np.ndarray:
+    """The bins and ``n`` counts of all rows."""
+    each = [np.ascontiguousarray(np.frombuffer(zlib.decompress(r), np.uint8).reshape(4, -1).T).view("<i4").reshape(n + 1, -1).astype(np.int64) for r in rows]
+    for x in each:
+        x[0] = np.cumsum(x[0])
+    return np.concatenate(each, 1)
+
+
+def _stretches(first_votes: DataFrame, trials: Trials, golds: DataFrame, every: DataFrame, params: Params, target: float) -> dict:
+    """{trial: (start, whole)}: the lowest summed log ratio of each of ``_open_bins``, and whether it stands as one point.
+
+    What comes to the driver is bounded by the trials and the bins, not by the subjects.
+    """
+    ends, found = _ends(params), {}
+    for steps in STEPS:
+        def emit(trial, sums, rows, steps=steps, found=found):
+            at = np.flatnonzero(sums)
+            bins, counts = _at_places(_bin(_joined(np.clip(sums[at], *ends), found.get(trial)), ends, steps), [rows[c][at] for c in CLASSES])
+            return {"packed": pa.array([_packed(bins, counts[1:])], pa.binary())}
+
+        def merge(t: pa.Table) -> pa.Table:
+            bins, z, o = _unpacked(t["packed"].to_pylist(), 2)
+            bins, (z, o) = _at_places(bins, [z, o])
+            bins, z, o = np.append(bins, 0), np.append(z, t["all_z"][0].as_py() - z.sum()), np.append(o, t["all_o"][0].as_py() - o.sum())
+            sort = np.argsort(bins)
+            start, whole = _open_bins(bins[sort], z[sort], o[sort], target)
+            return pa.table({"trial": t["trial"][:1], "start": pa.array([_lowest(start, steps)], pa.list_(pa.int64())), "whole": pa.array([whole], pa.list_(pa.bool_()))})
+
+        binned = _summed(first_votes, golds, trials, params, emit, pa.schema([("packed", pa.binary())]), 16 * SUBJECTS, trials.n, still=not found)
+        binned = binned.crossJoin(F.broadcast(every.select(F.col("z").alias("all_z"), F.col("o").alias("all_o"))))
+        got = binned.groupBy("trial").applyInArrow(merge, "trial int, start array<bigint>, whole array<boolean>").toArrow()
+        found = {t: (np.array(s, np.int64), np.array(w, bool)) for t, s, w in zip(*(got[c].to_pylist() for c in ("trial", "start", "whole")))}
+    return found
+
+
+def _target_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, every: DataFrame, params: Params, target: float) -> DataFrame:
+    """(trial, llr, m, z, o) as ``_moved_points``; subjects that cannot be at the threshold are added up by stretch."""
+    found = _stretches(first_votes, trials, golds, every, params, target)
+
+    def emit(trial, sums, rows):
+        at = np.flatnonzero(sums)
+        return _taken_off(*_at_places(_joined(sums[at], found[trial]), [rows[c][at] for c in CLASSES]))
 
-    return trials.distinct(_summed(first_votes, votes, trials, params, emit, "trial int, llr bigint, m bigint, z bigint, o bigint", 16 * SUBJECTS if near else SUBJECTS))
+    return _summed(first_votes, golds, trials, params, emit, _PLACES, 16 * SUBJECTS, trials.n, still=False)
 
 
-def trial_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, params: Params = Params(), cutoff: float | None = None) -> DataFrame:
+def trial_points(first_votes: DataFrame, trials: Trials, golds: DataFrame, params: Params = Params(), cutoff: float | None = None, target: float | None = None) -> DataFrame:
     """(keys, p, m, z, o): how many unlabelled, bogus and real subjects stand at each score of each distinct trial. Untouched subjects make one row per trial.
 
     With ``cutoff``, scores are only told apart near it: those beyond count at one score below and one above, which is all that ``trial_gold_metrics`` at this cutoff needs.
+    With ``target``, scores are only told apart where the threshold for that purity can be: all that ``random_trial_points`` at this target needs.
     """
-    moved = _moved_points(first_votes, trials, golds, params, _near(cutoff, params))
+    many = trials.n > FEW
+    if many:
+        first_votes = land(first_votes.select("voter", "subject", "annotation"), "first-votes")
     # one row: the class totals of all subjects with votes
     every = evaluate.with_golds(first_votes.select("subject").distinct(), golds).agg(*[F.count_if(F.col("gold") == g).alias(c) for c, g in CLASSES.items()])
+    if many:
+        every = land(every, "class-totals")
+    if many and target is not None:
+        moved = _target_points(first_votes, trials, golds, every, params, target)
+    else:
+        moved = _moved_points(first_votes, trials, golds, params, _near(cutoff, params))
     whole = trials.distinct(trials.table).select("trial", F.lit(0).cast("bigint").alias("llr")).crossJoin(F.broadcast(every))
     points = moved.unionByName(whole).groupBy("trial", "llr").agg(*[F.sum(c).alias(c) for c in CLASSES]).where("m + z + o > 0")
     return points.join(F.broadcast(trials.table), "trial").select(*trials.keys, consensus.posterior(F.col("llr"), None, params).alias("p"), *CLASSES)
