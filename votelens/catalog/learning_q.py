@@ -275,7 +275,7 @@ def m26(i):
 
 @query("feature_importance")
 def m27(i):
-    return L.feature_importance(L.random_forest().fit(L.forest_rows(training_rows(i))), i.spark)
+    return L.forest_importance(training_rows(i))
 
 
 @query("unit_pixels", _X + "SELECT vec_id, CAST(pos AS INTEGER) AS pos, v / 255 AS v FROM x", r="v")

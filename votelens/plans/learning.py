@@ -22,7 +22,7 @@ from ..functions.scalars import fold_soft_pred, hash_unit
 from ..operators import evaluate
 from ..operators.prefix import range_blocks, running, union_all, unit_blocks
 from ..session import land
-from . import gradient
+from . import forest, gradient
 
 # ---- splits ----------------------------------------------------------------------------------
 
@@ -249,7 +249,14 @@ def cross_validate_forest(df: DataFrame, trees=(100, 10), features=(10, 25), lea
 
     One forest of the most trees is grown per fold, feature count and leaf size; forests of fewer trees are its first ones. Its held-out scores are written as soon as it
     is grown, so the driver holds ``parallelism`` forests and not all of them. All held-out scores are compared in one job.
+
+    Above ``FOREST_ROWS`` rows the trees are grown in tasks (``forest``), where those that differ in the leaf size alone share what they have in common.
     """
+    keys = ["trees", "features", "leaf"]
+    if df.count() > FOREST_ROWS:
+        rows = df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"), "fold")
+        scores = forest.held_out_scores(rows, trees, features, leaves, depth, seed).withColumn("subject", F.lit(0))
+        return evaluate.fom_mdr_at_fpr(scores, fpr, runs=[*keys, "fold"]).groupBy(*keys).agg(F.avg("mdr").alias("mean"))
     folds = sorted(r.fold for r in df.select("fold").distinct().collect())
     jobs = [(f, leaf, k) for f in features for leaf in leaves for k in folds]
 
@@ -263,7 +270,6 @@ def cross_validate_forest(df: DataFrame, trees=(100, 10), features=(10, 25), lea
 
     with ThreadPool(parallelism) as pool:
         scored = pool.map(inheritable_thread_target(df.sparkSession)(grow), jobs)
-    keys = ["trees", "features", "leaf"]
     merit = evaluate.fom_mdr_at_fpr(union_all(scored), fpr, runs=[*keys, "fold"])
     return merit.groupBy(*keys).agg(F.avg("mdr").alias("mean"))
 
@@ -306,6 +312,16 @@ def feature_importance(model, spark) -> DataFrame:
         .orderBy(F.desc("importance"), "feature")
 
 
+def forest_importance(df: DataFrame) -> DataFrame:
+    """``feature_importance`` of a forest on ``x`` and ``y``. Above ``FOREST_ROWS`` rows the trees are grown in tasks (``forest``) and never come to the driver."""
+    if df.count() <= FOREST_ROWS:
+        return feature_importance(random_forest().fit(forest_rows(df)), df.sparkSession)
+    per_tree = land(forest.importances(df.select("x", "y")), "importances")
+    per = per_tree.groupBy("feature").agg(F.avg("importance").alias("importance"), F.stddev_pop("importance").alias("sd"))
+    total = F.broadcast(per.agg(F.sum("importance").alias("_all")))
+    return per.crossJoin(total).select("feature", F.try_divide("importance", "_all").alias("importance"), "sd").orderBy(F.desc("importance"), "feature")
+
+
 # ---- one-pass online softmax -----------------------------------------------------------------
 
 def softmax_step(batch: DataFrame, weights: dict, classes: int, rate: float, lam: float) -> dict:
