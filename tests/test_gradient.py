@@ -204,3 +204,45 @@ def test_counts_are_made_once(spark):
     b = Q.landed_counts(Inputs(spark, "/root/testdata/sf0.001"))
     for df in (b, Q.glm_cells(b, "tp")):
         assert "lineitem" not in "".join(df.inputFiles()) and df.inputFiles()
+
+
+def test_prefixes_between_curvatures(spark):
+    """Most prefixes never have a curvature worked out, and arrive where their own Newton steps do."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 4))
+    df = spark.createDataFrame([(k, [float(v) for v in r], int(r[0] + rng.normal() > 0)) for k, r in enumerate(x)], "position long, x array<double>, y int").repartition(3)
+    sizes = list(range(20, 901, 20))
+    w = G.prefix_logistic(df, sizes, 1e-3)
+    held, seen = G._prefix_steps, []
+
+    try:
+        G._prefix_steps = lambda rows, ends, *a: (seen.extend(ends), held(rows, ends, *a))[1]
+        assert np.allclose(G.prefix_logistic(df, sizes, 1e-3), w, atol=1e-12) and len(seen) < 30
+        old, G.ANCHORS = G.ANCHORS, 1.
+        assert np.allclose(G.prefix_logistic(df, sizes, 1e-3), w, atol=1e-7)
+        G.ANCHORS, chords, G.CHORDS = old, G.CHORDS, 1                 # none arrives: all are fitted by Newton steps
+        assert np.allclose(G.prefix_logistic(df, sizes, 1e-3), w, atol=1e-7)
+        G.CHORDS = chords
+    finally:
+        G._prefix_steps = held
+
+
+@pytest.mark.parametrize("fpr", [.01, .2, 1.])
+def test_learning_curve_keeps_scores_in_tasks(spark, fpr, monkeypatch):
+    """The figure of every prefix is that of a table of all scores, with ties; no row per row and prefix is made."""
+    from votelens.operators import evaluate as E
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(700, 3)), 0)                          # many equal rows
+    y = (x[:, 0] + rng.normal(size=700) > 0).astype(int)
+    y[:40] = 1                                                          # the first prefix has one class
+    df = spark.createDataFrame([(k, [float(v) for v in r], int(c)) for k, (r, c) in enumerate(zip(x, y))], "vec_id long, x array<double>, y int").repartition(5)
+    monkeypatch.setattr(G, "PREFIX_ROWS", 200)
+    got = {(r.size, r.part): r.mdr for r in L.learning_curve(df, "vec_id", step=35, fpr=fpr).collect()}
+    cut, sizes = 525, list(range(35, 526, 35))
+    w = G.prefix_logistic(df.withColumnRenamed("vec_id", "position"), sizes, 1e-3)
+    scores = []
+    for s, v in zip(sizes, w):
+        p = 1 / (1 + np.exp(-(v[0] + x @ v[1:]).round(9)))
+        scores += [(s, "train" if k < cut else "holdout", k, int(y[k]), float(p[k])) for k in range(700) if k < s or k >= cut]
+    plain = E.fom_mdr_at_fpr(spark.createDataFrame(scores, "size int, part string, subject int, gold int, p double"), fpr, runs=["size", "part"]).collect()
+    assert len(plain) == 30 and got == {(r.size, r.part): pytest.approx(r.mdr, abs=1e-9) for r in plain}

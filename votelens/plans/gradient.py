@@ -278,6 +278,8 @@ class MLP:
 
 #: Prefixes whose sums a task holds at a time, and the rows it should hold: each task sends a sum per prefix, so more of them only send more.
 PREFIXES, PREFIX_ROWS = 64, 16_384
+#: Prefixes from one whose curvature is worked out to the next, as a ratio of their rows, and the passes in which those between, with its curvature, should arrive.
+ANCHORS, CHORDS = 1.1, 12
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -291,20 +293,83 @@ def prefix_logistic(df: DataFrame, sizes: list[int], lam: float = 1e-3, max_iter
     Mean log loss plus ``lam / 2`` times the squared weights (not the constant), by Newton steps. A row adds to the gradient and the curvature of every prefix that
     holds it; what comes back is one step per prefix, so the number of jobs does not depend on the number of rows or prefixes. A task holds its rows and the sums
     of ``PREFIXES`` prefixes at a time, however many there are; prefixes that have arrived are left out.
+
+    The curvature is most of the work, and nearly that of a prefix that is hardly shorter: only prefixes ``ANCHORS`` apart have it worked out. Those between start from the next shorter one's weights and
+    take steps by its curvature from their own gradient, until the steps are as small; any that do not get there take Newton steps like the others.
     """
     d = len(df.select("x").first().x) + 1
     ends = np.array(sizes)
+    anchor, last = [], None
+    for j in np.argsort(ends, kind="stable"):
+        last = j if last is None or ends[j] >= ANCHORS * ends[last] else last
+        anchor.append((j, last))
+    anchor = np.array([a for _, a in sorted(anchor)])
+    own = np.flatnonzero(anchor == np.arange(len(ends)))
     w, free = np.zeros((len(sizes), d)), np.append(0., np.ones(d - 1))
     rows = df.select("x", F.struct("y", "position").alias("at")).persist()
     try:
-        return _prefix_steps(rows, ends, w, free, lam, max_iter, tol)
+        w[own], curved = _prefix_steps(rows, ends[own], w[own], free, lam, max_iter, tol)
+        others = np.flatnonzero(anchor != np.arange(len(ends)))
+        if len(others):
+            w[others], far = _chord_steps(rows, ends[others], w[anchor[others]], curved[np.searchsorted(own, anchor[others])], free, lam, tol)
+            if len(far):
+                far = others[far]
+                w[far], _ = _prefix_steps(rows, ends[far], w[anchor[far]], free, lam, max_iter, tol)
+        return w
     finally:
         rows.unpersist()
 
 
-def _prefix_steps(rows: DataFrame, ends: np.ndarray, w: np.ndarray, free: np.ndarray, lam: float, max_iter: int, tol: float) -> np.ndarray:
-    """The Newton steps of ``prefix_logistic`` from the weights ``w``."""
-    k, d = w.shape
+def _held(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """A task's rows by position: x, y, position."""
+    held = []
+    for b in batches:
+        if b.num_rows:
+            x, at = b.column("x"), b.column("at")
+            held.append((x.flatten().to_numpy().reshape(len(x), -1), at.field("y").to_numpy(), at.field("position").to_numpy()))
+    if not held:
+        return None
+    x, y, pos = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(pos, kind="stable")
+    return x[order], y[order], pos[order]
+
+
+def _chord_steps(rows: DataFrame, ends: np.ndarray, w: np.ndarray, curved: np.ndarray, free: np.ndarray, lam: float, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Steps by the curvatures given: the weights, and the places of those that have not arrived after ``CHORDS`` passes."""
+    (k, d), w, order = w.shape, w.copy(), np.argsort(ends, kind="stable")
+    inverse, open_ = np.linalg.inv(curved), order
+    for _ in range(CHORDS):
+        def task(batches):
+            rows_ = _held(batches)
+            if rows_ is None:
+                return
+            x, y, pos = np.c_[np.ones(len(rows_[0])), rows_[0]], rows_[1], rows_[2]
+            for first in range(0, len(open_), PREFIXES):
+                js = open_[first:first + PREFIXES]
+                most, g = np.searchsorted(pos, ends[js]), np.zeros((len(js), d))
+                for at in range(0, most.max(), 2048):
+                    xs, n = x[at:at + 2048], np.arange(at, min(at + 2048, len(x)))
+                    off = _sigmoid(xs @ w[js].T) - y[at:at + 2048, None]
+                    off[n[:, None] >= most] = 0
+                    g += off.T @ xs
+                yield pa.RecordBatch.from_arrays([pa.array(js, pa.int32()), _lists(g)], ["j", "g"])
+
+        parts = rows.mapInArrow(task, "j int, g array<double>")
+        got = parts.groupBy("j").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).toArrow()
+        js, g = got["j"].to_numpy(), got["g"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+        step = np.einsum("jab,jb->ja", inverse[js], g / ends[js][:, None] + lam * free * w[js])
+        w[js] -= np.clip(step, -10, 10)
+        open_ = np.intersect1d(js[~(np.abs(step).max(1) < tol)], open_)
+        open_ = open_[np.argsort(ends[open_], kind="stable")]
+        if not len(open_):
+            break
+    return w, open_
+
+
+def _prefix_steps(rows: DataFrame, ends: np.ndarray, w: np.ndarray, free: np.ndarray, lam: float, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """The Newton steps of ``prefix_logistic`` from the weights ``w``: the weights, and the curvatures of the last steps."""
+    (k, d), w = w.shape, w.copy()
+    curved = np.zeros((k, d, d))
     half = d * (d + 1) // 2
     upper = np.triu_indices(d)
     open_ = np.arange(k)
@@ -330,29 +395,111 @@ def _prefix_steps(rows: DataFrame, ends: np.ndarray, w: np.ndarray, free: np.nda
 
         def solve(batches):
             for b in batches:
-                js, steps = b.column("j").to_numpy(), np.zeros((b.num_rows, d))
+                js, steps, full = b.column("j").to_numpy(), np.zeros((b.num_rows, d)), np.zeros((b.num_rows, d * d))
                 gs, hs = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in "gh")
                 for i, j in enumerate(js):
                     n = ends[j]
                     h = np.zeros((d, d))
                     h[upper] = hs[i] / n
                     h = h + np.triu(h, 1).T + np.diag(lam * free + 1e-12)
-                    steps[i] = np.linalg.solve(h, gs[i] / n + lam * free * w[j])
-                yield pa.RecordBatch.from_arrays([b.column("j"), _lists(steps)], ["j", "step"])
+                    steps[i], full[i] = np.linalg.solve(h, gs[i] / n + lam * free * w[j]), h.ravel()
+                yield pa.RecordBatch.from_arrays([b.column("j"), _lists(steps), _lists(full)], ["j", "step", "h"])
 
         parts = rows.mapInArrow(task, "j int, g array<double>, h array<double>")
         total = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
-        got = parts.groupBy("j").agg(total("g"), total("h")).mapInArrow(solve, "j int, step array<double>").collect()
+        got = parts.groupBy("j").agg(total("g"), total("h")).mapInArrow(solve, "j int, step array<double>, h array<double>").toArrow()
         left = []
-        for r in got:
-            step = np.array(r.step)
-            w[r.j] -= np.clip(step, -10, 10)
+        for j, step, h in zip(got["j"].to_pylist(), *(got[c].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1) for c in ("step", "h"))):
+            w[j] -= np.clip(step, -10, 10)
+            curved[j] = h.reshape(d, d)
             if np.abs(step).max() >= tol:
-                left.append(r.j)
+                left.append(j)
         if not left:
             break
         open_ = np.array(sorted(left))
-    return w
+    return w, curved
+
+
+def _probabilities(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(rows, fits): each a plain sum in the order of the inputs, so that equal rows have equal scores wherever they lie."""
+    z, columns = np.empty((len(x), len(w))), np.ascontiguousarray(x.T)
+    for at in range(0, len(x), 256):
+        part = z[at:at + 256]
+        part[:] = w[:, 0]
+        term = np.empty_like(part)
+        for k, column in enumerate(columns):
+            part += np.multiply(column[at:at + 256, None], w[:, k + 1], out=term)
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
+
+
+def _sides(batches, ends: np.ndarray, w: np.ndarray, cut: int, open_: np.ndarray):
+    """(fits, [(place in fits, 0 training or 1 held out, y, p)]) of a task's rows, ``PREFIXES`` fits at a time."""
+    rows = _held(batches)
+    for first in range(0, len(open_) if rows else 0, PREFIXES):
+        js = open_[first:first + PREFIXES]
+        x, y, pos = rows
+        p, held = _probabilities(x, w[js]), np.searchsorted(pos, cut)
+        yield js, [(i, part, y[side], p[side, i]) for i, m in enumerate(np.searchsorted(pos, ends[js])) for part, side in enumerate((slice(0, m), slice(held, None)))]
+
+
+def prefix_points(df: DataFrame, sizes: list[int], w: np.ndarray, cut: int, fpr: float) -> DataFrame:
+    """(size, part, p, m, z, o): bogus and real rows on either side of the lowest score at which at most ``fpr`` of the bogus ones are accepted, on the ``train`` rows of each prefix and the
+    ``holdout`` rows from ``cut`` on. All that the missed-detection rate there needs.
+
+    A pass over the rows sends each task's highest bogus scores: the first one too many among all of them is the threshold, unless a task may have more; those fits are asked again with more of them.
+    A second pass counts what is above. Between the passes a few numbers per prefix come to the driver.
+    """
+    rows = df.select("x", F.struct("y", "position").alias("at"))
+    ends, open_, share, edge = np.array(sizes), np.arange(len(sizes)), 1.5, {}
+    while len(open_):
+        def top(batches):
+            for js, sides in _sides(batches, ends, w, cut, open_):
+                out = []
+                for i, part, y, p in sides:
+                    bogus = p[y == 0]
+                    n = min(len(bogus), int(np.ceil(fpr * len(bogus) * share)) + 32)
+                    out.append((int(js[i]), part, len(bogus), int((y == 1).sum()), np.partition(bogus, len(bogus) - n)[len(bogus) - n:] if n else bogus))
+                cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), js[0] // PREFIXES), pa.int32()), *cols], ["block", "j", "part", "n0", "n1", "top"])
+
+        def merge(t: pa.Table) -> pa.Table:
+            out, by = [], {}
+            for j, part, n0, n1, top_ in zip(*(t[c].to_numpy() for c in ("j", "part", "n0", "n1", "top"))):
+                by.setdefault((j, part), []).append((n0, n1, top_))
+            for (j, part), held in by.items():
+                n0, n1 = sum(h[0] for h in held), sum(h[1] for h in held)
+                most = int(fpr * n0) + 1
+                while most and n0 and most / n0 > fpr:
+                    most -= 1
+                every = np.sort(np.concatenate([h[2] for h in held]))[::-1]
+                # no bogus row: no score is accepted; none too many: all are
+                p = 1. if not n0 else -1. if most >= n0 else every[most] if most < len(every) else np.nan
+                out.append((j, part, n0, n1, p, bool(p in (1., -1.) or all(len(h[2]) == h[0] or h[2].min() <= p for h in held))))
+            return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["j", "part", "n0", "n1", "p", "found"])
+
+        sent = rows.mapInArrow(top, "block int, j int, part int, n0 bigint, n1 bigint, top array<double>")
+        got = sent.groupBy("block").applyInArrow(merge, "j int, part int, n0 bigint, n1 bigint, p double, found boolean").collect()
+        edge |= {(r.j, r.part): (r.n0, r.n1, r.p) for r in got if r.found}
+        open_, share = np.unique([r.j for r in got if not r.found]).astype(int), 4 * share
+
+    limit = np.array([[edge.get((j, part), (0, 0, 1.))[2] for part in (0, 1)] for j in range(len(sizes))])
+
+    def above(batches):
+        for js, sides in _sides(batches, ends, w, cut, np.arange(len(ends))):
+            out = []
+            for i, part, y, p in sides:
+                over = (p > limit[js[i], part]) & ((y == 0) | (y == 1))
+                out.append((int(js[i]), part, int((y[over] == 0).sum()), int((y[over] == 1).sum()), float(p[over].min()) if over.any() else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))], ["j", "part", "z", "o", "p"])
+
+    over = rows.mapInArrow(above, "j int, part int, z bigint, o bigint, p double").groupBy("j", "part").agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.min("p").alias("p"))
+    points = []
+    for r in over.collect():
+        n0, n1, p = edge[r.j, r.part]
+        name = (int(sizes[r.j]), ("train", "holdout")[r.part])
+        points += [(*name, float(v), 0, z, o) for v, z, o in ((r.p, r.z, r.o), (p, n0 - r.z, n1 - r.o)) if z + o]
+    return df.sparkSession.createDataFrame(points, "size int, part string, p double, m long, z long, o long")
 
 
 # ---- many networks side by side --------------------------------------------------------------

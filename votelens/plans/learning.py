@@ -282,8 +282,8 @@ def best_setting(results: DataFrame, smallest: bool = True) -> DataFrame:
 def learning_curve(df: DataFrame, id_: str, step: int = 100, fraction: float = .75, fpr: float = .01, lam: float = 1e-3) -> DataFrame:
     """Figure of merit on the training prefix and on the hold-out rows, for prefixes that grow by ``step`` rows.
 
-    Rows carry ``x`` and ``y``. All prefixes are fitted in the same passes (``gradient.prefix_logistic``) and scored and compared in one job: the number of jobs
-    does not depend on the number of rows.
+    Rows carry ``x`` and ``y``. All prefixes are fitted in the same passes (``gradient.prefix_logistic``) and scored in the same passes: the number of jobs
+    does not depend on the number of rows. Scores (rows x prefixes) never leave a task; what does are the counts on either side of the figure's threshold.
     """
     pos = land(with_position(df, id_), "prefix-rows")            # every pass reads them again
     n = pos.select("rows").first()["rows"]
@@ -293,13 +293,8 @@ def learning_curve(df: DataFrame, id_: str, step: int = 100, fraction: float = .
     sizes = sorted({*range(step, cut + 1, step), cut})
     train = pos.where(F.col("position") < cut)
     w = gradient.prefix_logistic(train.select("x", "y", "position"), sizes, lam)
-    fits = df.sparkSession.createDataFrame([(s, [float(v) for v in row]) for s, row in zip(sizes, w)], "size int, w array<double>")
-    inside = F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda s: (F.col("position") < s) | (F.col("position") >= cut)), lambda s: s)
-    each = pos.withColumn("size", F.explode(inside)).join(F.broadcast(fits), "size")       # one row of weights per prefix
-    z = F.aggregate(F.zip_with("x", F.slice("w", 2, F.size("w")), lambda a, b: a * b), F.get("w", F.lit(0)), lambda a, b: a + b)
-    scored = each.select("size", F.when(F.col("position") < cut, "train").otherwise("holdout").alias("part"), F.col(id_).alias("subject"), F.col("y").alias("gold"),
-                         (1 / (1 + F.exp(-z))).alias("p"))
-    return evaluate.fom_mdr_at_fpr(scored, fpr, runs=["size", "part"]).select("size", "part", "mdr")
+    points = gradient.prefix_points(pos.select("x", "y", "position"), sizes, w, cut, fpr)
+    return evaluate.fom_mdr_at_fpr(points, fpr, runs=["size", "part"]).select("size", "part", "mdr")
 
 
 def feature_importance(model, spark) -> DataFrame:
